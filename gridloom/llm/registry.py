@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import mixing
+from gridloom.llm import decontam, minhash, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, sf_dir) -> DataFrame."""
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op6_near_duplicates": minhash.op6_near_duplicates,
+        "op9_decontamination": decontam.op9_decontamination,
     }
 
 
