@@ -30,8 +30,9 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
     edges = tmp.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while True:
         new = tmp.save(_small_star(_large_star(edges)), "edges")
-        stars = new.groupBy("a").count().filter("count > 1").limit(1).count() == 0 and new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() == 0
         tmp.drop(edges)
         edges = new
-        if stars:
+        # done when every node either hangs on one other or has others hang on it
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

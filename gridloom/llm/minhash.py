@@ -6,9 +6,11 @@ densification). ROWS bins make a band, and texts with equal bands share a bucket
 shares no bucket with a chance of about 1e-8; at 0.8 about 1e-6.
 
 Texts with the same shingle set are one class from the start, so groups of copies cost one row each. In a bucket, every
-member is paired with the bucket's centre, not with every other member. Pairs are confirmed on the full sets, components
-follow, and a bucket whose members are by then all connected is done. For the rest the centre leaves the bucket and the
-next ones (1, 2, 4, ... a round) take its place, so every pair of a bucket that is not connected yet is compared in the end.
+member is paired with the bucket's centre, the member that meets most others over all of its buckets, not with every other
+member. Pairs are confirmed on the full sets, components follow, and a bucket whose members are by then all connected is
+done. For the rest the centre leaves the bucket and the next ones (2, 4, 8, ... a round) take its place, so that every pair
+of a bucket that is not connected yet is compared in the end; once what is left is no more than AT_ONCE pairs for each
+class of the corpus, it is compared at once.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ ROWS = 5
 BINS = BANDS * ROWS
 #: Draws of a bin that an empty bin may make before it takes the next filled bin in order.
 DRAWS = 64
+AT_ONCE = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WAYS = np.random.default_rng(5).integers(0, BINS, (DRAWS, BINS))
 _SALT = np.random.default_rng(6).integers(1, 1 << 63, BINS, dtype=np.uint64)
@@ -127,42 +130,53 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     classes = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2")
     classes = tmp.save(classes.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    rows = tmp.save(keys.join(shared.select("key"), "key"), "buckets")  # of buckets with several classes
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(rows.select("id").distinct(), "id", "left_semi")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
+    rows = tmp.save(keys.join(shared.select("key", "members"), "key"), "shared")  # of buckets with several classes
+    met = rows.groupBy("id").agg(F.sum("members").alias("met"))
+    live = tmp.save(rows.select("key", "id", "n").join(met, "id"), "buckets")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(met.select("id"), "id", "left_semi")
     # a doc_id may hold several texts; any of them can confirm a pair
     texts = tmp.save(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"]), "texts")
+    enough = AT_ONCE * max(1, classes.count())
 
     done: DataFrame | None = None
     links: DataFrame | None = None
     label: DataFrame | None = None
     centres = 1
-    live = rows
     while True:
-        if label is not None:
-            own = live.join(label, live["id"] == label["id"], "left").select(live["key"], live["id"], live["n"], F.coalesce(label["component"], live["id"]).alias("c"))
-            several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        last = False
+        if label is None:
+            own = live.withColumn("c", F.col("id"))
+        else:
+            own = live.join(label, live["id"] == label["id"], "left").select(live["key"], live["id"], live["n"], live["met"], F.coalesce(label["component"], live["id"]).alias("c"))
+            several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", "m")
             own = tmp.save(own.join(several, "key"), "live")
-            if own.isEmpty():
+            # every pair of a bucket holds m - 1 of its m rows' pairs, halved
+            left = own.agg(F.sum(F.col("m") - 1)).first()[0]
+            if left is None:
                 break
+            last = left / 2 <= enough
+        if last:
+            middle = own.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        elif centres == 1:
+            middle = own.groupBy("key").agg(F.max_by("id", "met").alias("id")).join(own, ["key", "id"]).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         else:
-            own = live.withColumn("c", F.col("id"))
-        if centres == 1:
-            middle = own.groupBy("key").agg(F.min("id").alias("a")).join(own, "key").filter("a = id").select("key", "a", F.col("n").alias("na"), F.col("c").alias("ca"))
-        else:
-            middle = own.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("_r") <= centres).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        pairs = own.join(middle, "key").filter((F.col("id") != F.col("a")) & (F.col("c") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+            middle = own.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "id"))).filter(F.col("_r") <= centres).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        pairs = own.join(middle, "key").filter((F.col("id") < F.col("a") if last else F.col("id") != F.col("a")) & (F.col("c") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = tmp.save(pairs, "pairs")
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         checked = tmp.save(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a bigint, b bigint, ok boolean"), "checked")
-        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
         new = checked.filter("ok").select("a", "b")
+        if last and new.isEmpty():
+            break
+        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
         links = new if links is None else links.unionByName(new)
         label = components(tmp, links)
-        live = own.select("key", "id", "n").join(middle.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        if last:
+            break
+        live = own.select("key", "id", "n", "met").join(middle.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
         centres *= 2
 
     cls = classes.join(label, "id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "id").alias("component"))

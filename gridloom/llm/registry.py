@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontam, minhash, mixing
+from gridloom.llm import decontam, langid, lines, media, minhash, mixing, pii, secrets, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, sf_dir) -> DataFrame."""
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_mixing": mixing.op2_mixing,
+        "op3_personal_data": pii.op3_personal_data,
+        "op4_language": langid.op4_language,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_near_duplicates": minhash.op6_near_duplicates,
+        "op7_secrets": secrets.op7_secrets,
+        "op8_media_columns": media.op8_media_columns,
         "op9_decontamination": decontam.op9_decontamination,
+        "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
 
