@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gridloom.llm import decontam, langid, lines, media, minhash, mixing, pii, secrets, substring, toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring_dedup": substring.op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

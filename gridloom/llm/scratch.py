@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """df, whose session from now on hands Python workers Arrow batches of about size bytes, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 class Scratch:
     """Writes frames as Parquet under the shared folder, so that a lost executor costs one task and not the lineage."""
 

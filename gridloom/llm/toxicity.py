@@ -17,14 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernel
+from gridloom.llm.scratch import small_batches
 
 #: Feature slots.
 SLOTS = 1 << 18
 #: Bounds of the training sample: labelled documents of each class, and characters of a document taken into it.
 PER_CLASS = 3000
 LONGEST = 100_000
-#: A feature counts if this many training documents have it.
-LEAST_DOCS = 5
+#: A feature counts if this many toxic training documents have it, and this share of them.
+LEAST_DOCS, LEAST_SHARE = 4, 0.02
+#: ... and if it is in more toxic than other ones by this many standard errors. Weights start from its log odds.
+SURPRISE = 4.0
+#: ... and this many times as often in them.
+LIFT = 3.0
 THRESHOLD = 0.3
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 13, 33, 46, 63]] = True
@@ -65,8 +70,8 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.nda
         yield i, j, slots, own, d[first], s[first], e[last]
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 60, seed: int = 1) -> Model:
-    """Full-batch AdaGrad on the weighted log loss of the noisy-or."""
+def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 400, seed: int = 1) -> Model:
+    """Full-batch AdaGrad on the weighted log loss of the noisy-or, over the features that toxic documents have more of."""
     raw, at = kernel.utf8(pa.array(texts, pa.large_string()))
     slot, sent, doc, base = [], [], [], 0
     for i, _, f, own, of, _, _ in features(raw, at):
@@ -76,10 +81,18 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         doc.append(of + i)
         base += len(of)
     slot, sent, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slot, sent, doc))
-    seen = np.bincount(np.unique(slot.astype(np.int64) * len(texts) + doc[sent]) // max(1, len(texts)), minlength=SLOTS) if len(slot) else np.zeros(SLOTS)
-    keep = seen[slot] >= LEAST_DOCS
+    pairs = np.unique(slot.astype(np.int64) * len(texts) + doc[sent]) if len(slot) else np.zeros(0, np.int64)
+    toxic = labels[pairs % max(1, len(texts))] > 0
+    there = [np.bincount(pairs[toxic == v] // max(1, len(texts)), minlength=SLOTS) for v in (False, True)]
+    sizes = [max(1, int((labels > 0).sum() if v else (labels <= 0).sum())) for v in (False, True)]
+    rates = [t / n for t, n in zip(there, sizes, strict=True)]
+    pooled = (there[0] + there[1]) / sum(sizes)
+    surprise = (rates[1] - rates[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
+    chosen = (surprise >= SURPRISE) & (rates[1] >= LIFT * rates[0]) & (there[1] >= max(LEAST_DOCS, LEAST_SHARE * sizes[1]))
+    odds = np.log((there[1] + 0.5) / (sizes[1] + 1)) - np.log((there[0] + 0.5) / (sizes[0] + 1))
+    keep = chosen[slot]
     slot, sent = slot[keep], sent[keep]
-    w, grads = np.zeros(SLOTS), np.full(SLOTS, 1e-8)
+    w, grads = np.where(chosen, np.clip(odds, 0, 8), 0.0), np.full(SLOTS, 1e-7)
     y, n = labels.astype(float), max(1, len(texts))
     share = weights / weights.sum() if len(texts) else weights
     b, lk, gb, gl = -6.0, -4.0, 1e-8, 1e-8
@@ -90,9 +103,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         clean = np.exp(np.bincount(doc, np.log1p(-p), n)[:n]) * (1 - leak)
         pull = share * ((1 - y) - y * clean / np.maximum(1 - clean, 1e-9))
         gz = p * pull[doc] if len(doc) else p
-        g = np.bincount(slot, gz[sent], SLOTS) + 1e-7 * w
+        g = np.where(chosen, np.bincount(slot, gz[sent], SLOTS), 0) + 1e-7 * w
         grads += g * g
-        w -= 0.5 * g / np.sqrt(grads)
+        w -= 0.2 * g / np.sqrt(grads)
         for value, which in ((gz.sum(), "b"), ((leak * pull).sum(), "l")):
             if which == "b":
                 gb += value * value
@@ -165,7 +178,22 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     read; an empty table gives no rows.
     """
     more = ", sentences array<struct<start:bigint,end:bigint,score:double>>" if spans else ""
-    return docs.select("doc_id", "text").mapInArrow(_scores(model, spans), f"doc_id bigint, score double{more}")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_scores(model, spans), f"doc_id bigint, score double{more}")
+
+
+def _keep(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
+            scores = np.asarray(next(_scores(model, False)(iter([own]))).column(0))
+            yield batch.filter(pa.array(scores < THRESHOLD))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score below THRESHOLD, with all of their columns; each row is judged by its own text."""
+    return small_batches(docs).mapInArrow(_keep(model), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,7 +1,10 @@
+import sys
 from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 DATA = Path("/root/testdata/sf0.001")
 
 
