@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernel
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, small_batches
 
 WINDOW = 13
 K = 7
@@ -143,6 +143,7 @@ def overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
     table on either side gives no hits. Other columns are not read.
     """
     tmp = Scratch(spark, "decontam")
+    docs = small_batches(docs)
     items = tmp.save(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").withColumn("row", F.sha2(F.concat_ws("\x00", F.coalesce("item_id", F.lit("")), "text"), 256)).dropDuplicates(["row"]), "items")
     prints = tmp.save(items.select("row", "text").mapInArrow(_item_hashes, "row string, size int, h bigint"), "prints")
     short = sorted(r[0] for r in prints.filter(F.col("size") < WINDOW).select("size").distinct().collect())

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernel
+from gridloom.llm.scratch import small_batches
 
 HIDDEN = 8
 STRETCH = 128
@@ -231,7 +232,7 @@ def identify(docs: DataFrame, m: Model | None) -> DataFrame:
     columns, none is read; an empty table gives no rows.
     """
     lettered = F.col("text").rlike(r"\p{L}")
-    rows = docs.select(F.struct("doc_id", F.coalesce(lettered, F.lit(False)).alias("ok")).alias("row"), F.when(lettered, F.col("text")).alias("text"))
+    rows = small_batches(docs).select(F.struct("doc_id", F.coalesce(lettered, F.lit(False)).alias("ok")).alias("row"), F.when(lettered, F.col("text")).alias("text"))
     if m is None:
         return rows.select("row.doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     made = rows.mapInArrow(_predict(m), "row struct<doc_id:bigint,ok:boolean>, lang_pred string, score double")

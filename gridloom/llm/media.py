@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.scratch import small_batches
+
 FRAME = 576
 SIDE = 24
 RATE = 25
@@ -187,7 +189,7 @@ def media_columns(df: DataFrame, key: str, media: str) -> DataFrame:
     read; an empty table gives no rows.
     """
     schema = "id {}, codec string, seconds double, width int, height int, samples bigint, keyframes array<struct<start:bigint,end:bigint>>, error string"
-    return df.select(F.col(key).alias("id"), F.col(media).alias("media")).mapInArrow(_columns, schema.format(dict(df.dtypes)[key]))
+    return small_batches(df).select(F.col(key).alias("id"), F.col(media).alias("media")).mapInArrow(_columns, schema.format(dict(df.dtypes)[key]))
 
 
 def feature(info: dict) -> str:
@@ -218,7 +220,7 @@ def text_as_media(docs: DataFrame) -> DataFrame:
     Null and empty texts are one frame of bytes 255. Equal texts give equal values. Other columns are not read.
     """
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(_round_trip, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_round_trip, schema)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

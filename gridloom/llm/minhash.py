@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from gridloom.llm import kernel
 from gridloom.llm.components import components
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, small_batches
 
 BANDS = 32
 ROWS = 5
@@ -126,6 +126,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     read; an empty table gives no rows.
     """
     tmp = Scratch(spark, "minhash")
+    docs = small_batches(docs)
     found = tmp.save(docs.select("doc_id", "text").mapInArrow(_sketches(size), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"), "sketches")
     classes = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2")
     classes = tmp.save(classes.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernel
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, small_batches
 
 LEAST = 8
 _SENTENCE, _LINE = np.zeros(256, bool), np.zeros(256, bool)
@@ -135,6 +135,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     tmp = Scratch(spark, "substring")
+    docs = small_batches(docs)
     found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
     first = found.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("d1", "d2", "first")
     others = found.join(first, ["d1", "d2"]).filter("doc > first").select("doc", F.struct("d1", "d2").alias("u")).distinct()
