@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from gridloom.plans import cell_queries, point_queries
+
+_MODULES = (point_queries, cell_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
