@@ -43,3 +43,17 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOXES = """b AS (SELECT frame_id, b AS track_id, -6000 + b * 7000 + frame_id * 100 AS x_lo, -4000 + b * 7000 + frame_id * 100 AS x_hi, -2000 + b * 1500 AS y_lo,
   -500 + b * 1500 AS y_hi, -1700 + b * 200 AS z_lo, 200 + b * 100 AS z_hi FROM (SELECT DISTINCT frame_id FROM p), (VALUES (0), (1)) v(b))"""
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tracks a frame of points(), one of them nearly still; metres and metres a second."""
+    frames = points(spark, sf_dir).select("frame_id").distinct()
+    t = frames.select("frame_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("track_id"))
+    f, k = F.col("frame_id").cast("double"), F.col("track_id").cast("double")
+    t = t.select("frame_id", "track_id", (f * 0.5 - k * 3.0 + 1.25).alias("x"), (k * 1.5 - 2.0).alias("y"), (k * 2.0 - f * 0.125).alias("vx"), (0.5 - k * 0.25).alias("vy"), (k + 0.25).alias("length"), (k * 0.5 + 0.25).alias("width"))
+    return t.withColumn("is_dynamic", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) >= 0.25)
+
+
+TRACKS = """t0 AS (SELECT frame_id, k::INTEGER AS track_id, frame_id::DOUBLE * 0.5::DOUBLE - k * 3.0::DOUBLE + 1.25::DOUBLE AS x, k * 1.5::DOUBLE - 2.0::DOUBLE AS y, k * 2.0::DOUBLE - frame_id::DOUBLE * 0.125::DOUBLE AS vx,
+  0.5::DOUBLE - k * 0.25::DOUBLE AS vy, k + 0.25::DOUBLE AS length, k * 0.5::DOUBLE + 0.25::DOUBLE AS width FROM (SELECT DISTINCT frame_id FROM p), (VALUES (0.0::DOUBLE), (1), (2)) v(k)),
+t AS (SELECT *, sqrt(vx * vx + vy * vy) >= 0.25 AS is_dynamic FROM t0)"""
