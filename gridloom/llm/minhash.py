@@ -8,9 +8,8 @@ shares no bucket with a chance of about 1e-8; at 0.8 about 1e-6.
 Texts with the same shingle set are one class from the start, so groups of copies cost one row each. In a bucket, every
 member is paired with the bucket's centre, the member that meets most others over all of its buckets, not with every other
 member. Pairs are confirmed on the full sets, components follow, and a bucket whose members are by then all connected is
-done. For the rest the centre leaves the bucket and the next ones (2, 4, 8, ... a round) take its place, so that every pair
-of a bucket that is not connected yet is compared in the end; once what is left is no more than AT_ONCE pairs for each
-class of the corpus, it is compared at once.
+done. In the rest, what is not connected yet is compared block against block of about BLOCK members, each pair of blocks a
+task of its own: no pair of a bucket stays untested, and only pairs that are similar become rows.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm import kernel
 from gridloom.llm.components import components
@@ -32,7 +30,8 @@ ROWS = 5
 BINS = BANDS * ROWS
 #: Draws of a bin that an empty bin may make before it takes the next filled bin in order.
 DRAWS = 64
-AT_ONCE = 4
+#: Members in a block of a bucket, about.
+BLOCK = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WAYS = np.random.default_rng(5).integers(0, BINS, (DRAWS, BINS))
 _SALT = np.random.default_rng(6).integers(1, 1 << 63, BINS, dtype=np.uint64)
@@ -95,22 +94,63 @@ def _sketches(size: int):
     return run
 
 
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    raw, at = kernel.utf8(column)
+    out: list = [np.zeros(0, np.uint64)] * len(column)
+    for x, own in shingle_sets(raw, at, size):
+        out[x] = own
+    return out
+
+
 def _confirm(size: int, percent: int):
-    def sets(column) -> list[np.ndarray]:
-        raw, at = kernel.utf8(column)
-        out: list = [np.zeros(0, np.uint64)] * len(column)
-        for x, own in shingle_sets(raw, at, size):
-            out[x] = own
-        return out
+    """a, b, ta, tb to the pairs a, b whose texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 ok = []
-                for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                for x, y in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _blocks(size: int, percent: int):
+    """Members of one block, or of two, of a bucket (id, c, block, i, j, text) to the similar pairs in or across them.
+
+    Shingles are numbered within the group; a set is marked in a table, and one look-up of all others' numbers and a sum
+    by set give its intersections with them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, block = (table.column(k).combine_chunks().to_numpy() for k in ("id", "c", "block"))
+        text = table.column("text").combine_chunks()
+        sets = _sets(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, size)
+        n = np.array([len(x) for x in sets])
+        kept = n > 0  # an id's text may be one without words
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        names, number = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        first = block == table.column("i")[0].as_py()
+        seen = np.zeros(len(names), bool)
+        own = np.flatnonzero(kept)
+        for x in own[first[own]] if across else own:
+            mine = number[ends[x] - n[x] : ends[x]]
+            others = own[~first[own]] if across else own[own > x]
+            others = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+            if not len(others):
+                continue
+            seen[mine] = True
+            hits = np.append(0, np.cumsum(seen[number], dtype=np.int64))
+            seen[mine] = False
+            both = hits[ends[others]] - hits[ends[others] - n[others]]
+            ok = others[100 * both >= percent * (n[x] + n[others] - both)]
+            found.append((np.minimum(ids[x], ids[ok]), np.maximum(ids[x], ids[ok])))
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -138,47 +178,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(met.select("id"), "id", "left_semi")
     # a doc_id may hold several texts; any of them can confirm a pair
     texts = tmp.save(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"]), "texts")
-    enough = AT_ONCE * max(1, classes.count())
-
-    done: DataFrame | None = None
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    centres = 1
-    while True:
-        last = False
-        if label is None:
-            own = live.withColumn("c", F.col("id"))
-        else:
-            own = live.join(label, live["id"] == label["id"], "left").select(live["key"], live["id"], live["n"], live["met"], F.coalesce(label["component"], live["id"]).alias("c"))
-            several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", "m")
-            own = tmp.save(own.join(several, "key"), "live")
-            # every pair of a bucket holds m - 1 of its m rows' pairs, halved
-            left = own.agg(F.sum(F.col("m") - 1)).first()[0]
-            if left is None:
-                break
-            last = left / 2 <= enough
-        if last:
-            middle = own.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        elif centres == 1:
-            middle = own.groupBy("key").agg(F.max_by("id", "met").alias("id")).join(own, ["key", "id"]).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        else:
-            middle = own.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "id"))).filter(F.col("_r") <= centres).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        pairs = own.join(middle, "key").filter((F.col("id") < F.col("a") if last else F.col("id") != F.col("a")) & (F.col("c") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        checked = tmp.save(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a bigint, b bigint, ok boolean"), "checked")
-        new = checked.filter("ok").select("a", "b")
-        if last and new.isEmpty():
-            break
-        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
-        links = new if links is None else links.unionByName(new)
-        label = components(tmp, links)
-        if last:
-            break
-        live = own.select("key", "id", "n", "met").join(middle.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        centres *= 2
+
+    # round one: every member of a bucket against its centre
+    hub = live.groupBy("key").agg(F.max_by("id", "met").alias("id")).join(live, ["key", "id"]).select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    pairs = live.join(hub, "key").filter((F.col("id") != F.col("a")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+    pairs = tmp.save(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    links = tmp.save(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a bigint, b bigint").distinct(), "links")
+    label = components(tmp, links)
+
+    # round two: members that are not connected yet, block against block; buckets with the same members count once
+    own = live.join(label, live["id"] == label["id"], "left").select(live["key"], live["id"], F.coalesce(label["component"], live["id"]).alias("c"))
+    several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("lo < hi")
+    once = several.groupBy("m", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    left = tmp.save(own.join(once, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks"))), "left")
+    left = left.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("key", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(texts.select("id", "text"), "id")
+    more = left.groupBy("key", "i", "j").applyInArrow(_blocks(size, percent), "a bigint, b bigint")
+    more = tmp.save(more.distinct(), "links")
+    if not more.isEmpty():
+        label = components(tmp, links.unionByName(more))
 
     cls = classes.join(label, "id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "id").alias("component"))
     out = found.join(cls, ["n_shingles", "f1", "f2"], "left")

@@ -47,7 +47,8 @@ def test_awkward(spark, awkward):
 
 
 def test_bucket_with_unlike_members_is_exhausted(spark, monkeypatch):
-    """All texts in one bucket: pairs that do not hang on the first centre are found by later ones."""
+    """All texts in one bucket: pairs that do not hang on the centre are found block by block."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "_sketches", lambda size, real=minhash._sketches: _one_bucket(real(size)))
     base = [[f"a{g}x{i}" for i in range(60)] for g in range(5)]
     docs = [(g * 10 + v, " ".join(base[g][:57] + [f"v{v}"] + base[g][58:])) for g in range(5) for v in range(4)]
