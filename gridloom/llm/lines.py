@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.scratch import Scratch
 
@@ -27,12 +28,12 @@ LONG, LONGER = 256, 320
 #: Bits of the fixed-size filters for keys and documents, as 64-bit words.
 FILTER = 1 << 17
 _HASH = 43
-_LINE = "doc_id bigint, th bigint, ln int"
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def tokens(line: Column) -> Column:
     """The distinct lower-cased words of a line."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), BLANK), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,10 +41,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
-def _packed(parts: DataFrame, width: int, kind: str) -> Column:
+def _packed(parts: DataFrame, width: int) -> Column:
     """Scalar array over all of range(width * 1024) from (slot, value); 0 where there is none."""
     every = parts.sparkSession.range(width * 1024).withColumnRenamed("id", "slot")
-    full = every.join(parts, "slot", "left").select("slot", F.coalesce("value", F.lit(0)).cast(kind).alias("value"))
+    full = every.join(parts, "slot", "left").select("slot", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
     some = full.groupBy(F.expr("shiftright(slot, 10)").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("xs"))
     some = some.select("hi", F.transform("xs", lambda x: x["value"]).alias("xs"))
     one = some.agg(F.array_sort(F.collect_list(F.struct("hi", "xs"))).alias("xs"))
@@ -54,7 +55,7 @@ def _bitmap(hashes: DataFrame) -> Column:
     """Scalar bitmap of FILTER 64-bit words with the hashes of column h."""
     slot = F.expr(f"h & {64 * FILTER - 1}")
     parts = hashes.select(slot.alias("s")).groupBy(F.expr("shiftright(s, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("value"))
-    return _packed(parts, FILTER // 1024, "bigint")
+    return _packed(parts, FILTER // 1024)
 
 
 def _in(bitmap: Column, h: Column) -> Column:
@@ -62,33 +63,50 @@ def _in(bitmap: Column, h: Column) -> Column:
     return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
 
 
-def _keys(p: Column, n: Column, k: Column) -> Column:
-    """array<struct<key,cap>> of a prefix; cap bounds the overlap if the key's words are the first that two sets share."""
-    first = n - F.ceil(n * 4 / 5).cast("int") + 1
-    single = lambda tag, upto: F.transform(F.slice(p, F.lit(1), F.greatest(upto, F.lit(0))), lambda x, i: F.struct(F.xxhash64(F.lit(tag), x).alias("key"), (n - i).alias("cap")))
-    at = F.when(k < first, F.sequence(k, first - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(at, lambda i: F.transform(F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0))), lambda y, j: F.struct(F.xxhash64(F.lit(2), F.get(p, i), y).alias("key"), (n - i - j).alias("cap")))))
-    kind = "array<struct<key:bigint,cap:int>>"
-    none = F.array().cast(kind)
-    short = F.concat(single(1, F.least(k, first)).cast(kind), pairs.cast(kind))
-    return F.when(n < 4, none).when(n <= LONG, short).when(n <= LONGER, F.concat(short, single(3, first).cast(kind))).otherwise(single(3, first).cast(kind))
-
-
-def _similar(tmp: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (x, y: structs of a class) whose words are similar enough; by the words of their first lines."""
-    both = pairs.select(F.explode(F.array("x", "y")).alias("c")).select("c.*").distinct()
-    ids = _bitmap(both.select(F.xxhash64("doc_id", "th").alias("h")))
-    near = docs.withColumn("_th", F.xxhash64("text")).filter(_in(ids, F.xxhash64("doc_id", "_th"))).select("doc_id", "text").dropDuplicates()
-    own = _lines(near).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
-    words = both.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
-    words = words.select("d1", "d2", tokens(F.col("line")).alias("words"))
-    words = tmp.save(words, "words")
-    left = words.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("words").alias("wx"))
-    right = words.select(F.col("d1").alias("y1"), F.col("d2").alias("y2"), F.col("words").alias("wy"))
-    flat = pairs.select("x", "y", F.col("x.d1").alias("x1"), F.col("x.d2").alias("x2"), F.col("y.d1").alias("y1"), F.col("y.d2").alias("y2"))
-    joined = flat.join(left, ["x1", "x2"]).join(right, ["y1", "y2"])
+def _keys(classes: DataFrame) -> DataFrame:
+    """key, pair (whether it is of two words), d1, b, n, cap, doc_id; cap bounds the overlap if the key's words are the first two sets share."""
+    first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
+    each = classes.filter("n >= 4").select("d1", "b", "n", "doc_id", "k", "p", first.alias("f"), F.posexplode("p").alias("i", "x")).filter("i < f")
+    own = ["d1", "b", "n", "doc_id"]
+    short = each.filter(f"n <= {LONGER}")
+    rest = F.when(F.col("i") < F.col("k"), F.array(F.lit(None).cast("int"))).otherwise(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0))))
+    short = short.select(*own, "i", "x", F.posexplode(rest).alias("j", "y"))
+    alone = F.col("y").isNull()
+    key = F.when(alone, F.xxhash64(F.lit(1), "x")).otherwise(F.xxhash64(F.lit(2), "x", "y"))
+    short = short.select(key.alias("key"), (~alone).alias("pair"), *own, F.when(alone, F.col("n") - F.col("i")).otherwise(F.col("n") - F.col("i") - F.col("j")).alias("cap"))
+    long = each.filter(f"n > {LONG}").select(F.xxhash64(F.lit(3), "x").alias("key"), F.lit(True).alias("pair"), *own, (F.col("n") - F.col("i")).alias("cap"))
+    return short.unionByName(long)
+
+
+def _similar(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d1, b of the classes that a pair (x1, xb, y1, yb of two classes) proves to be like an earlier one, by the words of their first lines."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("d1"), F.col("xb").alias("b")), F.struct(F.col("y1").alias("d1"), F.col("yb").alias("b")))).alias("c")).select("c.*").distinct()
+    wanted = tmp.save(classes.select("d1", "b", "doc_id", "th", "ln").join(both, ["d1", "b"], "left_semi"), "wanted")
+    ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
+    near = docs.withColumn("_th", F.xxhash64("text")).filter(_in(ids, F.xxhash64("doc_id", "_th"))).select("doc_id", "text")
+    own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
+    words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
+    words = tmp.save(words.select("d1", "b", F.struct("doc_id", "th", "ln").alias("at"), tokens(F.col("line")).alias("words")).dropDuplicates(["d1", "b"]), "words")
+    left = words.select(F.col("d1").alias("x1"), F.col("b").alias("xb"), F.col("at").alias("x_at"), F.col("words").alias("wx"))
+    right = words.select(F.col("d1").alias("y1"), F.col("b").alias("yb"), F.col("at").alias("y_at"), F.col("words").alias("wy"))
+    joined = pairs.join(left, ["x1", "xb"]).join(right, ["y1", "yb"])
     shared = F.size(F.array_intersect("wx", "wy"))
-    return tmp.save(joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared)).select("x", "y"), "similar")
+    like = joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared))
+    later = F.col("x_at") > F.col("y_at")
+    return like.select(F.when(later, F.col("x1")).otherwise(F.col("y1")).alias("d1"), F.when(later, F.col("xb")).otherwise(F.col("yb")).alias("b")).distinct()
+
+
+def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of different rows under a key that length, position and sketch do not rule out, the lesser d1 first."""
+    x, y = x.alias("x"), y.alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    close = (
+        (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+        & (9 * F.least("x.cap", "y.cap") >= 4 * total)
+        & (9 * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= total)
+    )
+    made = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.struct("x.d1", "x.b") < F.struct("y.d1", "y.b")) & close)
+    return made.select(F.col("x.d1").alias("x1"), F.col("x.b").alias("xb"), F.col("y.d1").alias("y1"), F.col("y.b").alias("yb"))
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -100,59 +118,42 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     tmp = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text")
-    hashed = _lines(docs).select("doc_id", "th", "ln", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("hs"))
-    counted = hashed.select(F.explode("hs").alias("h")).groupBy(F.expr(f"h & {SLOTS - 1}").alias("slot")).agg(F.count(F.lit(1)).alias("value"))
-    counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024, "int")
-    counter = F.col("counts")
-    ranked = lambda h: F.shiftleft(F.least(F.get(counter, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit((1 << 20) - 1)).cast("long"), _HASH).bitwiseOR(h.bitwiseAND((1 << _HASH) - 1))
+    words = docs.select(F.explode(F.split(F.lower("text"), BLANK)).alias("w")).select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
+    counted = words.groupBy("slot").agg(F.expr(f"shiftleft(least(count(1), {(1 << 20) - 1}L), {_HASH})").alias("value"))
+    counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
     # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
-    sets = hashed.filter(F.size("hs") > 0).withColumn("counts", counts).select("doc_id", "th", "ln", F.sort_array(F.transform("hs", ranked)).alias("r"))
+    lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line")).withColumn("counts", counts)
+    rank = lambda w: F.get(F.col("counts"), F.xxhash64(w).bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << _HASH) - 1))
+    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", BLANK), ""), rank))).alias("r")).filter(F.size("r") > 0)
     n = F.size("r")
     made = sets.select(
-        "doc_id", "th", "ln", n.alias("n"), F.xxhash64("r").alias("d1"), F.xxhash64(F.lit(77), "r").alias("d2"),
+        "doc_id", "th", "ln", n.alias("n"), F.xxhash64("r").alias("d1"),
         F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("b"),
         F.slice("r", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 2).alias("p"),
     )
-    made = tmp.save(made, "lines")
+    rare = F.size(F.filter("p", lambda x: x < ((RARE + 1) << _HASH)))
+    made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", rare.alias("k"), F.transform("p", lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("p")), "lines")
     first = F.min(F.struct("doc_id", "th", "ln")).alias("first")
-    classes = made.groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("b").alias("b"))
-    classes = tmp.save(classes.select("d1", "d2", "first.*", "rows", "n", "b"), "classes")
-
-    rare = F.size(F.filter("p", lambda x: F.shiftright(x, _HASH) <= RARE))
-    keyed = made.filter("n >= 4").select("d1", _keys(F.col("p"), F.col("n"), rare).alias("keys"))
-    lists = keyed.select("d1", F.explode("keys.key").alias("key")).groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("members"))
-    lists = tmp.save(lists.filter("lo < hi").select("key", "members"), "lists")
-    live = _bitmap(lists.select(F.col("key").alias("h")))
-    again = keyed.withColumn("live", live).select("d1", F.filter("keys", lambda x: _in(F.col("live"), x["key"])).alias("keys"))
-    again = again.select("d1", F.explode("keys").alias("k")).select("d1", "k.*")
-    again = again.join(lists, "key").distinct()
-    info = F.struct("doc_id", "th", "ln", "d1", "d2").alias("c")
-    found = tmp.save(again.join(classes, "d1").select("key", "cap", "members", "n", "b", info), "keyed")
-
-    def close(x: str, y: str) -> Column:
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (
-            (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny))
-            & (9 * F.least(F.col(f"{x}.cap"), F.col(f"{y}.cap")) >= 4 * (nx + ny))
-            & (9 * F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))) <= nx + ny)
-        )
-
-    def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        joined = later.alias("x").join(earlier.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") > F.col("y.c")) & close("x", "y"))
-        return joined.select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct()
-
-    few, many = found.filter(f"members <= {STAR}"), found.filter(f"members > {STAR}")
-    earliest = many.groupBy("key").agg(F.min(F.struct("c", "cap", "n", "b")).alias("m")).select("key", "m.*")
-    near = tmp.save(pairs(few, few).unionByName(pairs(many, earliest)).distinct(), "pairs")
-    gone = _similar(tmp, docs, near).select("x.d1", "x.d2").distinct()
-    gone = tmp.save(gone, "gone")
-    still = many.join(gone.select(F.struct("d1", "d2").alias("g")), F.struct("c.d1", "c.d2") == F.col("g"), "left_anti")
-    more = tmp.save(pairs(still, many).join(near, ["x", "y"], "left_anti"), "pairs")
-    gone = tmp.save(gone.unionByName(_similar(tmp, docs, more).select("x.d1", "x.d2")).distinct(), "gone")
+    classes = made.groupBy("d1", "b").agg(first, F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "k", "p")])
+    classes = tmp.save(classes.select("d1", "b", "first.*", "rows", "n", "k", "p"), "classes")
+
+    keyed = _keys(classes)
+    singles, doubles = keyed.filter("NOT pair").drop("pair", "doc_id"), keyed.filter("pair").drop("pair")
+    by_key = Window.partitionBy("key")
+    doubles = doubles.withColumn("members", F.count(F.lit(1)).over(by_key)).filter("members > 1")
+    doubles = tmp.save(doubles.withColumn("earliest", F.min(F.struct("doc_id", "d1", "b", "n", "cap")).over(by_key)), "doubles")
+    few, many = doubles.filter(f"members <= {STAR}"), doubles.filter(f"members > {STAR}")
+    centre = many.select("key", "earliest.*").distinct()
+    star = _joined(many, centre).unionByName(_joined(centre, many))
+    near = tmp.save(_joined(singles, singles).unionByName(_joined(few, few)).unionByName(star).distinct(), "pairs")
+    gone = tmp.save(_similar(tmp, docs, classes, near), "gone")
+    still = many.join(gone, ["d1", "b"], "left_anti")
+    more = _joined(still, many).unionByName(_joined(many, still)).distinct().join(near, ["x1", "xb", "y1", "yb"], "left_anti")
+    gone = tmp.save(gone.unionByName(_similar(tmp, docs, classes, tmp.save(more, "pairs"))).distinct(), "gone")
 
     gone = gone.withColumn("gone", F.lit(True))
-    touched = classes.join(gone, ["d1", "d2"], "left").filter("gone OR rows > 1").select("d1", "d2", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    lost = made.select("d1", "d2", "doc_id", "th", "ln").join(touched, ["d1", "d2"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
+    touched = classes.join(gone, ["d1", "b"], "left").filter("gone OR rows > 1").select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    lost = made.select("d1", "b", "doc_id", "th", "ln").join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("ln")).alias("lines"))
 
 
