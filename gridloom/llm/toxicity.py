@@ -73,25 +73,28 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.nda
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 400, seed: int = 1) -> Model:
     """Full-batch AdaGrad on the weighted log loss of the noisy-or, over the features that toxic documents have more of."""
     raw, at = kernel.utf8(pa.array(texts, pa.large_string()))
-    slot, sent, doc, base = [], [], [], 0
-    for i, _, f, own, of, _, _ in features(raw, at):
-        both = np.unique(np.repeat(own + base, 3) * SLOTS + f.ravel())  # distinct in a sentence
-        slot.append((both % SLOTS).astype(np.int32))
-        sent.append((both // SLOTS).astype(np.int32))
-        doc.append(of + i)
-        base += len(of)
-    slot, sent, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slot, sent, doc))
-    pairs = np.unique(slot.astype(np.int64) * len(texts) + doc[sent]) if len(slot) else np.zeros(0, np.int64)
-    toxic = labels[pairs % max(1, len(texts))] > 0
-    there = [np.bincount(pairs[toxic == v] // max(1, len(texts)), minlength=SLOTS) for v in (False, True)]
+    there = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    for i, j, f, own, of, _, _ in features(raw, at):
+        if len(of):
+            pairs = np.unique(np.repeat(of[own], 3) * SLOTS + f.ravel())  # a document's distinct features
+            toxic = labels[i:j][pairs // SLOTS] > 0
+            for v in (0, 1):
+                there[v] += np.bincount(pairs[toxic == v] % SLOTS, minlength=SLOTS)
     sizes = [max(1, int((labels > 0).sum() if v else (labels <= 0).sum())) for v in (False, True)]
     rates = [t / n for t, n in zip(there, sizes, strict=True)]
     pooled = (there[0] + there[1]) / sum(sizes)
     surprise = (rates[1] - rates[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
     chosen = (surprise >= SURPRISE) & (rates[1] >= LIFT * rates[0]) & (there[1] >= max(LEAST_DOCS, LEAST_SHARE * sizes[1]))
     odds = np.log((there[1] + 0.5) / (sizes[1] + 1)) - np.log((there[0] + 0.5) / (sizes[0] + 1))
-    keep = chosen[slot]
-    slot, sent = slot[keep], sent[keep]
+    slot, sent, doc, base = [], [], [], 0
+    for i, _, f, own, of, _, _ in features(raw, at):
+        row, column = np.nonzero(chosen[f])
+        both = np.unique((own[row] + base) * SLOTS + f[row, column])  # distinct in a sentence
+        slot.append((both % SLOTS).astype(np.int32))
+        sent.append((both // SLOTS).astype(np.int32))
+        doc.append((of + i).astype(np.int32))
+        base += len(of)
+    slot, sent, doc = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (slot, sent, doc))
     w, grads = np.where(chosen, np.clip(odds, 0, 8), 0.0), np.full(SLOTS, 1e-7)
     y, n = labels.astype(float), max(1, len(texts))
     share = weights / weights.sum() if len(texts) else weights
