@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import cell_queries, point_queries, terrain_queries
+from gridloom.plans import cell_queries, point_queries, raster_queries, terrain_queries
 
-_MODULES = (point_queries, cell_queries, terrain_queries)
+_MODULES = (point_queries, cell_queries, terrain_queries, raster_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
