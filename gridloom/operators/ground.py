@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gridloom.config import SENSOR_HEIGHT
 from gridloom.operators.binning import cell
-from gridloom.operators.points import FRAME
+from gridloom.operators.points import per_frame
 
 RINGS, SECTORS = 16, 32
 #: Squared reach of the polar grid: the corner of the mapped box.
@@ -44,7 +44,7 @@ def split(points: DataFrame) -> DataFrame:
 
 def plane_sums(points: DataFrame, most: int = 300) -> DataFrame:
     """Of every stride-th point of a frame, stride = n / most: count, sums and sums of products of the coordinates."""
-    n, rank = F.count(F.lit(1)).over(FRAME), F.row_number().over(FRAME.orderBy("point_idx")) - 1
+    n, rank = F.count(F.lit(1)).over(per_frame()), F.row_number().over(per_frame().orderBy("point_idx")) - 1
     own = points.withColumn("_s", F.greatest(F.floor(n / most), F.lit(1))).withColumn("_r", rank).where(F.col("_r") % F.col("_s") == 0)
     c = {"x": F.col("x_mm"), "y": F.col("y_mm"), "z": F.col("z_mm")}
     sums = [F.sum(v).alias(f"s{k}") for k, v in c.items()]
@@ -92,7 +92,7 @@ def residual_to_cell(points: DataFrame, size: int = 1000) -> DataFrame:
 
 def low_profile(points: DataFrame) -> DataFrame:
     """points with is_threat: 15 to 50 mm over the cell's ground and brighter than 0.7 of the frame's range."""
-    lo, hi = F.min("i_pct").over(FRAME), F.max("i_pct").over(FRAME)
+    lo, hi = F.min("i_pct").over(per_frame()), F.max("i_pct").over(per_frame())
     bright = F.when(hi > lo, 10 * (F.col("i_pct") - lo) > 7 * (hi - lo)).otherwise(False)
     r = F.col("residual_mm")
     return residual_to_cell(points).withColumn("is_threat", r.between(10, 80) & (r > 15) & (r < 50) & bright)
@@ -116,7 +116,7 @@ def thin_hazards(points: DataFrame, height: str, threshold: float = 0.75, size:
         F.min(x).alias("x_lo"), F.max(x).alias("x_hi"), F.min(y).alias("y_lo"), F.max(y).alias("y_hi"), F.max("p").alias("p"),
     )
     h = h.where(F.col("n") >= least).withColumn("radius", F.greatest(F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo")) / 2 + 100)
-    return h.withColumn("_r", F.row_number().over(FRAME.orderBy("first"))).where(F.col("_r") <= most).drop("_r").withColumn("cost", F.lit(255))
+    return h.withColumn("_r", F.row_number().over(per_frame().orderBy("first"))).where(F.col("_r") <= most).drop("_r").withColumn("cost", F.lit(255))
 
 
 def height_label(z: Column) -> Column:

@@ -10,7 +10,11 @@ from gridloom.config import BOUNDS, Bounds
 from gridloom.operators.binning import cell, near_join
 from gridloom.schema import POINT
 
-FRAME = Window.partitionBy("frame_id")
+
+def per_frame():
+    """The window of a frame; made when it is asked for, as modules load before there is a session."""
+    return Window.partitionBy("frame_id")
+
 
 
 def within_bounds(points: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
@@ -34,7 +38,7 @@ def to_millimetres(df: DataFrame) -> DataFrame:
 
 def decimate(points: DataFrame, above: int, stride: int) -> DataFrame:
     """Every stride-th point, in order, of frames with more than above points; other frames whole."""
-    n, rank = F.count(F.lit(1)).over(FRAME), F.row_number().over(FRAME.orderBy("point_idx"))
+    n, rank = F.count(F.lit(1)).over(per_frame()), F.row_number().over(per_frame().orderBy("point_idx"))
     return points.withColumn("_n", n).withColumn("_r", rank).where((F.col("_n") <= above) | ((F.col("_r") - 1) % stride == 0)).drop("_n", "_r")
 
 
@@ -63,7 +67,7 @@ def dense_balls(points: DataFrame, radius: int, least: int) -> DataFrame:
 
 def strip_speckle(points: DataFrame, radius: int = 800, least: int = 4, small: int = 300) -> DataFrame:
     """Isolated points go: by balls in frames of up to small points, by voxels in larger ones."""
-    sized = points.withColumn("_n", F.count(F.lit(1)).over(FRAME))
+    sized = points.withColumn("_n", F.count(F.lit(1)).over(per_frame()))
     few, many = sized.where(F.col("_n") <= small).drop("_n"), sized.where(F.col("_n") > small).drop("_n")
     return dense_balls(few, radius, least).unionByName(dense_voxels(many, radius, least))
 
@@ -77,7 +81,7 @@ def dust_large(points: DataFrame, k: int = 15, reach: int = 55_000, least: int =
     """
     near = F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm") <= reach * reach
     p = points.withColumn("_near", near)
-    count = lambda c: F.sum(c.cast("int")).over(FRAME)
+    count = lambda c: F.sum(c.cast("int")).over(per_frame())
     voxel = Window.partitionBy("frame_id", "_near", *_voxel(800))
     p = p.withColumn("_dense", F.col("_near") & (F.count(F.lit(1)).over(voxel) >= least))
     column = F.least(F.greatest(cell("x_mm", 2000, -25_000), F.lit(0)), F.lit(39))
