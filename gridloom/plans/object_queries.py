@@ -199,3 +199,19 @@ ORACLE = {
     "hazard_rollup": "SELECT event_type, user_id, count(*) AS n, round(max(value) * 1e6)::BIGINT AS worst FROM events GROUP BY 1, 2",
     "timestamp_forms": "SELECT event_id, round(epoch_us(ts) / 1e6 * 1000)::BIGINT AS ms, floor(epoch_us(ts) / 1e6)::BIGINT AS sec FROM events",
 }
+
+
+def _pipeline(s, d):
+    from gridloom.plans.pipeline import process
+
+    f = process(points(s, d), tracks(s, d))
+    sizes = f.clusters.groupBy("frame_id").agg(F.count(F.lit(1)).alias("objects"))
+    thin = f.thin.groupBy("frame_id").agg(F.count(F.lit(1)).alias("thin"))
+    drops = f.drops.groupBy("frame_id").agg(F.count(F.lit(1)).alias("drops"))
+    out = f.bands
+    for x in (sizes, thin, drops):
+        out = out.join(x, "frame_id", "left")
+    return out.na.fill(0)
+
+
+QUERIES["process_frames"] = _pipeline
