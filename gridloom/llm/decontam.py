@@ -164,7 +164,7 @@ def overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
     out = found.select("doc_id", "n_words", "key").join(marked, "key", "left")
     none = hashlib.sha256(b"").hexdigest()
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return tmp.finish(out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.scratch import Scratch
 
 SLOTS = 1 << 20
-RARE = 200
+RARE = 64
 STAR = 64
 #: Sets from this size on are also joined by single words among themselves, and from the next size on only so.
 LONG, LONGER = 256, 320
@@ -64,10 +64,10 @@ def _in(bitmap: Column, h: Column) -> Column:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, pair (whether it is of two words), d1, b, n, cap, doc_id; cap bounds the overlap if the key's words are the first two sets share."""
+    """key, pair (whether it is of two words), id, b, n, cap, doc_id; cap bounds the overlap if the key's words are the first two sets share."""
     first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    each = classes.filter("n >= 4").select("d1", "b", "n", "doc_id", "k", "p", first.alias("f"), F.posexplode("p").alias("i", "x")).filter("i < f")
-    own = ["d1", "b", "n", "doc_id"]
+    each = classes.filter("n >= 4").select("id", "b", "n", "doc_id", "k", "p", first.alias("f"), F.posexplode("p").alias("i", "x")).filter("i < f")
+    own = ["id", "b", "n", "doc_id"]
     short = each.filter(f"n <= {LONGER}")
     rest = F.when(F.col("i") < F.col("k"), F.array(F.lit(None).cast("int"))).otherwise(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0))))
     short = short.select(*own, "i", "x", F.posexplode(rest).alias("j", "y"))
@@ -79,25 +79,24 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _similar(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d1, b of the classes that a pair (x1, xb, y1, yb of two classes) proves to be like an earlier one, by the words of their first lines."""
-    both = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("d1"), F.col("xb").alias("b")), F.struct(F.col("y1").alias("d1"), F.col("yb").alias("b")))).alias("c")).select("c.*").distinct()
-    wanted = tmp.save(classes.select("d1", "b", "doc_id", "th", "ln").join(both, ["d1", "b"], "left_semi"), "wanted")
+    """id of the classes that a pair (x, y: ids) proves to be like an earlier one, by the words of their first lines."""
+    both = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = tmp.save(classes.select("id", "doc_id", "th", "ln").join(both, "id", "left_semi"), "wanted")
     ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
     near = docs.withColumn("_th", F.xxhash64("text")).filter(_in(ids, F.xxhash64("doc_id", "_th"))).select("doc_id", "text")
     own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
     words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
-    words = tmp.save(words.select("d1", "b", F.struct("doc_id", "th", "ln").alias("at"), tokens(F.col("line")).alias("words")).dropDuplicates(["d1", "b"]), "words")
-    left = words.select(F.col("d1").alias("x1"), F.col("b").alias("xb"), F.col("at").alias("x_at"), F.col("words").alias("wx"))
-    right = words.select(F.col("d1").alias("y1"), F.col("b").alias("yb"), F.col("at").alias("y_at"), F.col("words").alias("wy"))
-    joined = pairs.join(left, ["x1", "xb"]).join(right, ["y1", "yb"])
+    words = tmp.save(words.select("id", F.struct("doc_id", "th", "ln").alias("at"), tokens(F.col("line")).alias("words")).dropDuplicates(["id"]), "words")
+    left = words.select(F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("words").alias("wx"))
+    right = words.select(F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("words").alias("wy"))
+    joined = pairs.join(left, "x").join(right, "y")
     shared = F.size(F.array_intersect("wx", "wy"))
     like = joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared))
-    later = F.col("x_at") > F.col("y_at")
-    return like.select(F.when(later, F.col("x1")).otherwise(F.col("y1")).alias("d1"), F.when(later, F.col("xb")).otherwise(F.col("yb")).alias("b")).distinct()
+    return like.select(F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
 
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of different rows under a key that length, position and sketch do not rule out, the lesser d1 first."""
+    """Pairs x < y of ids under a key that length, position and sketch do not rule out."""
     x, y = x.alias("x"), y.alias("y")
     total = F.col("x.n") + F.col("y.n")
     close = (
@@ -105,8 +104,8 @@ def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
         & (9 * F.least("x.cap", "y.cap") >= 4 * total)
         & (9 * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= total)
     )
-    made = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.struct("x.d1", "x.b") < F.struct("y.d1", "y.b")) & close)
-    return made.select(F.col("x.d1").alias("x1"), F.col("x.b").alias("xb"), F.col("y.d1").alias("y1"), F.col("y.b").alias("yb"))
+    made = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close)
+    return made.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -135,26 +134,27 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", rare.alias("k"), F.transform("p", lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("p")), "lines")
     first = F.min(F.struct("doc_id", "th", "ln")).alias("first")
     classes = made.groupBy("d1", "b").agg(first, F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "k", "p")])
-    classes = tmp.save(classes.select("d1", "b", "first.*", "rows", "n", "k", "p"), "classes")
+    # a number for each class, kept by being written, so that keys and pairs are short
+    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows", "n", "k", "p"), "classes")
 
     keyed = _keys(classes)
     singles, doubles = keyed.filter("NOT pair").drop("pair", "doc_id"), keyed.filter("pair").drop("pair")
     by_key = Window.partitionBy("key")
     doubles = doubles.withColumn("members", F.count(F.lit(1)).over(by_key)).filter("members > 1")
-    doubles = tmp.save(doubles.withColumn("earliest", F.min(F.struct("doc_id", "d1", "b", "n", "cap")).over(by_key)), "doubles")
+    doubles = tmp.save(doubles.withColumn("earliest", F.min(F.struct("doc_id", "id", "b", "n", "cap")).over(by_key)), "doubles")
     few, many = doubles.filter(f"members <= {STAR}"), doubles.filter(f"members > {STAR}")
     centre = many.select("key", "earliest.*").distinct()
     star = _joined(many, centre).unionByName(_joined(centre, many))
     near = tmp.save(_joined(singles, singles).unionByName(_joined(few, few)).unionByName(star).distinct(), "pairs")
     gone = tmp.save(_similar(tmp, docs, classes, near), "gone")
-    still = many.join(gone, ["d1", "b"], "left_anti")
-    more = _joined(still, many).unionByName(_joined(many, still)).distinct().join(near, ["x1", "xb", "y1", "yb"], "left_anti")
+    still = many.join(gone, "id", "left_anti")
+    more = _joined(still, many).unionByName(_joined(many, still)).distinct().join(near, ["x", "y"], "left_anti")
     gone = tmp.save(gone.unionByName(_similar(tmp, docs, classes, tmp.save(more, "pairs"))).distinct(), "gone")
 
     gone = gone.withColumn("gone", F.lit(True))
-    touched = classes.join(gone, ["d1", "b"], "left").filter("gone OR rows > 1").select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    touched = classes.join(gone, "id", "left").filter("gone OR rows > 1").select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     lost = made.select("d1", "b", "doc_id", "th", "ln").join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("ln")).alias("lines"))
+    return tmp.finish(lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("ln")).alias("lines")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     out = found.join(cls, ["n_shingles", "f1", "f2"], "left")
     # rows that share a doc_id fall in one component
     root = F.coalesce(F.col("component"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, root.isNull()).alias("kept"))
+    return tmp.finish(out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, root.isNull()).alias("kept")))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

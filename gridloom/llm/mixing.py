@@ -80,7 +80,7 @@ def copies(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
     up = F.floor(rate * F.col("j") + offset) - F.floor(rate * (F.col("j") - 1) + offset)
-    return at.withColumn("copies", F.least(up, F.lit(MOST)).cast("long"))
+    return tmp.finish(at.withColumn("copies", F.least(up, F.lit(MOST)).cast("long")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Writes df and returns the written table.
@@ -42,9 +43,21 @@ class Scratch:
         self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._paths.append(path)
+        return out
+
+    def finish(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """Writes a result, deletes all else that was saved, and returns the written result."""
+        out = self.save(df, label)
+        for path in self._paths[:-1]:
+            self._delete(path)
+        self._paths = self._paths[-1:]
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of save() that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

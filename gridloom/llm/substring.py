@@ -139,7 +139,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
     first = found.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("d1", "d2", "first")
     others = found.join(first, ["d1", "d2"]).filter("doc > first").select("doc", F.struct("d1", "d2").alias("u")).distinct()
-    others = others.groupBy("doc").agg(F.collect_list("u").alias("others"))
+    others = tmp.finish(others.groupBy("doc").agg(F.collect_list("u").alias("others")))
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(others, "doc", "left")
     return rows.select("doc_id", "text", "others").mapInArrow(_cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
 
