@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.scratch import Scratch
 
 SLOTS = 1 << 20
-RARE = 64
+RARE = 2000
 STAR = 64
 #: Sets from this size on are also joined by single words among themselves, and from the next size on only so.
 LONG, LONGER = 256, 320
