@@ -193,3 +193,62 @@ def velocity_error(estimates: DataFrame, truth: DataFrame, reach: float = 2.0) -
     v2 = (F.col("e.vx") - F.col("t.vx")) * (F.col("e.vx") - F.col("t.vx")) + (F.col("e.vy") - F.col("t.vy")) * (F.col("e.vy") - F.col("t.vy"))
     near = e.join(t, F.col("e.frame_id") == F.col("t.frame_id")).where(d2 <= reach * reach).groupBy("e.frame_id", "e.track_id").agg(F.min(F.struct(d2.alias("d"), F.col("t.track_id").alias("i"), v2.alias("v"))).alias("m"))
     return near.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tracks"), F.sqrt(F.avg("m.v")).alias("rmse"))
+
+
+def state(pose: DataFrame, tracks: DataFrame, bounds: DataFrame, key: str, time: str) -> DataFrame:
+    """One row for each key with the last pose, tracks and bounds (columns value and time), null where there is none."""
+    out = None
+    for name, table in (("pose", pose), ("tracks", tracks), ("bounds", bounds)):
+        last = table.groupBy(key).agg(F.max_by("value", time).alias(name), F.max(time).alias(f"{name}_at"))
+        out = last if out is None else out.join(last, key, "full")
+    return out
+
+
+def export_csv(summary: DataFrame, path: str) -> None:
+    """A CSV file with a header whose nulls are empty."""
+    summary.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def shares(counts: DataFrame, *columns: str) -> DataFrame:
+    """counts with the percentage of each column in the sum of all of them; 0 where there is nothing."""
+    total = sum((F.col(c) for c in columns), F.lit(0))
+    return counts.withColumns({f"{c}_percent": F.coalesce(F.try_divide(100.0 * F.col(c), total), F.lit(0.0)) for c in columns})
+
+
+#: Length and width that the viewer draws for a class without extent, metres.
+FOOTPRINTS = {"vehicle": (4.2, 1.8), "person": (0.6, 0.6), "cycle": (1.8, 0.6), "other": (1.0, 1.0)}
+
+
+def footprint(length: Column, width: Column, name: Column) -> tuple[Column, Column]:
+    """Length and width, by class where they are missing or not positive."""
+    out = []
+    for k, given in enumerate((length, width)):
+        usual = F.lit(FOOTPRINTS["other"][k])
+        for group, size in FOOTPRINTS.items():
+            usual = F.when(class_group(name) == group, size[k]).otherwise(usual)
+        out.append(F.when(given > 0, given).otherwise(usual))
+    return out[0], out[1]
+
+
+def detections(rows: DataFrame, column: str = "v") -> DataFrame:
+    """Boxes from arrays of x, y, z, length, width, height, yaw and, if they are there, vx, vy; shorter ones go.
+
+    Boxes need a positive extent and a place within 60 m ahead and behind and 40 m aside.
+    """
+    names = ("x", "y", "z", "length", "width", "height", "yaw", "vx", "vy")
+    d = rows.where(F.size(column) >= 7).select("frame_id", *[F.try_element_at(column, F.lit(i + 1)).cast("double").alias(n) for i, n in enumerate(names)])
+    return d.where((F.least("length", "width", "height") > 0) & F.col("x").between(-60, 60) & F.col("y").between(-40, 40))
+
+
+def labels_of_pixels(points: DataFrame, pixels: DataFrame) -> DataFrame:
+    """points (with u, v) with the label of their pixel; by height where they have none."""
+    from gridloom.operators.ground import height_label
+
+    seen = pixels.select("frame_id", "v", "u", F.col("label").alias("_label"))
+    return points.join(seen, ["frame_id", "v", "u"], "left").withColumn("label", F.coalesce("_label", height_label(F.col("z_mm")))).drop("_label")
+
+
+def retained(memory: DataFrame, most: int = 15_000) -> DataFrame:
+    """The cells of each sensor's terrain memory that stay: the most recently first seen (first, kx, ky)."""
+    order = Window.partitionBy("sensor_id").orderBy(F.desc("first"), "kx", "ky")
+    return memory.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")

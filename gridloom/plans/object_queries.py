@@ -215,3 +215,38 @@ def _pipeline(s, d):
 
 
 QUERIES["process_frames"] = _pipeline
+
+
+def _state(s, d):
+    e = _events(s, d)
+    part = lambda kind: e.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("at"), F.round(F.col("value") * 1e6).cast("bigint").alias("value"))
+    return tm.state(part("view"), part("click"), part("error"), "user_id", "at")
+
+
+def _pixels(s, d):
+    p = ground.spherical(points(s, d).withColumns({"x_mm": F.col("x_mm") * 7, "y_mm": F.col("y_mm") * 7}))
+    seen = ground.range_image(points(s, d).withColumns({"x_mm": F.col("x_mm") * 7, "y_mm": F.col("y_mm") * 7})).where("u % 3 = 0").select("frame_id", "v", "u", F.lit(3).alias("label"))
+    return tm.labels_of_pixels(p, seen).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("points"))
+
+
+def _arrays(s, d):
+    i = F.col("event_id")
+    v = F.array(*[c.cast("double") for c in (i % 140 - 70, i % 90 - 45, F.lit(0), i % 5, F.lit(2), F.lit(1), F.lit(0))])
+    return tm.detections(_events(s, d).select((i % 10).alias("frame_id"), F.when(i % 7 == 0, F.slice(v, 1, 5)).otherwise(v).alias("v"))).groupBy("frame_id").agg(F.count(F.lit(1)).alias("boxes"), F.sum("x").alias("sum_x"))
+
+
+QUERIES |= {
+    "merged_state": _state,
+    "pixel_labels": _pixels,
+    "detections_from_arrays": _arrays,
+    "band_percent": lambda s, d: tm.shares(cells.band_counts(_leaves(s, d)), "safe", "caution", "lethal").select("frame_id", _micro("safe_percent"), _micro("caution_percent"), _micro("lethal_percent")),
+}
+ORACLE |= {
+    "merged_state": """WITH e AS (SELECT user_id, event_type, event_id AS k, round(value * 1e6)::BIGINT AS v FROM events WHERE event_type IN ('view', 'click', 'error'))
+      SELECT user_id, arg_max(v, k) FILTER (event_type = 'view') AS pose, max(k) FILTER (event_type = 'view') AS pose_at, arg_max(v, k) FILTER (event_type = 'click') AS tracks, max(k) FILTER (event_type = 'click') AS tracks_at,
+      arg_max(v, k) FILTER (event_type = 'error') AS bounds, max(k) FILTER (event_type = 'error') AS bounds_at FROM e GROUP BY 1""",
+    "detections_from_arrays": """SELECT event_id % 10 AS frame_id, count(*) AS boxes, sum((event_id % 140 - 70)::DOUBLE) AS sum_x FROM events WHERE event_id % 7 <> 0 AND event_id % 5 > 0
+      AND event_id % 140 - 70 BETWEEN -60 AND 60 AND event_id % 90 - 45 BETWEEN -40 AND 40 GROUP BY 1""",
+    "band_percent": f"""{_SUMMED} SELECT frame_id, round(100.0::DOUBLE * count(*) FILTER (cost <= 50) / count(*) * 1e6)::BIGINT AS safe_percent, round(100.0::DOUBLE * count(*) FILTER (cost > 50 AND cost <= 180) / count(*) * 1e6)::BIGINT AS caution_percent,
+      round(100.0::DOUBLE * count(*) FILTER (cost > 180) / count(*) * 1e6)::BIGINT AS lethal_percent FROM ev GROUP BY 1""",
+}

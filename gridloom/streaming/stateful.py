@@ -98,3 +98,8 @@ class Playback:
     def pause_s(self, fps: float, spent_s: float) -> float:
         """How long to wait after a frame."""
         return max(0.05, 1 / fps / self.speed - spent_s)
+
+
+def live(spark, per_second: int = 4) -> DataFrame:
+    """A stream of frame numbers at a steady rate, to be joined with sources.sweeps.procedural or a file's frames."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("frame_id"), F.col("timestamp").alias("ts"))
