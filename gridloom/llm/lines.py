@@ -78,21 +78,41 @@ def _keys(classes: DataFrame) -> DataFrame:
     return short.unionByName(long)
 
 
+def _directed(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """later, earlier (ids), keys: each pair x, y once, by the place of the classes' first lines, with how many keys it shares."""
+    at = F.struct("doc_id", "th", "ln")
+    once = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("keys"))
+    both = once.join(classes.select(F.col("id").alias("x"), at.alias("x_at")), "x").join(classes.select(F.col("id").alias("y"), at.alias("y_at")), "y")
+    behind = F.col("x_at") > F.col("y_at")
+    return both.select(F.when(behind, F.col("x")).otherwise(F.col("y")).alias("later"), F.when(behind, F.col("y")).otherwise(F.col("x")).alias("earlier"), "keys")
+
+
 def _similar(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id of the classes that a pair (x, y: ids) proves to be like an earlier one, by the words of their first lines."""
-    both = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    """id of the later classes that are like an earlier one, by the words (as 64-bit hashes) of their first lines.
+
+    One earlier one is enough: each class first meets the one with which it shares most keys, and those that this does not
+    settle meet all others.
+    """
+    both = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct()
     wanted = tmp.save(classes.select("id", "doc_id", "th", "ln").join(both, "id", "left_semi"), "wanted")
     ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
     near = docs.withColumn("_th", F.xxhash64("text")).filter(_in(ids, F.xxhash64("doc_id", "_th"))).select("doc_id", "text")
     own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
     words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
-    words = tmp.save(words.select("id", F.struct("doc_id", "th", "ln").alias("at"), tokens(F.col("line")).alias("words")).dropDuplicates(["id"]), "words")
-    left = words.select(F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("words").alias("wx"))
-    right = words.select(F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("words").alias("wy"))
-    joined = pairs.join(left, "x").join(right, "y")
-    shared = F.size(F.array_intersect("wx", "wy"))
-    like = joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared))
-    return like.select(F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+    words = words.select("id", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["id"])
+    words = tmp.save(words, "words")
+
+    def proven(some: DataFrame) -> DataFrame:
+        left = words.select(F.col("id").alias("later"), F.col("words").alias("wx"))
+        right = words.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
+        joined = some.join(left, "later").join(right, "earlier")
+        shared = F.size(F.array_intersect("wx", "wy"))
+        return joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared)).select(F.col("later").alias("id")).distinct()
+
+    best = pairs.groupBy("later").agg(F.max_by("earlier", "keys").alias("earlier"))
+    first = tmp.save(proven(best), "proven")
+    rest = pairs.select("later", "earlier").join(first.select(F.col("id").alias("later")), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    return first.unionByName(proven(tmp.save(rest, "rest")))
 
 
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -145,10 +165,10 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     few, many = doubles.filter(f"members <= {STAR}"), doubles.filter(f"members > {STAR}")
     centre = many.select("key", "earliest.*").distinct()
     star = _joined(many, centre).unionByName(_joined(centre, many))
-    near = tmp.save(_joined(singles, singles).unionByName(_joined(few, few)).unionByName(star).distinct(), "pairs")
+    near = tmp.save(_directed(classes, _joined(singles, singles).unionByName(_joined(few, few)).unionByName(star)), "pairs")
     gone = tmp.save(_similar(tmp, docs, classes, near), "gone")
     still = many.join(gone, "id", "left_anti")
-    more = _joined(still, many).unionByName(_joined(many, still)).distinct().join(near, ["x", "y"], "left_anti")
+    more = _directed(classes, _joined(still, many).unionByName(_joined(many, still))).join(near, ["later", "earlier"], "left_anti")
     gone = tmp.save(gone.unionByName(_similar(tmp, docs, classes, tmp.save(more, "pairs"))).distinct(), "gone")
 
     gone = gone.withColumn("gone", F.lit(True))
