@@ -1,8 +1,13 @@
-"""Substring dedup by hashing lines and the sentence-aligned pieces of lines.
+"""Substring dedup by hashing lines, the sentence-aligned pieces of lines, and every run of LONG words that is shared.
 
 A unit is a line of at least LEAST words, and within a line what starts at a sentence and runs over as many sentences as
 it takes to LEAST words (for shorter sentences also what ends there), so that a passage is found wherever it stands in a
-line. Units are normalised to their words, lower-cased, without punctuation or spacing; their 128-bit digests are grouped
+line. A window is LONG consecutive words, wherever they start and whatever lines they cross. To hash only the windows that
+can be shared, each document first emits seeds: of each LONG - SEED + 1 consecutive runs of SEED words that with the least
+hash, so that two equal windows have an equal seed. Windows around the seeds that two documents have are then
+grouped like units, so that a shared passage of LONG words or more goes from its first to its last word.
+
+Units and windows are normalised to their words, lower-cased, without punctuation or spacing; their 128-bit digests are grouped
 globally. The document with the least doc_id keeps a unit, in its first place, and it is removed everywhere else. What is
 removed is reported as ranges of the original text.
 """
@@ -20,6 +25,7 @@ from gridloom.llm import kernel
 from gridloom.llm.scratch import Scratch, small_batches
 
 LEAST = 8
+LONG, SEED = 50, 25
 _SENTENCE, _LINE = np.zeros(256, bool), np.zeros(256, bool)
 _SENTENCE[[10, 13, 33, 46, 63]] = _LINE[[10]] = True
 _LAST = (1 << 63) - 1
@@ -61,6 +67,70 @@ def units(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, d: np.ndarray) -> tu
     return order // (len(s) + 1), order % (len(s) + 1)
 
 
+def _windows(h: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Starts of the runs of k words that lie within a document."""
+    return np.flatnonzero(d[k - 1 :] == d[: len(d) - k + 1]) if len(h) >= k else np.zeros(0, np.int64)
+
+
+def _slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each k consecutive values, by doubling."""
+    m, n = 1, len(x) - k + 1
+    while 2 * m <= k:
+        x, m = pick(x[: len(x) - m], x[m:]), 2 * m
+    return pick(x[:n], x[k - m : k - m + n])
+
+
+def seeds(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of runs of SEED words, one at least in every run of LONG words of a document."""
+    w = LONG - SEED + 1
+    whole = _windows(h, d, LONG)
+    if not len(whole):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    a = np.arange(len(h) - SEED + 1)
+    x = _digest(h, a, a + SEED)[0]
+    least = np.zeros(len(x) + w - 1, np.uint64)  # where no window starts, 0, which no run is picked by
+    least[w - 1 + whole] = _slide(x, w, np.minimum)[whole]
+    at = np.flatnonzero((_slide(least, w, np.maximum) == x) & (x > 0))
+    return x[at], at
+
+
+def _distinct(d1: np.ndarray, d2: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((d2, d1, own))
+    d1, d2, own = d1[order], d2[order], own[order]
+    new = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (own[1:] != own[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64)), pa.array(own[new])], ["d1", "d2", "doc"])
+
+
+def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, at = kernel.utf8(batch.column(1))
+        ids = np.asarray(batch.column(0).fill_null(_LAST))
+        for i, _, _, _, h, d in kernel.words(raw, at, kernel.ALNUM):
+            x, a = seeds(h, d)
+            if len(x):
+                out = _distinct(x, np.zeros(len(x), np.uint64), ids[i + d[a]])
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(2)], ["seed", "doc"])
+
+
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that hold one of a document's seeds."""
+    for batch in batches:
+        for doc, text, own in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            _, _, _, _, h, d = next(kernel.words(raw, np.array([0, len(raw)]), kernel.ALNUM))
+            if len(h) < LONG:
+                continue
+            a = np.arange(len(h) - SEED + 1)
+            hit = np.flatnonzero(np.isin(_digest(h, a, a + SEED)[0].view(np.int64), np.asarray(own.values)))
+            n = len(h) - LONG + 1
+            near = np.zeros(n + 1, np.int64)
+            np.add.at(near, np.minimum(np.maximum(hit - (LONG - SEED), 0), n), 1)
+            np.add.at(near, np.minimum(hit + 1, n), -1)
+            a = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            if len(a):
+                yield _distinct(*_digest(h, a, a + LONG), np.full(len(a), doc.as_py(), np.int64))
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = kernel.utf8(batch.column(1))
@@ -69,25 +139,40 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = units(raw, int(at[i]), int(at[j]), s, d)
             if len(a):
                 d1, d2 = _digest(h, a, b)
-                own = ids[i + d[a]]
-                order = np.lexsort((d2, d1, own))
-                d1, d2, own = d1[order], d2[order], own[order]
-                new = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (own[1:] != own[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64)), pa.array(own[new])], ["d1", "d2", "doc"])
+                yield _distinct(d1, d2, ids[i + d[a]])
+
+
+def _long(h: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of a document's windows that are in windows (first hashes), or that repeat an earlier one of its own.
+
+    A repeat that overlaps its first place starts behind it, so that the first place stays whole.
+    """
+    if len(h) < LONG:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.arange(len(h) - LONG + 1)
+    key = _digest(h, a, a + LONG)[0].view(np.int64)
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    first = first[of]
+    other = np.isin(key, windows)
+    at = np.flatnonzero(other | (first < a))
+    return np.where(other, a, np.maximum(a, first + LONG))[at], at + LONG
 
 
-def cut(text: str, others: set[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the units in others and without its own repeats, and what was removed, in code points."""
+def cut(text: str, others: set[tuple[int, int]], windows: np.ndarray | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the units in others, the windows in windows and its own repeats, and what was removed, in code points."""
     data = text.encode()
     raw = np.frombuffer(data, np.uint8)
     _, _, s, e, h, d = next(kernel.words(raw, np.array([0, len(raw)]), kernel.ALNUM))
     a, b = units(raw, 0, len(raw), s, d)
-    if not len(a):
+    x, y = _long(h, np.zeros(0, np.int64) if windows is None else windows)
+    if not len(a) and not len(x):
         return text, []
     d1, d2 = _digest(h, a, b)
     seen: set = set()
     gone = np.zeros(len(s) + 1, np.int64)
-    any_gone = False
+    np.add.at(gone, x, 1)
+    np.add.at(gone, y, -1)
+    any_gone = len(x) > 0
     for x, y, key in zip(a, b, zip(d1.view(np.int64).tolist(), d2.view(np.int64).tolist(), strict=True), strict=True):
         if key in others or key in seen:
             gone[x] += 1
@@ -117,9 +202,10 @@ def cut(text: str, others: set[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, removed = [], []
-        for text, others in zip(batch.column(1), batch.column(2), strict=True):
+        for text, others, windows in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             t, o = text.as_py(), others.as_py()
-            new, ranges = (t, []) if t is None else cut(t, {(x["d1"], x["d2"]) for x in o or ()})
+            own = np.asarray(windows.values) if windows.is_valid else None
+            new, ranges = (t, []) if t is None else cut(t, {(x["d1"], x["d2"]) for x in o or ()}, own)
             texts.append(new)
             removed.append([{"start": x, "end": y} for x, y in ranges])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -136,12 +222,23 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     tmp = Scratch(spark, "substring")
     docs = small_batches(docs)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
+    sown = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit_seeds, "seed bigint, doc bigint"), "seeds")
+    shared = sown.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("seed")
+    near = tmp.save(sown.join(shared, "seed").groupBy("doc").agg(F.collect_set("seed").alias("seeds")), "near")
+    tmp.drop(sown)
+    long = tmp.save(keyed.join(near, "doc").select("doc", "text", "seeds").mapInArrow(_emit_windows, "d1 bigint, d2 bigint, doc bigint"), "windows")
+    tmp.drop(near)
     found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
-    first = found.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("d1", "d2", "first")
-    others = found.join(first, ["d1", "d2"]).filter("doc > first").select("doc", F.struct("d1", "d2").alias("u")).distinct()
-    others = tmp.finish(others.groupBy("doc").agg(F.collect_list("u").alias("others")))
+    taken = []
+    for kind, of in ((F.struct("d1", "d2"), found), (F.col("d1"), long)):
+        first = of.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("d1", "d2", "first")
+        others = of.join(first, ["d1", "d2"]).filter("doc > first").select("doc", kind.alias("u")).distinct()
+        taken.append(tmp.save(others.groupBy("doc").agg(F.collect_list("u").alias("u")), "taken"))
+    units, windows = (t.withColumnRenamed("u", name) for t, name in zip(taken, ("others", "windows"), strict=True))
+    others = tmp.finish(units.join(windows, "doc", "full"))
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(others, "doc", "left")
-    return rows.select("doc_id", "text", "others").mapInArrow(_cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
+    return rows.select("doc_id", "text", "others", "windows").mapInArrow(_cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

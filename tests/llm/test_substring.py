@@ -53,3 +53,44 @@ def test_nothing_long_repeats(spark, documents):
 def test_awkward(spark, awkward):
     assert substring.dedup(spark, awkward).count() == awkward.count()
     assert substring.dedup(spark, awkward.limit(0)).count() == 0
+
+
+def test_passage_without_sentence_ends(spark):
+    """A passage of over 50 words goes whole, though it starts and ends inside sentences and has none of its own."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = words("p", 60)
+    docs = [
+        (1, f"{words('a', 30)} {passage} {words('b', 30)}."),
+        (2, f"{words('c', 12)} {passage.upper()} {words('d', 12)}."),
+        (3, f"{words('e', 9)}\n{passage[: passage.index(' p55')].replace(' p30', chr(10) + 'p30')}, {words('f', 9)}"),
+        (4, f"{words('g', 20)} {passage[: passage.index(' p49')]} {words('h', 20)}"),
+        (5, f"{words('i', 20)} {words('q', 70)} {words('j', 20)} {words('q', 70)} {words('k', 20)}"),
+        (6, " ".join(["again"] * 130)),
+        (7, f"{words('l', 60)} {passage[: passage.index(' p55')]}"),
+        (None, passage[passage.index("p8") :]),
+    ]
+    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert out[1].text == docs[0][1] and out[4].text == docs[3][1]
+    assert out[2].text == f"{words('c', 12)} {words('d', 12)}."
+    assert out[3].text.split() == f"{words('e', 9)} {words('f', 9)}".split()
+    assert out[5].text == f"{words('i', 20)} {words('q', 70)} {words('j', 20)} {words('k', 20)}"
+    assert out[6].text.split() == ["again"] * 50
+    assert out[7].text == f"{words('l', 60)} " and out[None].text == ""
+
+
+def test_no_shared_window_is_missed(spark, documents):
+    """Against brute force: of an earlier document's windows of 50 words, every word is removed from a later one."""
+    norm = lambda s: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", s.lower()) if w]
+    docs = {r.doc_id: norm(r.text or "") for r in documents.collect()}
+    out = {r.doc_id: r for r in substring.dedup(spark, documents).collect()}
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    at = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    seen: set = set()
+    for d in sorted(docs):
+        gone = sum((norm(texts[d][x.start : x.end]) for x in out[d].removed), [])
+        covered, k = set(), substring.LONG
+        for i, w in enumerate(at(docs[d], k)):
+            if w in seen:
+                covered.update(range(i, i + k))
+        assert len(gone) >= len(covered), d
+        seen.update(at(docs[d], k))
