@@ -2,10 +2,12 @@
 
 A unit is a line of at least LEAST words, and within a line what starts at a sentence and runs over as many sentences as
 it takes to LEAST words (for shorter sentences also what ends there), so that a passage is found wherever it stands in a
-line. A window is LONG consecutive words, wherever they start and whatever lines they cross. To hash only the windows that
+line. Lines under LEAST words are joined with the lines behind them, and with those before them, to runs of as many lines as
+it takes. A window is LONG consecutive words, wherever they start and whatever lines they cross. To hash only the windows that
 can be shared, each document first emits seeds: of each LONG - SEED + 1 consecutive runs of SEED words that with the least
 hash, so that two equal windows have an equal seed. Windows around the seeds that two documents have are then
-grouped like units, so that a shared passage of LONG words or more goes from its first to its last word.
+grouped like units, so that a shared passage of LONG words or more goes from its first to its last word. A document of LONG
+words or more is a unit as a whole, so that of equal documents only the first needs windows.
 
 Units and windows are normalised to their words, lower-cased, without punctuation or spacing; their 128-bit digests are grouped
 globally. The document with the least doc_id keeps a unit, in its first place, and it is removed everywhere else. What is
@@ -61,8 +63,17 @@ def units(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, d: np.ndarray) -> tu
     behind = np.searchsorted(a, b - LEAST, "right") - 1
     short = (b - a < LEAST) & (behind >= 0) & (of[behind] == of)
     whole = line_end - line >= LEAST
-    starts = np.concatenate([a[ok], a[behind[short]], line[whole]])
-    ends = np.concatenate([b[ahead[ok]], b[short], line_end[whole]])
+    doc = d[line]
+    onto = np.searchsorted(line_end, line + LEAST)  # runs of lines from or up to a short one
+    run = ~whole & (onto < len(line))
+    run[run] = doc[onto[run]] == doc[run]
+    back = np.searchsorted(line, line_end - LEAST, "right") - 1
+    tail = ~whole & (back >= 0) & (doc[back] == doc)
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    last = np.append(first[1:], len(s))
+    long = last - first >= LONG
+    starts = np.concatenate([a[ok], a[behind[short]], line[whole], line[run], line[back[tail]], first[long]])
+    ends = np.concatenate([b[ahead[ok]], b[short], line_end[whole], line_end[onto[run]], line_end[tail], last[long]])
     order = np.unique(starts * (len(s) + 1) + ends)
     return order // (len(s) + 1), order % (len(s) + 1)
 
@@ -108,8 +119,9 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, _, _, _, h, d in kernel.words(raw, at, kernel.ALNUM):
             x, a = seeds(h, d)
             if len(x):
-                out = _distinct(x, np.zeros(len(x), np.uint64), ids[i + d[a]])
-                yield pa.RecordBatch.from_arrays([out.column(0), out.column(2)], ["seed", "doc"])
+                own, start = np.unique(d, return_index=True)
+                text = _digest(h, start, np.append(start[1:], len(h)))[0]
+                yield _distinct(x, text[np.searchsorted(own, d[a])], ids[i + d[a]]).rename_columns(["seed", "same", "doc"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +180,17 @@ def cut(text: str, others: set[tuple[int, int]], windows: np.ndarray | None = No
     if not len(a) and not len(x):
         return text, []
     d1, d2 = _digest(h, a, b)
-    seen: set = set()
+    seen: dict[tuple[int, int], int] = {}
     gone = np.zeros(len(s) + 1, np.int64)
     np.add.at(gone, x, 1)
     np.add.at(gone, y, -1)
     any_gone = len(x) > 0
     for x, y, key in zip(a, b, zip(d1.view(np.int64).tolist(), d2.view(np.int64).tolist(), strict=True), strict=True):
         if key in others or key in seen:
-            gone[x] += 1
+            gone[x if key in others else max(x, seen[key])] += 1  # a repeat that overlaps its first place starts behind it
             gone[y] -= 1
             any_gone = True
-        seen.add(key)
+        seen.setdefault(key, y)
     if not any_gone:
         return text, []
     gone = np.cumsum(gone[:-1]) > 0
@@ -223,20 +235,23 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "substring")
     docs = small_batches(docs)
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
-    sown = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit_seeds, "seed bigint, doc bigint"), "seeds")
-    shared = sown.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("seed")
-    near = tmp.save(sown.join(shared, "seed").groupBy("doc").agg(F.collect_set("seed").alias("seeds")), "near")
+    sown = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit_seeds, "seed bigint, same bigint, doc bigint"), "seeds")
+    shared = sown.groupBy("seed").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a < b").select("seed")
+    near = sown.join(shared, "seed").groupBy("same").agg(F.min("doc").alias("doc"), F.collect_set("seed").alias("seeds"))
+    near = tmp.save(near.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds")), "near")
     tmp.drop(sown)
     long = tmp.save(keyed.join(near, "doc").select("doc", "text", "seeds").mapInArrow(_emit_windows, "d1 bigint, d2 bigint, doc bigint"), "windows")
     tmp.drop(near)
-    found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
-    taken = []
-    for kind, of in ((F.struct("d1", "d2"), found), (F.col("d1"), long)):
+
+    def late(of: DataFrame) -> DataFrame:
         first = of.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("d1", "d2", "first")
-        others = of.join(first, ["d1", "d2"]).filter("doc > first").select("doc", kind.alias("u")).distinct()
-        taken.append(tmp.save(others.groupBy("doc").agg(F.collect_list("u").alias("u")), "taken"))
-    units, windows = (t.withColumnRenamed("u", name) for t, name in zip(taken, ("others", "windows"), strict=True))
-    others = tmp.finish(units.join(windows, "doc", "full"))
+        return of.join(first, ["d1", "d2"]).filter("doc > first")
+
+    windows = tmp.save(late(long).groupBy("doc").agg(F.collect_set("d1").alias("windows")), "late")
+    tmp.drop(long)
+    found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
+    others = late(found).select("doc", F.struct("d1", "d2").alias("u")).distinct().groupBy("doc").agg(F.collect_list("u").alias("others"))
+    others = tmp.finish(others.join(windows, "doc", "full"))
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(others, "doc", "left")
     return rows.select("doc_id", "text", "others", "windows").mapInArrow(_cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
 

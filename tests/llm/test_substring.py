@@ -94,3 +94,22 @@ def test_no_shared_window_is_missed(spark, documents):
                 covered.update(range(i, i + k))
         assert len(gone) >= len(covered), d
         seen.update(at(docs[d], k))
+
+
+def test_blocks_of_short_lines(spark):
+    """A block of lines under LEAST words goes as a whole from later documents; a single short line stays."""
+    verse = "Up the hill\nand down\nwe go at dawn\nby night\nwe are home"
+    docs = [
+        (1, f"Some words before.\n{verse}\nAnd some behind."),
+        (2, f"Another start\n{verse}\nanother end"),
+        (3, f"A heading\n{verse.upper()}"),
+        (4, "and down\n\nby night"),
+        (5, "one two\nthree four\n" * 30),
+        (6, f"{verse}\nA line of its own that has more than eight words in it."),
+    ]
+    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert out[1].text == docs[0][1] and out[4].text == docs[3][1]
+    assert out[2].text == "Another start\nanother end"
+    assert out[3].text.strip() == "A heading"
+    assert out[5].text.split() == "one two three four one two three four".split()
+    assert out[6].text == "A line of its own that has more than eight words in it."
