@@ -39,9 +39,9 @@ def _leaves(s, d):
 
 
 def detections(s, d):
-    """Objects that drift, three a frame, for 16 sensors."""
-    e = _events(s, d).select("event_id").where("event_id < 16 * 60")
-    e = e.select((F.col("event_id") % 16).alias("sensor_id"), F.expr("event_id div 16").alias("frame_id")).withColumn("det_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    """Objects that drift, three a frame, of all events: 16 sensors with up to 1000 frames for each 16,000 events."""
+    e = _events(s, d).select("event_id")
+    e = e.select(F.expr("event_id div 16000 * 16 + event_id % 16").alias("sensor_id"), F.expr("event_id % 16000 div 16").alias("frame_id")).withColumn("det_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     f, k, n = F.col("frame_id").cast("double"), F.col("det_id").cast("double"), F.col("sensor_id").cast("double")
     wobble = F.pmod(F.col("frame_id") * 7 + F.col("det_id") * 3 + F.col("sensor_id"), F.lit(5)).cast("double") * 0.01
     return e.select("sensor_id", "frame_id", "det_id", (k * 6 - 5 + f * 0.1 * (k - 1) + n * 0.2 + wobble).alias("x"), (k * 2 + f * 0.05 - wobble).alias("y"), F.lit(4.0).alias("length"), F.lit(1.8).alias("width"), F.lit(1.5).alias("height"), F.lit("vehicle").alias("kind"))
@@ -52,9 +52,10 @@ def _tracks_seen(s, d):
 
 
 def _rmse(s, d):
-    got = track.track(detections(s, d)).where("sensor_id = 0")
-    true = detections(s, d).where("sensor_id = 0").select("frame_id", F.col("det_id").alias("track_id"), "x", "y", ((F.col("det_id") - 1) * 1.0).alias("vx"), F.lit(0.5).alias("vy"))
-    return tm.velocity_error(got, true).select("frame_id", "tracks", _micro("rmse", 1e4))
+    key = F.struct("sensor_id", "frame_id").alias("frame_id")  # a frame of one sensor
+    got = track.track(detections(s, d)).withColumn("frame_id", key)
+    true = detections(s, d).select(key, F.col("det_id").alias("track_id"), "x", "y", ((F.col("det_id") - 1) * 1.0).alias("vx"), F.lit(0.5).alias("vy"))
+    return tm.velocity_error(got, true).select("frame_id.sensor_id", "frame_id.frame_id", "tracks", _micro("rmse", 1e4))
 
 
 def _terrain(s, d):
@@ -83,9 +84,10 @@ def _degraded(s, d):
 
 
 def _boxes(s, d):
-    e = _events(s, d).where("event_id < 2000")
+    """A hundred boxes a frame, of all events: 20 frames for each 2000."""
+    e = _events(s, d)
     i = F.col("event_id")
-    return e.select((i % 20).alias("frame_id"), i.alias("box_id"), ((i * 37 % 100) / 10.0).alias("x"), ((i * 53 % 100) / 10.0).alias("y"), (3 + i % 3).cast("double").alias("length"), (1.5 + (i % 2) * 0.5).alias("width"), ((i % 8) * 0.4).alias("yaw"), ((i * 7919) % 10_007 / 10_007.0).alias("score"), (i % 3).cast("int").alias("class"))
+    return e.select(F.expr("event_id div 2000 * 20 + event_id % 20").alias("frame_id"), i.alias("box_id"), ((i * 37 % 100) / 10.0).alias("x"), ((i * 53 % 100) / 10.0).alias("y"), (3 + i % 3).cast("double").alias("length"), (1.5 + (i % 2) * 0.5).alias("width"), ((i % 8) * 0.4).alias("yaw"), ((i * 7919) % 10_007 / 10_007.0).alias("score"), (i % 3).cast("int").alias("class"))
 
 
 def _recording(s, d):
@@ -110,6 +112,7 @@ QUERIES = {
     "porosity": lambda s, d: cluster.porosity(points(s, d).withColumn("label", F.expr("(x_mm + 8000) div 1000 * 8 + (y_mm + 4000) div 1000"))),
     "bev_nms": lambda s, d: cluster.suppress(_boxes(s, d)).select("frame_id", "class", "box_id"),
     "pillar_stats": lambda s, d: cluster.pillars(points(s, d), 400, 51_200, 5, 150).select(*_PILLAR, _micro("mean_x", 10), _micro("mean_z", 10), (F.col("from_x") * 2).cast("bigint").alias("from_x2")),
+    "pillar_stats_full": lambda s, d: cluster.pillars(points(s, d)).select(*_PILLAR, _micro("mean_x", 10), _micro("mean_z", 10), (F.col("from_x") * 2).cast("bigint").alias("from_x2")),
     "track_step": _tracks_seen,
     "velocity_rmse": _rmse,
     "terrain_blend": _terrain,
