@@ -71,6 +71,7 @@ QUERIES = {
     "vegetation_scale": lambda s, d: _counts(spatial.vegetation(_leaves(s, d), _labels(s, d))),
     "trench_3x3_median": lambda s, d: spatial.local_drops(_coarse_means(s, d)).select("frame_id", "gx", "gy", "z_um", F.round(F.col("baseline") * 2).cast("bigint").alias("baseline2"), F.round(F.col("drop") * 2).cast("bigint").alias("drop2")),
     "point_cost_containment": lambda s, d: _counts(spatial.costs_of_points(_leaves(s, d), points(s, d).where("point_idx % 401 = 0"))),
+    "point_cost_containment_full": lambda s, d: _counts(spatial.costs_of_points(_leaves(s, d), points(s, d))),
     "excluded_points_grid": lambda s, d: cells.band_counts(cells.evaluate(cells.leaves(pt.outside_boxes(points(s, d), boxes(s, d))))),
 }
 
