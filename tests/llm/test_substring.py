@@ -87,12 +87,14 @@ def test_no_shared_window_is_missed(spark, documents):
     at = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
     seen: set = set()
     for d in sorted(docs):
-        gone = sum((norm(texts[d][x.start : x.end]) for x in out[d].removed), [])
+        places = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", texts[d] or ""))
+        assert len(places) == len(docs[d])
+        gone = {i for i, m in enumerate(places) if any(x.start <= m.start() and m.end() <= x.end for x in out[d].removed)}
         covered, k = set(), substring.LONG
         for i, w in enumerate(at(docs[d], k)):
             if w in seen:
                 covered.update(range(i, i + k))
-        assert len(gone) >= len(covered), d
+        assert covered <= gone, d
         seen.update(at(docs[d], k))
 
 
