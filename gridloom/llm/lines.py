@@ -2,33 +2,44 @@
 
 A line is the set of its lower-cased words. Words are ordered by rarity, so that two sets whose Jaccard similarity reaches
 0.8 must share a word among the first few of each (the prefix). Rarity is counted over the whole corpus in a table of
-SLOTS counters that words are hashed to; the order is the same for all lines, which is all that exactness asks of it. Where
-the shared word is not rare, its counter over RARE, the pair must also share a second one of a prefix that is one longer,
-so the join key is the pair of words and no list of lines under a key grows with the corpus for being common. Under a key,
-lengths, positions and 64-bit parity sketches of the sets rule out most pairs, and the rest are verified on the words
-themselves. Equal sets are one class from the start. Under keys with more than STAR lines, all are first compared with the
-earliest; only those it does not remove are compared with the others.
-
-A line goes if an earlier one (by doc_id, then the text's hash, then line number) is similar, whether that one goes or stays.
+SLOTS counters that words are hashed to, on a scale of logarithms; the order is the same for all lines, which is all that
+exactness asks of it. Where the shared word is not rare, its counter over RARE, the pair must also share a second one of a
+prefix that is one longer, so the join key is the pair of words and no list of lines under a key grows with the corpus for
+being common. Under a key, lengths, positions and parity sketches of the sets (64 bits, 128 from WIDE words on) rule out
+most pairs, and the rest are verified on the words themselves. Equal sets are one class from the start; sets are equal if
+two 64-bit digests of their words' hashes are.
+
+A line goes if an earlier one (by doc_id, then the text's hash, then line number) is similar, whether that one goes or
+stays. One earlier line is enough, so there are two rounds. In the first, classes are keyed by a few pairs of successive
+words of their prefix, and each is compared with its key's earliest class alone, which settles most of what has near copies
+with one pair each. In the second, those that are left are compared with all that come earlier under their prefix keys.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm.scratch import Scratch
 
+#: Counters of words; they are kept as one array in every task.
 SLOTS = 1 << 20
 RARE = 2000
-STAR = 64
+#: Pairs of successive words that the first round keys a class by, from the rarest on and from the first that is not rare on.
+LEADS = 3
+#: Sets over this size have a second sketch.
+WIDE = 48
 #: Sets from this size on are also joined by single words among themselves, and from the next size on only so.
 LONG, LONGER = 256, 320
 #: Bits of the fixed-size filters for keys and documents, as 64-bit words.
 FILTER = 1 << 17
-_HASH = 43
-BLANK = r"[\x20\x09-\x0D]+"
+#: Bits of a word's hash below its count, and steps of a count for each doubling.
+_HASH, _STEPS = 53, 15
+#: Where null ids are in the order of doc_ids, and what is before all.
+_NULL, _NEVER = -(1 << 63) + 1, -(1 << 63)
+BLANK, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def tokens(line: Column) -> Column:
@@ -44,11 +55,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _packed(parts: DataFrame, width: int) -> Column:
     """Scalar array over all of range(width * 1024) from (slot, value); 0 where there is none."""
     every = parts.sparkSession.range(width * 1024).withColumnRenamed("id", "slot")
-    full = every.join(parts, "slot", "left").select("slot", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
-    some = full.groupBy(F.expr("shiftright(slot, 10)").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("xs"))
-    some = some.select("hi", F.transform("xs", lambda x: x["value"]).alias("xs"))
-    one = some.agg(F.array_sort(F.collect_list(F.struct("hi", "xs"))).alias("xs"))
-    return one.select(F.flatten(F.transform("xs", lambda x: x["xs"])).alias("xs")).scalar()
+    full = every.select("slot").join(parts, "slot", "left").select("slot", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
+    some = full.groupBy(F.expr("shiftright(slot, 10)").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("slot", "value")))["value"].alias("xs"))
+    one = some.agg(F.array_sort(F.collect_list(F.struct("hi", "xs")))["xs"].alias("xs"))
+    return one.select(F.flatten("xs").alias("xs")).scalar()
 
 
 def _bitmap(hashes: DataFrame) -> Column:
@@ -63,69 +73,83 @@ def _in(bitmap: Column, h: Column) -> Column:
     return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """key, pair (whether it is of two words), id, b, n, cap, doc_id; cap bounds the overlap if the key's words are the first two sets share."""
+def _keys(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of one rare word, and of two words or one word of a long set: key, id, at, b, c, n, cap.
+
+    cap bounds the overlap if the key's words are the first two sets share, and is negative for classes that are settled; at
+    is the place of doc_id in the order.
+    """
+    own = ["id", "at", "b", "c", "n"]
     first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    each = classes.filter("n >= 4").select("id", "b", "n", "doc_id", "k", "p", first.alias("f"), F.posexplode("p").alias("i", "x")).filter("i < f")
-    own = ["id", "b", "n", "doc_id"]
-    short = each.filter(f"n <= {LONGER}")
-    rest = F.when(F.col("i") < F.col("k"), F.array(F.lit(None).cast("int"))).otherwise(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0))))
-    short = short.select(*own, "i", "x", F.posexplode(rest).alias("j", "y"))
-    alone = F.col("y").isNull()
-    key = F.when(alone, F.xxhash64(F.lit(1), "x")).otherwise(F.xxhash64(F.lit(2), "x", "y"))
-    short = short.select(key.alias("key"), (~alone).alias("pair"), *own, F.when(alone, F.col("n") - F.col("i")).otherwise(F.col("n") - F.col("i") - F.col("j")).alias("cap"))
-    long = each.filter(f"n > {LONG}").select(F.xxhash64(F.lit(3), "x").alias("key"), F.lit(True).alias("pair"), *own, (F.col("n") - F.col("i")).alias("cap"))
-    return short.unionByName(long)
-
-
-def _directed(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """later, earlier (ids), keys: each pair x, y once, by the place of the classes' first lines, with how many keys it shares."""
-    at = F.struct("doc_id", "th", "ln")
-    once = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("keys"))
-    both = once.join(classes.select(F.col("id").alias("x"), at.alias("x_at")), "x").join(classes.select(F.col("id").alias("y"), at.alias("y_at")), "y")
-    behind = F.col("x_at") > F.col("y_at")
-    return both.select(F.when(behind, F.col("x")).otherwise(F.col("y")).alias("later"), F.when(behind, F.col("y")).otherwise(F.col("x")).alias("earlier"), "keys")
-
-
-def _similar(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id of the later classes that are like an earlier one, by the words (as 64-bit hashes) of their first lines.
-
-    One earlier one is enough: each class first meets the one with which it shares most keys, and those that this does not
-    settle meet all others.
+    # said here for all columns, as it would be inferred for some of one side of a join only, and make two exchanges of one
+    known = classes.filter("n >= 4").filter(" AND ".join(f"{c} IS NOT NULL" for c in own))
+    sign = F.when(F.col("gone"), -1).otherwise(1).alias("sign")
+
+    def words(some: DataFrame) -> DataFrame:
+        return some.select(*own, sign, "p", first.alias("f"), F.posexplode("p").alias("i", "x")).filter("i < f")
+
+    def keyed(key: Column, cap: Column) -> list[Column]:
+        return [key.alias("key"), *[F.col(c) for c in own], (F.col("sign") * cap).alias("cap")]
+
+    behind = F.col("n") - F.col("i")
+    single = words(known.filter(f"n <= {LONGER}")).filter("x >= 0").select(*keyed(F.xxhash64(F.lit(1), "x"), behind))
+    two = words(known.filter(f"n <= {LONGER}").filter(F.element_at("p", -1) < 0)).filter("x < 0")
+    two = two.select(*own, "sign", "i", "x", F.posexplode(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0)))).alias("j", "y"))
+    long = words(known.filter(f"n > {LONG}"))
+    return single, two.select(*keyed(F.xxhash64(F.lit(2), "x", "y"), behind - F.col("j"))).unionByName(long.select(*keyed(F.xxhash64(F.lit(3), "x"), behind)))
+
+
+def _leads(classes: DataFrame) -> DataFrame:
+    """The keys of the first round: key, id, at, n.
+
+    They are pairs of successive words, the first LEADS of all and the first LEADS that are not rare, as large families of
+    near copies share words that are not rare for them alone, behind those that tell their members apart.
     """
-    both = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct()
-    wanted = tmp.save(classes.select("id", "doc_id", "th", "ln").join(both, "id", "left_semi"), "wanted")
-    ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
-    near = docs.withColumn("_th", F.xxhash64("text")).filter(_in(ids, F.xxhash64("doc_id", "_th"))).select("doc_id", "text")
-    own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
-    words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
-    words = words.select("id", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["id"])
-    words = tmp.save(words, "words")
+    rare = F.size(F.filter("p", lambda x: x >= 0))
+    word = lambda i: F.get(F.col("p"), i)
+    pair = lambda i: F.when(word(i + 1).isNotNull(), F.xxhash64(word(i), word(i + 1)))
+    leads = lambda start: [pair(start + i) for i in range(LEADS)]
+    some = classes.filter("n >= 4").withColumn("rare", F.when(F.element_at("p", -1) < 0, rare).otherwise(F.size("p")))
+    every = F.when(F.col("rare") < F.size("p"), F.array_distinct(F.array(*leads(F.lit(0)), *leads(F.col("rare"))))).otherwise(F.array(*leads(F.lit(0))))
+    return some.select("id", "at", "n", F.explode(every).alias("key")).filter("key IS NOT NULL")
 
-    def proven(some: DataFrame) -> DataFrame:
-        left = words.select(F.col("id").alias("later"), F.col("words").alias("wx"))
-        right = words.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
-        joined = some.join(left, "later").join(right, "earlier")
-        shared = F.size(F.array_intersect("wx", "wy"))
-        return joined.filter(100 * shared >= 80 * (F.size("wx") + F.size("wy") - shared)).select(F.col("later").alias("id")).distinct()
 
-    best = pairs.groupBy("later").agg(F.max_by("earlier", "keys").alias("earlier"))
-    first = tmp.save(proven(best), "proven")
-    rest = pairs.select("later", "earlier").join(first.select(F.col("id").alias("later")), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
-    return first.unionByName(proven(tmp.save(rest, "rest")))
+def _close(x: str, y: str) -> Column:
+    """Whether lengths and sketches leave it open that two sets are similar."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    one = F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))
+    two = F.when(F.least(n, m) > WIDE, F.col(f"{x}.c").bitwiseXOR(F.col(f"{y}.c"))).otherwise(F.lit(0).cast("bigint"))
+    # c has the parities of half of the words; the others' are those of all without them
+    apart = F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
 
 
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs x < y of ids under a key that length, position and sketch do not rule out."""
+    """later, earlier: ids under a key that length, position and sketch do not rule out; settled classes are earlier only."""
     x, y = x.alias("x"), y.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    close = (
-        (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-        & (9 * F.least("x.cap", "y.cap") >= 4 * total)
-        & (9 * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= total)
-    )
-    made = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close)
-    return made.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    # what needs one side alone is said with the other, so that both stay one exchange
+    before = (F.col("y.at") <= F.when(F.col("x.cap") > 0, F.col("x.at")).otherwise(F.lit(_NEVER))) & (F.col("x.id") != F.col("y.id"))
+    reach = 9 * F.least(F.abs("x.cap"), F.abs("y.cap")) >= 4 * (F.col("x.n") + F.col("y.n"))
+    made = x.join(y, (F.col("x.key") == F.col("y.key")) & before & reach & _close("x", "y"))
+    return made.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))
+
+
+def _proven(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id of the classes of pairs that are like an earlier one, by the words (as 64-bit hashes) of their first lines."""
+    pairs = tmp.save(pairs.select(F.least("later", "earlier").alias("x"), F.greatest("later", "earlier").alias("y")).distinct(), "pairs")
+    both = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = tmp.save(classes.select("id", "doc_id", "th", "ln").join(both, "id", "left_semi"), "wanted")
+    ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
+    near = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(_in(ids, F.xxhash64("doc_id", "th"))).select("doc_id", "text")
+    own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
+    words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
+    words = words.select("id", F.struct("doc_id", "th", "ln").alias("at"), F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    words = tmp.save(words.dropDuplicates(["id"]), "words")
+    side = lambda c: words.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"), F.col("words").alias(f"{c}_words"))
+    joined = pairs.join(side("x"), "x").join(side("y"), "y")
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    similar = joined.filter(100 * shared >= 80 * (F.size("x_words") + F.size("y_words") - shared))
+    return similar.select(F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -138,40 +162,43 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text")
     words = docs.select(F.explode(F.split(F.lower("text"), BLANK)).alias("w")).select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
-    counted = words.groupBy("slot").agg(F.expr(f"shiftleft(least(count(1), {(1 << 20) - 1}L), {_HASH})").alias("value"))
+    counted = words.groupBy("slot").agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
     counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
     # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
-    lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line")).withColumn("counts", counts)
-    rank = lambda w: F.get(F.col("counts"), F.xxhash64(w).bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << _HASH) - 1))
-    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", BLANK), ""), rank))).alias("r")).filter(F.size("r") > 0)
+    common = int(_STEPS * math.log2(RARE)) + 1
+    lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"))
+    lined = lined.filter(F.col("line").rlike(WORD)).withColumn("counts", counts)  # not on the sets, which would be made twice for it
+    hashed = lambda w: F.xxhash64(w).bitwiseAND((1 << _HASH) - 1)
+    rank = lambda w: F.coalesce(F.get(F.col("counts"), F.xxhash64(w).bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(hashed(w)), hashed(w))
+    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", BLANK), ""), rank))).alias("r"))
     n = F.size("r")
+    half = F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))")
     made = sets.select(
         "doc_id", "th", "ln", n.alias("n"), F.xxhash64("r").alias("d1"),
         F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("b"),
-        F.slice("r", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 2).alias("p"),
+        F.when(n > WIDE, half).otherwise(F.lit(0).cast("bigint")).alias("c"),
+        # the prefix and one more: 31 bits of a word's hash, negative for words that are not rare
+        F.transform(
+            F.slice("r", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 2),
+            lambda x: F.shiftright(x, 7).bitwiseAND((1 << 31) - 1).bitwiseOR(F.when(x < (common << _HASH), 0).otherwise(-(1 << 31))).cast("int"),
+        ).alias("p"),
     )
-    rare = F.size(F.filter("p", lambda x: x < ((RARE + 1) << _HASH)))
-    made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", rare.alias("k"), F.transform("p", lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("p")), "lines")
-    first = F.min(F.struct("doc_id", "th", "ln")).alias("first")
-    classes = made.groupBy("d1", "b").agg(first, F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "k", "p")])
+    made = tmp.save(made, "lines")
+    at = F.coalesce("doc_id", F.lit(_NULL))
+    classes = made.groupBy("d1", "b").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n", "c", "p")])
     # a number for each class, kept by being written, so that keys and pairs are short
-    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows", "n", "k", "p"), "classes")
-
-    keyed = _keys(classes)
-    singles, doubles = keyed.filter("NOT pair").drop("pair", "doc_id"), keyed.filter("pair").drop("pair")
-    by_key = Window.partitionBy("key")
-    doubles = doubles.withColumn("members", F.count(F.lit(1)).over(by_key)).filter("members > 1")
-    doubles = tmp.save(doubles.withColumn("earliest", F.min(F.struct("doc_id", "id", "b", "n", "cap")).over(by_key)), "doubles")
-    few, many = doubles.filter(f"members <= {STAR}"), doubles.filter(f"members > {STAR}")
-    centre = many.select("key", "earliest.*").distinct()
-    star = _joined(many, centre).unionByName(_joined(centre, many))
-    near = tmp.save(_directed(classes, _joined(singles, singles).unionByName(_joined(few, few)).unionByName(star)), "pairs")
-    gone = tmp.save(_similar(tmp, docs, classes, near), "gone")
-    still = many.join(gone, "id", "left_anti")
-    more = _directed(classes, _joined(still, many).unionByName(_joined(many, still))).join(near, ["later", "earlier"], "left_anti")
-    gone = tmp.save(gone.unionByName(_similar(tmp, docs, classes, tmp.save(more, "pairs"))).distinct(), "gone")
-
-    gone = gone.withColumn("gone", F.lit(True))
+    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows", "n", "c", "p").withColumn("at", at), "classes")
+
+    leads = _leads(classes)
+    earliest = leads.groupBy("key").agg(F.min_by("id", "at").alias("id"), F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    n, m = F.col("x.n"), F.col("y.n")
+    star = leads.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
+    gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))), "gone").withColumn("gone", F.lit(True))
+
+    singles, others = _keys(classes.join(gone, "id", "left"))
+    more = _joined(singles, singles).unionByName(_joined(others.filter("cap > 0"), others))
+    gone = gone.select("id").unionByName(tmp.save(_proven(tmp, docs, classes, more), "gone")).distinct().withColumn("gone", F.lit(True))
+
     touched = classes.join(gone, "id", "left").filter("gone OR rows > 1").select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     lost = made.select("d1", "b", "doc_id", "th", "ln").join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
     return tmp.finish(lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("ln")).alias("lines")))

@@ -43,8 +43,22 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(docs)
     assert lost(spark, docs) == want and len(want) > 50
     monkeypatch.setattr(lines, "RARE", 3)  # pairs of words as keys for nearly all
-    monkeypatch.setattr(lines, "STAR", 2)
     assert lost(spark, docs) == want
+    monkeypatch.setattr(lines, "LEADS", 1)  # most is left to the second round
+    monkeypatch.setattr(lines, "WIDE", 8)
+    assert lost(spark, docs) == want
+
+
+def test_a_large_family(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(40)]
+    docs = []
+    for d in range(400):
+        line = list(base)
+        for k in range(rng.choice([1, 2, 3, 4, 6, 9])):
+            line[rng.randrange(40)] = f"own{d}x{k}"
+        docs.append((d, " ".join(line)))
+    assert lost(spark, docs) == brute(docs)
 
 
 def test_long_lines(spark):
