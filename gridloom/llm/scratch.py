@@ -9,20 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (local runs), a fresh temporary folder is set."""
+    """The session's spark.checkpoint.dir. Unset, it is set to a temporary folder if all of Spark runs in this process, as in
+    tests; on a cluster, whose executors could not read that, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
-    """df, whose session from now on hands Python workers Arrow batches of about size bytes, however long the texts are."""
+    """df, whose session from now on hands Python workers Arrow batches of about size bytes, however long the texts are.
+
+    The setting is read when a plan runs, which is after these operators return, so it stays as it is.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has no column of, whatever their case, one for each name given."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Writes frames as Parquet under the shared folder, so that a lost executor costs one task and not the lineage."""
 
