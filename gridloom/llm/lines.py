@@ -1,133 +1,51 @@
-"""Near-duplicate line removal by an exact set-similarity join.
+"""Near-duplicate line removal by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words, between ASCII white space, with A-Z lower-cased. Words are ordered by rarity, so that two
-sets whose Jaccard similarity reaches 0.8 must share a word among the first few of each (the prefix). Rarity is counted over
-the whole corpus in a table of SLOTS counters that words are hashed to, on a scale of logarithms; the order is the same for
-all lines, which is all that exactness asks of it. Where the shared word is not rare, its counter over RARE, the pair must
-also share a second one of a prefix that is one longer, so the join key is the pair of words and no list of lines under a
-key grows with the corpus for being common. Under a key, lengths, positions and parity sketches of the sets (64 bits, 128
-from WIDE words on) rule out most pairs, and the rest are verified on the words themselves. Equal sets are one class from
-the start; sets are equal if two 64-bit digests of their words' hashes are.
+A line is the set of its lower-cased words. Words are ordered by rarity, so that two sets whose Jaccard similarity reaches
+0.8 must share a word among the first few of each (the prefix). Rarity is counted over the whole corpus in a table of
+SLOTS counters that words are hashed to, on a scale of logarithms; the order is the same for all lines, which is all that
+exactness asks of it. Where the shared word is not rare, its counter over RARE, the pair must also share a second one of a
+prefix that is one longer, so the join key is the pair of words and no list of lines under a key grows with the corpus for
+being common. Under a key, lengths, positions and parity sketches of the sets (64 bits, 128 from WIDE words on) rule out
+most pairs, and the rest are verified on the words themselves. Equal sets are one class from the start; sets are equal if
+two 64-bit digests of their words' hashes are.
 
 A line goes if an earlier one (by doc_id, then the text's hash, then line number) is similar, whether that one goes or
 stays. One earlier line is enough, so there are two rounds. In the first, classes are keyed by a few pairs of successive
 words of their prefix, and each is compared with its key's earliest class alone, which settles most of what has near copies
 with one pair each. In the second, those that are left are compared with all that come earlier under their prefix keys.
-
-Words are cut, counted and sorted by array kernels over Arrow batches; classes, keys, joins and what goes are DataFrames.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import kernel
-from gridloom.llm.scratch import Scratch, small_batches, unused
+from gridloom.llm.scratch import Scratch, unused
 
-#: Counters of words; a byte of each is sent to every task.
+#: Counters of words; they are kept as one array in every task.
 SLOTS = 1 << 20
 #: Words up to this count are keys alone.
 RARE = 8000
 #: Pairs of successive words that the first round keys a class by, from the rarest on and from the first over FAMILY on.
-LEADS, FAMILY = 2, 1000
+LEADS, FAMILY = 3, 1000
 #: Sets over this size have a second sketch.
 WIDE = 48
 #: Sets from this size on are also joined by single words among themselves, and from the next size on only so.
 LONG, LONGER = 256, 320
 #: Bits of the fixed-size filters for keys and documents, as 64-bit words.
 FILTER = 1 << 17
-#: Steps of a word's count for each doubling.
-_STEPS = 5
+#: Bits of a word's hash below its count, and steps of a count for each doubling.
+_HASH, _STEPS = 53, 15
 #: Where null ids are in the order of doc_ids, and what is before all.
 _NULL, _NEVER = -(1 << 63) + 1, -(1 << 63)
-_LINE = "doc_id bigint, th bigint, ln int, n int, d1 bigint, d2 bigint, b bigint, c bigint, rare int, few int, p array<int>"
-
-
-def _code(count: int) -> int:
-    """A count's place on the scale of logarithms."""
-    return int(_STEPS * math.log2(count)) if count > 0 else 0
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """slot, n: words of a task by counter."""
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for _, _, _, _, h, _ in kernel.words(*kernel.utf8(batch.column(0)), kernel.SPACED):
-            np.add.at(total, (h & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-    slot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
-
-
-def _ranked(h: np.ndarray, code: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Places of the distinct words of each line (of, ascending), by line, then code, then hash."""
-    bits = np.uint64(max(1, int(of[-1]).bit_length()))
-    short = (of.astype(np.uint64) << (np.uint64(64) - bits)) | (((code.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))) >> bits)
-    order = np.argsort(short)
-    x, y = order[1:], order[:-1]
-    tied = short[x] == short[y]
-    if (tied & (h[x] != h[y])).any():  # what is cut off decides
-        order = np.lexsort((h, code, of))
-        x, y = order[1:], order[:-1]
-        tied = (of[x] == of[y]) & (h[x] == h[y])
-    return order[np.append(True, ~tied)]
-
-
-def _sets(codes: np.ndarray, rare: int, few: int):
-    """Rows of _LINE for batches of doc_id, th, text: a line with words each; p holds 31 bits of the prefix words and of one more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.uint64(1)
-        for batch in batches:
-            raw, at = kernel.utf8(batch.column(2))
-            for i, j, s, _, h, d in kernel.words(raw, at, kernel.SPACED):
-                if not len(h):
-                    continue
-                lo = int(at[i])
-                feeds = np.concatenate([[0], np.cumsum(raw[lo : int(at[j])] == 10, dtype=np.int32)])
-                ln = feeds[s - lo] - feeds[at[i + d] - lo]
-                new = np.append(True, (ln[1:] != ln[:-1]) | (d[1:] != d[:-1]))
-                of = np.cumsum(new) - 1
-                code = codes[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-                own = _ranked(h, code, of)
-                h, code, of, place = h[own], code[own], of[own], np.flatnonzero(new)
-                start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                n = np.diff(np.append(start, len(of)))
-                with np.errstate(over="ignore"):
-                    d1 = kernel.mix(np.add.reduceat(kernel.mix(h), start) + n.astype(np.uint64))
-                    d2 = kernel.mix(np.add.reduceat(kernel.mix(h ^ np.uint64(0x5851F42D4C957F2D)), start))
-                bit = one << (h & np.uint64(63))
-                b = np.bitwise_xor.reduceat(bit, start)
-                c = np.where(n > WIDE, np.bitwise_xor.reduceat(bit * ((h >> np.uint64(6)) & one), start), np.uint64(0))
-                m = np.minimum(n - (4 * n + 4) // 5 + 2, n)
-                offsets = np.append(0, np.cumsum(m))
-                taken = np.repeat(start - offsets[:-1], m) + np.arange(offsets[-1])
-                p = (h[taken] >> np.uint64(33)).astype(np.int32)
-                under = lambda most: np.add.reduceat((code[taken] <= most).astype(np.int32), offsets[:-1], dtype=np.int32)  # noqa: B023, E731
-                row = pa.array(i + d[place])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(ln[place].astype(np.int32)), pa.array(n.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (d1, d2, b, c)],
-                     pa.array(under(rare)), pa.array(under(few)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(p))],
-                    [x.split()[0] for x in _LINE.split(", ")],
-                )
-
-    return run
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, at, words: the distinct words of a line each, as 64-bit hashes."""
-    for batch in batches:
-        out = [[] for _ in range(batch.num_rows)]
-        for i, j, _, _, h, d in kernel.words(*kernel.utf8(batch.column(2)), kernel.SPACED):
-            ends = np.searchsorted(d, np.arange(j - i + 1))
-            for k in range(j - i):
-                out[i + k] = np.unique(h[ends[k] : ends[k + 1]]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "at", "words"])
+BLANK, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+
+
+def tokens(line: Column) -> Column:
+    """The distinct lower-cased words of a line."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), BLANK), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -165,7 +83,7 @@ def _keys(tmp: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = ["id", "at", "b", "c", "n"]
     first = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
     # said here for all columns, as it would be inferred for some of one side of a join only, and make two exchanges of one
-    known = classes.filter("n >= 4").filter(" AND ".join(f"{c} IS NOT NULL" for c in own))
+    known = classes.filter(" AND ".join(f"{c} IS NOT NULL" for c in own))
     sign = F.when(F.col("gone"), -1).otherwise(1).alias("sign")
 
     def words(some: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -226,8 +144,8 @@ def _proven(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame)
     near = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(_in(ids, F.xxhash64("doc_id", "th"))).select("doc_id", "text")
     own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
     words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
-    words = words.dropDuplicates(["id"]).select("id", F.struct("doc_id", "th", "ln").alias("at"), "line")
-    words = tmp.save(words.mapInArrow(_hashes, "id bigint, at struct<doc_id:bigint,th:bigint,ln:int>, words array<bigint>"), "words")
+    words = words.select("id", F.struct("doc_id", "th", "ln").alias("at"), F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    words = tmp.save(words.dropDuplicates(["id"]), "words")
     side = lambda c: words.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"), F.col("words").alias(f"{c}_words"))
     joined = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("x_words", "y_words"))
@@ -243,18 +161,32 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     tmp = Scratch(spark, "lines")
-    docs = small_batches(docs).select("doc_id", "text")
-    counted = docs.select("text").mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.floor(_STEPS * F.log2(F.sum("n"))).cast("int").alias("code"))
-    codes = np.zeros(SLOTS, np.uint8)
-    for batch in counted.toArrow().to_batches():  # SLOTS rows at most
-        codes[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
-    sets = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_sets(codes, _code(RARE), _code(FAMILY)), _LINE)
-    made = tmp.save(sets, "lines")
+    docs = docs.select("doc_id", "text")
+    words = docs.select(F.explode(F.split(F.lower("text"), BLANK)).alias("w")).select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
+    counted = words.groupBy("slot").agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
+    counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
+    # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
+    lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"))
+    lined = lined.filter(F.col("line").rlike(WORD)).withColumn("counts", counts)  # not on the sets, which would be made twice for it
+    hashed = lambda w: F.xxhash64(w).bitwiseAND((1 << _HASH) - 1)
+    rank = lambda w: F.coalesce(F.get(F.col("counts"), F.xxhash64(w).bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(hashed(w)), hashed(w))
+    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", BLANK), ""), rank))).alias("r"))
+    n = F.size("r")
+    half = F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))")
+    made = sets.select(
+        "doc_id", "th", "ln", n.alias("n"), F.xxhash64("r").alias("d1"),
+        F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("b"),
+        F.when(n > WIDE, half).otherwise(F.lit(0).cast("bigint")).alias("c"),
+        F.slice("r", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 2).alias("q"),  # the prefix and one more
+    )
+    under = lambda most: F.size(F.filter("q", lambda x: x < ((int(_STEPS * math.log2(most)) + 1) << _HASH)))
+    short = F.transform("q", lambda x: F.shiftright(x, 7).bitwiseAND((1 << 31) - 1).cast("int"))
+    made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", "c", under(RARE).alias("rare"), under(FAMILY).alias("few"), short.alias("p")), "lines")
     at = F.coalesce("doc_id", F.lit(_NULL))
-    carried = ["n", "b", "c", "rare", "few", "p"]
-    classes = made.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in carried])
+    carried = ["n", "c", "rare", "few", "p"]
+    classes = made.groupBy("d1", "b").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in carried])
     # a number for each class, kept by being written, so that keys and pairs are short
-    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "first.*", "rows", *carried).withColumn("at", at), "classes")
+    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows", *carried).withColumn("at", at), "classes")
 
     leads = _leads(classes)
     earliest = leads.groupBy("key").agg(F.min_by("id", "at").alias("id"), F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -262,14 +194,16 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     star = leads.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
     gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))), "gone").withColumn("gone", F.lit(True))
 
-    singles, others = _keys(tmp, classes.join(gone, "id", "left"))
+    # written, so that both sides of the join are one scan and one exchange
+    open_ = classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p").join(gone, "id", "left")
+    singles, others = _keys(tmp, tmp.save(open_, "open"))
     more = _joined(singles, singles).unionByName(_joined(others.filter("cap > 0"), others))
     gone = gone.select("id").unionByName(tmp.save(_proven(tmp, docs, classes, more), "gone")).distinct().withColumn("gone", F.lit(True))
 
-    touched = classes.select("id", "d1", "d2", "rows", "doc_id", "th", "ln").join(gone, "id", "left").filter("gone OR rows > 1")
-    touched = tmp.save(touched.select("d1", "d2", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "touched")
-    near = made.select("d1", "d2", "doc_id", "th", "ln").filter(_in(_bitmap(touched.select(F.col("d1").alias("h"))), F.col("d1")))
-    lost = near.join(touched, ["d1", "d2"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
+    touched = classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln").join(gone, "id", "left").filter("gone OR rows > 1")
+    touched = tmp.save(touched.select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "touched")
+    near = made.select("d1", "b", "doc_id", "th", "ln").filter(_in(_bitmap(touched.select(F.col("d1").alias("h"))), F.col("d1")))
+    lost = near.join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
     return tmp.finish(lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("ln")).alias("lines")))
 
 
