@@ -25,6 +25,8 @@ RATE = 25
 GROUP_OF_FRAMES = 8
 CHUNK_FRAMES = 16
 #: The box types that hold boxes.
+#: Levels of boxes that are read.
+DEPTH = 16
 HOLDERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf")
 
 
@@ -94,19 +96,49 @@ def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, i
         start += size
 
 
-def _tables(data: memoryview, start: int, end: int, out: dict) -> dict:
+def _tables(data: memoryview, start: int, end: int, out: dict, depth: int = 0) -> dict:
+    """Kind to body range of the boxes below, with a list of the tracks under `tracks`; fragments are an error."""
+    if depth > DEPTH:
+        raise ValueError(f"boxes are nested over {DEPTH} deep")
     for kind, a, b in walk(data, start, end):
+        if kind == b"moof":
+            raise ValueError("a fragmented file, whose samples are not in its movie box")
         if kind == b"trak":
-            track = _tables(data, a, b, {})
-            if b"stsz" in track and b"stsz" not in out:
-                out |= track
+            out.setdefault("tracks", []).append(_tables(data, a, b, {}, depth + 1))
         elif kind in HOLDERS:
-            _tables(data, a, b, out)
+            _tables(data, a, b, out, depth + 1)
         else:
             out.setdefault(kind, (a, b))
     return out
 
 
+def _track(data: memoryview) -> dict:
+    """The tables of the first video track with samples, or else of the first track with samples."""
+    tracks = [t for t in _tables(data, 0, len(data), {}).get("tracks", []) if b"stsz" in t or b"stz2" in t]
+    if not tracks:
+        raise ValueError("no track with samples")
+    seen = [t for t in tracks if b"hdlr" in t and bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"]
+    return (seen or tracks)[0]
+
+
+def _sizes(data: memoryview, t: dict) -> np.ndarray:
+    """Sizes of the samples, which together are no more than the file."""
+    a, b = t[b"stsz"] if b"stsz" in t else t[b"stz2"]
+    (n,) = struct.unpack_from(">I", data, a + 8)
+    (first,) = struct.unpack_from(">I", data, a + 4)
+    if b"stsz" in t:
+        if first and n * first > len(data):
+            raise ValueError("the samples are larger than the file")
+        return np.full(n, first, np.int64) if first else _array(data, a + 12, ">u4", n, b)
+    bits = first & 255
+    if bits not in (4, 8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
+    if bits == 4:
+        both = _array(data, a + 12, "u1", (n + 1) // 2, b)
+        return np.column_stack([both >> 4, both & 15]).ravel()[:n]
+    return _array(data, a + 12, f">u{bits // 8}", n, b)
+
+
 def _array(data: memoryview, at: int, kind: str, n: int, end: int) -> np.ndarray:
     if at + n * np.dtype(kind).itemsize > end:
         raise ValueError("a table overruns its box")
@@ -117,24 +149,24 @@ def parse(raw: bytes) -> dict:
     """codec, track, width, height, timescale, ticks, starts, sizes, keys (sample numbers from 0); ValueError if malformed."""
     data = memoryview(raw)
     try:
-        t = _tables(data, 0, len(data), {})
+        t = _track(data)
         u32 = lambda at: struct.unpack_from(">I", data, at)[0]
-        if b"stsz" not in t:
-            raise ValueError("no track with samples")
         a, b = t[b"stsd"]
         codec, width, height = bytes(data[a + 12 : a + 16]).decode("latin-1"), *struct.unpack_from(">HH", data, a + 8 + 32)
         a, b = t[b"mdhd"]
         timescale = u32(a + (20 if data[a] else 12))
-        a, b = t[b"stsz"]
-        n, same = u32(a + 8), u32(a + 4)
-        sizes = np.full(n, same, np.int64) if same else _array(data, a + 12, ">u4", n, b)
+        sizes = _sizes(data, t)
+        n = len(sizes)
         a, b = t[b"stts"]
         spans = _array(data, a + 8, ">u4", 2 * u32(a + 4), b).reshape(-1, 2)
         a, b = t.get(b"co64", t.get(b"stco", (0, 0)))
         chunks = _array(data, a + 8, ">u8" if b"co64" in t else ">u4", u32(a + 4), b)
         a, b = t[b"stsc"]
         runs = _array(data, a + 8, ">u4", 3 * u32(a + 4), b).reshape(-1, 3)
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
+        spread = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
+        if (spread < 0).any() or (len(runs) and runs[0, 0] != 1) or (len(chunks) and not len(runs)):
+            raise ValueError("runs of chunks are out of order")
+        each = np.repeat(runs[:, 1], spread)
         if each.sum() != n:
             raise ValueError("the chunks do not hold all samples")
         before = np.cumsum(sizes) - sizes
@@ -145,10 +177,12 @@ def parse(raw: bytes) -> dict:
             keys = _array(data, a + 8, ">u4", u32(a + 4), b) - 1
         else:
             keys = np.arange(n)
+        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+            raise ValueError("a keyframe is no sample of the track")
         if n and (starts.min() < 0 or (starts + sizes).max() > len(raw)):
             raise ValueError("a sample lies outside the file")
         handler = bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]).decode("latin-1")
-    except (struct.error, KeyError, IndexError) as e:
+    except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"malformed container: {e!r}") from e
     return {"codec": codec, "track": handler, "width": width, "height": height, "timescale": timescale, "ticks": int((spans[:, 0] * spans[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
 
@@ -217,7 +251,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_as_media(docs: DataFrame) -> DataFrame:
     """Stores each text as a container, reads it back and describes it; one row for each row of docs.
 
-    Null and empty texts are one frame of bytes 255. Equal texts give equal values. Other columns are not read.
+    Null and empty texts are one frame of bytes 255. Equal texts, and so rows that repeat, give equal values. Other columns
+    are not read; an empty table gives no rows.
     """
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return small_batches(docs).select("doc_id", "text").mapInArrow(_round_trip, schema)
