@@ -1,13 +1,15 @@
 """Secret scans: patterns for known forms, and a battery of randomness tests for the unknown ones.
 
-DataFrame functions only. A candidate is an unbroken run of 20 or more letters, digits and +/_- that mixes digits with
-letters or has capitals inside. Its characters say which encoding it would be in (hexadecimal, base 32, base 64), and under
-"these are random symbols of that encoding" three tests give p-values: chi-squared uniformity of the alphabet (of the four
-character classes for base 64, whose symbols are too many for a short run), runs above and below the middle, and serial
-correlation of neighbours, combined by Bonferroni. Structured text is rejected; what is not is reported. How many
-candidates are rejected follows the Benjamini-Hochberg rule, so that at most LOSS of those dismissed are expected to have
-been random; it is applied to each class of lengths on its own, as short runs give the tests little power. The rule reads
-a histogram of p-values over the whole corpus, of fixed size for each class.
+DataFrame functions only. A candidate is an unbroken run of 20 or more letters, digits and +/_- that has a letter and mixes
+digits with letters or has capitals inside; runs of small letters alone, which words are, are none. Its characters say which encoding it would be in (hexadecimal, base 32, base 64), and under
+"these are random symbols of that encoding" three tests give p-values: chi-squared uniformity of the whole alphabet, whose
+statistic is scaled to its exact mean and variance for the run's length, as most symbols of a large alphabet are expected
+less than once; runs above and below the middle; and serial correlation of neighbours. The least of three is turned into one
+p-value, uniform for random runs. Structured text has small ones. What is reported is what has a p-value over a bound, which
+is the least one at which at most ALARM of what is reported is expected to be structured: random runs are counted by those
+with p-values near 1, spread evenly, and what is beyond their number are false alarms. Each class of lengths has a bound of
+its own, as short runs give the tests little power. The rule reads a histogram of p-values over the whole corpus, of fixed
+size for each class.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
 LEAST_VALUE = 6
-#: Expected share of random candidates among those dismissed, and the classes of lengths: below 24, 32, 48, 64, and longer.
-LOSS = 0.05
+#: Expected share of structured candidates among those reported, and the classes of lengths: below 24, 32, 48, 64, and longer.
+ALARM = 0.05
+#: Candidates with p-values over 10^(-EVEN / 10) count as random.
+EVEN = 4
 LENGTHS = (24, 32, 48, 64)
 #: Steps of a histogram, in tenths of -log10 p.
 STEPS = 300
@@ -58,17 +62,9 @@ def _cells(values: Column, n: Column, size: int) -> Column:
     return _total(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda v: F.pow(count(v) - share, F.lit(2.0)) / share))
 
 
-def _between(lo: int, hi: int):
-    return lambda x: (x >= lo) & (x < hi)
-
-
-def _classes(values: Column, n: Column) -> Column:
-    """Chi-squared of capitals, small letters, digits and the other two symbols of base 64."""
-    out = F.lit(0.0)
-    for lo, hi in ((0, 26), (26, 52), (52, 62), (62, 64)):
-        share = n * F.lit((hi - lo) / 64)
-        out = out + F.pow(F.size(F.filter(values, _between(lo, hi))) - share, F.lit(2.0)) / share
-    return out
+def _least_of_three(p: Column) -> Column:
+    """The chance that the least of three p-values is at most p; 3 p where that is exact enough."""
+    return F.when(p < 1e-6, 3 * p).otherwise(1 - F.pow(1 - F.least(p, F.lit(1.0)), F.lit(3.0)))
 
 
 def battery(tokens: Column) -> Column:
@@ -85,8 +81,9 @@ def battery(tokens: Column) -> Column:
 
     def measure(s: Column) -> Column:
         v, n, half = s["values"], s["n"], s["size"] / 2
-        chi = F.when(s["size"] == 16, _cells(v, n, 16)).when(s["size"] == 32, _cells(v, n, 32)).otherwise(_classes(v, n))
-        free = F.when(s["size"] == 16, 15.0).when(s["size"] == 32, 31.0).otherwise(3.0)
+        # the statistic's mean is size - 1 and its variance 2 (size - 1) (n - 1) / n: a scaled chi-squared of these degrees of freedom
+        chi = F.when(s["size"] == 16, _cells(v, n, 16)).when(s["size"] == 32, _cells(v, n, 32)).otherwise(_cells(v, n, 64)) * n / (n - 1)
+        free = (s["size"] - 1) * n / (n - 1)
         pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("a"), F.slice(v, F.lit(2), F.size(v) - 1).alias("b"))
         mean = _total(v) / n
         high = F.size(F.filter(v, lambda x: x >= half)).cast("double")
@@ -103,7 +100,7 @@ def battery(tokens: Column) -> Column:
         runs = F.try_divide(s["runs"] - mean, F.sqrt(F.greatest(variance, F.lit(0.0))))
         lag = s["lag"] * F.sqrt(n)
         worst = F.greatest(F.abs(F.coalesce(runs, F.lit(40.0))), F.abs(F.coalesce(lag, F.lit(40.0))), F.abs(chi))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), n.alias("n"), F.least(3 * _tail(F.least(worst, F.lit(30.0))), F.lit(1.0)).alias("p"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), n.alias("n"), _least_of_three(_tail(F.least(worst, F.lit(30.0)))).alias("p"))
 
     return F.transform(F.transform(F.transform(tokens, read), measure), judge)
 
@@ -119,14 +116,19 @@ def _length_class(n: Column) -> Column:
     return out
 
 
-def dismissal(candidates: DataFrame) -> DataFrame:
-    """One row, steps: map of length class to the least histogram step that the Benjamini-Hochberg rule dismisses."""
+def acceptance(candidates: DataFrame) -> DataFrame:
+    """One row, steps: map of length class to the greatest histogram step (the least p-values) that is reported.
+
+    candidates: length, step. Up to a step of p-value t there are as many random candidates as EVEN steps tell, times 1 - t;
+    classes in which no step keeps to ALARM are absent.
+    """
     counts = candidates.groupBy("length", "step").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("length").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"upto": F.sum("n").over(down), "all": F.sum("n").over(Window.partitionBy("length"))})
-    held = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / 10.0) <= LOSS * F.col("upto") / F.col("all"))
-    least = held.groupBy("length").agg(F.min("step").alias("step"))
-    return least.agg(F.map_from_entries(F.collect_list(F.struct("length", "step"))).alias("steps"))
+    up = Window.partitionBy("length").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    even = F.sum(F.when(F.col("step") < EVEN, F.col("n")).otherwise(0)).over(Window.partitionBy("length")) / (1 - 10 ** (-EVEN / 10))
+    ranked = counts.withColumns({"upto": F.sum("n").over(up), "random": even})
+    genuine = F.col("random") * (1 - F.pow(F.lit(10.0), -(F.col("step") + 1) / 10.0))
+    greatest = ranked.filter(F.col("upto") - genuine <= ALARM * F.col("upto")).groupBy("length").agg(F.max("step").alias("step"))
+    return greatest.agg(F.map_from_entries(F.collect_list(F.struct("length", "step"))).alias("steps"))
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -151,12 +153,12 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tested = F.when(F.size("s_random") > 0, battery(F.col("s_random")))
     found = tmp.save(made.select("doc_id", F.array_sort(base).alias("base"), tested.alias("tested")), "found")
     one = found.select(F.explode("tested").alias("c")).select(_length_class(F.col("c.n")).alias("length"), _step(F.col("c.p")).alias("step"))
-    found = found.withColumn("dismiss", dismissal(one).scalar())
+    found = found.withColumn("accept", acceptance(one).scalar())
 
     def stays(c: Column) -> Column:
-        below = F.element_at(F.col("dismiss"), _length_class(c["n"]))
+        most = F.try_element_at(F.col("accept"), _length_class(c["n"]))
         apart = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.coalesce(_step(c["p"]) < below, F.lit(True)) & apart
+        return F.coalesce(_step(c["p"]) <= most, F.lit(False)) & apart
 
     random = F.transform(F.filter(F.coalesce("tested", F.array().cast("array<struct<start:bigint,end:bigint,n:double,p:double>>")), stays), ranked(len(kinds)))
     names = F.array(*[F.lit(k) for k in [*kinds, "random"]])
