@@ -9,6 +9,7 @@ backpropagation through time in numpy on the loss of every position, with Adam,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,9 @@ from gridloom.llm.scratch import small_batches
 
 HIDDEN = 8
 STRETCH = 128
-#: Bounds of the training sample: documents of each language, stretches of each document, languages.
+#: Bounds of the training sample: documents of each language, and stretches of each document, from anywhere in it.
 PER_LANGUAGE = 256
 STRETCHES = 6
-LANGUAGES = 64
 #: Stretches that are read abreast.
 ABREAST = 2048
 _PAD = 256
@@ -155,21 +155,36 @@ def _blank(langs: list[str], dtype, seed: int) -> Model:
     return Model(langs, embedded, [rng.normal(0, 0.3, (2 * HIDDEN, HIDDEN)).astype(dtype) for _ in range(2)], [rng.normal(0, 0.3, (len(langs), HIDDEN)).astype(dtype) for _ in range(2)], np.zeros(len(langs), dtype))
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 260, batch: int = 384, seed: int = 3) -> Model:
-    """Adam over random stretches, each language as often as any other."""
-    names = sorted(set(langs))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, place, size, bytes: at most STRETCHES stretches of each of batches of doc_id, lang, text, drawn by the text's CRC."""
+    for batch in batches:
+        langs, out = batch.column(1).to_pylist(), [[], [], [], []]
+        raw, at = kernel.utf8(batch.column(2))
+        start, size, doc = stretches(raw, at)
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        for k, lang in enumerate(langs):
+            own = np.arange(ends[k], ends[k + 1])
+            seed = zlib.crc32(raw[at[k] : at[k + 1]].tobytes())
+            if len(own) > STRETCHES:
+                own = np.sort(np.random.default_rng(seed).choice(own, STRETCHES, replace=False))
+            for x in own:
+                for column, v in zip(out, (lang, seed, int(size[x]), raw[start[x] : start[x] + size[x]].tobytes()), strict=True):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["lang", "place", "size", "bytes"])
+
+
+def fit(pieces: list[tuple[str, bytes]], rounds: int = 260, batch: int = 384, seed: int = 3) -> Model:
+    """Adam over stretches with their languages, each language as often as any other."""
+    names = sorted({lang for lang, _ in pieces})
     m = _blank(names, np.float32, seed)
-    raw, at = kernel.utf8(pa.array(texts, pa.large_string()))
-    rng = np.random.default_rng(seed)
-    start, size, doc = stretches(raw, at)
-    rank = rng.random(len(doc))
-    order = np.lexsort((rank, doc))
-    nth = np.arange(len(doc)) - np.searchsorted(doc, doc[order])
-    keep = order[nth < STRETCHES]
-    start, size, y = start[keep], size[keep], np.array([names.index(v) for v in langs], np.int64)[doc[keep]]
-    if not len(keep) or len(names) == 1:
+    if len(names) < 2:
         return m
-    pools = [np.flatnonzero(y == k) for k in range(len(names)) if (y == k).any()]
+    rng = np.random.default_rng(seed)
+    raw = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+    size = np.array([len(p) for _, p in pieces], np.int64)
+    start = np.cumsum(size) - size
+    y = np.array([names.index(lang) for lang, _ in pieces], np.int64)
+    pools = [np.flatnonzero(y == k) for k in range(len(names))]
     params = [*m.embedded, *m.recurrent, *m.out, m.bias]
     first, second = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params]
     for r in range(1, rounds + 1):
@@ -184,21 +199,22 @@ def fit(texts: list[str], langs: list[str], rounds: int = 260, batch: int = 384,
 
 
 def train(spark: SparkSession, docs: DataFrame, allowed: Column) -> Model | None:
-    """Fits on at most PER_LANGUAGE documents of each of at most LANGUAGES languages; None without labelled text.
+    """Fits on at most PER_LANGUAGE documents of each language and STRETCHES stretches of each; None without labelled text.
 
     A language's documents are dealt into PER_LANGUAGE groups by the hash of doc_id, and each group gives the one whose
-    second hash is least. Null ids, texts and languages do not count.
+    second hash is least. Stretches are drawn from whole texts on the executors, and the driver has their bytes alone. Every
+    language of allowed rows is learnt. Null ids, texts and languages do not count; a doc_id with several rows gives
+    stretches of each.
     """
-    rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(allowed)
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    groups = rows.filter(F.col("lang").isin(common)).groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(PER_LANGUAGE)).alias("g"))
+    rows = docs.select("doc_id", "lang", "text").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(allowed)
+    groups = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(PER_LANGUAGE)).alias("g"))
     ids = groups.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id")).select("doc_id").distinct()
-    ids = spark.createDataFrame(ids.collect(), "doc_id bigint")  # LANGUAGES * PER_LANGUAGE at most
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.substring("text", 1, 200_000).alias("text")).collect()
-    got = sorted({(r.doc_id, r.lang, r.text) for r in got if r.text})
+    sample = small_batches(rows).join(ids, "doc_id", "left_semi")
+    got = sample.mapInArrow(_pieces, "lang string, place bigint, size bigint, bytes binary").collect()
+    got = sorted({(r["lang"], r["place"], bytes(r["bytes"])) for r in got})
     if not got:
         return None
-    return fit([r[2] for r in got], [r[1] for r in got])
+    return fit([(lang, piece) for lang, _, piece in got])
 
 
 def _predict(m: Model):
