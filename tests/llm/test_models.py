@@ -46,13 +46,34 @@ def test_language_held_out(spark):
 
 
 def test_language_awkward(spark, awkward):
-    m = langid.fit(["the cat and the dog " * 20, "le chat et le chien " * 20], ["en", "fr"], rounds=5)
+    m = langid.fit([("en", b"the cat and the dog " * 5), ("fr", b"le chat et le chien " * 5)], rounds=5)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(awkward, m).collect()}
     assert got[2] == got[3] == got[4] == ("und", 0.0) and got[8][0] in ("en", "fr") and langid.identify(awkward, m).count() == awkward.count()
     assert langid.train(spark, awkward.limit(0), langid.F.lit(True)) is None and langid.identify(awkward, None).filter("lang_pred = 'und'").count() == awkward.count()
     assert langid.identify(awkward.limit(0), m).count() == 0
 
 
+def test_every_language_and_the_whole_text_is_learnt(spark):
+    """More languages than any bound there was, and stretches from all over a long text."""
+    rows = [(k, f"l{k % 70:02d}", f"tongue{k % 70} " * 40) for k in range(140)] + [(999, "long", "a" * 300_000 + "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    pieces = docs.mapInArrow(langid._pieces, "lang string, place bigint, size bigint, bytes binary").collect()
+    assert {r.lang for r in pieces} == {r[1] for r in rows}
+    own = [bytes(r["bytes"]) for r in pieces if r.lang == "long"]
+    assert len(own) == langid.STRETCHES and {x[:1] for x in own} == {b"a", b"z"}
+
+
+def test_long_toxic_documents_are_learnt_from(spark):
+    clean = [(d, f"plain words only here. Number{d} it is. " * 3) for d in range(40)]
+    long = [(100 + d, "plain words only here. " * 6000 + "It is awfulword here.") for d in range(8)]
+    docs = spark.createDataFrame(clean + long, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in clean + long], "doc_id bigint, toxic int")
+    m = toxicity.train(spark, docs, labels, toxicity.F.lit(True))
+    got = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
+    assert all(got[d].score >= toxicity.THRESHOLD and len(got[d].sentences) == 1 for d, _ in long)
+    assert all(got[d].score < toxicity.THRESHOLD for d, _ in clean)
+
+
 def test_toxicity_learns_words_and_finds_sentences(spark):
     rng = np.random.default_rng(3)
     plain = [f"word{i}" for i in range(200)]
