@@ -1,13 +1,14 @@
-"""Substring dedup by hashing lines, the sentence-aligned pieces of lines, and every run of LONG words that is shared.
-
-A unit is a line of at least LEAST words, and within a line what starts at a sentence and runs over as many sentences as
-it takes to LEAST words (for shorter sentences also what ends there), so that a passage is found wherever it stands in a
-line. Lines under LEAST words are joined with the lines behind them, and with those before them, to runs of as many lines as
-it takes. A window is LONG consecutive words, wherever they start and whatever lines they cross. To hash only the windows that
-can be shared, each document first emits seeds: of each LONG - SEED + 1 consecutive runs of SEED words that with the least
-hash, so that two equal windows have an equal seed. Windows around the seeds that two documents have are then
-grouped like units, so that a shared passage of LONG words or more goes from its first to its last word. A document of LONG
-words or more is a unit as a whole, so that of equal documents only the first needs windows.
+"""Substring dedup by hashing lines, runs of short lines, and every run of LONG words that is shared.
+
+A unit is a line of at least LEAST words. Lines under LEAST words are joined with the lines behind them, and with those
+before them, to runs of as many lines as it takes. A document of LONG words or more is a unit as a whole, so that of equal
+documents only the first needs windows. A window is LONG consecutive words, wherever they start and whatever lines they
+cross. To hash only the windows that can be shared, each document first emits seeds: of each LONG - SEED + 1 consecutive
+runs of SEED words that with the least hash, so that two equal windows have an equal seed. Windows around the seeds that two
+documents have are then grouped like units, so that a shared passage of LONG words or more goes from its first to its last
+word. If sentences are asked for, units are also what starts at a sentence within a line and runs over as many sentences as
+it takes to reach the least size (for shorter sentences also what ends there); these find shorter passages, and much that
+documents share by chance.
 
 Units and windows are normalised to their words, lower-cased, without punctuation or spacing; their 128-bit digests are grouped
 globally. The document with the least doc_id keeps a unit, in its first place, and it is removed everywhere else. What is
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from gridloom.llm import kernel
 from gridloom.llm.scratch import Scratch, small_batches
 
-LEAST = 8
+#: Words of a unit at least; what is shorter repeats in documents that have nothing else in common.
+LEAST = 20
 LONG, SEED = 50, 25
 _SENTENCE, _LINE = np.zeros(256, bool), np.zeros(256, bool)
 _SENTENCE[[10, 13, 33, 46, 63]] = _LINE[[10]] = True
-_LAST = (1 << 63) - 1
 
 
 def _digest(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +45,7 @@ def _digest(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def units(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def units(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, d: np.ndarray, least: int, sentences: bool) -> tuple[np.ndarray, np.ndarray]:
     """Word ranges of the units of a group of documents, by start and then end."""
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -54,26 +55,31 @@ def units(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, d: np.ndarray) -> tu
         n = np.cumsum(table[part], dtype=np.int32)[s - lo]
         return np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (d[1:] != d[:-1])))
 
-    a, line = firsts(_SENTENCE), firsts(_LINE)
-    b, line_end = np.append(a[1:], len(s)), np.append(line[1:], len(s))
-    of = np.searchsorted(line, a, "right") - 1
-    ahead = np.searchsorted(b, a + LEAST)
-    ok = ahead < len(b)
-    ok[ok] = of[ahead[ok]] == of[ok]
-    behind = np.searchsorted(a, b - LEAST, "right") - 1
-    short = (b - a < LEAST) & (behind >= 0) & (of[behind] == of)
-    whole = line_end - line >= LEAST
+    line = firsts(_LINE)
+    line_end = np.append(line[1:], len(s))
+    whole = line_end - line >= least
     doc = d[line]
-    onto = np.searchsorted(line_end, line + LEAST)  # runs of lines from or up to a short one
+    onto = np.searchsorted(line_end, line + least)  # runs of lines from or up to a short one
     run = ~whole & (onto < len(line))
     run[run] = doc[onto[run]] == doc[run]
-    back = np.searchsorted(line, line_end - LEAST, "right") - 1
+    back = np.searchsorted(line, line_end - least, "right") - 1
     tail = ~whole & (back >= 0) & (doc[back] == doc)
     first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
     last = np.append(first[1:], len(s))
     long = last - first >= LONG
-    starts = np.concatenate([a[ok], a[behind[short]], line[whole], line[run], line[back[tail]], first[long]])
-    ends = np.concatenate([b[ahead[ok]], b[short], line_end[whole], line_end[onto[run]], line_end[tail], last[long]])
+    starts = [line[whole], line[run], line[back[tail]], first[long]]
+    ends = [line_end[whole], line_end[onto[run]], line_end[tail], last[long]]
+    if sentences:
+        a = firsts(_SENTENCE)
+        b = np.append(a[1:], len(s))
+        of = np.searchsorted(line, a, "right") - 1
+        ahead = np.searchsorted(b, a + least)
+        ok = ahead < len(b)
+        ok[ok] = of[ahead[ok]] == of[ok]
+        behind = np.searchsorted(a, b - least, "right") - 1
+        short = (b - a < least) & (behind >= 0) & (of[behind] == of)
+        starts, ends = [*starts, a[ok], a[behind[short]]], [*ends, b[ahead[ok]], b[short]]
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     order = np.unique(starts * (len(s) + 1) + ends)
     return order // (len(s) + 1), order % (len(s) + 1)
 
@@ -115,7 +121,7 @@ def _distinct(d1: np.ndarray, d2: np.ndarray, own: np.ndarray) -> pa.RecordBatch
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = kernel.utf8(batch.column(1))
-        ids = np.asarray(batch.column(0).fill_null(_LAST))
+        ids = np.asarray(batch.column(0))
         for i, _, _, _, h, d in kernel.words(raw, at, kernel.ALNUM):
             x, a = seeds(h, d)
             if len(x):
@@ -143,15 +149,18 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield _distinct(*_digest(h, a, a + LONG), np.full(len(a), doc.as_py(), np.int64))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, at = kernel.utf8(batch.column(1))
-        ids = np.asarray(batch.column(0).fill_null(_LAST))
-        for i, j, s, _, h, d in kernel.words(raw, at, kernel.ALNUM):
-            a, b = units(raw, int(at[i]), int(at[j]), s, d)
-            if len(a):
-                d1, d2 = _digest(h, a, b)
-                yield _distinct(d1, d2, ids[i + d[a]])
+def _emit(least: int, sentences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = kernel.utf8(batch.column(1))
+            ids = np.asarray(batch.column(0))
+            for i, j, s, _, h, d in kernel.words(raw, at, kernel.ALNUM):
+                a, b = units(raw, int(at[i]), int(at[j]), s, d, least, sentences)
+                if len(a):
+                    d1, d2 = _digest(h, a, b)
+                    yield _distinct(d1, d2, ids[i + d[a]])
+
+    return run
 
 
 def _long(h: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +179,12 @@ def _long(h: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(other, a, np.maximum(a, first + LONG))[at], at + LONG
 
 
-def cut(text: str, others: set[tuple[int, int]], windows: np.ndarray | None = None) -> tuple[str, list[tuple[int, int]]]:
+def cut(text: str, others: set[tuple[int, int]], windows: np.ndarray | None = None, least: int = LEAST, sentences: bool = False) -> tuple[str, list[tuple[int, int]]]:
     """The text without the units in others, the windows in windows and its own repeats, and what was removed, in code points."""
     data = text.encode()
     raw = np.frombuffer(data, np.uint8)
     _, _, s, e, h, d = next(kernel.words(raw, np.array([0, len(raw)]), kernel.ALNUM))
-    a, b = units(raw, 0, len(raw), s, d)
+    a, b = units(raw, 0, len(raw), s, d, least, sentences)
     x, y = _long(h, np.zeros(0, np.int64) if windows is None else windows)
     if not len(a) and not len(x):
         return text, []
@@ -211,31 +220,35 @@ def cut(text: str, others: set[tuple[int, int]], windows: np.ndarray | None = No
     return b"".join(kept).decode(), [(int(points[x]), int(points[y])) for x, y in ranges]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, removed = [], []
-        for text, others, windows in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            t, o = text.as_py(), others.as_py()
-            own = np.asarray(windows.values) if windows.is_valid else None
-            new, ranges = (t, []) if t is None else cut(t, {(x["d1"], x["d2"]) for x in o or ()}, own)
-            texts.append(new)
-            removed.append([{"start": x, "end": y} for x, y in ranges])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, kind)], ["doc_id", "text", "removed"])
-
-
-def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _cut(least: int, sentences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed = [], []
+            for text, others, windows in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                t, o = text.as_py(), others.as_py()
+                own = np.asarray(windows.values) if windows.is_valid else None
+                new, ranges = (t, []) if t is None else cut(t, {(x["d1"], x["d2"]) for x in o or ()}, own, least, sentences)
+                texts.append(new)
+                removed.append([{"start": x, "end": y} for x, y in ranges])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, kind)], ["doc_id", "text", "removed"])
+
+    return run
+
+
+def dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, sentences: bool = False) -> DataFrame:
     """doc_id, text without what earlier documents or earlier places have, removed (ranges of code points, end exclusive).
 
-    One row for each row of docs. Null texts stay null and have no units; so have texts of fewer than LEAST words. Rows
+    One row for each row of docs. Null texts stay null and have no units; nor have texts of fewer than least words. Rows
     that share a doc_id count as one document: they do not take units from each other, and each keeps its own first
-    occurrence. Null ids come after all others and count as one document. Other columns are not read; an empty table
-    gives no rows.
+    occurrence. Rows without an id are a document for each text, after all ids (under 2^62), in order of the texts' hashes.
+    Other columns are not read; an empty table gives no rows.
     """
     tmp = Scratch(spark, "substring")
-    docs = small_batches(docs)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
-    sown = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit_seeds, "seed bigint, same bigint, doc bigint"), "seeds")
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(1 << 62)
+    docs = small_batches(docs).select("doc_id", "text", F.coalesce("doc_id", unnamed).alias("doc"))
+    keyed = docs.select("doc", "text")
+    sown = tmp.save(keyed.mapInArrow(_emit_seeds, "seed bigint, same bigint, doc bigint"), "seeds")
     shared = sown.groupBy("seed").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a < b").select("seed")
     near = sown.join(shared, "seed").groupBy("same").agg(F.min("doc").alias("doc"), F.collect_set("seed").alias("seeds"))
     near = tmp.save(near.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds")), "near")
@@ -249,11 +262,11 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     windows = tmp.save(late(long).groupBy("doc").agg(F.collect_set("d1").alias("windows")), "late")
     tmp.drop(long)
-    found = tmp.save(docs.select("doc_id", "text").mapInArrow(_emit, "d1 bigint, d2 bigint, doc bigint"), "units")
+    found = tmp.save(keyed.mapInArrow(_emit(least, sentences), "d1 bigint, d2 bigint, doc bigint"), "units")
     others = late(found).select("doc", F.struct("d1", "d2").alias("u")).distinct().groupBy("doc").agg(F.collect_list("u").alias("others"))
     others = tmp.finish(others.join(windows, "doc", "full"))
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(others, "doc", "left")
-    return rows.select("doc_id", "text", "others", "windows").mapInArrow(_cut, "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
+    rows = docs.join(others, "doc", "left")
+    return rows.select("doc_id", "text", "others", "windows").mapInArrow(_cut(least, sentences), "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_passages_inside_lines(spark):
         (7, "On ea. " * 40),
         (None, f"intro\n{passage}"),
     ]
-    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), 8, True).collect()}
     texts = dict(docs)
     assert out[1].text == texts[1] and not out[1].removed
     assert out[3].text == "Some opening that nobody else has written down here. And an end of its own with several words."
@@ -31,10 +31,59 @@ def test_passages_inside_lines(spark):
         assert r.text is None or "".join(left) + texts[k][last:] == r.text
 
 
+def brute(docs, least):
+    """doc_id -> word places that go: of lines and of windows that an earlier document or an earlier place has."""
+    norm = lambda s: tuple(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in s)) if w)
+    owner, lost = {}, {}
+    parsed = {}
+    for d, t in sorted(docs):
+        at, parts = 0, []
+        for line in (t or "").split("\n"):
+            parts.append((at, at + len(norm(line))))
+            at = parts[-1][1]
+        words = norm(t or "")
+        spans = [(a, b) for a, b in parts if b - a >= least]
+        for k, (a, b) in enumerate(parts):  # runs from and up to a short line that has words
+            if 0 < b - a < least:
+                onto = next((e for _, e in parts[k:] if e - a >= least), None)
+                back = next((s for s, e in parts[k::-1] if e > s and b - s >= least), None)
+                spans += ([(a, onto)] if onto else []) + ([(back, b)] if back is not None else [])
+        spans += [(0, len(words))] if len(words) >= substring.LONG else []
+        spans += [(a, a + substring.LONG) for a in range(len(words) - substring.LONG + 1)]
+        parsed[d] = (words, sorted(set(spans)))
+        for a, b in spans:
+            owner.setdefault(words[a:b], d)
+    for d, (words, spans) in parsed.items():
+        own, gone = {}, set()
+        for a, b in spans:
+            key = words[a:b]
+            if owner[key] != d:
+                gone.update(range(a, b))
+            elif key in own:
+                gone.update(range(max(a, own[key]), b))
+            own.setdefault(key, b)
+        lost[d] = gone
+    return lost
+
+
+def removed_places(text, removed):
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    return {i for i, (a, b) in enumerate(places) if any(x.start <= a and b <= x.end for x in removed)}
+
+
+def test_against_brute_force(spark, documents):
+    """What goes is what brute force says, word by word, and all else is still there."""
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    texts, want = dict(docs), brute(docs, substring.LEAST)
+    assert sum(map(bool, want.values())) > 5
+    for r in substring.dedup(spark, documents).collect():
+        assert removed_places(texts[r.doc_id], r.removed) == want[r.doc_id], r.doc_id
+
+
 def test_nothing_long_repeats(spark, documents):
-    """After the pass no eight-word sentence-aligned piece is in two documents, and unrepeated ones are all still there."""
+    """After the pass no line of eight words or more is in two documents, if units are that short, and first ones are still there."""
     docs = [(r.doc_id, r.text) for r in documents.collect()]
-    out = {r.doc_id: r.text for r in substring.dedup(spark, documents).collect()}
+    out = {r.doc_id: r.text for r in substring.dedup(spark, documents, 8, True).collect()}
     seen, first = {}, {}
     norm = lambda s: tuple(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", s.lower()) if w)
     for d, t in sorted(docs):
@@ -50,6 +99,13 @@ def test_nothing_long_repeats(spark, documents):
     assert len(out) == len(docs)
 
 
+def test_unnamed_documents_are_apart(spark):
+    line = "a line that is long enough to be a unit of its own as it has more than twenty words in it and a few more"
+    docs = [(None, f"{line}\nfirst"), (None, f"{line}\nsecond"), (None, f"{line}\nsecond"), (3, "nothing else"), ((1 << 61), f"{line}\nthird")]
+    out = substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(r.text for r in out) == sorted([f"{line}\nthird", "first", "nothing else", "second", "second"])
+
+
 def test_awkward(spark, awkward):
     assert substring.dedup(spark, awkward).count() == awkward.count()
     assert substring.dedup(spark, awkward.limit(0)).count() == 0
@@ -109,7 +165,7 @@ def test_blocks_of_short_lines(spark):
         (5, "one two\nthree four\n" * 30),
         (6, f"{verse}\nA line of its own that has more than eight words in it."),
     ]
-    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    out = {r.doc_id: r for r in substring.dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), 8, True).collect()}
     assert out[1].text == docs[0][1] and out[4].text == docs[3][1]
     assert out[2].text == "Another start\nanother end"
     assert out[3].text.strip() == "A heading"
