@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a cell, about.
@@ -92,15 +92,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents that the mix emits, with copy_no from 1: a document that is emitted twice has two rows.
 
-    Rows that share doc_id, source and size share what is emitted for any of them, dealt out in order.
+    Rows that share doc_id, source and size share what is emitted for any of them, dealt out in order of the texts' hashes.
+    All columns stay; where docs has a copy_no, as when a mix is mixed, the new one is _copy_no.
     """
-    c = copies(spark, docs, seed).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_each"))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    rank = Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(1))
-    sized = sized.withColumn("_nth", F.row_number().over(rank))
-    both = sized.join(c.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_each"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    many = both.withColumn("_copies", F.element_at("_each", F.col("_nth"))).filter("_copies > 0")
-    return many.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no"))
+    number, nth, copies_, size, doc, src, words, each = unused(docs, "copy_no", "nth", "copies", "size", "mixed_id", "mixed_source", "mixed_size", "mixed_each")
+    c = copies(spark, docs, seed).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias(each))
+    c = c.select(F.col("doc_id").alias(doc), F.col("source").alias(src), F.col("size").alias(words), each)
+    rank = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
+    sized = docs.withColumn(size, word_count(F.col("text"))).withColumn(nth, F.row_number().over(rank))
+    both = sized.join(c, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(size) == F.col(words)))
+    many = both.withColumn(copies_, F.element_at(F.col(each), F.col(nth))).filter(F.col(copies_) > 0)
+    return many.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int"))).alias(number))
 
 
 SQL = f"""
