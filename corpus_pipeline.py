@@ -11,42 +11,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, lines, minhash, mixing, toxicity
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, unused
 
 
-def _filtered(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in decided (distinct ids, null included)."""
-    ids = decided.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each document, and that column's name.
+
+    A document is a doc_id with a text: its number is the doc_id, but for null ids, and ids that several texts share, it is a
+    negative hash of id and text, which no given id that is not negative can be. Rows that repeat are one document.
+    """
+    (own,) = unused(docs, "document")
+    th = F.xxhash64("text")
+    several = docs.select("doc_id", th.alias("th")).groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo < hi AND doc_id IS NOT NULL")
+    hashed = F.xxhash64("doc_id", "text").bitwiseOR(-(1 << 63))
+    if several.isEmpty():
+        return docs.withColumn(own, F.coalesce("doc_id", hashed)), own
+    several = several.select(F.col("doc_id").alias(f"{own}_id"))
+    marked = docs.join(several, F.col("doc_id") == F.col(f"{own}_id"), "left")
+    return marked.withColumn(own, F.when(F.col(f"{own}_id").isNull(), F.coalesce("doc_id", hashed)).otherwise(hashed)).drop(f"{own}_id"), own
+
+
+def _kept(docs: DataFrame, own: str, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose number is a doc_id of kept."""
+    ids = kept.select(F.col("doc_id").alias(f"{own}_kept"))
+    return docs.join(ids, F.col(own) == F.col(f"{own}_kept"), "left_semi").drop(own)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of a model trained on the labels, held-out ones aside."""
+    """Documents that score below the threshold of a model trained on the labels, held-out ones aside.
+
+    Each row is judged by its own text: null and empty ones stay, rows that repeat stay or go together. All columns stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(spark, docs, labels, ~toxicity.held_out(F.col("doc_id")))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are like an earlier one."""
+    """All documents and columns, without lines that are like an earlier one; null and empty texts lose nothing, and rows that
+    repeat lose the same lines."""
     return lines.dedup_lines(spark, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group, at five words and 0.8."""
-    found = minhash.near_duplicates(spark, docs, 5, 80)
-    return _filtered(docs, found.filter("kept").select("doc_id").distinct())
+    """The document with the least id of each near-duplicate group, at five words and 0.8; documents without an id come first.
+
+    Null, empty and wordless texts are like nothing and stay. Rows that repeat are one document and stay together. Texts
+    that share an id, or have none, are judged each for itself. An empty table gives no rows, and all columns stay.
+    """
+    docs, own = _identified(docs)
+    found = minhash.near_duplicates(spark, docs.select(F.col(own).alias("doc_id"), "text"), 5, 80)
+    return _kept(docs, own, found.filter("kept").select("doc_id").distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontam.overlap(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = found.groupBy("doc_id").agg(F.bool_or("contaminated").alias("bad")).filter("NOT bad")
-    return _filtered(docs, clean)
+    """Documents that are not contaminated by the benchmark.
+
+    Null, empty and wordless texts are clean. Texts that share an id, or have none, are judged each for itself, and rows that
+    repeat alike. An empty table gives no rows, and all columns stay.
+    """
+    docs, own = _identified(docs)
+    found = decontam.overlap(spark, docs.select(F.col(own).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _kept(docs, own, found.filter("NOT contaminated").select("doc_id").distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix emits, with copy_no."""
+    """What the mix emits, with copy_no (_copy_no, if there is such a column): a document that it takes twice has two rows.
+
+    A null text has size 0 and a null source is a source; rows that repeat are documents of their own. Columns stay.
+    """
     return mixing.mix(spark, docs)
 
 
