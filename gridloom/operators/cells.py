@@ -81,33 +81,32 @@ def band(cost: Column) -> Column:
     return F.when(cost <= COSTS.safe, "safe").when(cost <= COSTS.caution, "caution").otherwise("lethal")
 
 
-def _leaf(df: DataFrame, size: int, mean: Column) -> DataFrame:
-    df = df.withColumn("size_mm", F.lit(size)).withColumn("dz", F.col("z_max") - F.col("z_min")).withColumn("mean_z", mean)
-    df = df.withColumn("slope", slope(F.col("dz"), size))
-    args = [F.col(c) for c in ("mean_z", "dz", "z_max", "n", "slope", "point_cost")]
-    df = df.withColumn("cost", first_cost(*args))
-    return df.select("frame_id", "size_mm", "gx", "gy", "z_min", "z_max", "dz", "n", "mean_z", "slope", "cost")
-
-
 def leaves(points: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """Leaves of the adaptive grid: coarse cells, and quarters of a side where ground meets obstacle.
 
     gx and gy count cells of the leaf's own size from the bounds' corner. mean_z is the mean of a coarse cell's points and
     the middle of a fine cell's range. Points beyond the bounds do not count; cells of fewer than 3 points have no leaf.
+    Points are read and shuffled once: fine cells are added up to coarse ones, which keep them, at most 16, as an array.
     """
     if "cost" not in points.columns:
         points = points.withColumn("cost", F.lit(0))
-    inside = within_bounds(points, b)
-    cells = classify(coarse(inside, b))
-    whole = _leaf(cells.where("kind IN ('coarse', 'solid')"), GRID.coarse, F.col("sum_z") / F.col("n"))
-    split = cells.where("kind = 'fine'").select("frame_id", F.col("gx").alias("_gx"), F.col("gy").alias("_gy"))
-    top = (b.x_max - b.x_min) // GRID.coarse - 1, (b.y_max - b.y_min) // GRID.coarse - 1
-    keyed = inside.withColumn("_gx", F.least(cell("x_mm", GRID.coarse, b.x_min), F.lit(top[0]))).withColumn("_gy", F.least(cell("y_mm", GRID.coarse, b.y_min), F.lit(top[1])))
-    keyed = keyed.join(split, ["frame_id", "_gx", "_gy"], "left_semi")
-    ftop = (b.x_max - b.x_min) // GRID.fine - 1, (b.y_max - b.y_min) // GRID.fine - 1
-    fx, fy = F.least(cell("x_mm", GRID.fine, b.x_min), F.lit(ftop[0])), F.least(cell("y_mm", GRID.fine, b.y_min), F.lit(ftop[1]))
-    quarter = keyed.groupBy("frame_id", fx.alias("gx"), fy.alias("gy")).agg(F.min("z_mm").alias("z_min"), F.max("z_mm").alias("z_max"), F.count(F.lit(1)).alias("n"), F.max("cost").alias("point_cost"))
-    return whole.unionByName(_leaf(quarter, GRID.fine, (F.col("z_min") + F.col("z_max")) / 2))
+    ratio = GRID.coarse // GRID.fine
+    fine = coarse(within_bounds(points, b), b, GRID.fine)
+    part = F.struct("gx", "gy", "z_min", "z_max", "n", "sum_z", "point_cost")
+    own = fine.groupBy("frame_id", F.floor(F.col("gx") / ratio).alias("cx"), F.floor(F.col("gy") / ratio).alias("cy"))
+    cells = own.agg(
+        F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"), F.sum("n").alias("n"), F.sum("sum_z").alias("sum_z"), F.sum("n_obstacle").alias("n_obstacle"),
+        F.max("point_cost").alias("point_cost"), F.collect_list(part).alias("parts"),
+    ).withColumnsRenamed({"cx": "gx", "cy": "gy"})
+    kinds = classify(cells).where("kind <> 'sparse'")
+    split = F.col("kind") == "fine"
+    size = F.when(split, GRID.fine).otherwise(GRID.coarse).alias("size_mm")
+    found = kinds.select("frame_id", size, F.explode(F.when(split, F.col("parts")).otherwise(F.array(part))).alias("cell")).select("frame_id", "size_mm", "cell.*")
+    mean = F.when(F.col("size_mm") == GRID.coarse, F.col("sum_z") / F.col("n")).otherwise((F.col("z_min") + F.col("z_max")) / 2)
+    found = found.withColumn("dz", F.col("z_max") - F.col("z_min")).withColumn("mean_z", mean)
+    found = found.withColumn("slope", slope(F.col("dz"), F.col("size_mm")))
+    args = [F.col(c) for c in ("mean_z", "dz", "z_max", "n", "slope", "point_cost")]
+    return found.select("frame_id", "size_mm", "gx", "gy", "z_min", "z_max", "dz", "n", "mean_z", "slope", first_cost(*args).alias("cost"))
 
 
 def evaluate(leaves_: DataFrame) -> DataFrame:
@@ -181,6 +180,28 @@ def snapped(cells: DataFrame) -> DataFrame:
     return moved.drop("_d", "_near", "_far", "_s").withColumn("cell_id", cell_id(F.col("zone"), F.col("size_mm"), F.col("x"), F.col("y")))
 
 
+def cell_of_point(points: DataFrame) -> DataFrame:
+    """points with zone, size_mm, cx, cy (metres) and cell_id of the foveated cell each one is in by itself.
+
+    Where the cell's footprint crosses a border between zones, its centre is scaled so that the footprint ends at the border,
+    on the side of the point's zone. Points beyond the last zone have size 500 mm and are not moved.
+    """
+    p = points.withColumn("zone", zone(F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm")))
+    p = p.withColumn("size_mm", F.coalesce(resolution(F.col("zone")), F.lit(ZONES[-1][1])))
+    middle = lambda c: (F.floor(F.col(c) / F.col("size_mm")) + 0.5) * F.col("size_mm") / 1000.0
+    p = p.withColumn("_x", middle("x_mm")).withColumn("_y", middle("y_mm"))
+    half = F.col("size_mm") / 2000.0
+    lo = lambda v: F.greatest(F.abs(v) - half, F.lit(0.0))
+    p = p.withColumn("_near", F.hypot(lo(F.col("_x")), lo(F.col("_y")))).withColumn("_far", F.hypot(F.abs("_x") + half, F.abs("_y") + half))
+    scale = F.lit(1.0)
+    for k in (3, 2, 1):  # of two borders that are crossed, the inner one counts
+        border = ZONES[k - 1][0] / 1000.0
+        inward, outward = (border - 1e-4) / F.greatest(F.col("_far"), F.lit(1e-6)), (border + 1e-4) / F.greatest(F.col("_near"), F.lit(1e-6))
+        scale = F.when((F.col("_near") < border) & (F.col("_far") > border), F.when(F.col("zone") == k, inward).otherwise(outward)).otherwise(scale)
+    p = p.withColumn("_s", scale).withColumn("cx", F.col("_x") * F.col("_s")).withColumn("cy", F.col("_y") * F.col("_s"))
+    return p.withColumn("cell_id", cell_id(F.col("zone"), F.col("size_mm"), F.col("cx"), F.col("cy"))).drop("_x", "_y", "_near", "_far", "_s")
+
+
 def cell_id(zone_: Column, size: Column, x: Column, y: Column) -> Column:
     """Text id of a cell from its zone, size and centre in metres."""
     return F.format_string("z%d_%sm_%+09.4f_%+09.4f", zone_, F.format_string("%.2f", size / 1000.0), x, y)

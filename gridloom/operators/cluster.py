@@ -57,25 +57,39 @@ def bev_components(points: DataFrame, size: int = CELL) -> DataFrame:
     return keyed.join(labelled, ["frame_id", "cx", "cy"]).drop("cx", "cy")
 
 
+def _neighbours(xyz: np.ndarray, eps: float) -> list[np.ndarray]:
+    """Of each point, the points within eps, itself included, in order; compared with those of the 27 cells around it alone."""
+    keys = np.floor(xyz / eps).astype(np.int64)
+    at: dict[tuple, list[int]] = {}
+    for i, k in enumerate(map(tuple, keys.tolist())):
+        at.setdefault(k, []).append(i)
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(xyz)
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    for k, own in at.items():
+        around = np.array(sorted(j for d in steps for j in at.get((k[0] + d[0], k[1] + d[1], k[2] + d[2]), ())))
+        for i in own:
+            out[i] = around[((xyz[around] - xyz[i]) ** 2).sum(1) <= eps * eps]
+    return out
+
+
 def dbscan_labels(xyz: np.ndarray, eps: float, least: int) -> np.ndarray:
     """-1 for noise; clusters of cores in order of their first core, border points in the first cluster that reaches them."""
     n = len(xyz)
-    near = ((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(-1) <= eps * eps
-    core = near.sum(1) >= least
-    a, b = np.nonzero(np.triu(near & core[:, None] & core[None, :], 1))
-    root = _roots(n, list(zip(a.tolist(), b.tolist(), strict=True)))
+    near = _neighbours(xyz, eps)
+    core = np.array([len(v) >= least for v in near], bool)
+    root = _roots(n, [(i, int(j)) for i in range(n) if core[i] for j in near[i] if j > i and core[j]])
     names = {r: k for k, r in enumerate(dict.fromkeys(root[core].tolist()))}
     out = np.full(n, -1)
     for i in range(n):
         if core[i]:
             out[i] = names[int(root[i])]
-        elif (reach := np.flatnonzero(near[i] & core)).size:
+        elif len(reach := near[i][core[near[i]]]):
             out[i] = min(names[int(root[j])] for j in reach)
     return out
 
 
 def dbscan(points: DataFrame, eps: int = 450, least: int = 6) -> DataFrame:
-    """points with label by density; for frames of a few points (all pairs of a frame are compared)."""
+    """points with label by density; a frame is one group, whose points are compared within 27 cells of eps each."""
     schema = ", ".join(f"{k} {t}" for k, t in points.dtypes) + ", label bigint"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +100,39 @@ def dbscan(points: DataFrame, eps: int = 450, least: int = 6) -> DataFrame:
     return points.groupBy("frame_id").applyInPandas(run, schema)
 
 
+def geometric(points: DataFrame, voxel: int = 150, eps: int = 450, least: int = 6, smallest: int = 200) -> DataFrame:
+    """Objects by geometry alone: voxels, density clusters, and a box around each; lengths in millimetres.
+
+    frame_id, label, n, the box's corners and doubled centre, and its sides, of at least `smallest`.
+    """
+    from gridloom.operators.points import first_per_voxel
+
+    found = dbscan(first_per_voxel(points, voxel), eps, least).where("label >= 0")
+    sides = [f(f"{a}_mm").alias(f"{a}_{e}") for a in "xyz" for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = found.groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n"), *sides).where(F.col("n") >= least)
+    extra = {f"{a}_centre2": F.col(f"{a}_lo") + F.col(f"{a}_hi") for a in "xyz"}
+    extra |= {f"{a}_side": F.greatest(F.col(f"{a}_hi") - F.col(f"{a}_lo"), F.lit(smallest)) for a in "xyz"}
+    return boxes.withColumns(extra).withColumn("kind", F.lit("obstacle"))
+
+
+def candidates(clusters: DataFrame, porous: DataFrame, boxes: DataFrame) -> DataFrame:
+    """What the tracker is given: rigid clusters and a detector's boxes, with source geometric or model; metres.
+
+    clusters: frame_id, label, corners, kind; porous: frame_id, label, is_porous; boxes: frame_id, x, y, length, width,
+    height, vx, vy and optionally kind. Order within a frame (det_id) is clusters by label, then boxes by place.
+    """
+    soft = porous.where("is_porous").select("frame_id", "label")
+    rigid = clusters.join(soft, ["frame_id", "label"], "left_anti")
+    half = lambda a: (F.col(f"{a}_lo") + F.col(f"{a}_hi")) / 2000.0
+    side = lambda a: (F.col(f"{a}_hi") - F.col(f"{a}_lo")) / 1000.0
+    nothing = F.lit(None).cast("double")
+    own = rigid.select("frame_id", F.lit("geometric").alias("source"), F.col("label").alias("_o"), half("x").alias("x"), half("y").alias("y"), nothing.alias("vx"), nothing.alias("vy"), side("x").alias("length"), side("y").alias("width"), side("z").alias("height"), "kind")
+    kinds = F.col("kind") if "kind" in boxes.columns else F.lit("vehicle")
+    given = boxes.select("frame_id", F.lit("model").alias("source"), F.lit(0).cast("bigint").alias("_o"), "x", "y", "vx", "vy", "length", "width", "height", kinds.alias("kind"))
+    order = per_frame().orderBy("source", "_o", "x", "y", "length", "width", "height")
+    return own.unionByName(given).withColumn("det_id", F.row_number().over(order) - 1).drop("_o")
+
+
 def clustered(points: DataFrame, small: int = 60) -> DataFrame:
     """Labels by components in frames of more than small points of the region, by density in the others."""
     r = region(points).withColumn("_n", F.count(F.lit(1)).over(per_frame()))

@@ -104,6 +104,53 @@ def threat_probability(height_mm: Column, brightness: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-50.0)), F.lit(50.0))))
 
 
+def brightness(points: DataFrame, column: str = "intensity") -> DataFrame:
+    """points with brightness 0..1: intensity by 255 in frames that have any above 1, else as it is, cut to 0..1; 0.2 if null."""
+    v = F.col(column).cast("double")
+    scale = F.when(F.max(v).over(per_frame()) > 1, 255.0).otherwise(1.0)
+    return points.withColumn("brightness", F.coalesce(F.least(F.greatest(v / scale, F.lit(0.0)), F.lit(1.0)), F.lit(0.2)))
+
+
+def candidates(points: DataFrame, height: str, most: int = 120) -> DataFrame:
+    """Of the points 10 to 80 mm over the ground (column height), the `most` brightest of each frame, with slot and place.
+
+    Ties go by point_idx. The chosen are dealt by fives, in order of point_idx, into slots; what does not fill one has none.
+    """
+    own = points.where(F.col(height).between(10, 80))
+    own = own.withColumn("_b", F.row_number().over(per_frame().orderBy(F.desc("i_pct"), "point_idx"))).where(F.col("_b") <= most).drop("_b")
+    rank, n = F.row_number().over(per_frame().orderBy("point_idx")) - 1, F.count(F.lit(1)).over(per_frame())
+    own = own.withColumn("_r", rank).withColumn("_n", n)
+    slot = F.when(F.col("_r") < F.col("_n") - F.col("_n") % 5, F.expr("_r div 5").cast("int"))
+    return own.withColumn("slot", slot).withColumn("place", F.when(slot.isNotNull(), (F.col("_r") % 5).cast("int"))).drop("_r", "_n")
+
+
+def slot_threats(chosen: DataFrame, model, height: str) -> DataFrame:
+    """frame_id, point_idx, p: a model's greatest probability over a candidate's slot; null unless the model is READY.
+
+    A frame's slots are one input: heights (times 5.5) and brightness in two rows of a padded buffer, as models.slots deals
+    them, and the model answers with a logit for each place. Candidates without a slot have probability 0.
+    """
+    from gridloom.functions import models
+
+    if model.predict is None:
+        return chosen.select("frame_id", "point_idx", F.lit(None).cast("double").alias("p"))
+    predict = model.predict
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("point_idx")
+        full = frame[frame.slot.notna()]
+        out = pd.Series(0.0, index=frame.index)
+        for first in range(0, int(full.slot.max()) + 1 if len(full) else 0, 24):
+            own = full[(full.slot >= first) & (full.slot < first + 24)]
+            x = np.stack([models.slots((own[height] / 1000 * 5.5).tolist()), models.slots((own.i_pct / 100).clip(0, 1).tolist())])[None]
+            p = 1 / (1 + np.exp(-np.clip(np.asarray(predict(x)).reshape(-1), -50, 50)))
+            at = (10 + (own.slot - first) * 20 + own.place).astype(int).to_numpy()
+            out[own.index] = pd.Series(p[at], index=own.index).groupby(own.slot).transform("max")
+        return pd.DataFrame({"frame_id": frame.frame_id, "point_idx": frame.point_idx, "p": out})
+
+    return chosen.select("frame_id", "point_idx", "slot", "place", "i_pct", height).groupBy("frame_id").applyInPandas(run, "frame_id bigint, point_idx bigint, p double")
+
+
 def thin_hazards(points: DataFrame, height: str, threshold: float = 0.75, size: int = 350, least: int = 5, most: int = 20) -> DataFrame:
     """Clusters of points 10 to 80 mm over the ground (column height, millimetres) that look like a threat.
 
@@ -130,22 +177,32 @@ def label_counts(points: DataFrame) -> DataFrame:
     return points.groupBy("frame_id").agg(n(0).alias("ground"), n(1).alias("vegetation"), n(2).alias("rigid"), n(3).alias("dynamic"), n(2, 3).alias("obstacle"))
 
 
-def windows(points: DataFrame, size: int = 512) -> DataFrame:
-    """Consecutive windows of a frame's heights, padded with zeros: frame_id, w, heights."""
-    w = points.withColumn("w", F.expr(f"point_idx div {size}"))
+def windows(points: DataFrame, size: int = 512, stride: int | None = None) -> DataFrame:
+    """Windows of a frame's heights that start every stride points (size, unless given), padded with zeros: frame_id, w, heights."""
+    stride = stride or size
+    low = F.greatest(F.lit(0), F.ceil((F.col("point_idx") - size + 1) / stride)).cast("bigint")
+    w = points.withColumn("w", F.explode(F.sequence(low, F.expr(f"point_idx div {stride}"))) if stride < size else F.expr(f"point_idx div {stride}"))
+    w = w.where(F.col("point_idx") < F.col("w") * stride + size)
     own = w.groupBy("frame_id", "w").agg(F.array_sort(F.collect_list(F.struct("point_idx", "z_mm"))).alias("p"))
     z = F.transform("p", lambda p: p["z_mm"])
     return own.select("frame_id", "w", F.concat(z, F.array_repeat(F.lit(0).cast("bigint"), size - F.size("p"))).alias("heights"))
 
 
-def spherical(points: DataFrame, rows: int = 64, columns: int = 1024, up: float = 3.0, down: float = -25.0, mirror: bool = False) -> DataFrame:
-    """points with u, v of a range image and r in metres; -1 outside the field of view or within 0.1 m."""
+def spherical(points: DataFrame, rows: int = 64, columns: int = 1024, up: float = 3.0, down: float = -25.0, mirror: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:
+    """points with u, v of a range image and r in metres; -1 outside the field of view or the range from near to far.
+
+    The plain form takes all beyond 0.1 m. The mirrored one turns the other way round, holds u within the image and takes
+    what is between 0.5 and 80 m.
+    """
+    near, far = near if near is not None else 0.5 if mirror else 0.1, far if far is not None else 80.0 if mirror else None
     x, y, z = (F.col(c) / 1000.0 for c in ("x_mm", "y_mm", "z_mm"))
     r = F.sqrt(x * x + y * y + z * z)
     yaw, pitch = F.atan2(y, x) * (-1 if mirror else 1), F.asin(z / F.greatest(r, F.lit(1e-9)))
     u = F.floor(0.5 * (1 - yaw / float(np.pi)) * columns)
+    u = F.least(F.greatest(u, F.lit(0)), F.lit(columns - 1)) if mirror else u
     v = F.floor((1 - (F.degrees(pitch) - down) / (up - down)) * rows)
-    ok = (r > 0.1) & u.between(0, columns - 1) & v.between(0, rows - 1)
+    ok = (r > near) & u.between(0, columns - 1) & v.between(0, rows - 1)
+    ok = ok if far is None else ok & (r < far)
     return points.withColumn("r", r).withColumn("u", F.when(ok, u).otherwise(-1).cast("int")).withColumn("v", F.when(ok, v).otherwise(-1).cast("int"))
 
 

@@ -87,6 +87,37 @@ def bresenham(x1: int, y1: int, most: int = 60) -> list[tuple[int, int]]:
     return out
 
 
+def ray(x1: Column, y1: Column, most: int = 60) -> Column:
+    """bresenham() as an expression: array of n, kx, ky. At step n the lesser axis has gone ceil(n * lesser / greater - 1/2)."""
+    dx, dy = F.abs(x1), F.abs(y1)
+    long, short = F.greatest(dx, dy), F.least(dx, dy)
+
+    def at(n: Column) -> Column:
+        aside = F.when(long == 0, 0).otherwise(F.ceil((2 * n * short - long) / (2 * long))).cast("int")
+        kx, ky = F.when(dx >= dy, n).otherwise(aside), F.when(dx >= dy, aside).otherwise(n)
+        return F.struct(n.alias("n"), (kx * F.signum(x1).cast("int")).alias("kx"), (ky * F.signum(y1).cast("int")).alias("ky"))
+
+    return F.transform(F.sequence(F.lit(0), F.least(long, F.lit(most - 1))), at)
+
+
+def restored(leaves: DataFrame, memory: DataFrame, degraded: DataFrame, step_mm: int = 100) -> DataFrame:
+    """leaves (with x_mm, y_mm) whose mean_z (millimetres) in a blind quadrant is the remembered height of their place.
+
+    memory: frame_id, kx, ky (cells of step_mm), z (metres); degraded: frame_id, quadrants. Leaves without memory stay.
+    """
+    d = degraded.select(F.col("frame_id").alias("_f"), F.col("quadrants").alias("_q"))
+    m = memory.select(F.col("frame_id").alias("_m"), F.col("kx").alias("_kx"), F.col("ky").alias("_ky"), F.col("z").alias("_z"))
+    x, y = F.col("x_mm"), F.col("y_mm")
+    inside = ((y >= 0) & (x > 0) | (x == 0) & (y == 0), ((y > 0) & (x <= 0)) | ((y == 0) & (x < 0)), (y < 0) & (x < 0), (y < 0) & (x >= 0))
+    own = F.lit(None).cast("string")
+    for name, here in zip(QUADRANTS, inside, strict=True):
+        own = F.when(here, name).otherwise(own)
+    key = lambda c: F.rint(c / step_mm).cast("bigint")
+    j = leaves.join(d, F.col("frame_id") == F.col("_f"), "left").withColumn("_blind", F.coalesce(F.array_contains(F.split("_q", ","), own), F.lit(False)))
+    j = j.join(m, F.col("_blind") & (F.col("frame_id") == F.col("_m")) & (key(x) == F.col("_kx")) & (key(y) == F.col("_ky")), "left")
+    return j.withColumn("mean_z", F.coalesce(F.col("_z") * 1000, "mean_z")).drop("_f", "_q", "_blind", "_m", "_kx", "_ky", "_z")
+
+
 def footprints(tracks: DataFrame) -> DataFrame:
     """0.5 m cells (kx, ky) around each track: a square that holds a circle of half its greater extent and 0.3 m."""
     r = F.greatest("length", "width") / 2 + 0.3
@@ -108,15 +139,11 @@ def cleared(leaves: DataFrame, tracks: DataFrame, rays: int = 3) -> DataFrame:
     last = footprints(tracks.withColumn("frame_id", F.col("frame_id") + 1))
     left = last.join(now, ["frame_id", "kx", "ky"], "left_anti").withColumn("left", F.lit(True))
 
-    @F.udf("array<struct<n:int,kx:int,ky:int>>")
-    def ray(x: float, y: float) -> list[tuple[int, int, int]]:
-        return [(n, a, b) for n, (a, b) in enumerate(bresenham(round(x * 2), round(y * 2)))]
-
     ends = tracks.withColumn("frame_id", F.col("frame_id") + 1).withColumn("d", F.hypot("x", "y")).where("d > 0.2")
     ends = ends.withColumn("a", F.explode(F.array(*[F.lit(0.2 * (i - rays // 2)) for i in range(rays)])))
     far = (F.col("d") + 3) / F.col("d")
     ends = ends.select("frame_id", "track_id", "a", ((F.col("x") * F.cos("a") - F.col("y") * F.sin("a")) * far).alias("ex"), ((F.col("x") * F.sin("a") + F.col("y") * F.cos("a")) * far).alias("ey"))
-    path = ends.select("frame_id", "track_id", "a", F.explode(ray("ex", "ey")).alias("s")).select("frame_id", "track_id", "a", "s.*")
+    path = ends.select("frame_id", "track_id", "a", F.explode(ray(F.rint(F.col("ex") * 2).cast("int"), F.rint(F.col("ey") * 2).cast("int"))).alias("s")).select("frame_id", "track_id", "a", "s.*")
     path = path.join(now.withColumn("hit", F.lit(1)), ["frame_id", "kx", "ky"], "left")
     blocked = F.max("hit").over(Window.partitionBy("frame_id", "track_id", "a").orderBy("n"))
     seen = path.withColumn("_b", blocked).where("_b IS NULL").select("frame_id", "kx", "ky").distinct().withColumn("seen", F.lit(True))

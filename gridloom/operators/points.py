@@ -95,18 +95,11 @@ def dust_large(points: DataFrame, k: int = 15, reach: int = 55_000, least: int =
     return p.where(keep).select(*points.columns)
 
 
-def neighbour_distances(points: DataFrame, k: int, radius: int) -> DataFrame:
-    """frame_id, point_idx, mean distance to the k nearest other points, for points with k of them within radius."""
-    pairs = near_join(points.select("frame_id", "point_idx", "x_mm", "y_mm", "z_mm"), points.select("frame_id", "point_idx", "x_mm", "y_mm", "z_mm"), radius).where("point_idx <> r_point_idx")
-    order = Window.partitionBy("frame_id", "point_idx").orderBy("d2", "r_point_idx")
-    nearest = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    return nearest.groupBy("frame_id", "point_idx").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.sqrt("d2") * 1000).cast("bigint")) / k).alias("mean_um")).where(F.col("n") == k).drop("n")
-
-
 def dust_small(points: DataFrame, k: int = 15, ratio: float = 2.0, reach: int = 55_000) -> DataFrame:
     """Points of small frames whose mean distance to their k nearest is at most mean + ratio standard deviations.
 
-    Exact: distances come from an all-pairs join within a frame, which suits frames of up to 1500 points. Frames with k
+    Exact: distances come from an all-pairs join within a frame, which suits the frames of up to 1500 points that dust()
+    gives it; larger ones are for dust_large(). Frames with k
     points or fewer, or without spread, stay whole; points beyond reach stay.
     """
     near = F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm") <= reach * reach
@@ -125,6 +118,13 @@ def dust_small(points: DataFrame, k: int = 15, ratio: float = 2.0, reach: int =
     return points.join(gone, ["frame_id", "point_idx"], "left_anti")
 
 
+def dust(points: DataFrame, small: int = 1500) -> DataFrame:
+    """Dust goes from each frame by the rule for its size: dust_small() for frames of up to `small` points, else dust_large()."""
+    sized = points.withColumn("_n", F.count(F.lit(1)).over(per_frame()))
+    few, many = sized.where(F.col("_n") <= small).drop("_n"), sized.where(F.col("_n") > small).drop("_n")
+    return dust_small(few).unionByName(dust_large(many))
+
+
 def outside_boxes(points: DataFrame, boxes: DataFrame, margin: int = 200) -> DataFrame:
     """Points in none of their frame's boxes (x_lo, x_hi, y_lo, y_hi, z_lo, z_hi) grown by margin; boxes come a few a frame."""
     b = boxes.select(F.col("frame_id").alias("_f"), *[F.col(f"{a}_{e}").alias(f"_{a}_{e}") for a in "xyz" for e in ("lo", "hi")])

@@ -115,8 +115,11 @@ def inpainted(cells: DataFrame, nx: int = NX, ny: int = NY) -> DataFrame:
     return g.withColumn("cost", cost).where("cost IS NOT NULL").select(*KEY, "cost", "w", F.round("z").cast("bigint").alias("z_um"))
 
 
-def beam_gaps(leaves: DataFrame) -> DataFrame:
-    """Empty cells between two flat ones of nearly the same height, along y before x: height in micrometres."""
+def beam_gaps(leaves: DataFrame, most: int | None = None) -> DataFrame:
+    """Empty cells between two flat ones of nearly the same height, along y before x: height in micrometres.
+
+    At most `most` a frame, by row and column, if it is given: the pool that a bounded map would take them from.
+    """
     own = leaves.where(f"size_mm = {GRID.coarse} AND cost <= 50").select(*KEY, (F.col("dz") < 50).alias("flat"), F.round(F.col("mean_z") * 1000).cast("bigint").alias("z"))
     out = None
     for rank, axis, other in ((0, "gy", "gx"), (1, "gx", "gy")):
@@ -125,7 +128,10 @@ def beam_gaps(leaves: DataFrame) -> DataFrame:
         hit = step.where((F.col("_a") == F.col(axis) + 2) & F.col("flat") & F.col("_f") & (F.abs(F.col("z") - F.col("_z")) < 100_000))
         hit = hit.select("frame_id", (F.col(axis) + 1).alias(axis), other, ((F.col("z") + F.col("_z")) / 2).alias("z_um"), F.lit(rank).alias("rank"))
         out = hit.select(*KEY, "z_um", "rank") if out is None else out.unionByName(hit.select(*KEY, "z_um", "rank"))
-    return out.groupBy(*KEY).agg(F.min_by("z_um", "rank").alias("z_um"))
+    found = out.join(own.select(*KEY), KEY, "left_anti").groupBy(*KEY).agg(F.min_by("z_um", "rank").alias("z_um"))
+    if most is None:
+        return found
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy("frame_id").orderBy("gy", "gx"))).where(F.col("_r") <= most).drop("_r")
 
 
 def coarsened(leaves: DataFrame) -> DataFrame:
@@ -183,11 +189,17 @@ def occupancy_grid(leaves: DataFrame, hazards: DataFrame | None = None, pixels:
     return px.groupBy("frame_id", "row", "col").agg(F.max(F.struct("seq", "v")).alias("m")).select("frame_id", "row", "col", F.col("m.v").alias("value"))
 
 
-def grid_message(pixels_: DataFrame, pixels: int = 400) -> DataFrame:
-    """A frame's raster as one row-major array of bytes, -1 where unknown."""
+def grid_message(pixels_: DataFrame, pixels: int = 400, size: int = 100, x0: int = -20_000, y0: int = -20_000, time: DataFrame | None = None, name: str = "base_link") -> DataFrame:
+    """A frame's raster as a message: header (stamp, frame name), info (resolution and origin in metres, width, height), and
+    data, one row-major array of bytes, -1 where unknown. time: frame_id, t (epoch seconds); 0 without it."""
+    from gridloom.operators.telemetry import stamp
+
     side = F.explode(F.sequence(F.lit(0), F.lit(pixels - 1)))
     every = pixels_.select("frame_id").distinct().select("frame_id", side.alias("row")).select("frame_id", "row", side.alias("col"))
     full = every.join(pixels_, ["frame_id", "row", "col"], "left").select("frame_id", "row", "col", F.coalesce("value", F.lit(-1)).cast("tinyint").alias("value"))
-    rows = full.groupBy("frame_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda p: p["value"]).alias("values"))
-    data = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "values"))), lambda r: r["values"]))
-    return rows.groupBy("frame_id").agg(data.alias("data")).select("frame_id", F.lit(pixels).alias("width"), F.lit(pixels).alias("height"), "data")
+    rows = full.groupBy("frame_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value")))["value"].alias("values"))
+    whole = rows.groupBy("frame_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("row", "values")))["values"]).alias("data"))
+    whole = whole.withColumn("t", F.lit(0.0)) if time is None else whole.join(time, "frame_id", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    header = F.struct(stamp(F.col("t")).alias("stamp"), F.lit(name).alias("frame"))
+    info = F.struct(F.lit(size / 1000).alias("resolution"), F.lit(pixels).alias("width"), F.lit(pixels).alias("height"), F.lit(x0 / 1000).alias("origin_x"), F.lit(y0 / 1000).alias("origin_y"))
+    return whole.select("frame_id", header.alias("header"), info.alias("info"), F.lit(pixels).alias("width"), F.lit(pixels).alias("height"), "data")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.cells import band, drivable
 
+#: Columns of the three logs.
 HEALTH = "timestamp double, loop_fps double, latency_ms double, active_quadtree_cells bigint, ram_usage_mb double, vram_usage_mb double"
 TRACKS = "timestamp double, track_id bigint, object_class string, pos_x double, pos_y double, vel_x double, vel_y double, speed double, heading double"
 HAZARDS = "timestamp double, hazard_type string, location_x double, location_y double, clearance_margin double, action_taken string"
@@ -117,6 +120,16 @@ def replay_delays(recording: DataFrame, key: str, speed: float = 1.0) -> DataFra
     return recording.withColumn("delay_ms", F.greatest(F.lit(16.0), (F.lead("elapsed_ms").over(w) - F.col("elapsed_ms")) / speed))
 
 
+def session_seconds(recording: DataFrame, key: str) -> DataFrame:
+    """How long each recording lasts."""
+    return recording.groupBy(key).agg(((F.max("elapsed_ms") - F.min("elapsed_ms")) / 1000).alias("seconds"))
+
+
+def reconnect_delays(attempt: Column, first_s: int = 1, most_s: int = 8) -> Column:
+    """Seconds to wait before the attempt-th try (from 0) to reconnect: doubled each time, up to most_s."""
+    return F.least(F.lit(float(first_s)) * F.pow(F.lit(2.0), F.least(attempt, F.lit(30))), F.lit(float(most_s)))
+
+
 def recording_problems(recording: DataFrame, key: str, most: int = 600) -> DataFrame:
     """Of each recording: frames, how many go back in time or lie outside a day, and whether it can be replayed."""
     w = Window.partitionBy(key).orderBy("frame")
@@ -128,12 +141,27 @@ def recording_problems(recording: DataFrame, key: str, most: int = 600) -> DataF
 def throttled(rows: DataFrame, key: str, time: str, tie: str, gap_s: float) -> DataFrame:
     """Rows of each key at least gap_s after the last one taken, starting with its first.
 
-    Taking is sequential within a key; only times and ties are gathered, and a key's rows fold in generated code.
+    A row at least gap_s after the row before it is taken whatever came earlier, so a key's rows fall into runs that start
+    with such a row and are independent. Within a run, which holds times and ties alone, each taken row is found from the
+    last one by a binary search.
     """
-    own = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tie).alias("i")))).alias("e"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    take = lambda s, e: F.when(e["t"] >= s["last"] + gap_s, F.struct(e["t"].alias("last"), F.array_append(s["ids"], e["i"]).alias("ids"))).otherwise(s)
-    return own.select(key, F.explode(F.aggregate("e", start, take, lambda s: s["ids"])).alias(tie))
+    schema = f"{key} {dict(rows.dtypes)[key]}, {tie} {dict(rows.dtypes)[tie]}"
+    order = Window.partitionBy(key).orderBy("_t", tie)
+    own = rows.select(key, tie, F.col(time).cast("double").alias("_t"))
+    start = F.coalesce(F.col("_t") - F.lag("_t").over(order) >= gap_s, F.lit(True))
+    own = own.withColumn("_start", F.when(start, F.col("_t"))).withColumn("_run", F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    alone = F.count(F.lit(1)).over(Window.partitionBy(key, "_run")) == 1
+    own = own.withColumn("_alone", alone)
+
+    def take(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values(["_t", tie])
+        t, at, taken = run._t.to_numpy(), 0, []
+        while at < len(t):
+            taken.append(at)
+            at = max(at + 1, int(np.searchsorted(t, t[at] + gap_s, "left")))
+        return run.iloc[taken][[key, tie]]
+
+    return own.where("_alone").select(key, tie).unionByName(own.where("NOT _alone").groupBy(key, "_run").applyInPandas(take, schema))
 
 
 def stale_gaps(rows: DataFrame, key: str, time: str, tie: str, limit_s: float = 3.0) -> DataFrame:
@@ -166,9 +194,91 @@ def visible(leaves: DataFrame, low: int = -5000, high: int = 10_000) -> DataFram
 
 
 def class_group(name: Column) -> Column:
-    """vehicle, person, cycle or other, by what a class name contains."""
+    """vehicle, pedestrian, animal or obstacle, by what a class name contains; null is an obstacle."""
     has = lambda p: name.rlike(f"(?i){p}")
-    return F.when(has("car|truck|bus|vehicle|van"), "vehicle").when(has("ped|person|human"), "person").when(has("cycl|bike"), "cycle").otherwise("other")
+    return F.when(has("vehicle|car|truck|bus"), "vehicle").when(has("pedestrian|person|human"), "pedestrian").when(has("animal|dog|cow|cattle"), "animal").otherwise("obstacle")
+
+
+#: Fixed values of the viewer: height and scale of a tile by band, and of one that nothing was seen of; floor of what is unknown or high.
+TILES = {"lethal": (0.20, 0.98), "caution": (0.10, 0.98), "safe": (0.04, 1.02)}
+UNSEEN, FLOOR = (0.01, 0.96), -1.68
+
+
+def viewer_tiles(leaves: DataFrame, semantic: bool = False) -> DataFrame:
+    """leaves with effective_cost, tile_height, scale and floor (metres), as the viewer draws them.
+
+    Unobserved leaves (cost -1, or no mean_z) cost -1. The road costs 0. Others cost their semantic_cost in semantic mode and
+    their cost otherwise, each standing in for the other where it is null; 0 without both.
+    """
+    own = F.col("semantic_cost") if "semantic_cost" in leaves.columns else F.lit(None).cast("int")
+    first, second = (own, F.col("cost")) if semantic else (F.col("cost"), own)
+    unseen = F.coalesce(F.col("cost") == -1, F.lit(False)) | F.col("mean_z").isNull()
+    effective = F.when(unseen, -1).when(drivable(F.col("mean_z"), F.col("dz"), F.col("z_max")), 0).otherwise(F.coalesce(first, second, F.lit(0)))
+    t = leaves.withColumn("effective_cost", effective.cast("int"))
+    shown = lambda k: F.when(F.col("effective_cost") < 0, UNSEEN[k]).when(F.col("effective_cost") > 180, TILES["lethal"][k]).when(F.col("effective_cost") > 50, TILES["caution"][k]).otherwise(TILES["safe"][k])
+    floor = F.when((F.col("effective_cost") >= 0) & (F.col("z_min") < -1000), F.col("z_min") / 1000.0).otherwise(FLOOR)
+    return t.withColumn("tile_height", shown(0)).withColumn("scale", shown(1)).withColumn("floor", floor)
+
+
+def layer(tracks: DataFrame, mode: str = "all") -> DataFrame:
+    """Tracks that a layer shows: all, static (those not dynamic) or dynamic."""
+    return tracks if mode == "all" else tracks.where(F.col("is_dynamic") if mode == "dynamic" else ~F.coalesce("is_dynamic", F.lit(False)))
+
+
+def object_table(tracks: DataFrame, most: int = 20) -> DataFrame:
+    """The first `most` objects of each frame by track_id, as text of two digits: position, velocity, speed, and heading in degrees."""
+    order = Window.partitionBy("frame_id").orderBy("track_id")
+    own = tracks.withColumn("row", F.row_number().over(order)).where(F.col("row") <= most)
+    pair = lambda a, b: F.format_string("%.2f, %.2f", F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)))
+    speed = F.coalesce(F.hypot("vx", "vy"), F.lit(0.0))
+    shown = F.when(speed > 0, F.format_string("%.2f m/s", speed)).otherwise("0.00 m/s (Stationary)")
+    heading = F.format_string("%.1f", F.coalesce(F.degrees(F.atan2("vy", "vx")), F.lit(0.0)))
+    return own.select("frame_id", "row", "track_id", pair("x", "y").alias("position"), pair("vx", "vy").alias("velocity"), shown.alias("speed"), heading.alias("heading"))
+
+
+def normalised(objects: DataFrame) -> DataFrame:
+    """Objects of a frame in one form: x, y, z, vx, vy from position and velocity arrays or from columns of those names, speed,
+    heading (radians, from heading, heading_deg or the velocity), dimensions by class where there are fewer than three, is_dynamic.
+
+    Columns that are absent count as null; what is null everywhere is 0.
+    """
+    have = lambda c, t: F.col(c).cast(t) if c in objects.columns else F.lit(None).cast(t)
+    place, motion = have("position", "array<double>"), have("velocity", "array<double>")
+    at = lambda a, i, c: F.coalesce(F.get(a, F.lit(i)), have(c, "double"), F.lit(0.0)).alias(c)
+    o = objects.select(*[c for c in objects.columns if c not in ("x", "y", "z", "vx", "vy", "speed", "heading", "position", "velocity", "dimensions", "is_dynamic")], at(place, 0, "x"), at(place, 1, "y"), at(place, 2, "z"), at(motion, 0, "vx"), at(motion, 1, "vy"),
+        have("speed", "double").alias("speed"), have("heading", "double").alias("heading"), have("heading_deg", "double").alias("_deg"), have("dimensions", "array<double>").alias("dimensions"), have("is_dynamic", "boolean").alias("is_dynamic"), have("class", "string").alias("_class"))
+    o = o.withColumn("speed", F.coalesce("speed", F.hypot("vx", "vy"))).withColumn("heading", F.coalesce("heading", F.radians("_deg"), F.atan2("vy", "vx")))
+    usual = F.when(F.col("_class") == "vehicle", F.array(*map(F.lit, (1.9, 4.2, 1.6)))).otherwise(F.array(*map(F.lit, (0.6, 0.6, 1.75))))
+    whole = F.coalesce(F.size("dimensions") >= 3, F.lit(False))
+    return o.withColumn("dimensions", F.when(whole, F.col("dimensions")).otherwise(usual)).withColumn("is_dynamic", F.coalesce("is_dynamic", F.col("speed") > 0.05)).drop("_deg", "_class")
+
+
+def frame_statistics(points: DataFrame, leaves: DataFrame, tracks: DataFrame, thin: DataFrame, drops: DataFrame, clusters: DataFrame, health: DataFrame) -> DataFrame:
+    """One row for each frame of points (with is_ground): counts, ratios, states and modelled memory, as far as they derive from data.
+
+    point_count, ground_points, obstacle_points, ground_inlier_ratio; cell_count and its bands and sizes, refinement_ratio;
+    active_tracks, dynamic_tracks, parked_cars, thin_hazards, negative_obstacles; system_status and degraded_quadrants;
+    modelled bytes of the leaves and of a uniform grid. Counts of what a frame lacks are 0. Timings are the caller's: see
+    stage_latency().
+    """
+    from gridloom.operators.cells import band_counts, memory_model
+
+    one = lambda df, name: df.groupBy("frame_id").agg(F.count(F.lit(1)).alias(name))
+    p = points.groupBy("frame_id").agg(F.count(F.lit(1)).alias("point_count"), F.count_if("is_ground").alias("ground_points"), F.count_if(~F.col("is_ground")).alias("obstacle_points"))
+    bands = band_counts(leaves)
+    memory = memory_model(bands.select("frame_id", "leaves")).drop("leaves")
+    t = tracks.groupBy("frame_id").agg(F.count(F.lit(1)).alias("active_tracks"), F.count_if("is_dynamic").alias("dynamic_tracks"))
+    parked = clusters.groupBy("frame_id").agg(F.count_if(F.col("kind") == "parked_car").alias("parked_cars"))
+    parts = [bands.withColumnsRenamed({"leaves": "cell_count", "safe": "safe_cells", "caution": "caution_cells", "lethal": "hazard_cells", "coarse": "coarse_cells", "fine": "fine_cells"}), t, parked, one(thin, "thin_hazards"), one(drops, "negative_obstacles")]
+    out = p
+    for part in parts:
+        out = out.join(part, "frame_id", "left")
+    counted = [c for c in out.columns if c != "frame_id"]
+    out = out.na.fill(0, counted).join(memory, "frame_id", "left")
+    state = health.select("frame_id", F.when(F.col("is_degraded"), "DEGRADED").otherwise("NOMINAL").alias("_state"), F.col("quadrants").alias("_q"))
+    out = out.join(state, "frame_id", "left").withColumn("system_status", F.coalesce("_state", F.lit("NOMINAL"))).withColumn("degraded_quadrants", F.coalesce("_q", F.lit(""))).drop("_state", "_q")
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return out.withColumn("ground_inlier_ratio", ratio("ground_points", "point_count")).withColumn("refinement_ratio", ratio("fine_cells", "cell_count"))
 
 
 def sweep_box(points: DataFrame) -> DataFrame:
@@ -216,14 +326,14 @@ def shares(counts: DataFrame, *columns: str) -> DataFrame:
 
 
 #: Length and width that the viewer draws for a class without extent, metres.
-FOOTPRINTS = {"vehicle": (4.2, 1.8), "person": (0.6, 0.6), "cycle": (1.8, 0.6), "other": (1.0, 1.0)}
+FOOTPRINTS = {"vehicle": (4.2, 1.9), "animal": (1.2, 0.7), "pedestrian": (0.6, 0.6), "obstacle": (0.9, 0.9)}
 
 
 def footprint(length: Column, width: Column, name: Column) -> tuple[Column, Column]:
     """Length and width, by class where they are missing or not positive."""
     out = []
     for k, given in enumerate((length, width)):
-        usual = F.lit(FOOTPRINTS["other"][k])
+        usual = F.lit(FOOTPRINTS["obstacle"][k])
         for group, size in FOOTPRINTS.items():
             usual = F.when(class_group(name) == group, size[k]).otherwise(usual)
         out.append(F.when(given > 0, given).otherwise(usual))
@@ -252,3 +362,16 @@ def retained(memory: DataFrame, most: int = 15_000) -> DataFrame:
     """The cells of each sensor's terrain memory that stay: the most recently first seen (first, kx, ky)."""
     order = Window.partitionBy("sensor_id").orderBy(F.desc("first"), "kx", "ky")
     return memory.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
+LOGS = {"system_health": HEALTH, "dynamic_tracks_history": TRACKS, "hazard_events": HAZARDS}
+
+
+def log_rows(rows: DataFrame, log: str) -> DataFrame:
+    """rows in the columns of a log, in order; columns that are absent are null, except that speed and heading of tracks
+    come from the velocity."""
+    if log == "dynamic_tracks_history":
+        moving = {"speed": F.hypot("vel_x", "vel_y"), "heading": F.atan2("vel_y", "vel_x")}
+        rows = rows.withColumns({c: v for c, v in moving.items() if c not in rows.columns})
+    columns = [c.split() for c in LOGS[log].split(", ")]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.operators.assignment import assign
 
@@ -44,8 +45,12 @@ def predicted(t: Track, dt: float) -> Track:
     return replace(t, x=t.x + t.vx * dt, y=t.y + t.vy * dt, px=t.px + t.pvx * dt * dt + 0.05, py=t.py + t.pvy * dt * dt + 0.05, pvx=t.pvx + 0.20, pvy=t.pvy + 0.20, age=t.age + 1, misses=t.misses + 1)
 
 
-def updated(t: Track, zx: float, zy: float, velocity: tuple[float, float] | None = None) -> Track:
-    """Corrected by a measurement; small innovations damp slow motion instead of feeding it."""
+def _known(v: float | None) -> bool:
+    return v is not None and math.isfinite(v)
+
+
+def updated(t: Track, zx: float, zy: float, velocity: tuple[float | None, float | None] | None = None) -> Track:
+    """Corrected by a measurement; small innovations damp slow motion instead of feeding it. A measured velocity counts by axis."""
     rx, ry = zx - t.x, zy - t.y
     kx, ky = t.px / (t.px + R), t.py / (t.py + R)
     gx, gy = t.pvx * t.dt / (t.px + R), t.pvy * t.dt / (t.py + R)
@@ -57,8 +62,9 @@ def updated(t: Track, zx: float, zy: float, velocity: tuple[float, float] | None
         vx, vy = vx + gx * rx, vy + gy * ry
     if math.hypot(vx, vy) < STILL:
         vx = vy = 0.0
-    if velocity is not None and all(map(math.isfinite, velocity)):
-        vx, vy = 0.7 * vx + 0.3 * velocity[0], 0.7 * vy + 0.3 * velocity[1]
+    mx, my = velocity if velocity is not None else (None, None)
+    vx = 0.7 * vx + 0.3 * mx if _known(mx) else vx
+    vy = 0.7 * vy + 0.3 * my if _known(my) else vy
     less = lambda p, g: max(0.05, p * max(0.1, 1 - g * t.dt))
     return replace(t, x=t.x + kx * rx, y=t.y + ky * ry, vx=vx, vy=vy, px=t.px * (1 - kx), py=t.py * (1 - ky), pvx=less(t.pvx, gx), pvy=less(t.pvy, gy))
 
@@ -72,17 +78,16 @@ def step(tracks: list[Track], next_id: int, detections: list[dict], dt: float) -
         for i, j in assign(cost):
             if cost[i, j] <= GATE:
                 d = detections[j]
-                v = (d["vx"], d["vy"]) if d.get("vx") is not None and d.get("vy") is not None else None
-                tracks[i] = replace(updated(tracks[i], d["x"], d["y"], v), hits=tracks[i].hits + 1, misses=0, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"])
+                tracks[i] = replace(updated(tracks[i], d["x"], d["y"], (d.get("vx"), d.get("vy"))), hits=tracks[i].hits + 1, misses=0, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"])
                 free.discard(j)
     tracks = [t for t in tracks if t.misses <= COAST and t.px + t.py + t.pvx + t.pvy < 10]
     for j in sorted(free):
         if len(tracks) >= MOST:
             break
         d = detections[j]
-        known = d.get("vx") is not None and d.get("vy") is not None
-        pv = 1.0 if known else 2.0
-        tracks.append(Track(next_id, d["x"], d["y"], d["vx"] if known else 0.0, d["vy"] if known else 0.0, 0.5, 0.5, pv, pv, dt, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"]))
+        vx, vy = (v if _known(v) else 0.0 for v in (d.get("vx"), d.get("vy")))
+        pv = 1.0 if vx or vy else 2.0  # a velocity of 0 is as uncertain as none
+        tracks.append(Track(next_id, d["x"], d["y"], vx, vy, 0.5, 0.5, pv, pv, dt, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"]))
         next_id += 1
     return tracks, next_id
 
@@ -115,3 +120,15 @@ def track(detections: DataFrame, dt: float = 0.1) -> DataFrame:
         return run(int(group.sensor_id.iloc[0]), group, [], 0, dt)[0]
 
     return detections.groupBy("sensor_id").applyInPandas(own, SCHEMA)
+
+
+def derived(tracks: DataFrame, confirm: int = 3, dynamic: float = 0.25) -> DataFrame:
+    """tracks with speed, heading (radians), velocity_rmse, is_confirmed and is_dynamic.
+
+    velocity_rmse is a quarter of the root of the mean velocity variance (pv) over the hits, between 0.04 and 1.2.
+    """
+    speed = F.hypot("vx", "vy")
+    spread = F.greatest(F.col("pv"), F.lit(0.0)) / F.greatest(F.col("hits"), F.lit(1))
+    sure = F.col("hits") >= confirm
+    out = {"speed": speed, "heading": F.atan2("vy", "vx"), "velocity_rmse": F.least(F.greatest(F.sqrt(spread) * 0.25, F.lit(0.04)), F.lit(1.2)), "is_confirmed": sure, "is_dynamic": sure & (speed >= dynamic)}
+    return tracks.withColumns(out)

@@ -48,7 +48,7 @@ QUERIES = {
     "cost_bands": lambda s, d: op.evaluate(_leaves(s, d)).groupBy(op.band(F.col("cost")).alias("band")).agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("points")),
     "quad_split_levels": lambda s, d: op.split_levels(points(s, d)),
     "foveated_cells": lambda s, d: op.foveated(wide(s, d)).select("frame_id", "zone", "size_mm", "ix", "iy", "z_min", "z_max", "dz", "n", "sum_z", _micro("variance"), "cost"),
-    "foveated_snapped": lambda s, d: op.snapped(op.foveated(wide(s, d))).select("frame_id", "zone", "ix", "iy", F.round(F.col("x") * 1e4).cast("bigint").alias("x"), F.round(F.col("y") * 1e4).cast("bigint").alias("y"), F.length("cell_id").alias("id_length")),
+    "foveated_snapped": lambda s, d: op.snapped(op.foveated(wide(s, d))).select("frame_id", "zone", "ix", "iy", F.round(F.col("x") * 1e4).cast("bigint").alias("x"), F.round(F.col("y") * 1e4).cast("bigint").alias("y"), "cell_id"),
     "foveated_resolved": lambda s, d: op.resolve_overlaps(op.snapped(op.foveated(wide(s, d)))).groupBy("frame_id", "zone").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("points")),
     "zone_counts": lambda s, d: op.foveated(wide(s, d)).groupBy("frame_id", "zone").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("points")),
     "unobserved_cells": lambda s, d: op.unobserved(op.uniform(points(s, d), 500).withColumn("gx", F.col("gx") + 16).withColumn("gy", F.col("gy") + 8), NEAR, 500),
@@ -120,7 +120,7 @@ ORACLE = {
             WHEN zone = 1 AND rf >= 10 THEN -(rf - 10 + 1e-4) WHEN zone = 2 AND rn < 10 THEN 10 - rn + 1e-4 WHEN zone = 2 AND rf >= 25 THEN -(rf - 25 + 1e-4)
             WHEN zone = 3 AND rn < 25 THEN 25 - rn + 1e-4 WHEN zone = 3 AND rf >= 50 THEN -(rf - 50 + 1e-4) WHEN zone = 4 AND rn < 50 THEN 50 - rn + 1e-4 ELSE 0 END AS shift FROM b),
       e AS (SELECT *, x * (1 + shift / dist) AS x2, y * (1 + shift / dist) AS y2 FROM c)
-      SELECT frame_id, zone, ix, iy, round(x2 * 1e4)::BIGINT AS x, round(y2 * 1e4)::BIGINT AS y, length(printf('z%d_%.2fm_%+09.4f_%+09.4f', zone, size_mm / 1000.0::DOUBLE, x2, y2))::INTEGER AS id_length FROM e""",
+      SELECT frame_id, zone, ix, iy, round(x2 * 1e4)::BIGINT AS x, round(y2 * 1e4)::BIGINT AS y, printf('z%d_%.2fm_%+09.4f_%+09.4f', zone, size_mm / 1000.0::DOUBLE, x2, y2) AS cell_id FROM e""",
     "zone_counts": f"WITH {WIDE}, {_FOV} SELECT frame_id, zone, count(*) AS cells, sum(n)::BIGINT AS points FROM fov GROUP BY 1, 2",
     "unobserved_cells": f"""WITH {P}, u AS (SELECT DISTINCT frame_id, floor(x_mm / 500.0::DOUBLE)::BIGINT + 16 AS gx, floor(y_mm / 500.0::DOUBLE)::BIGINT + 8 AS gy FROM p)
       SELECT frame_id, gx, gy, -1 AS cost FROM (SELECT DISTINCT frame_id FROM p), range(32) a(gx), range(16) b(gy) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.frame_id = p.frame_id AND u.gx = a.gx AND u.gy = b.gy)""",

@@ -65,7 +65,7 @@ def _terrain(s, d):
 
 
 def _quadrants(s, d):
-    return health.quadrant_counts(points(s, d)).withColumn("sensor_id", F.lit(0).cast("bigint"))
+    return health.quadrant_counts(points(s, d)).withColumn("sensor_id", F.expr("frame_id div 8"))
 
 
 def _ghosts(s, d):
@@ -73,14 +73,14 @@ def _ghosts(s, d):
 
     l = centres(_leaves(s, d)).withColumn("x", F.col("x_mm") / 1000).withColumn("y", F.col("y_mm") / 1000)
     t = tracks(s, d)
-    return health.cleared(l, t).groupBy("frame_id", "cost").agg(F.count(F.lit(1)).alias("cells"))
+    return health.cleared(l, t).select("frame_id", "size_mm", "gx", "gy", "cost")
 
 
 def _degraded(s, d):
     from gridloom.operators.spatial import centres
 
     bad = points(s, d).select("frame_id").distinct().select("frame_id", F.when(F.col("frame_id") % 2 == 0, "FRONT_LEFT").otherwise("FRONT_RIGHT").alias("quadrants"))
-    return health.inflated(centres(_leaves(s, d)), bad).groupBy("frame_id", "cost").agg(F.count(F.lit(1)).alias("cells"))
+    return health.inflated(centres(_leaves(s, d)), bad).select("frame_id", "size_mm", "gx", "gy", "cost")
 
 
 def _boxes(s, d):
@@ -111,8 +111,7 @@ QUERIES = {
     "cluster_merge": lambda s, d: cluster.merged_summaries(_summaries(s, d)),
     "porosity": lambda s, d: cluster.porosity(points(s, d).withColumn("label", F.expr("(x_mm + 8000) div 1000 * 8 + (y_mm + 4000) div 1000"))),
     "bev_nms": lambda s, d: cluster.suppress(_boxes(s, d)).select("frame_id", "class", "box_id"),
-    "pillar_stats": lambda s, d: cluster.pillars(points(s, d), 400, 51_200, 5, 150).select(*_PILLAR, _micro("mean_x", 10), _micro("mean_z", 10), (F.col("from_x") * 2).cast("bigint").alias("from_x2")),
-    "pillar_stats_full": lambda s, d: cluster.pillars(points(s, d)).select(*_PILLAR, _micro("mean_x", 10), _micro("mean_z", 10), (F.col("from_x") * 2).cast("bigint").alias("from_x2")),
+    "pillar_stats": lambda s, d: cluster.pillars(points(s, d)).select(*_PILLAR, _micro("mean_x", 10), _micro("mean_z", 10), (F.col("from_x") * 2).cast("bigint").alias("from_x2")),
     "track_step": _tracks_seen,
     "velocity_rmse": _rmse,
     "terrain_blend": _terrain,
@@ -121,7 +120,7 @@ QUERIES = {
     "ghost_clear": _ghosts,
     "degraded_inflation": _degraded,
     "payload_cells_capped": lambda s, d: tm.capped(_leaves(s, d), 60).select("frame_id", "size_mm", "gx", "gy", "cost"),
-    "served_leaves": lambda s, d: tm.served(_leaves(s, d)).groupBy("frame_id", "band", "color").agg(F.count(F.lit(1)).alias("cells")),
+    "served_leaves": lambda s, d: tm.served(_leaves(s, d)).select("frame_id", "size_mm", "gx", "gy", "cost", "band", "color"),
     "raw_points_stride": lambda s, d: tm.raw_points(points(s, d), 200).select("frame_id", F.size("xyz").alias("size"), F.element_at("xyz", 1).alias("x0"), F.element_at("xyz", -1).alias("z1"), F.aggregate("xyz", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total")),
     "telemetry_frame": lambda s, d: tm.frames(_leaves(s, d), tracks(s, d), 50),
     "frame_validation": _validated,
@@ -154,9 +153,9 @@ ORACLE = {
         (count(*) * sum(z_mm * z_mm) - sum(z_mm) * sum(z_mm))::DOUBLE / count(*) ** 2 / 1e6 AS vz FROM p GROUP BY 1, 2),
       e AS (SELECT *, CASE WHEN n < 3 THEN dz BETWEEN 150 AND 1300 WHEN NOT dz BETWEEN 150 AND 1300 OR i >= 75 * n THEN false WHEN i <= 60 * n THEN true ELSE spread > 0.02 AND vz > 0.005 END AS is_porous FROM c)
       SELECT frame_id, label, n, dz, is_porous, CASE WHEN is_porous THEN 20 ELSE 255 END AS cost FROM e""",
-    "pillar_stats": f"""WITH {P}, a AS (SELECT *, floor((x_mm + 51200) / 400.0::DOUBLE)::BIGINT AS px, floor((y_mm + 51200) / 400.0::DOUBLE)::BIGINT AS py FROM p WHERE x_mm BETWEEN -51200 AND 51199 AND y_mm BETWEEN -51200 AND 51199 AND z_mm BETWEEN -5000 AND 3000),
-      b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY frame_id, py, px ORDER BY point_idx) <= 5), c AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY py, px) AS k FROM b)
-      SELECT frame_id, point_idx, px, py, round(avg(x_mm) OVER w * 10)::BIGINT AS mean_x, round(avg(z_mm) OVER w * 10)::BIGINT AS mean_z, ((x_mm - (px * 400 + 200.0::DOUBLE - 51200)) * 2)::BIGINT AS from_x2 FROM c WHERE k <= 150 WINDOW w AS (PARTITION BY frame_id, py, px)""",
+    "pillar_stats": f"""WITH {P}, a AS (SELECT *, floor((x_mm + 51200) / 200.0::DOUBLE)::BIGINT AS px, floor((y_mm + 51200) / 200.0::DOUBLE)::BIGINT AS py FROM p WHERE x_mm BETWEEN -51200 AND 51199 AND y_mm BETWEEN -51200 AND 51199 AND z_mm BETWEEN -5000 AND 3000),
+      b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY frame_id, py, px ORDER BY point_idx) <= 20), c AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY py, px) AS k FROM b)
+      SELECT frame_id, point_idx, px, py, round(avg(x_mm) OVER w * 10)::BIGINT AS mean_x, round(avg(z_mm) OVER w * 10)::BIGINT AS mean_z, ((x_mm - (px * 200 + 100.0::DOUBLE - 51200)) * 2)::BIGINT AS from_x2 FROM c WHERE k <= 30000 WINDOW w AS (PARTITION BY frame_id, py, px)""",
     "terrain_blend": f"""WITH RECURSIVE {P}, o AS (SELECT frame_id % 2 AS sensor_id, round_even(x_mm / 100.0::DOUBLE, 0)::BIGINT AS kx, round_even(y_mm / 100.0::DOUBLE, 0)::BIGINT AS ky, frame_id, min(z_mm) / 1000.0::DOUBLE AS z FROM p GROUP BY 1, 2, 3, 4),
       q AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, kx, ky ORDER BY frame_id) AS k, count(*) OVER (PARTITION BY sensor_id, kx, ky) AS n FROM o),
       f AS (SELECT sensor_id, kx, ky, n, k, z, 0.005::DOUBLE AS p FROM q WHERE k = 1 UNION ALL
@@ -164,20 +163,20 @@ ORACLE = {
       SELECT sensor_id, kx, ky, n, round(z * 1e5)::BIGINT AS z, round(p * 1e7)::BIGINT AS p FROM f WHERE k = n""",
     "quadrant_counts": f"""WITH {P} SELECT frame_id, count(*) FILTER ((y_mm >= 0 AND x_mm > 0) OR (x_mm = 0 AND y_mm = 0)) AS q0, count(*) FILTER ((y_mm > 0 AND x_mm <= 0) OR (y_mm = 0 AND x_mm < 0)) AS q1,
       count(*) FILTER (y_mm < 0 AND x_mm < 0) AS q2, count(*) FILTER (y_mm < 0 AND x_mm >= 0) AS q3 FROM p GROUP BY 1""",
-    "quadrant_health": f"""WITH RECURSIVE {P}, c AS (SELECT frame_id, count(*) AS n, count(*) FILTER ((y_mm >= 0 AND x_mm > 0) OR (x_mm = 0 AND y_mm = 0)) AS a, count(*) FILTER ((y_mm > 0 AND x_mm <= 0) OR (y_mm = 0 AND x_mm < 0)) AS b FROM p GROUP BY 1),
-      k AS (SELECT *, row_number() OVER (ORDER BY frame_id) AS i FROM c),
-      f AS (SELECT i, frame_id, a, b, n > 80 AS on_, CASE WHEN n > 80 THEN a::DOUBLE ELSE 0 END AS ea, CASE WHEN n > 80 THEN b::DOUBLE ELSE 0 END AS eb FROM k WHERE i = 1 UNION ALL
-            SELECT k.i, k.frame_id, k.a, k.b, on_ OR k.n > 80, CASE WHEN on_ THEN 0.92::DOUBLE * ea + 0.08::DOUBLE * k.a WHEN k.n > 80 THEN k.a ELSE 0 END, CASE WHEN on_ THEN 0.92::DOUBLE * eb + 0.08::DOUBLE * k.b WHEN k.n > 80 THEN k.b ELSE 0 END FROM f JOIN k ON k.i = f.i + 1),
+    "quadrant_health": f"""WITH RECURSIVE {P}, c AS (SELECT frame_id, frame_id // 8 AS sensor, count(*) AS n, count(*) FILTER ((y_mm >= 0 AND x_mm > 0) OR (x_mm = 0 AND y_mm = 0)) AS a, count(*) FILTER ((y_mm > 0 AND x_mm <= 0) OR (y_mm = 0 AND x_mm < 0)) AS b FROM p GROUP BY 1),
+      k AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY frame_id) AS i FROM c),
+      f AS (SELECT sensor, i, frame_id, a, b, n > 80 AS on_, CASE WHEN n > 80 THEN a::DOUBLE ELSE 0 END AS ea, CASE WHEN n > 80 THEN b::DOUBLE ELSE 0 END AS eb FROM k WHERE i = 1 UNION ALL
+            SELECT k.sensor, k.i, k.frame_id, k.a, k.b, on_ OR k.n > 80, CASE WHEN on_ THEN 0.92::DOUBLE * ea + 0.08::DOUBLE * k.a WHEN k.n > 80 THEN k.a ELSE 0 END, CASE WHEN on_ THEN 0.92::DOUBLE * eb + 0.08::DOUBLE * k.b WHEN k.n > 80 THEN k.b ELSE 0 END FROM f JOIN k ON k.sensor = f.sensor AND k.i = f.i + 1),
       g AS (SELECT *, on_ AND ea >= 80 AND a < 0.15 * ea AS wa, on_ AND eb >= 80 AND b < 0.15 * eb AS wb FROM f)
       SELECT frame_id, wa OR wb AS is_degraded, concat_ws(',', CASE WHEN wa THEN 'FRONT_RIGHT' END, CASE WHEN wb THEN 'FRONT_LEFT' END) AS quadrants, round(ea * 1e4)::BIGINT AS front_right, round(eb * 1e4)::BIGINT AS front_left FROM g""",
     "degraded_inflation": f"""{_SUMMED}, cc AS (SELECT *, -40000 + (gx + 0.5::DOUBLE) * size_mm AS x, -35000 + (gy + 0.5::DOUBLE) * size_mm AS y FROM ev),
-      ff AS (SELECT frame_id, CASE WHEN (frame_id % 2 = 1 AND x > 0 AND y >= 0) OR (frame_id % 2 = 0 AND x <= 0 AND y > 0) THEN greatest(cost, 180) ELSE cost END AS cost FROM cc) SELECT frame_id, cost, count(*) AS cells FROM ff GROUP BY 1, 2""",
+      ff AS (SELECT frame_id, CASE WHEN (frame_id % 2 = 1 AND x > 0 AND y >= 0) OR (frame_id % 2 = 0 AND x <= 0 AND y > 0) THEN greatest(cost, 180) ELSE cost END AS cost, size_mm, gx, gy FROM cc) SELECT frame_id, size_mm, gx, gy, cost FROM ff""",
     "payload_cells_capped": f"""{_SUMMED}, a AS (SELECT *, cost = 0 AS free, count(*) FILTER (cost = 0) OVER w AS nf, count(*) FILTER (cost <> 0) OVER w AS nh FROM ev WINDOW w AS (PARTITION BY frame_id)),
       b AS (SELECT *, least(nh, greatest(0, 60 - least(nf, 30))) AS high FROM a), cc AS (SELECT *, CASE WHEN nf + nh <= 60 THEN 60 WHEN free THEN greatest(0, 60 - high) ELSE high END AS m, CASE WHEN free THEN nf ELSE nh END AS c,
       row_number() OVER (PARTITION BY frame_id, free ORDER BY size_mm, gy, gx) - 1 AS r FROM b)
       SELECT frame_id, size_mm, gx, gy, cost FROM cc WHERE c <= m OR (m = 1 AND r = 0) OR (m > 1 AND EXISTS (SELECT 1 FROM range(0, 60) t(i) WHERE i < m AND floor(i * (c - 1) / (m - 1)::DOUBLE) = r))""",
-    "served_leaves": f"""{_SUMMED}, a AS (SELECT frame_id, CASE WHEN mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0 ELSE cost END AS cost FROM ev)
-      SELECT frame_id, CASE WHEN cost <= 50 THEN 'safe' WHEN cost <= 180 THEN 'caution' ELSE 'lethal' END AS band, CASE WHEN cost <= 50 THEN 'green' WHEN cost <= 180 THEN 'yellow' ELSE 'red' END AS color, count(*) AS cells FROM a GROUP BY 1, 2, 3""",
+    "served_leaves": f"""{_SUMMED}, a AS (SELECT frame_id, size_mm, gx, gy, CASE WHEN mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0 ELSE cost END AS cost FROM ev)
+      SELECT frame_id, size_mm, gx, gy, cost, CASE WHEN cost <= 50 THEN 'safe' WHEN cost <= 180 THEN 'caution' ELSE 'lethal' END AS band, CASE WHEN cost <= 50 THEN 'green' WHEN cost <= 180 THEN 'yellow' ELSE 'red' END AS color FROM a""",
     "raw_points_stride": f"""WITH {P}, a AS (SELECT *, greatest(count(*) OVER (PARTITION BY frame_id) // 200, 1) AS s, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS r FROM p)
       SELECT frame_id, (count(*) * 3)::INTEGER AS size, arg_min(x_mm, r) AS x0, arg_max(z_mm, r) AS z1, sum(x_mm + y_mm + z_mm)::BIGINT AS total FROM a WHERE r % s = 0 GROUP BY 1""",
     "frame_summary": f"""{_SUMMED} SELECT frame_id, count(*) AS cells, count(*) FILTER (cost <= 50) AS safe, count(*) FILTER (cost > 50 AND cost <= 180) AS caution, count(*) FILTER (cost > 180) AS lethal, count(*) FILTER (cost < 50) AS strictly_safe,
@@ -207,14 +206,7 @@ ORACLE = {
 def _pipeline(s, d):
     from gridloom.plans.pipeline import process
 
-    f = process(points(s, d), tracks(s, d))
-    sizes = f.clusters.groupBy("frame_id").agg(F.count(F.lit(1)).alias("objects"))
-    thin = f.thin.groupBy("frame_id").agg(F.count(F.lit(1)).alias("thin"))
-    drops = f.drops.groupBy("frame_id").agg(F.count(F.lit(1)).alias("drops"))
-    out = f.bands
-    for x in (sizes, thin, drops):
-        out = out.join(x, "frame_id", "left")
-    return out.na.fill(0)
+    return process(points(s, d)).statistics
 
 
 QUERIES["process_frames"] = _pipeline

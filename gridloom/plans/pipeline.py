@@ -1,13 +1,14 @@
-"""The frame pipeline end to end: points to leaves with cost, clusters, hazards and a JSON frame."""
+"""The frame pipeline end to end: points to leaves with cost, tracks, hazards, rasters, statistics and a JSON frame."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import cells, cluster, ground, hazards, points as pt, raster, spatial, telemetry
+from gridloom.operators import cells, cluster, ground, hazards, health, points as pt, raster, spatial, telemetry, track
 
 
 @dataclass(frozen=True)
@@ -20,31 +21,78 @@ class Frame:
     drops: DataFrame
     clusters: DataFrame
     porous: DataFrame
+    tracks: DataFrame
+    health: DataFrame
+    raster: DataFrame
+    statistics: DataFrame
     bands: DataFrame
     documents: DataFrame
 
 
-def process(points: DataFrame, tracks: DataFrame, most_cells: int = 10_000, coarsen: bool = True) -> Frame:
-    """Bounds, decimation, dust, ground split, thin hazards, exclusion of last frame's tracks, grid, coarsening, drop-offs,
-    cost, occupancy, vegetation, forecasts, clusters and the document.
+class _Tables:
+    """Writes what several branches read under the session's spark.checkpoint.dir; without one, it stays lazy."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        where = self.spark.conf.get("spark.checkpoint.dir", None)
+        self.base = f"{where.rstrip('/')}/gridloom/frames-{uuid.uuid4().hex}" if where else None
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        if self.base is None:
+            return df
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+
+def _boxes(tracks: DataFrame) -> DataFrame:
+    """Boxes of each frame's moving tracks for the next frame, in millimetres."""
+    half = lambda c: (F.col(c) * 500).cast("bigint")
+    mm = lambda c: (F.col(c) * 1000).cast("bigint")
+    return tracks.where("is_dynamic").select((F.col("frame_id") + 1).alias("frame_id"), (mm("x") - half("length")).alias("x_lo"), (mm("x") + half("length")).alias("x_hi"), (mm("y") - half("width")).alias("y_lo"), (mm("y") + half("width")).alias("y_hi"), F.lit(-2500).alias("z_lo"), F.lit(3000).alias("z_hi"))
+
+
+def process(
+    points: DataFrame, tracks: DataFrame | None = None, boxes: DataFrame | None = None, labels: DataFrame | None = None, memory: DataFrame | None = None,
+    sensor: Column | None = None, most_cells: int = 10_000, coarsen: bool = True,
+) -> Frame:
+    """Bounds, decimation, dust by frame size, ground split, thin hazards, clusters, tracking, exclusion of last frame's
+    tracks, grid, inpainting, coarsening, drop-offs, cost, occupancy, vegetation, forecasts, ghosts, blind sectors, raster,
+    statistics and the document.
 
     terrain_cost keeps what the terrain alone gives and hazard_cost what hazards add; cost is the greater of both.
-    tracks: frame_id, track_id, x, y, vx, vy, length, width, is_dynamic (metres).
+    tracks: frame_id, track_id, x, y, vx, vy, length, width, is_dynamic (metres); made from the frames' own rigid clusters and
+    boxes (a detector's, metres) if not given, a sensor at a time (sensor: Column, 64 successive frames unless given).
+    labels: frame_id, point_idx, label; by height where there are none. memory: frame_id, kx, ky, z, remembered heights.
     """
-    clean = pt.dust_large(pt.decimate(pt.within_bounds(points), 65_000, 2))
-    split = ground.split(clean)
+    tables = _Tables(points)
+    sensor = F.expr("frame_id div 64") if sensor is None else sensor
+    split = tables.save(ground.split(pt.dust(pt.decimate(pt.within_bounds(points), 65_000, 2))), "points")
     low, high = split.where("is_ground"), split.where("NOT is_ground")
     planes = ground.fit_planes(ground.plane_sums(low))
     rises = ground.residual_to_plane(low, planes).withColumn("h", F.rint(F.col("residual") * 1000).cast("bigint"))
     thin = ground.thin_hazards(rises, "h")
-    half = lambda c: (F.col(c) * 500).cast("bigint")
-    mm = lambda c: (F.col(c) * 1000).cast("bigint")
-    boxes = tracks.where("is_dynamic").select((F.col("frame_id") + 1).alias("frame_id"), (mm("x") - half("length")).alias("x_lo"), (mm("x") + half("length")).alias("x_hi"), (mm("y") - half("width")).alias("y_lo"), (mm("y") + half("width")).alias("y_hi"), F.lit(-2500).alias("z_lo"), F.lit(3000).alias("z_hi"))
-    still = pt.outside_boxes(split.drop("is_ground"), boxes)
-    leaves = cells.evaluate(cells.leaves(still))
+
+    found = tables.save(cluster.clustered(pt.decimate(high.drop("is_ground"), 3000, 3)), "clustered")
+    objects, porous = cluster.merged_summaries(cluster.summaries(found)), cluster.porosity(found)
+    if tracks is None:
+        given = boxes if boxes is not None else points.sparkSession.createDataFrame([], "frame_id bigint, x double, y double, vx double, vy double, length double, width double, height double")
+        seen = cluster.candidates(cluster.summaries(found), porous, given)
+        empty = split.select("frame_id").distinct().join(seen.select("frame_id").distinct(), "frame_id", "left_anti")
+        frames = seen.unionByName(empty, allowMissingColumns=True).withColumn("sensor_id", sensor)
+        tracks = tables.save(track.derived(track.track(frames)).drop("sensor_id"), "tracks")
+
+    still = pt.outside_boxes(split.drop("is_ground"), _boxes(tracks))
+    leaves = tables.save(cells.leaves(still), "leaves")
+    painted = raster.inpainted(raster.cell_table(cells.evaluate(leaves)))
+    z = (F.col("z_um") / 1000).cast("double")
+    filled = painted.select("frame_id", F.lit(500).alias("size_mm"), "gx", "gy", F.floor(z).cast("bigint").alias("z_min"), F.ceil(z).cast("bigint").alias("z_max"), F.lit(0).cast("bigint").alias("dz"), F.lit(0).cast("bigint").alias("n"), z.alias("mean_z"), F.lit(0.0).alias("slope"), F.col("cost").cast("int").alias("cost"), F.lit(True).alias("inpainted"))
+    leaves = cells.evaluate(leaves).withColumn("inpainted", F.lit(False)).unionByName(filled)
     leaves = spatial.occupancy(leaves, high)
-    labelled = split.withColumn("label", ground.height_label(F.col("z_mm")))
-    leaves = spatial.vegetation(leaves, labelled)
+    own = split.withColumn("label", ground.height_label(F.col("z_mm")))
+    if labels is not None:
+        given = labels.select("frame_id", "point_idx", F.col("label").alias("_label"))
+        own = own.join(given, ["frame_id", "point_idx"], "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+    leaves = spatial.vegetation(leaves, own)
     drops = hazards.dropoffs(low)
     ahead = hazards.nearest_hazards(tracks)
     circles = (
@@ -52,7 +100,17 @@ def process(points: DataFrame, tracks: DataFrame, most_cells: int = 10_000, coar
         .unionByName(drops.select("frame_id", F.col("x_mm").cast("double").alias("x"), F.col("y_mm").cast("double").alias("y"), F.lit(600.0).alias("radius"), F.lit(255).alias("cost")))
         .unionByName(ahead.select("frame_id", (F.col("x") * 1000).alias("x"), (F.col("y") * 1000).alias("y"), (F.col("radius") * 1000).alias("radius"), "cost"))
     )
-    leaves = spatial.stamp(spatial.centres(leaves.withColumn("terrain_cost", F.col("cost"))), circles)
+    leaves = spatial.centres(leaves.withColumn("terrain_cost", F.col("cost")))
+    moving = tracks.where("is_dynamic")
+    metres = leaves.withColumn("x", F.col("x_mm") / 1000).withColumn("y", F.col("y_mm") / 1000)
+    leaves = health.cleared(metres, moving).drop("x", "y")
+    leaves = spatial.stamp(leaves, circles)
+    state = health.quadrant_health(health.quadrant_counts(split).withColumn("sensor_id", sensor), "sensor_id").drop("sensor_id")
+    blind = state.where("is_degraded").select("frame_id", "quadrants")
+    leaves = health.inflated(leaves, blind)
+    leaves = tables.save(health.restored(leaves, memory, blind) if memory is not None else leaves, "costed")
+
+    fixed = ahead.select("frame_id", (F.col("x") * 1000).alias("x"), (F.col("y") * 1000).alias("y"), (F.col("radius") * 1000).alias("radius"), "cost", "rank")
+    statistics = telemetry.frame_statistics(split, leaves, tracks, thin, drops, objects, state)
     shown = raster.coarsened(leaves) if coarsen else leaves
-    found = cluster.clustered(pt.decimate(high.drop("is_ground"), 3000, 3))
-    return Frame(clean, leaves, thin, drops, cluster.merged_summaries(cluster.summaries(found)), cluster.porosity(found), cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells))
+    return Frame(split, leaves, thin, drops, objects, porous, tracks, state, raster.occupancy_grid(leaves, fixed), statistics, cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells))

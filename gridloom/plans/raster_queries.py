@@ -21,6 +21,10 @@ def _hazards(s, d):
     return boxes(s, d).select("frame_id", F.expr("(x_lo + x_hi) div 2").alias("x"), F.expr("(y_lo + y_hi) div 2").alias("y"), F.lit(700).alias("radius"), F.when(F.col("track_id") == 0, 255).otherwise(120).alias("cost"), F.col("track_id").alias("rank"))
 
 
+def _times(s, d):
+    return points(s, d).select("frame_id").distinct().select("frame_id", (F.col("frame_id") * 0.25 + 1000).alias("t"))
+
+
 QUERIES = {
     "raster_cells": lambda s, d: _table(s, d),
     "closing_bridge": lambda s, d: raster.bridged(_table(s, d)),
@@ -30,7 +34,8 @@ QUERIES = {
     "beam_gap_fill": lambda s, d: raster.beam_gaps(_leaves(s, d)).withColumn("z_um", (F.col("z_um") * 2).cast("bigint")),
     "clearance_coarsen": lambda s, d: raster.coarsened(_leaves(s, d)).select("frame_id", "size_mm", "gx", "gy", "z_min", "z_max", "dz", "n", "cost"),
     "occupancy_grid": lambda s, d: raster.occupancy_grid(_leaves(s, d), _hazards(s, d)),
-    "occupancy_message": lambda s, d: raster.grid_message(raster.occupancy_grid(_leaves(s, d))).select("frame_id", "width", "height", F.size("data").alias("size"), F.aggregate("data", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total")),
+    "occupancy_message": lambda s, d: raster.grid_message(raster.occupancy_grid(_leaves(s, d)), time=_times(s, d)).select("frame_id", F.col("header.stamp.sec").alias("sec"), F.col("header.stamp.nanosec").alias("nanosec"), F.col("info.origin_x").alias("origin_x"), F.col("info.resolution").alias("resolution"), "width", "height", F.md5(F.array_join(F.transform("data", lambda v: v.cast("string")), ",").cast("binary")).alias("data_md5")),
+    "beam_gap_fill_capped": lambda s, d: raster.beam_gaps(_leaves(s, d), 20).withColumn("z_um", (F.col("z_um") * 2).cast("bigint")),
 }
 
 _TABLE = """rc0 AS (SELECT frame_id, CASE WHEN size_mm = 125 THEN gx // 4 ELSE gx END AS gx, CASE WHEN size_mm = 125 THEN gy // 4 ELSE gy END AS gy, size_mm, gx AS ox, gy AS oy,
@@ -90,5 +95,8 @@ ORACLE = {
       UNION ALL SELECT frame_id, 1000, bx, byy, z_min, z_max, greatest(z_max - z_min, 20), n, 0 FROM cm
       UNION ALL SELECT frame_id, CASE WHEN pinch THEN 750 ELSE 500 END, gx, gy, z_min, z_max, dz, n, CASE WHEN pinch THEN 100 WHEN wide THEN 0 ELSE cost END FROM ce WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.frame_id = ce.frame_id AND cm.bx = ce.gx // 2 AND cm.byy = ce.gy // 2)""",
     "occupancy_grid": f"{_HEAD}, {BOXES}, {_PIXELS % _HAZ} SELECT frame_id, row::INTEGER AS row, col::INTEGER AS col, value FROM px",
-    "occupancy_message": f"{_HEAD}, {_PIXELS % ''} SELECT frame_id, 400 AS width, 400 AS height, 160000 AS size, sum(value)::BIGINT - (160000 - count(*)) AS total FROM px GROUP BY 1",
+    "occupancy_message": f"""{_HEAD}, {_PIXELS % ''}, fr AS (SELECT DISTINCT frame_id FROM px), every AS (SELECT fr.frame_id, r.row, cc.col FROM fr, range(400) r(row), range(400) cc(col))
+      SELECT frame_id, floor(frame_id * 0.25::DOUBLE + 1000)::BIGINT AS sec, ((frame_id * 0.25::DOUBLE - floor(frame_id * 0.25::DOUBLE)) * 1000000000)::BIGINT AS nanosec, -20.0::DOUBLE AS origin_x, 0.1::DOUBLE AS resolution, 400 AS width, 400 AS height,
+        md5(string_agg(coalesce(value, -1)::VARCHAR, ',' ORDER BY row, col)) AS data_md5 FROM every LEFT JOIN px USING (frame_id, row, col) GROUP BY frame_id""",
 }
+ORACLE["beam_gap_fill_capped"] = f"SELECT * FROM ({ORACLE['beam_gap_fill']}) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY gy, gx) <= 20"

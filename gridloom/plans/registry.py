@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import cell_queries, object_queries, point_queries, raster_queries, terrain_queries
+from gridloom.plans import cell_queries, frame_queries, object_queries, point_queries, raster_queries, terrain_queries
 
-_MODULES = (point_queries, cell_queries, terrain_queries, raster_queries, object_queries)
+_MODULES = (point_queries, cell_queries, terrain_queries, raster_queries, object_queries, frame_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,8 +29,8 @@ def _leaves(s, d):
     return cells.evaluate(cells.leaves(points(s, d)))
 
 
-def _counts(df):
-    return df.groupBy("frame_id", "size_mm", "cost").agg(F.count(F.lit(1)).alias("cells"), F.sum("gx").alias("sum_gx"), F.sum("gy").alias("sum_gy"))
+def _rows(df):
+    return df.select("frame_id", "size_mm", "gx", "gy", "cost")
 
 
 def _coarse_means(s, d):
@@ -44,7 +44,7 @@ def _residual(s, d):
 
 def _evaluated_drops(s, d):
     drops = hazards.dropoffs(ground.split(wide(s, d)).where("is_ground"))
-    return _counts(spatial.stamp_dropoffs(spatial.centres(cells.evaluate(cells.leaves(wide(s, d)))), drops))
+    return _rows(spatial.stamp_dropoffs(spatial.centres(cells.evaluate(cells.leaves(wide(s, d)))), drops))
 
 
 _SHOW = ["frame_id", "point_idx", "x_mm", "y_mm", "z_mm", "i_pct"]
@@ -58,21 +58,21 @@ QUERIES = {
     "threat_mask_fallback": lambda s, d: ground.low_profile(points(s, d)).select("frame_id", "point_idx", "is_threat"),
     "thin_hazards": lambda s, d: ground.thin_hazards(points(s, d).withColumn("h", F.col("z_mm") + 1600), "h").select("frame_id", "gx", "gy", "first", "n", "sum_x", "sum_y", "sum_z", "x_lo", "x_hi", "y_lo", "y_hi", _micro("p"), _micro("radius", 2)),
     "height_labels": lambda s, d: _labels(s, d).select("frame_id", "point_idx", "label"),
-    "label_partition": lambda s, d: ground.label_counts(_labels(s, d)),
-    "point_windows": lambda s, d: ground.windows(points(s, d)).select("frame_id", "w", F.size("heights").alias("size"), F.aggregate("heights", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.element_at("heights", 1).alias("first"), F.element_at("heights", 512).alias("last")),
+    "label_partition": lambda s, d: ground.label_rows(_labels(s, d)),
+    "point_windows": lambda s, d: ground.windows(points(s, d)).select("frame_id", "w", F.array_join(F.transform("heights", lambda z: z.cast("string")), ",").alias("heights")),
+    "point_windows_strided": lambda s, d: ground.windows(points(s, d), 512, 128).groupBy("frame_id", "w").agg(F.first(F.array_join(F.transform("heights", lambda z: z.cast("string")), ",")).alias("heights")),
     "range_image": lambda s, d: ground.range_image(wide(s, d)).select("frame_id", "v", "u", "point_idx", _micro("r", 1e4)),
     "range_image_mirrored": lambda s, d: ground.range_image(wide(s, d), mirror=True).select("frame_id", "v", "u", "point_idx"),
     "trench_rays": lambda s, d: hazards.dropoffs(ground.split(wide(s, d)).where("is_ground")),
     "rollout_cones": lambda s, d: hazards.cones(tracks(s, d)).select("frame_id", "track_id", "t", *[_micro(c) for c in ("cx", "cy", "semi_major", "semi_minor", "heading")], F.transform("polygon", lambda v: F.round(v["x"] * 1e4).cast("bigint")).alias("px")).withColumn("px", F.aggregate("px", F.lit(0).cast("bigint"), lambda a, x: a + x)),
     "rollout_top5": lambda s, d: hazards.nearest_hazards(tracks(s, d)).select("frame_id", "rank", "track_id", "t", _micro("x"), _micro("y"), _micro("radius"), "cost"),
-    "hazard_stamp": lambda s, d: _counts(spatial.stamp(spatial.centres(_leaves(s, d)), _circles(s, d))),
+    "hazard_stamp": lambda s, d: _rows(spatial.stamp(spatial.centres(_leaves(s, d)), _circles(s, d))),
     "dropoff_stamp": _evaluated_drops,
-    "obstacle_occupancy": lambda s, d: _counts(spatial.occupancy(_leaves(s, d), points(s, d))),
-    "vegetation_scale": lambda s, d: _counts(spatial.vegetation(_leaves(s, d), _labels(s, d))),
+    "obstacle_occupancy": lambda s, d: _rows(spatial.occupancy(_leaves(s, d), points(s, d))),
+    "vegetation_scale": lambda s, d: _rows(spatial.vegetation(_leaves(s, d), _labels(s, d))),
     "trench_3x3_median": lambda s, d: spatial.local_drops(_coarse_means(s, d)).select("frame_id", "gx", "gy", "z_um", F.round(F.col("baseline") * 2).cast("bigint").alias("baseline2"), F.round(F.col("drop") * 2).cast("bigint").alias("drop2")),
-    "point_cost_containment": lambda s, d: _counts(spatial.costs_of_points(_leaves(s, d), points(s, d).where("point_idx % 401 = 0"))),
-    "point_cost_containment_full": lambda s, d: _counts(spatial.costs_of_points(_leaves(s, d), points(s, d))),
-    "excluded_points_grid": lambda s, d: cells.band_counts(cells.evaluate(cells.leaves(pt.outside_boxes(points(s, d), boxes(s, d))))),
+    "point_cost_containment": lambda s, d: _rows(spatial.costs_of_points(_leaves(s, d), points(s, d))),
+    "excluded_points_grid": lambda s, d: _rows(cells.evaluate(cells.leaves(pt.outside_boxes(points(s, d), boxes(s, d))))),
 }
 
 _PI = "3.141592653589793::DOUBLE"
@@ -85,7 +85,7 @@ _RAYS = f"""r0 AS (SELECT *, sqrt(x_mm::DOUBLE * x_mm + y_mm::DOUBLE * y_mm) AS
 r1 AS (SELECT *, count(*) OVER (PARTITION BY frame_id) AS n, lead(r) OVER w - r AS dr, z_mm - lead(z_mm) OVER w AS drop_mm FROM r0 WINDOW w AS (PARTITION BY frame_id, ray ORDER BY r, point_idx)),
 drops AS (SELECT frame_id, point_idx, x_mm, y_mm, z_mm, drop_mm FROM r1 WHERE n >= 50 AND dr >= 400 AND drop_mm >= 150)"""
 _CENTRED = "lc AS (SELECT *, -40000 + (gx + 0.5::DOUBLE) * size_mm AS x, -35000 + (gy + 0.5::DOUBLE) * size_mm AS y FROM ev)"
-_SUMMED = "SELECT frame_id, size_mm, cost::INTEGER AS cost, count(*) AS cells, sum(gx)::BIGINT AS sum_gx, sum(gy)::BIGINT AS sum_gy FROM fin GROUP BY 1, 2, 3"
+_SUMMED = "SELECT frame_id, size_mm, gx, gy, cost::INTEGER AS cost FROM fin"
 _LABEL = "CASE WHEN z_mm + 1600 >= 1000 THEN 2 WHEN z_mm + 1600 > 150 THEN 1 ELSE 0 END"
 _IMAGE = lambda sign: f"""i0 AS (SELECT *, x_mm / 1000.0::DOUBLE AS x, y_mm / 1000.0::DOUBLE AS y, z_mm / 1000.0::DOUBLE AS z FROM p), i1 AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM i0),
 i2 AS (SELECT *, floor(0.5::DOUBLE * (1 - ({sign}atan2(y, x)) / {_PI}) * 1024) AS u, floor((1 - (degrees(asin(z / greatest(r, 1e-9))) + 25) / 28.0::DOUBLE) * 64) AS v FROM i1)"""
@@ -108,9 +108,12 @@ ORACLE = {
       SELECT * REPLACE ({_M('p')} AS p), greatest(x_hi - x_lo, y_hi - y_lo) + 200 AS radius FROM g QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY first) <= 20""",
     "height_labels": f"WITH {P} SELECT frame_id, point_idx, {_LABEL} AS label FROM p",
     "label_partition": f"WITH {P}, l AS (SELECT *, {_LABEL} AS label FROM p) SELECT frame_id, count(*) FILTER (label = 0) AS ground, count(*) FILTER (label = 1) AS vegetation, count(*) FILTER (label = 2) AS rigid, count(*) FILTER (label = 3) AS dynamic, count(*) FILTER (label >= 2) AS obstacle FROM l GROUP BY 1",
-    "point_windows": f"""WITH {P} SELECT frame_id, point_idx // 512 AS w, 512 AS size, sum(z_mm)::BIGINT AS total, max(CASE WHEN point_idx % 512 = 0 THEN z_mm END) AS first, coalesce(max(CASE WHEN point_idx % 512 = 511 THEN z_mm END), 0) AS last FROM p GROUP BY 1, 2""",
+    "point_windows": f"""WITH {P}, w AS (SELECT frame_id, point_idx // 512 AS w, point_idx % 512 AS i, z_mm FROM p), n AS (SELECT DISTINCT frame_id, w FROM w)
+      SELECT frame_id, w, string_agg(coalesce(z_mm, 0)::VARCHAR, ',' ORDER BY i) AS heights FROM (SELECT n.frame_id, n.w, r.i FROM n, range(512) r(i)) LEFT JOIN w USING (frame_id, w, i) GROUP BY 1, 2""",
+    "point_windows_strided": f"""WITH {P}, w AS (SELECT frame_id, k AS w, point_idx - k * 128 AS i, z_mm FROM (SELECT *, unnest(range(greatest(0, ceil((point_idx - 511) / 128.0::DOUBLE)::BIGINT), point_idx // 128 + 1)) AS k FROM p)), n AS (SELECT DISTINCT frame_id, w FROM w)
+      SELECT frame_id, w, string_agg(coalesce(z_mm, 0)::VARCHAR, ',' ORDER BY i) AS heights FROM (SELECT n.frame_id, n.w, r.i FROM n, range(512) r(i)) LEFT JOIN w USING (frame_id, w, i) GROUP BY 1, 2""",
     "range_image": f"WITH {WIDE}, {_IMAGE('')} SELECT frame_id, v::INTEGER AS v, u::INTEGER AS u, point_idx, {_M('r', '1e4')} AS r FROM i2 WHERE r > 0.1 AND u BETWEEN 0 AND 1023 AND v BETWEEN 0 AND 63 QUALIFY row_number() OVER (PARTITION BY frame_id, v, u ORDER BY r, point_idx) = 1",
-    "range_image_mirrored": f"WITH {WIDE}, {_IMAGE('-')} SELECT frame_id, v::INTEGER AS v, u::INTEGER AS u, point_idx FROM i2 WHERE r > 0.1 AND u BETWEEN 0 AND 1023 AND v BETWEEN 0 AND 63 QUALIFY row_number() OVER (PARTITION BY frame_id, v, u ORDER BY r, point_idx) = 1",
+    "range_image_mirrored": f"WITH {WIDE}, {_IMAGE('-')} SELECT frame_id, v::INTEGER AS v, u::INTEGER AS u, point_idx FROM (SELECT * REPLACE (least(greatest(u, 0), 1023) AS u) FROM i2) WHERE r > 0.5 AND r < 80 AND v BETWEEN 0 AND 63 QUALIFY row_number() OVER (PARTITION BY frame_id, v, u ORDER BY r, point_idx) = 1",
     "trench_rays": f"WITH {WIDE}, {_GROUND}, {_RAYS} SELECT * FROM drops",
     "rollout_cones": f"""WITH {P}, {TRACKS}, {_AHEAD}, c AS (SELECT *, greatest(length, 0.5) / 2 + 0.12::DOUBLE * sqrt(vx * vx + vy * vy) * h + 0.15::DOUBLE * h AS sa, greatest(width, 0.5) / 2 + 0.08::DOUBLE * h + 0.1::DOUBLE AS sb, atan2(vy, vx) AS hd FROM a)
       SELECT frame_id, track_id, h AS t, {_M('cx')} AS cx, {_M('cy')} AS cy, {_M('sa')} AS semi_major, {_M('sb')} AS semi_minor, {_M('hd')} AS heading, {_VERTICES} AS px FROM c""",
@@ -132,9 +135,11 @@ ORACLE = {
     "trench_3x3_median": f"""WITH {P}, c AS (SELECT frame_id, floor(x_mm / 500.0::DOUBLE)::BIGINT AS gx, floor(y_mm / 500.0::DOUBLE)::BIGINT AS gy, round(sum(z_mm) * 1000 / count(*)::DOUBLE)::BIGINT AS z_um FROM p GROUP BY 1, 2, 3),
       n AS (SELECT a.frame_id, a.gx, a.gy, a.z_um, count(*) AS k, median(b.z_um) AS m FROM c a JOIN c b ON a.frame_id = b.frame_id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 GROUP BY 1, 2, 3, 4)
       SELECT frame_id, gx, gy, z_um, round(m * 2)::BIGINT AS baseline2, round((m - z_um) * 2)::BIGINT AS drop2 FROM n WHERE k >= 3""",
-    "point_cost_containment": f"""WITH {P}, {leaves_sql()}, {_CENTRED}, fin AS (SELECT lc.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM p WHERE point_idx % 401 = 0 AND p.frame_id = lc.frame_id AND abs(p.x_mm - x) <= size_mm / 2.0::DOUBLE AND abs(p.y_mm - y) <= size_mm / 2.0::DOUBLE)
-      THEN greatest(cost, 255) ELSE cost END AS cost) FROM lc) {_SUMMED}""",
+    "point_cost_containment": f"""WITH {P}, {leaves_sql()}, {_CENTRED},
+      on_ AS (SELECT frame_id, 500 AS size_mm, floor((x_mm + a + 40000) / 500.0::DOUBLE)::BIGINT AS gx, floor((y_mm + b + 35000) / 500.0::DOUBLE)::BIGINT AS gy FROM p, (VALUES (0), (-1)) va(a), (VALUES (0), (-1)) vb(b)
+              UNION SELECT frame_id, 125, floor((x_mm + a + 40000) / 125.0::DOUBLE)::BIGINT, floor((y_mm + b + 35000) / 125.0::DOUBLE)::BIGINT FROM p, (VALUES (0), (-1)) va(a), (VALUES (0), (-1)) vb(b)),
+      fin AS (SELECT lc.* REPLACE (CASE WHEN on_.frame_id IS NOT NULL THEN greatest(cost, 255) ELSE cost END AS cost) FROM lc LEFT JOIN on_ USING (frame_id, size_mm, gx, gy)) {_SUMMED}""",
 }
 ORACLE["excluded_points_grid"] = f"""WITH p0 AS (SELECT * FROM ({P[len("p AS ("):-1]})), {BOXES.replace("FROM p)", "FROM p0)")},
   p AS (SELECT * FROM p0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.frame_id = p0.frame_id AND x_mm BETWEEN x_lo - 200 AND x_hi + 200 AND y_mm BETWEEN y_lo - 200 AND y_hi + 200 AND z_mm BETWEEN z_lo - 200 AND z_hi + 200)), {leaves_sql()}
-  SELECT frame_id, count(*) AS leaves, count(*) FILTER (cost <= 50) AS safe, count(*) FILTER (cost > 50 AND cost <= 180) AS caution, count(*) FILTER (cost > 180) AS lethal, count(*) FILTER (size_mm = 500) AS coarse, count(*) FILTER (size_mm = 125) AS fine FROM ev GROUP BY 1"""
+  SELECT frame_id, size_mm, gx, gy, cost FROM ev"""

@@ -20,6 +20,8 @@ def from_lineitem(spark: SparkSession, sf_dir: str, stretch: int = 1, frames: in
     k = t.withColumn("k", F.expr(f"{o}*131 + {p}*1009 + {s}*7 + {n}*3 + {q}*11")).withColumn("frame_id", F.expr(f"({o} div {BLOCK}) * {frames} + {o} % {frames}"))
     k = k.withColumn("x", F.expr(f"(k*7919 + {p}*31) % 16000 - 8000")).withColumn("y", F.expr(f"(k*6151 + {o}*389) % 8000 - 4000"))
     k = k.withColumn("patch", F.expr("(((x + 8000) div 1000) * 7 + ((y + 4000) div 1000) * 13 + frame_id * 3) % 20"))
+    # one generated row for each: filters on coordinates stop here, where the optimizer would else write all of the above into each
+    k = k.select(*t.columns, F.inline(F.array(F.struct("k", "frame_id", "x", "y", "patch"))))
     flat = F.expr("-1600 + k % 41 - 20")
     shape = {11: "-1600 + k % 200", 12: "-1500 + k % 2500", 13: "-2200 + k % 30", 14: "-1600 + if(k % 97 = 0, 600, k % 30)", 15: "-1600 + k % 260", 17: "-1600 + if(k % 5 = 0, 40, 0)", 18: "1500L", 19: "-1300 + k % 40"}
     z = flat
@@ -55,29 +57,38 @@ WHERE patch <> 16 AND (patch <> 18 OR k % 10 = 0)
 """
 
 
-def procedural(spark: SparkSession, frames: int, dt_ms: int = 40) -> DataFrame:
-    """Sweeps of 8600 points each (6000 road, 1500 kerb, 800 of a vehicle that moves, 300 of a pole) by integer hashing."""
-    base = spark.range(0, frames * 8600, 1, max(1, min(frames, 200))).select(F.expr("id div 8600").alias("frame_id"), (F.col("id") % 8600).alias("point_idx"))
+def sweep_points(rows: DataFrame, seed, ahead, *more: str) -> DataFrame:
+    """The coordinates of a made-up sweep for rows of frame_id and point_idx (0 to 8599), with the columns `more`.
+
+    6000 points of road, 1500 of kerb, 800 of a vehicle with its centre `ahead` (millimetres) and 300 of a pole; seed and
+    point_idx are hashed in place of random draws.
+    """
+    i = F.col("point_idx")
 
-    def draw(salt: int, lo: int, hi: int) -> F.Column:
-        return F.lit(lo) + F.pmod(F.xxhash64("frame_id", "point_idx", F.lit(salt)), F.lit(hi - lo + 1))
+    def draw(salt: int, lo: int, hi: int):
+        return F.lit(lo) + F.pmod(F.xxhash64(seed, i, F.lit(salt)), F.lit(hi - lo + 1))
 
     def part(road, kerb, vehicle, pole):
-        i = F.col("point_idx")
-        return F.when(i < 6000, road).when(i < 7500, kerb).when(i < 8300, vehicle).otherwise(pole)
+        return F.when(i < 6000, road).when(i < 7500, kerb).when(i < 8300, vehicle).otherwise(pole).cast("bigint")
 
-    side = F.when(F.col("point_idx") % 2 == 0, 1).otherwise(-1)
-    ahead = F.lit(5000) + (F.col("frame_id") * dt_ms * 35).cast("bigint") / 10
-    return base.select(
+    side = F.when(i % 2 == 0, 1).otherwise(-1)
+    return rows.select(
         "frame_id",
+        *more,
         "point_idx",
-        part(draw(1, -15_000, 35_000), draw(1, -15_000, 35_000), ahead.cast("bigint") + draw(1, -2100, 2100), draw(1, 13_900, 14_100)).cast("bigint").alias("x_mm"),
-        part(draw(2, -4000, 4000), side * draw(2, 4000, 7500), 1800 + draw(2, -900, 900), draw(2, -5300, -5100)).cast("bigint").alias("y_mm"),
-        part(draw(3, -1615, -1585), draw(3, -1518, -1482), -900 + draw(3, -700, 700), draw(3, -1500, 1800)).cast("bigint").alias("z_mm"),
-        part(draw(4, 15, 35), draw(4, 20, 40), draw(4, 70, 90), draw(4, 40, 60)).cast("bigint").alias("i_pct"),
+        part(draw(1, -15_000, 35_000), draw(1, -15_000, 35_000), ahead.cast("bigint") + draw(1, -2100, 2100), draw(1, 13_900, 14_100)).alias("x_mm"),
+        part(draw(2, -4000, 4000), side * draw(2, 4000, 7500), 1800 + draw(2, -900, 900), draw(2, -5300, -5100)).alias("y_mm"),
+        part(draw(3, -1615, -1585), draw(3, -1518, -1482), -900 + draw(3, -700, 700), draw(3, -1500, 1800)).alias("z_mm"),
+        part(draw(4, 15, 35), draw(4, 20, 40), draw(4, 70, 90), draw(4, 40, 60)).alias("i_pct"),
     )
 
 
+def procedural(spark: SparkSession, frames: int, dt_ms: int = 40) -> DataFrame:
+    """Sweeps of 8600 points each by integer hashing, with a vehicle that goes 3.5 m a second."""
+    base = spark.range(0, frames * 8600, 1, max(1, min(frames, 200))).select(F.expr("id div 8600").alias("frame_id"), (F.col("id") % 8600).alias("point_idx"))
+    return sweep_points(base, F.col("frame_id"), F.lit(5000) + (F.col("frame_id") * dt_ms * 35).cast("bigint") / 10)
+
+
 def decimate_files(points: DataFrame, stride: int = 2) -> DataFrame:
     """Every stride-th point of each frame, renumbered."""
     return points.where(F.col("point_idx") % stride == 0).withColumn("point_idx", F.expr(f"point_idx div {stride}"))

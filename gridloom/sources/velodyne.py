@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SCHEMA = "path string, point_idx bigint, x float, y float, z float, intensity float, ring int"
 #: Intensity of files that have none.
@@ -40,13 +41,16 @@ def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, intensity: np.ndarray) -
     return np.column_stack([x, y, z, intensity]).astype("<f4").tobytes()
 
 
+def _batch(path: str, rows: np.ndarray) -> pa.RecordBatch:
+    ring = pa.array(np.nan_to_num(rows[:, 4]).astype(np.int32), mask=np.isnan(rows[:, 4]))
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(n)), *[pa.array(rows[:, k]) for k in range(4)], ring], ["path", "point_idx", "x", "y", "z", "intensity", "ring"])
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = decode(content.as_py() or b"")
-            n = len(rows)
-            ring = pa.array(np.nan_to_num(rows[:, 4]).astype(np.int32), mask=np.isnan(rows[:, 4]))
-            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array(np.arange(n)), *[pa.array(rows[:, k]) for k in range(4)], ring], ["path", "point_idx", "x", "y", "z", "intensity", "ring"])
+            yield _batch(path.as_py(), decode(content.as_py() or b""))
 
 
 def read(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -56,10 +60,16 @@ def read(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
 
 
 def numbered(points: DataFrame) -> DataFrame:
-    """points with frame_id: the place of the file's name among all, from 0. Only names are ordered, not points."""
-    names = points.select("path").distinct()
-    ranked = names.sort("path").select(F.collect_list("path").alias("p")).select(F.posexplode("p").alias("frame_id", "path"))
-    return points.join(ranked.withColumn("frame_id", F.col("frame_id").cast("bigint")), "path")
+    """points with frame_id: the place of the file's name among all, from 0.
+
+    Names alone are ordered, in ranges: a name's place is its rank in its range and the sizes of the ranges before.
+    """
+    names = points.select("path").distinct().repartitionByRange("path").withColumn("_part", F.spark_partition_id())
+    names = names.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
+    sizes = names.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = names.join(F.broadcast(before), "_part").select("path", (F.col("_before") + F.col("_nth") - 1).cast("bigint").alias("frame_id"))
+    return points.join(ranked, "path")
 
 
 def frame(points: DataFrame, number: int, frames: int, loop: bool = True) -> DataFrame:
@@ -82,6 +92,30 @@ def folder_of(existing: list[str], mode: str, base: str) -> str | None:
     return None
 
 
+def resolved(spark: SparkSession, base: str, mode: str = "static") -> str | None:
+    """folder_of() among the folders that Hadoop's file system has, which any store that Spark reads goes through.
+
+    If none of them holds a sweep, base itself, which read() searches through, if there is one anywhere below; else None.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def holds(folder: str, deep: bool = False) -> bool:
+        where = path(folder)
+        system = where.getFileSystem(conf)
+        if not system.exists(where):
+            return False
+        files = system.listFiles(where, deep)
+        while files.hasNext():
+            if files.next().getPath().getName().endswith(".bin"):
+                return True
+        return False
+
+    base = base.rstrip("/")
+    there = [f for f in (f"{base}/{mode}/velodyne", f"{base}/{mode}", f"{base}/training/velodyne", f"{base}/velodyne", base) if holds(f)]
+    return folder_of(there, mode, base) or (base if holds(base, True) else None)
+
+
 def register(spark: SparkSession) -> None:
     """Makes format("velodyne") available to read a folder's files and to write frames as files."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -117,8 +151,7 @@ def register(spark: SparkSession) -> None:
             system, _ = fs.FileSystem.from_uri(self.path if re.match(r"\w+:", self.path) else f"file://{self.path}")
             with system.open_input_stream(partition.value) as f:
                 rows = decode(f.read())
-            for i, r in enumerate(rows):
-                yield (partition.value, i, float(r[0]), float(r[1]), float(r[2]), float(r[3]), None if np.isnan(r[4]) else int(r[4]))
+            yield _batch(partition.value, rows)
 
     class Writer(DataSourceWriter):
         def __init__(self, path: str):

@@ -30,9 +30,9 @@ def tracks(detections: DataFrame, dt: float = 0.1) -> DataFrame:
     return detections.groupBy("sensor_id").applyInPandasWithState(own, tr.SCHEMA, "tracks string, next_id long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rates(events: DataFrame, time: str = "ts", late: str = "2 seconds", window: str = "10 seconds") -> DataFrame:
-    """Counts and means by window and kind; events later than `late` are dropped."""
-    g = events.withWatermark(time, late).groupBy(F.window(time, window), "event_type")
+def rates(events: DataFrame, time: str = "ts", late: str = "2 seconds", window: str = "10 seconds", slide: str | None = None) -> DataFrame:
+    """Counts and means by window, sliding if slide is given, and kind; events later than `late` are dropped."""
+    g = events.withWatermark(time, late).groupBy(F.window(time, window, slide), "event_type")
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
@@ -41,13 +41,16 @@ def sessions(events: DataFrame, key: str = "user_id", time: str = "ts", gap: str
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def append_logs(path: str):
-    """A foreachBatch function that appends to <path>/<kind>, one partitioned table a kind; a batch that is run again
-    replaces its own rows."""
+def append_logs(path: str, log: str):
+    """A foreachBatch function that appends rows of one of telemetry.LOGS to <path>/<log>.
+
+    Each batch is a partition, which is replaced if the batch is run again, so that nothing is logged twice.
+    """
+    from gridloom.operators.telemetry import log_rows
 
     def write(batch: DataFrame, number: int) -> None:
-        out = batch.withColumn("batch", F.lit(number))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(path)
+        out = log_rows(batch, log).withColumn("batch", F.lit(number))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{log}")
 
     return write
 
@@ -55,7 +58,11 @@ def append_logs(path: str):
 class Playback:
     """What the viewer's commands ask of a sequence of frames: pause, resume, toggle_pause, step, seek, set_speed, set_dataset, ping."""
 
-    ALIASES = {"play": "resume", "next": "step", "swap_dataset": "set_dataset", "speed": "set_speed"}
+    #: Other names of the commands.
+    ALIASES = {
+        "play": "resume", "playback_resume": "resume", "playback_play": "resume", "playback_pause": "pause", "pause_toggle": "toggle_pause",
+        "next": "step", "step_forward": "step", "playback_next": "step", "swap_dataset": "set_dataset", "switch_dataset": "set_dataset", "dataset_toggle": "set_dataset", "speed": "set_speed",
+    }
 
     def __init__(self, frames: int, datasets: tuple[str, ...] = ("static", "dynamic")):
         self.frames, self.datasets = frames, datasets
@@ -65,8 +72,9 @@ class Playback:
         """Applies one JSON command, once, and returns the reply."""
         try:
             m = json.loads(message)
-            name = self.ALIASES.get(m["command"], m["command"])
-            if name == "ping":
+            name = str(m.get("action") or m.get("command") or m["type"]).lower().strip()
+            name = self.ALIASES.get(name, name)
+            if name in ("ping", "pong"):
                 return {"type": "pong"}
             if name in ("pause", "resume", "toggle_pause"):
                 self.paused = {"pause": True, "resume": False, "toggle_pause": not self.paused}[name]
@@ -74,17 +82,18 @@ class Playback:
                 self.paused = True
                 self.at = (self.at + 1) % max(1, self.frames)
             elif name == "seek":
-                self.at = max(0, min(int(m["frame"]), self.frames - 1))
+                self.at = max(0, min(int(m.get("frame", 0)), self.frames - 1))
             elif name == "set_speed":
-                self.speed = max(0.1, min(10.0, float(m["speed"])))
+                self.speed = max(0.1, min(10.0, float(m.get("speed") or m.get("value", 1.0))))
             elif name == "set_dataset":
-                if m["dataset"] not in self.datasets:
-                    return {"type": "error", "message": f"unknown dataset {m['dataset']}"}
-                self.dataset, self.at = m["dataset"], 0
+                wanted = str(m.get("mode") or m.get("dataset") or self.datasets[0]).lower()
+                if wanted not in self.datasets:
+                    return {"type": "error", "message": f"unknown dataset {wanted}"}
+                self.dataset, self.at = wanted, 0
                 return {"type": "dataset_swapped", "dataset": self.dataset}
             else:
                 return {"type": "error", "message": f"unknown command {name}"}
-        except (ValueError, KeyError, TypeError) as e:
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
             return {"type": "error", "message": str(e)}
         return {"type": "ok", "frame": self.at, "speed": self.speed, "paused": self.paused}
 
@@ -100,6 +109,14 @@ class Playback:
         return max(0.05, 1 / fps / self.speed - spent_s)
 
 
-def live(spark, per_second: int = 4) -> DataFrame:
-    """A stream of frame numbers at a steady rate, to be joined with sources.sweeps.procedural or a file's frames."""
-    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("frame_id"), F.col("timestamp").alias("ts"))
+def live(spark, per_second: int = 4, dt_ms: int = 50) -> DataFrame:
+    """A stream of the points of made-up sweeps at a steady rate: frame_id, ts and the columns of sources.sweeps.procedural.
+
+    Hashes repeat every 500 frames, and the vehicle, which starts 2 m ahead and goes 4 m a second, starts again every 200.
+    """
+    from gridloom.sources.sweeps import sweep_points
+
+    frames = spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("frame_id"), F.col("timestamp").alias("ts"))
+    each = frames.select("frame_id", "ts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8599).cast("bigint"))).alias("point_idx"))
+    ahead = F.lit(2000) + (F.col("frame_id") % 200) * dt_ms * 4
+    return sweep_points(each, F.col("frame_id") % 500, ahead, "ts")

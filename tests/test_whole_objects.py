@@ -21,7 +21,7 @@ def test_velocity_error_of_every_sensor(spark):
 
 
 def test_pillars_have_all_their_points(spark):
-    got = oq.QUERIES["pillar_stats_full"](spark, SMALL).toPandas()
+    got = oq.QUERIES["pillar_stats"](spark, SMALL).toPandas()
     p = points(spark, SMALL).toPandas()
     p = p[p.x_mm.between(-51200, 51199) & p.y_mm.between(-51200, 51199) & p.z_mm.between(-5000, 3000)]
     p = p.assign(px=(p.x_mm + 51200) // 200, py=(p.y_mm + 51200) // 200).sort_values("point_idx")
