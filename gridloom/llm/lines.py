@@ -74,6 +74,18 @@ def _in(bitmap: Column, h: Column) -> Column:
     return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
 
 
+def _some(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """classes with an id of ids, and a few besides, so that what is joined with ids is about as small as they are."""
+    return classes.filter(_in(_bitmap(ids.select(F.xxhash64("id").alias("h"))), F.xxhash64("id")))
+
+
+def _marked(classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """classes with gone, true for ids of gone and else null; those that cannot be among them are not joined."""
+    bits = _bitmap(gone.select(F.xxhash64("id").alias("h")))
+    may = _in(bits, F.xxhash64("id"))
+    return classes.filter(may).join(gone.select("id", F.lit(True).alias("gone")), "id", "left").unionByName(classes.filter(~may).withColumn("gone", F.lit(None).cast("boolean")))
+
+
 def _keys(tmp: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys of one rare word, and of two words or one word of a long set: key, id, at, b, c, n, cap.
 
@@ -139,7 +151,7 @@ def _proven(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame)
     """id of the classes of pairs that are like an earlier one, by the words (as 64-bit hashes) of their first lines."""
     pairs = tmp.save(pairs.select(F.least("later", "earlier").alias("x"), F.greatest("later", "earlier").alias("y")).distinct(), "pairs")
     both = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = tmp.save(classes.select("id", "doc_id", "th", "ln").join(both, "id", "left_semi"), "wanted")
+    wanted = tmp.save(_some(classes.select("id", "doc_id", "th", "ln"), both).join(both, "id", "left_semi"), "wanted")
     ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
     near = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(_in(ids, F.xxhash64("doc_id", "th"))).select("doc_id", "text")
     own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
@@ -190,17 +202,19 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     leads = _leads(classes)
     earliest = leads.groupBy("key").agg(F.min_by("id", "at").alias("id"), F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    earliest = tmp.save(earliest, "earliest")
+    leads = leads.filter(_in(_bitmap(earliest.select(F.col("key").alias("h"))), F.col("key")))
     n, m = F.col("x.n"), F.col("y.n")
     star = leads.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
-    gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))), "gone").withColumn("gone", F.lit(True))
+    gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))), "gone")
 
     # written, so that both sides of the join are one scan and one exchange
-    open_ = classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p").join(gone, "id", "left")
+    open_ = _marked(classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p"), gone)
     singles, others = _keys(tmp, tmp.save(open_, "open"))
     more = _joined(singles, singles).unionByName(_joined(others.filter("cap > 0"), others))
-    gone = gone.select("id").unionByName(tmp.save(_proven(tmp, docs, classes, more), "gone")).distinct().withColumn("gone", F.lit(True))
+    gone = tmp.save(gone.unionByName(_proven(tmp, docs, classes, more)).distinct(), "gone")
 
-    touched = classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln").join(gone, "id", "left").filter("gone OR rows > 1")
+    touched = _marked(classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln"), gone).filter("gone OR rows > 1")
     touched = tmp.save(touched.select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "touched")
     near = made.select("d1", "b", "doc_id", "th", "ln").filter(_in(_bitmap(touched.select(F.col("d1").alias("h"))), F.col("d1")))
     lost = near.join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
