@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import spans
+from gridloom.llm.scratch import unused
 
 #: Patterns by kind, the base kinds first, in the order of results.
 PATTERNS = {
@@ -79,7 +80,8 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs with _spans: array of kind, start, end, match, score, by kind in the order of PATTERNS and then by start.
+    """docs with _spans (with more underscores, if docs has such a column): array of kind, start, end, match, score, by kind
+    in the order of PATTERNS and then by start.
 
     Offsets are code points of the whole text, end exclusive; a null or empty text has no spans. Rows that repeat get
     equal spans; other columns stay as they are; an empty table gives no rows.
@@ -105,7 +107,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     none = F.array().cast(SPAN)
     every = F.concat(*[F.when(F.size(f"_m_{k}") > 0, scored(k)).otherwise(none) for k in PATTERNS])
-    return out.select("_row.*", every.alias("_spans"))
+    return out.select("_row.*", every.alias(unused(docs, "_spans")[0]))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

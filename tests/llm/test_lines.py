@@ -82,3 +82,9 @@ def test_awkward(spark, awkward):
     whole = awkward.filter("key = 'key'").first().text
     assert got[(None, "key")] == whole and got[(1, "x")] == "" and got[(5, None)] == "" and got[(2, None)] is None and got[(4, "n")] == " \t\n \r "
     assert lines.dedup_lines(spark, awkward.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five\nsix", 1, 2, 3, 4), (2, "one two three four five\nseven", 5, 6, 7, 8)], "doc_id bigint, text string, hash int, lines int, _lines int, Doc int")
+    out = lines.dedup_lines(spark, docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {(1, "one two three four five\nsix", 1, 2, 3, 4), (2, "seven", 5, 6, 7, 8)}

@@ -59,3 +59,45 @@ def test_columns(spark, awkward):
     assert rows[1].seconds == 9 / 25 and [tuple(k) for k in rows[1].keyframes] == [(32, 608), (32 + 8 * 576, 32 + 9 * 576)]
     assert rows[2].codec is None and rows[2].error is None and rows[3].error
     assert np.isfinite(rows[1].seconds)
+
+
+def track(kind=b"vide", stsz=None, stss=None, n=2, chunk=100):
+    tables = [
+        media.full(b"stsd", struct.pack(">I", 1), media.box(b"mp4v", bytes(70))), media.full(b"stts", struct.pack(">III", 1, n, 10)), stsz or media.full(b"stsz", struct.pack(">II", 10, n)),
+        media.full(b"stsc", struct.pack(">IIII", 1, 1, n, 1)), media.full(b"stco", struct.pack(">II", 1, chunk)), *([stss] if stss else []),
+    ]
+    return media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 80, 0, 0)), media.full(b"hdlr", bytes(4), kind, bytes(12)), media.box(b"minf", media.box(b"stbl", *tables))))
+
+
+def movie(*parts):
+    return media.box(b"mdat", bytes(300)) + media.box(b"moov", *parts)
+
+
+def test_malformed_tables_are_errors(spark):
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    bad = {
+        "a keyframe beyond the track": movie(track(stss=media.full(b"stss", struct.pack(">II", 1, 3)))),
+        "keyframe 0": movie(track(stss=media.full(b"stss", struct.pack(">II", 1, 0)))),
+        "nested boxes": deep,
+        "more samples than bytes": movie(track(stsz=media.full(b"stsz", struct.pack(">II", 7, (1 << 32) - 1)))),
+        "a sample beyond the file": movie(track(chunk=1 << 30)),
+        "odd sizes": movie(track(stsz=media.full(b"stz2", struct.pack(">II", 3, 2), bytes(4)))),
+        "fragments": movie(track()) + media.box(b"moof", bytes(8)),
+        "no tracks": movie(),
+    }
+    for name, raw in bad.items():
+        with pytest.raises(ValueError):
+            media.parse(raw)
+            raise AssertionError(name)
+    rows = media.media_columns(spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "k string, m binary"), "k", "m").collect()
+    assert len(rows) == len(bad) and all(r.error and r.codec is None for r in rows)
+
+
+def test_the_video_track_and_compact_sizes():
+    raw = movie(track(b"soun"), track(b"vide", media.full(b"stz2", struct.pack(">II", 4, 3), bytes([0x21, 0x30])), n=3))
+    info = media.parse(raw)
+    assert info["track"] == "vide" and list(info["sizes"]) == [2, 1, 3] and list(info["starts"]) == [100, 102, 103]
+    wide = media.parse(movie(track(stsz=media.full(b"stz2", struct.pack(">II", 16, 2), struct.pack(">HH", 5, 260)), chunk=8)))
+    assert list(wide["sizes"]) == [5, 260]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipe
 from gridloom.llm import decontam, minhash, mixing, toxicity
 from test_lines import brute as lost_lines
@@ -62,3 +64,28 @@ def test_mix_awkward(spark, awkward):
 def test_operators_do_not_mind_repeats(spark, awkward):
     assert minhash.near_duplicates(spark, awkward.unionAll(awkward)).count() == 2 * awkward.count()
     assert toxicity.keep_clean(awkward, toxicity.Model(toxicity.np.zeros(toxicity.SLOTS, "f4"), -6.0, 0.0)).columns == awkward.columns
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark):
+    """One contaminated or copied document without an id takes no other with it; nor does one whose id another text has."""
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    clean = ["the first clean text of all that is about nothing much at all today", "another one that says quite different things in many more words"]
+    long = "a long text that several rows hold in common and that is copied from one to the other without any change at all"
+    rows = [(None, item), (None, clean[0]), (5, item), (5, clean[1]), (7, long), (None, long), (None, long + " but"), (8, None), (None, None), (None, ""), (9, clean[1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("document", F.lit("a column of that name"))
+    left = [(r.doc_id, r.text) for r in pipe.drop_contaminated(spark, docs, DIR).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if r[1] != item], key=str)
+    out = pipe.drop_near_duplicates(spark, docs, DIR)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sum(t == item for _, t in kept) == 1 and sum(t == clean[0] for _, t in kept) == 1 and sum(t == clean[1] for _, t in kept) == 1
+    assert sum((t or "").startswith(long) for _, t in kept) == 1 and {(8, None), (None, None), (None, "")} <= set(kept)
+
+
+def test_mixing_a_mix_and_equal_rows(spark):
+    rows = [(k % 3, f"some words {k % 5} here", f"s{k % 2}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    first = [sorted(map(tuple, mixing.mix(spark, docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert first[0] == first[1] == first[2] and first[0]
+    again = mixing.mix(spark, mixing.mix(spark, docs).withColumns({"copies": F.lit(1), "nth": F.lit(2)}))
+    assert again.columns == ["doc_id", "text", "source", "copy_no", "copies", "nth", "_copy_no"] and again.count() > 0

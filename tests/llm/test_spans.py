@@ -100,8 +100,72 @@ def test_randomness_battery(spark):
     assert len(hit & set(range(120))) >= 110 and len(hit - set(range(120))) <= 6
 
 
+def battery(token):
+    """Encoding size, length and p-value of a candidate, as the module's docstring has it."""
+    import math
+
+    size = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else 32 if re.fullmatch("[A-Z2-7]+", token) else 64
+    alphabet = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}[size]
+    v = np.array([alphabet.index(c) for c in (token.lower() if size == 16 else token.replace("-", "+").replace("_", "/"))], float)
+    n = len(v)
+    counts = np.bincount(v.astype(int), minlength=size)
+    chi, free = ((counts - n / size) ** 2 / (n / size)).sum() * n / (n - 1), (size - 1) * n / (n - 1)
+    z = [((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))]
+    high = v >= size / 2
+    mean = 2 * high.sum() * (n - high.sum()) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z.append((1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt(var) if var > 0 else 40)
+    d = v - v.mean()
+    z.append((d[1:] * d[:-1]).sum() / (d * d).sum() * math.sqrt(n) if (d * d).sum() else 40)
+    p = math.erfc(min(max(map(abs, z)), 30) / math.sqrt(2))
+    return size, n, 3 * p if p < 1e-6 else 1 - (1 - p) ** 3
+
+
+def test_battery_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    sets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]
+    tokens = ["".join(rng.choice(list(s), int(rng.integers(20, 90)))) for s in sets for _ in range(25)] + ["a" * 30 + "1", "some-words-and-2024", "AbAbAbAbAbAbAbAbAbAbAbAb"]
+    df = spark.createDataFrame([(k, [(0, len(t), t)]) for k, t in enumerate(tokens)], "k int, s array<struct<start:bigint,end:bigint,match:string>>")
+    for r in df.select("k", secrets.battery(F.col("s"))[0].alias("x")).collect():
+        _, n, p = battery(tokens[r.k])
+        assert r.x.n == n and abs(r.x.p - p) <= 1e-5 + 1e-3 * p, tokens[r.k]
+
+
+def test_random_runs_have_even_p_values():
+    rng = np.random.default_rng(3)
+    for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        p = np.array([battery("".join(rng.choice(list(alphabet), 40)))[2] for _ in range(2000)])
+        assert abs((p < 0.5).mean() - 0.5) < 0.12 and (p < 0.05).mean() < 0.1
+
+
+def test_acceptance_bounds_false_alarms(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, min(int(-10 * np.log10(max(p, 1e-30))), 300)) for p in rng.random(4000)]  # random
+    rows += [(0, int(s)) for s in rng.integers(8, 120, 4000)] + [(1, 60)] * 50  # structured, and a class of nothing else
+    got = secrets.acceptance(spark.createDataFrame(rows, "length int, step int")).first().steps
+    counts = np.bincount([s for k, s in rows if k == 0], minlength=301)
+    even = counts[: secrets.EVEN].sum() / (1 - 10 ** (-secrets.EVEN / 10))
+    upto = np.cumsum(counts)
+    ok = [s for s in range(301) if counts[s] and upto[s] - even * (1 - 10 ** (-(s + 1) / 10)) <= secrets.ALARM * upto[s]]
+    assert got == {0: max(ok)}
+    wrong = sum(s <= got[0] for k, s in rows[4000:8000])
+    assert wrong <= 0.08 * sum(s <= got[0] for k, s in rows if k == 0)
+    assert secrets.acceptance(spark.createDataFrame([], "length int, step int")).first().steps == {}
+
+
+def test_candidates_have_letters():
+    for text, ok in (("12345678901234567890123", False), ("abcdefghijklmnopqrstuvwxyz", False), ("abc1defghijklmnopqrstuvwxyz", True), ("abcDefghijklmnopqrstuvwxyz", True), ("1234567890123456789x", True)):
+        assert bool(re.search(secrets.CANDIDATE, text)) == ok, text
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_awkward(spark, awkward, empty):
     rows = awkward.limit(0) if empty else awkward
     assert pii.find(rows).count() == rows.count() and set(pii.find(rows).columns) == {*rows.columns, "_spans"}
     assert secrets.find(spark, rows).count() == rows.count()
+
+
+def test_spans_of_spans(spark):
+    docs = spark.createDataFrame([(1, "me@x.org")], "doc_id bigint, text string")
+    twice = pii.find(pii.find(docs))
+    assert twice.columns == ["doc_id", "text", "_spans", "__spans"] and twice.first()["__spans"] == twice.first()["_spans"]
