@@ -81,6 +81,12 @@ def band(cost: Column) -> Column:
     return F.when(cost <= COSTS.safe, "safe").when(cost <= COSTS.caution, "caution").otherwise("lethal")
 
 
+def colour(cost: Column, height: Column) -> Column:
+    """What a cell is drawn in: grey if unknown, red for what is safe but above -1.15 m (height in millimetres), else by band."""
+    high = F.coalesce(height > -1150, F.lit(False)) & (cost <= COSTS.safe)
+    return F.when(cost == -1, "grey").when(high | (cost > COSTS.caution), "red").when(cost <= COSTS.safe, "green").otherwise("yellow")
+
+
 def leaves(points: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """Leaves of the adaptive grid: coarse cells, and quarters of a side where ground meets obstacle.
 

@@ -133,9 +133,12 @@ def candidates(clusters: DataFrame, porous: DataFrame, boxes: DataFrame) -> Data
     return own.unionByName(given).withColumn("det_id", F.row_number().over(order) - 1).drop("_o")
 
 
-def clustered(points: DataFrame, small: int = 60) -> DataFrame:
-    """Labels by components in frames of more than small points of the region, by density in the others."""
-    r = region(points).withColumn("_n", F.count(F.lit(1)).over(per_frame()))
+def clustered(points: DataFrame, small: int = 60, most: int = 10_000) -> DataFrame:
+    """Labels by components in frames of more than small points of the region, by density in the others; of frames with more
+    than `most` points, every third counts."""
+    from gridloom.operators.points import decimate
+
+    r = region(decimate(points, most, 3)).withColumn("_n", F.count(F.lit(1)).over(per_frame()))
     many = bev_components(r.where(F.col("_n") > small).drop("_n"))
     few = dbscan(r.where(F.col("_n") <= small).drop("_n")).where("label >= 0")
     return many.unionByName(few)
@@ -258,4 +261,28 @@ def pillars(points: DataFrame, size: int = 200, reach: int = 51_200, each: int =
     for a in ("x_mm", "y_mm", "z_mm"):
         p = p.withColumn(f"mean_{a[0]}", F.avg(a).over(own))
     centre = lambda k: F.col(k) * size + size / 2 - reach
-    return p.withColumn("from_x", F.col("x_mm") - centre("px")).withColumn("from_y", F.col("y_mm") - centre("py")).drop("_r")
+    p = p.withColumn("from_x", F.col("x_mm") - centre("px")).withColumn("from_y", F.col("y_mm") - centre("py")).withColumn("from_z", F.col("z_mm") + 1000)
+    return p.withColumns({f"off_{a}": F.col(f"{a}_mm") - F.col(f"mean_{a}") for a in "xyz"}).drop("_r")
+
+
+#: Channels of a point of a pillar, lengths in millimetres: place, intensity, ring, offsets from the pillar's mean and its centre.
+CHANNELS = ("x_mm", "y_mm", "z_mm", "i_pct", "ring", "off_x", "off_y", "off_z", "from_x", "from_y", "from_z")
+
+
+def pillar_features(pillars_: DataFrame, model) -> DataFrame:
+    """frame_id, px, py, features: the greatest of each of a model's outputs over a pillar's points; null unless it is READY.
+
+    The model maps a matrix of points by CHANNELS (a missing ring is 0) to one of outputs; its weights are the caller's.
+    """
+    p = pillars_ if "ring" in pillars_.columns else pillars_.withColumn("ring", F.lit(0))
+    key = ["frame_id", "px", "py"]
+    if model.predict is None:
+        return p.select(*key).distinct().withColumn("features", F.lit(None).cast("array<double>"))
+    predict = model.predict
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.asarray(predict(frame[list(CHANNELS)].to_numpy(float)), float)
+        best = pd.DataFrame(out).groupby([frame.px.to_numpy(), frame.py.to_numpy()]).max()
+        return pd.DataFrame({"frame_id": frame.frame_id.iloc[0], "px": best.index.get_level_values(0), "py": best.index.get_level_values(1), "features": list(best.to_numpy())})
+
+    return p.select("frame_id", "px", "py", *[F.col(c).cast("double").alias(c) for c in CHANNELS]).groupBy("frame_id").applyInPandas(run, "frame_id bigint, px bigint, py bigint, features array<double>")

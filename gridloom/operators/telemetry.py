@@ -94,12 +94,13 @@ def ring(rows: DataFrame, time: str, tie: str, most: int = 100) -> DataFrame:
     return rows.orderBy(F.desc(time), F.desc(tie)).limit(most)
 
 
-def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.2, buckets: int = 64) -> DataFrame:
+def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.2, run: int = 100_000) -> DataFrame:
     """Exponential average of each key after its last row, from its first value.
 
     An average is a weighted sum, so runs of a key are folded apart and combined: a run of n rows scales what came before
-    by (1 - alpha)^n. Runs hold a share of a key's rows each, by their place in a range sort, and no task a whole key.
+    by (1 - alpha)^n. Runs are of about `run` rows, by their place in a range sort, and no task holds a whole key.
     """
+    buckets = int(rows.count() // run) + 8
     ranged = rows.select(key, *order, F.col(value).cast("double").alias("_v")).repartitionByRange(buckets, key, *order).sortWithinPartitions(key, *order).withColumn("_run", F.spark_partition_id())
     runs = ranged.groupBy(key, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_v"))), lambda r: r["_v"]).alias("v"))
     fold = F.aggregate("v", F.lit(0.0), lambda a, x: (1 - alpha) * a + alpha * x)

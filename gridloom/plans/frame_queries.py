@@ -91,6 +91,8 @@ QUERIES = {
     "session_seconds": lambda s, d: tm.session_seconds(_recording(s, d), "user_id").select("user_id", F.round(F.col("seconds") * 1000).cast("bigint").alias("ms")),
     "reconnect_delays": lambda s, d: _events(s, d).select("event_id", tm.reconnect_delays(F.col("event_id") % 6).alias("seconds")),
     "frame_statistics": _statistics,
+    "cell_colours": lambda s, d: _leaves(s, d).withColumn("cost", F.when(F.col("gx") % 17 == 0, -1).otherwise(F.col("cost"))).select("frame_id", "size_mm", "gx", "gy", cells.colour(F.col("cost"), F.col("mean_z")).alias("colour")),
+    "pillar_channels": lambda s, d: cluster.pillars(points(s, d)).select("frame_id", "point_idx", *[F.round(F.col(c) * 10).cast("bigint").alias(c) for c in ("off_x", "off_y", "off_z", "from_y", "from_z")]),
     "geometric_objects": lambda s, d: cluster.geometric(small(s, d), 150, 2000, 3).select("frame_id", "label", "n", "x_lo", "x_hi", "y_lo", "y_hi", "z_lo", "z_hi", "x_centre2", "x_side", "kind"),
     "tracker_candidates": lambda s, d: _candidates(s, d),
 }
@@ -168,6 +170,12 @@ ORACLE = {
         {_M('ground_points / point_count::DOUBLE')} AS ground_inlier_ratio, {_M('coalesce(fine_cells / cell_count::DOUBLE, 0)')} AS refinement_ratio
       FROM a LEFT JOIN l USING (frame_id) LEFT JOIN tr USING (frame_id) LEFT JOIN th USING (frame_id) LEFT JOIN dr USING (frame_id)""",
     "geometric_objects": f"""WITH RECURSIVE {SMALL}, {_GEOMETRIC} SELECT frame_id, label, n, x_lo, x_hi, y_lo, y_hi, z_lo, z_hi, x_lo + x_hi AS x_centre2, greatest(x_hi - x_lo, 200) AS x_side, 'obstacle' AS kind FROM go""",
+    "cell_colours": f"""WITH {P}, {leaves_sql()}, a AS (SELECT *, CASE WHEN gx % 17 = 0 THEN -1 ELSE cost END AS c FROM ev)
+      SELECT frame_id, size_mm, gx, gy, CASE WHEN c = -1 THEN 'grey' WHEN (mean_z > -1150 AND c <= 50) OR c > 180 THEN 'red' WHEN c <= 50 THEN 'green' ELSE 'yellow' END AS colour FROM a""",
+    "pillar_channels": f"""WITH {P}, a AS (SELECT *, floor((x_mm + 51200) / 200.0::DOUBLE)::BIGINT AS px, floor((y_mm + 51200) / 200.0::DOUBLE)::BIGINT AS py FROM p WHERE x_mm BETWEEN -51200 AND 51199 AND y_mm BETWEEN -51200 AND 51199 AND z_mm BETWEEN -5000 AND 3000),
+      b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY frame_id, py, px ORDER BY point_idx) <= 20)
+      SELECT frame_id, point_idx, round((x_mm - avg(x_mm) OVER w) * 10)::BIGINT AS off_x, round((y_mm - avg(y_mm) OVER w) * 10)::BIGINT AS off_y, round((z_mm - avg(z_mm) OVER w) * 10)::BIGINT AS off_z,
+        ((y_mm - (py * 200 + 100 - 51200)) * 10)::BIGINT AS from_y, ((z_mm + 1000) * 10)::BIGINT AS from_z FROM b WINDOW w AS (PARTITION BY frame_id, py, px)""",
     "dbscan_small": f"WITH RECURSIVE {SMALL}, {dbscan_sql('p', 2000, 3)} SELECT frame_id, point_idx, label FROM db",
     "pixel_labels": f"""WITH {WIDE}, {_IMAGE('')}, pt AS (SELECT *, CASE WHEN r > 0.1 AND u BETWEEN 0 AND 1023 AND v BETWEEN 0 AND 63 THEN true ELSE false END AS ok FROM i2),
       im AS (SELECT DISTINCT frame_id, u, v FROM pt WHERE ok AND u % 3 = 0)

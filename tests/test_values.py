@@ -320,3 +320,12 @@ def test_dust_by_size(spark):
     few = spark.createDataFrame([(0, k, 100 * (k % 20), 100 * (k // 20), -1600, 10) for k in range(200)] + [(0, 999, 40_000, 0, 2000, 10)], POINT)
     kept = pt.dust(few)
     assert kept.where("point_idx = 999").count() == 0 and kept.count() >= 190
+
+
+def test_pillar_features(spark):
+    own = cluster.pillars(points(spark, DIR).limit(400))
+    ready = models.Registry().add("pfn", lambda x: np.maximum(x @ np.eye(11)[:, :3], 0))
+    got = {(r.frame_id, r.px, r.py): r.features for r in cluster.pillar_features(own, ready).collect()}
+    want = own.toPandas().groupby(["frame_id", "px", "py"])[["x_mm", "y_mm", "z_mm"]].max().clip(lower=0)
+    assert {k: tuple(v) for k, v in got.items()} == {k: tuple(map(float, v)) for k, v in zip(want.index, want.to_numpy(), strict=True)}
+    assert all(r.features is None for r in cluster.pillar_features(own, models.Registry().get("pfn")).collect())
