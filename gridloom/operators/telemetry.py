@@ -48,11 +48,46 @@ def raw_points(points: DataFrame, most: int) -> DataFrame:
 
 
 def served(leaves: DataFrame) -> DataFrame:
-    """leaves with what is sent of them: cost 0 on the road, its band and colour."""
-    cost = F.when(drivable(F.col("mean_z"), F.col("dz"), F.col("z_max")), 0).otherwise(F.col("cost"))
+    """leaves with what is sent of them: cost 0 on the road, unless it is 100, its band and colour."""
+    road = drivable(F.col("mean_z"), F.col("dz"), F.col("z_max")) & (F.col("cost") != 100)
+    cost = F.when(road, 0).otherwise(F.col("cost"))
     return leaves.withColumn("cost", cost).withColumn("band", band(F.col("cost"))).withColumn("color", F.when(F.col("cost") <= 50, "green").when(F.col("cost") <= 180, "yellow").otherwise("red"))
 
 
+def serialised(leaves: DataFrame) -> DataFrame:
+    """frame_id and cell, a struct as it is sent: place, heights and size in metres of two digits, both costs, and whether observed.
+
+    leaves need x_mm, y_mm, size_mm, z_min, z_max, dz, mean_z, slope, n, cost; semantic_cost and variance may be absent. What
+    was not observed (cost -1, no points, no height) has its place, costs of -1 and nulls. A cost of 100 in either stays, the
+    road costs 0, and else the greater of both counts; an obstacle without a cost is lethal.
+    """
+    have = lambda c: F.col(c) if c in leaves.columns else F.lit(None)
+    raw, semantic = F.coalesce("cost", F.lit(0)), F.coalesce(have("semantic_cost").cast("int"), "cost", F.lit(0))
+    seen = (raw != -1) & (F.coalesce("n", F.lit(0)) > 0) & F.col("mean_z").isNotNull()
+    own = F.when(raw > 0, raw).when((F.col("dz") > 250) | (F.col("z_max") > -1150), 255).otherwise(0)
+    cost = F.when(~seen, -1).when((raw == 100) | (semantic == 100), 100).when(drivable(F.col("mean_z"), F.col("dz"), F.col("z_max")), 0).otherwise(F.greatest(own, semantic, F.lit(0))).cast("int")
+    metres = lambda c: F.rint(F.col(c) / 10.0) / 100.0  # half to even, in centimetres
+    only = lambda v: F.when(seen, v)
+    parts = {"x": metres("x_mm"), "y": metres("y_mm"), "z": only(metres("mean_z")), "z_min": only(metres("z_min")), "z_max": only(metres("z_max")), "size": metres("size_mm"), "cost": cost, "semantic_cost": cost, "observed": seen}
+    parts |= {"delta_z": only(metres("dz")), "variance": only(F.bround(have("variance").cast("double"), 2)), "slope": only(F.bround("slope", 1)), "pts": F.when(seen, F.col("n")).otherwise(0).cast("bigint")}
+    return leaves.select("frame_id", F.struct(*[v.alias(k) for k, v in parts.items()]).alias("cell"))
+
+
+def completed(frames_: DataFrame) -> DataFrame:
+    """Statistics of frames with what is missing filled in: cell_count from active_cells or n_cells, point_count of 12 a cell,
+    coarse_cells of 70 % (half up), fine_cells, refinement_ratio, and tracks from n_objects and n_dynamic.
+
+    frames_ has these columns, null where a frame does not say; n_cells, n_objects and n_dynamic count what it holds.
+    """
+    ok = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    f = frames_.withColumn("cell_count", F.coalesce(ok("cell_count"), ok("active_cells"), F.col("n_cells"), F.lit(0)).cast("bigint"))
+    f = f.withColumn("active_cells", F.col("cell_count")).withColumn("point_count", F.coalesce(ok("point_count"), F.col("cell_count") * 12).cast("bigint"))
+    f = f.withColumn("coarse_cells", F.coalesce(ok("coarse_cells"), F.floor(F.col("cell_count") * 0.7 + 0.5)).cast("bigint"))
+    f = f.withColumn("fine_cells", F.coalesce(ok("fine_cells"), F.greatest(F.lit(0), F.col("cell_count") - F.col("coarse_cells"))).cast("bigint"))
+    f = f.withColumn("refinement_ratio", F.coalesce(ok("refinement_ratio"), F.try_divide("fine_cells", "cell_count"), F.lit(0.0)).cast("double"))
+    return f.withColumn("active_tracks", F.coalesce(ok("active_tracks"), F.col("n_objects"), F.lit(0)).cast("bigint")).withColumn("dynamic_tracks", F.coalesce(ok("dynamic_tracks"), F.col("n_dynamic"), F.lit(0)).cast("bigint"))
+
+
 def frames(leaves: DataFrame, tracks: DataFrame, most: int = 10_000) -> DataFrame:
     """frame_id and a JSON document of its capped cells, moving tracks and counts."""
     cells = capped(served(leaves), most).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("size_mm", "gy", "gx", F.bround(F.col("mean_z") / 1000, 3).alias("z"), "cost", "color"))).alias("cells"), F.count_if(F.col("band") == "lethal").alias("lethal"))

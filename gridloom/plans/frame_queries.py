@@ -76,7 +76,25 @@ def _recording(s, d):
     return _events(s, d).select("user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("elapsed_ms"))
 
 
+def _serialised(s, d):
+    l = spatial.centres(_leaves(s, d)).withColumn("semantic_cost", F.when(F.col("gx") % 3 == 0, F.lit(200)).when(F.col("gx") % 3 == 1, F.lit(30)))
+    l = l.withColumn("cost", F.when(F.col("gy") % 11 == 0, -1).when(F.col("gy") % 11 == 1, 100).otherwise(F.col("cost")))
+    out = tm.serialised(l).select("frame_id", "cell.*")
+    cm = [F.round(F.col(c) * 100).cast("bigint").alias(c) for c in ("x", "y", "z", "z_min", "z_max", "size", "delta_z")]
+    return out.select("frame_id", *cm, "cost", "semantic_cost", "observed", "pts")
+
+
+def _completed(s, d):
+    i = F.col("event_id")
+    given = lambda k, v: F.when(i % k == 0, v)
+    e = _events(s, d).select("event_id", given(2, i % 100).alias("cell_count"), given(3, i % 50).alias("active_cells"), (i % 20).alias("n_cells"), given(5, i).alias("point_count"), given(7, F.lit(4)).alias("coarse_cells"), given(11, F.lit(2)).alias("fine_cells"),
+        F.when(i % 13 == 0, F.lit(0.5)).when(i % 13 == 1, F.lit(float("nan"))).alias("refinement_ratio"), given(4, F.lit(9)).alias("active_tracks"), (i % 6).alias("n_objects"), F.lit(None).cast("bigint").alias("dynamic_tracks"), (i % 3).alias("n_dynamic"))
+    return tm.completed(e).select("event_id", "cell_count", "point_count", "coarse_cells", "fine_cells", _micro("refinement_ratio"), "active_tracks", "dynamic_tracks")
+
+
 QUERIES = {
+    "serialised_leaves": _serialised,
+    "completed_statistics": _completed,
     "point_cells": lambda s, d: cells.cell_of_point(wide(s, d)).select("frame_id", "point_idx", "zone", "size_mm", F.round(F.col("cx") * 1e4).cast("bigint").alias("cx"), F.round(F.col("cy") * 1e4).cast("bigint").alias("cy"), "cell_id"),
     "track_columns": _columns,
     "terrain_restore": _restored,
@@ -170,6 +188,16 @@ ORACLE = {
         {_M('ground_points / point_count::DOUBLE')} AS ground_inlier_ratio, {_M('coalesce(fine_cells / cell_count::DOUBLE, 0)')} AS refinement_ratio
       FROM a LEFT JOIN l USING (frame_id) LEFT JOIN tr USING (frame_id) LEFT JOIN th USING (frame_id) LEFT JOIN dr USING (frame_id)""",
     "geometric_objects": f"""WITH RECURSIVE {SMALL}, {_GEOMETRIC} SELECT frame_id, label, n, x_lo, x_hi, y_lo, y_hi, z_lo, z_hi, x_lo + x_hi AS x_centre2, greatest(x_hi - x_lo, 200) AS x_side, 'obstacle' AS kind FROM go""",
+    "serialised_leaves": f"""WITH {P}, {leaves_sql()}, a AS (SELECT *, CASE WHEN gx % 3 = 0 THEN 200 WHEN gx % 3 = 1 THEN 30 END AS sc, CASE gy % 11 WHEN 0 THEN -1 WHEN 1 THEN 100 ELSE cost END AS c, -40000 + (gx + 0.5::DOUBLE) * size_mm AS x0, -35000 + (gy + 0.5::DOUBLE) * size_mm AS y0 FROM ev),
+      b AS (SELECT *, coalesce(sc, c) AS s, CASE WHEN c > 0 THEN c WHEN dz > 250 OR z_max > -1150 THEN 255 ELSE 0 END AS own, c <> -1 AS observed FROM a),
+      e AS (SELECT *, CASE WHEN c = -1 THEN -1 WHEN c = 100 OR s = 100 THEN 100 WHEN mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0 ELSE greatest(own, s, 0) END::INTEGER AS k FROM b)
+      SELECT frame_id, round_even(x0 / 10, 0)::BIGINT AS x, round_even(y0 / 10, 0)::BIGINT AS y, CASE WHEN observed THEN round_even(mean_z / 10, 0)::BIGINT END AS z, CASE WHEN observed THEN round_even(z_min / 10.0::DOUBLE, 0)::BIGINT END AS z_min, CASE WHEN observed THEN round_even(z_max / 10.0::DOUBLE, 0)::BIGINT END AS z_max,
+        round_even(size_mm / 10.0::DOUBLE, 0)::BIGINT AS size, CASE WHEN observed THEN round_even(dz / 10.0::DOUBLE, 0)::BIGINT END AS delta_z, k AS cost, k AS semantic_cost, observed, CASE WHEN observed THEN n ELSE 0 END AS pts FROM e""",
+    "completed_statistics": """WITH a AS (SELECT event_id, event_id % 20 AS nc, coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 100 END, CASE WHEN event_id % 3 = 0 THEN event_id % 50 END, event_id % 20) AS cell_count FROM events),
+      b AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN event_id ELSE cell_count * 12 END AS point_count, CASE WHEN event_id % 7 = 0 THEN 4 ELSE floor(cell_count * 0.7::DOUBLE + 0.5::DOUBLE)::BIGINT END AS coarse_cells FROM a),
+      c AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 2 ELSE greatest(0, cell_count - coarse_cells) END AS fine_cells FROM b)
+      SELECT event_id, cell_count, point_count, coarse_cells, fine_cells, round(CASE WHEN event_id % 13 = 0 THEN 0.5::DOUBLE WHEN cell_count = 0 THEN 0 ELSE fine_cells / cell_count::DOUBLE END * 1e6)::BIGINT AS refinement_ratio,
+        CASE WHEN event_id % 4 = 0 THEN 9 ELSE event_id % 6 END AS active_tracks, event_id % 3 AS dynamic_tracks FROM c""",
     "cell_colours": f"""WITH {P}, {leaves_sql()}, a AS (SELECT *, CASE WHEN gx % 17 = 0 THEN -1 ELSE cost END AS c FROM ev)
       SELECT frame_id, size_mm, gx, gy, CASE WHEN c = -1 THEN 'grey' WHEN (mean_z > -1150 AND c <= 50) OR c > 180 THEN 'red' WHEN c <= 50 THEN 'green' ELSE 'yellow' END AS colour FROM a""",
     "pillar_channels": f"""WITH {P}, a AS (SELECT *, floor((x_mm + 51200) / 200.0::DOUBLE)::BIGINT AS px, floor((y_mm + 51200) / 200.0::DOUBLE)::BIGINT AS py FROM p WHERE x_mm BETWEEN -51200 AND 51199 AND y_mm BETWEEN -51200 AND 51199 AND z_mm BETWEEN -5000 AND 3000),

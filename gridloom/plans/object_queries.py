@@ -175,7 +175,7 @@ ORACLE = {
       b AS (SELECT *, least(nh, greatest(0, 60 - least(nf, 30))) AS high FROM a), cc AS (SELECT *, CASE WHEN nf + nh <= 60 THEN 60 WHEN free THEN greatest(0, 60 - high) ELSE high END AS m, CASE WHEN free THEN nf ELSE nh END AS c,
       row_number() OVER (PARTITION BY frame_id, free ORDER BY size_mm, gy, gx) - 1 AS r FROM b)
       SELECT frame_id, size_mm, gx, gy, cost FROM cc WHERE c <= m OR (m = 1 AND r = 0) OR (m > 1 AND EXISTS (SELECT 1 FROM range(0, 60) t(i) WHERE i < m AND floor(i * (c - 1) / (m - 1)::DOUBLE) = r))""",
-    "served_leaves": f"""{_SUMMED}, a AS (SELECT frame_id, size_mm, gx, gy, CASE WHEN mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0 ELSE cost END AS cost FROM ev)
+    "served_leaves": f"""{_SUMMED}, a AS (SELECT frame_id, size_mm, gx, gy, CASE WHEN cost <> 100 AND mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0 ELSE cost END AS cost FROM ev)
       SELECT frame_id, size_mm, gx, gy, cost, CASE WHEN cost <= 50 THEN 'safe' WHEN cost <= 180 THEN 'caution' ELSE 'lethal' END AS band, CASE WHEN cost <= 50 THEN 'green' WHEN cost <= 180 THEN 'yellow' ELSE 'red' END AS color FROM a""",
     "raw_points_stride": f"""WITH {P}, a AS (SELECT *, greatest(count(*) OVER (PARTITION BY frame_id) // 200, 1) AS s, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS r FROM p)
       SELECT frame_id, (count(*) * 3)::INTEGER AS size, arg_min(x_mm, r) AS x0, arg_max(z_mm, r) AS z1, sum(x_mm + y_mm + z_mm)::BIGINT AS total FROM a WHERE r % s = 0 GROUP BY 1""",

@@ -329,3 +329,9 @@ def test_pillar_features(spark):
     want = own.toPandas().groupby(["frame_id", "px", "py"])[["x_mm", "y_mm", "z_mm"]].max().clip(lower=0)
     assert {k: tuple(v) for k, v in got.items()} == {k: tuple(map(float, v)) for k, v in zip(want.index, want.to_numpy(), strict=True)}
     assert all(r.features is None for r in cluster.pillar_features(own, models.Registry().get("pfn")).collect())
+
+
+def test_cursor(spark):
+    p = velodyne.numbered(spark.createDataFrame([(f"{k}.bin", k) for k in range(3)], "path string, point_idx int"))
+    at = lambda n, **how: [r.frame_id for r in velodyne.frame(p, n, 3, **how).collect()]
+    assert (at(1), at(5), at(-1), at(5, loop=False), at(-1, loop=False)) == ([1], [2], [2], [2], [0])
