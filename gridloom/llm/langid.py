@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernel
-from gridloom.llm.scratch import small_batches
+from gridloom.llm.scratch import Scratch, small_batches
 
 HIDDEN = 8
 STRETCH = 128
 #: Bounds of the training sample: documents of each language, and stretches of each document, from anywhere in it.
 PER_LANGUAGE = 256
 STRETCHES = 6
+#: Ids of the sample that are broadcast at most; more are joined by a shuffle.
+SENT = 300_000
 #: Stretches that are read abreast.
 ABREAST = 2048
 _PAD = 256
@@ -208,9 +210,13 @@ def train(spark: SparkSession, docs: DataFrame, allowed: Column) -> Model | None
     """
     rows = docs.select("doc_id", "lang", "text").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(allowed)
     groups = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(PER_LANGUAGE)).alias("g"))
-    ids = groups.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id")).select("doc_id").distinct()
-    sample = small_batches(rows).join(ids, "doc_id", "left_semi")
+    tmp = Scratch(spark, "langid")
+    ids = tmp.save(groups.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id")).select("doc_id").distinct(), "ids")
+    # few enough to be sent to all tasks, unless there are over a thousand languages
+    ids_ = F.broadcast(ids) if ids.count() <= SENT else ids
+    sample = small_batches(rows).join(ids_, "doc_id", "left_semi")
     got = sample.mapInArrow(_pieces, "lang string, place bigint, size bigint, bytes binary").collect()
+    tmp.drop(ids)
     got = sorted({(r["lang"], r["place"], bytes(r["bytes"])) for r in got})
     if not got:
         return None
