@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import cells, cluster, ground, hazards, health, spatial, telemetry as tm, track
 from gridloom.plans.cell_queries import leaves_sql
 from gridloom.plans.common import SMALL, TRACKS, WIDE, P, points, small, tracks, wide
+from gridloom.plans.pipeline import Tables
 from gridloom.plans.terrain_queries import _GROUND, _IMAGE, _RAYS
 
 
@@ -118,6 +119,7 @@ QUERIES = {
 
 def _candidates(s, d):
     found = cluster.geometric(small(s, d), 150, 2000, 3)
+    found = Tables(found).save(found, "found")  # read three times below
     porous = found.select("frame_id", "label", (F.col("n") % 2 == 0).alias("is_porous"))
     boxes = found.select("frame_id").distinct().select("frame_id", (F.col("frame_id") % 10 * 1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("vx"), F.lit(None).cast("double").alias("vy"), F.lit(4.0).alias("length"), F.lit(2.0).alias("width"), F.lit(1.5).alias("height"))
     return cluster.candidates(found, porous, boxes).select("frame_id", "det_id", "source", "x", "y", "length", "width", "height", "vx", "kind")
