@@ -40,12 +40,20 @@ FILTER = 1 << 17
 _HASH, _STEPS = 53, 15
 #: Where null ids are in the order of doc_ids, and what is before all.
 _NULL, _NEVER = -(1 << 63) + 1, -(1 << 63)
-BLANK, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+WORD, RARER = r"[^\x20\x09-\x0D]", "\t\v\f\r\n"
+
+
+def _plain(line: Column) -> Column:
+    """line with spaces for the rarer blanks, where there are any, so that it can be split at spaces without a regular expression."""
+    some = F.lit(False)
+    for blank in RARER:
+        some = some | F.contains(line, F.lit(blank))
+    return F.when(some, F.translate(line, RARER, " " * len(RARER))).otherwise(line)
 
 
 def tokens(line: Column) -> Column:
     """The distinct lower-cased words of a line."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), BLANK), ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(_plain(line)), " "), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -174,15 +182,16 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     tmp = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text")
-    words = docs.select(F.explode(F.split(F.lower("text"), BLANK)).alias("w")).select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
+    low = docs.select(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")).alias("t"))  # a column of its own, as it is read several times
+    words = low.select(F.explode(F.split(_plain(F.col("t")), " ")).alias("w")).filter("w <> ''").select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
     counted = words.groupBy("slot").agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
     counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
     # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
     lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"))
     lined = lined.filter(F.col("line").rlike(WORD)).withColumn("counts", counts)  # not on the sets, which would be made twice for it
-    hashed = lambda w: F.xxhash64(w).bitwiseAND((1 << _HASH) - 1)
-    rank = lambda w: F.coalesce(F.get(F.col("counts"), F.xxhash64(w).bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(hashed(w)), hashed(w))
-    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", BLANK), ""), rank))).alias("r"))
+    rank = lambda h: F.get(F.col("counts"), h.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(h.bitwiseAND((1 << _HASH) - 1))
+    hashes = F.transform(F.array_remove(F.split(_plain(F.col("line")), " "), ""), lambda w: F.xxhash64(w))
+    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("r"))
     n = F.size("r")
     half = F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))")
     made = sets.select(

@@ -1,4 +1,7 @@
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from gridloom.llm import lines
 
@@ -88,3 +91,13 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "one two three four five\nsix", 1, 2, 3, 4), (2, "one two three four five\nseven", 5, 6, 7, 8)], "doc_id bigint, text string, hash int, lines int, _lines int, Doc int")
     out = lines.dedup_lines(spark, docs)
     assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {(1, "one two three four five\nsix", 1, 2, 3, 4), (2, "seven", 5, 6, 7, 8)}
+
+
+def test_words_are_between_any_blanks(spark):
+    """Words are split at spaces, without a regular expression a line; the rarer blanks and runs of them count as before."""
+    texts = ["a b  c", "\ta\x0bB\x0cc\r", " \t ", "", "é x  y", "a\nb\t\tc d", "  lead and trail  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.w for r in df.orderBy("i").select(lines.tokens(F.col("t")).alias("w")).collect()]
+    assert got == [list(dict.fromkeys(w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w)) for t in texts]
+    plan = df.select(lines.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "x20" not in plan and "RLIKE" not in plan and "regexp" not in plan
