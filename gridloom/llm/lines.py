@@ -40,7 +40,7 @@ FILTER = 1 << 17
 _HASH, _STEPS = 53, 15
 #: Where null ids are in the order of doc_ids, and what is before all.
 _NULL, _NEVER = -(1 << 63) + 1, -(1 << 63)
-WORD, RARER = r"[^\x20\x09-\x0D]", "\t\v\f\r\n"
+RARER = "\t\v\f\r\n"
 
 
 def _plain(line: Column) -> Column:
@@ -57,8 +57,8 @@ def tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, ln, line."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    """doc_id, th, ln, line; docs has th, the text's hash, as it would be made for each line here."""
+    return docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
 def _packed(parts: DataFrame, width: int) -> Column:
@@ -146,22 +146,39 @@ def _close(x: str, y: str) -> Column:
 
 
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
-    """later, earlier: ids under a key that length, position and sketch do not rule out; settled classes are earlier only."""
+    """x, y: ids under a key that length, position and sketch do not rule out; settled classes are the earlier of a pair only."""
     x, y = x.alias("x"), y.alias("y")
     # what needs one side alone is said with the other, so that both stay one exchange
     before = (F.col("y.at") <= F.when(F.col("x.cap") > 0, F.col("x.at")).otherwise(F.lit(_NEVER))) & (F.col("x.id") != F.col("y.id"))
     reach = 9 * F.least(F.abs("x.cap"), F.abs("y.cap")) >= 4 * (F.col("x.n") + F.col("y.n"))
-    made = x.join(y, (F.col("x.key") == F.col("y.key")) & before & reach & _close("x", "y"))
-    return made.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & before & reach & _close("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+
+
+def _joined_alone(keys: DataFrame) -> DataFrame:
+    """_joined() of keys of one word with themselves, the larger set of a pair in x.
+
+    A set in y is the smaller one, so that 8 / 9 of its words are shared if the two are similar, and the first shared one is
+    among the first ninth: the other keys are not sorted and not compared there. Both sides read one exchange, as the filter
+    counts as random and so stays above it. No key has many more rows than RARE, so none needs to be split.
+    """
+    dealt = keys.repartition("key")
+    x, y = dealt.alias("x"), dealt.filter(F.when(F.spark_partition_id() >= 0, 9 * F.abs("cap") >= 8 * F.col("n"))).alias("y")
+    n, m, later = F.col("x.n"), F.col("y.n"), F.col("x.at") >= F.col("y.at")
+    # first what needs the least and leaves a few of a thousand
+    apart = 9 * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= n + m
+    larger = (n > m) | ((n == m) & (F.col("x.id") > F.col("y.id")))
+    unsettled = (later & (F.col("x.cap") > 0)) | ((F.col("y.at") >= F.col("x.at")) & (F.col("y.cap") > 0))
+    reach = 9 * F.least(F.abs("x.cap"), F.abs("y.cap")) >= 4 * (n + m)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & apart & larger & unsettled & reach & _close("x", "y")).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
 
 
 def _proven(tmp: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id of the classes of pairs that are like an earlier one, by the words (as 64-bit hashes) of their first lines."""
-    pairs = tmp.save(pairs.select(F.least("later", "earlier").alias("x"), F.greatest("later", "earlier").alias("y")).distinct(), "pairs")
+    """id of the classes of pairs (x, y) that are like an earlier one, by the words (as 64-bit hashes) of their first lines."""
+    pairs = tmp.save(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     both = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = tmp.save(_some(classes.select("id", "doc_id", "th", "ln"), both).join(both, "id", "left_semi"), "wanted")
     ids, places = _bitmap(wanted.select(F.xxhash64("doc_id", "th").alias("h"))), _bitmap(wanted.select(F.xxhash64("doc_id", "th", "ln").alias("h")))
-    near = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(_in(ids, F.xxhash64("doc_id", "th"))).select("doc_id", "text")
+    near = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(_in(ids, F.xxhash64("doc_id", "th")))
     own = _lines(near).filter(_in(places, F.xxhash64("doc_id", "th", "ln"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("ln").alias("_n"), "line")
     words = wanted.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("ln") == F.col("_n")))
     words = words.select("id", F.struct("doc_id", "th", "ln").alias("at"), F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
@@ -182,16 +199,18 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     tmp = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text")
-    low = docs.select(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")).alias("t"))  # a column of its own, as it is read several times
-    words = low.select(F.explode(F.split(_plain(F.col("t")), " ")).alias("w")).filter("w <> ''").select(F.expr(f"xxhash64(w) & {SLOTS - 1}").alias("slot"))
-    counted = words.groupBy("slot").agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
+    # cut and hashed once, and written, as words are counted before they can be ranked
+    lined = _lines(docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("text")))
+    hashed = lined.select("doc_id", "th", "ln", F.array_distinct(F.transform(F.split(_plain(F.col("line")), " "), lambda w: F.xxhash64(w))).alias("h"))
+    hashed = tmp.save(hashed.select("doc_id", "th", "ln", F.array_remove("h", F.xxhash64(F.lit(""))).alias("h")), "hashes")
+    counted = hashed.select(F.explode("h").alias("h")).groupBy(F.expr(f"h & {SLOTS - 1}").alias("slot"))
+    counted = counted.agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
     counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
     # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
-    lined = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"))
-    lined = lined.filter(F.col("line").rlike(WORD)).withColumn("counts", counts)  # not on the sets, which would be made twice for it
+    worded = hashed.filter("size(h) > 0").withColumn("counts", counts)
     rank = lambda h: F.get(F.col("counts"), h.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(h.bitwiseAND((1 << _HASH) - 1))
-    hashes = F.transform(F.array_remove(F.split(_plain(F.col("line")), " "), ""), lambda w: F.xxhash64(w))
-    sets = lined.select("doc_id", "th", "ln", F.sort_array(F.array_distinct(F.transform(hashes, rank))).alias("r"))
+    # never null, which sorts as plain numbers
+    sets = worded.select("doc_id", "th", "ln", F.sort_array(F.transform("h", lambda h: F.coalesce(rank(h), F.lit(0).cast("bigint")))).alias("r"))
     n = F.size("r")
     half = F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))")
     made = sets.select(
@@ -203,11 +222,13 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     under = lambda most: F.size(F.filter("q", lambda x: x < ((int(_STEPS * math.log2(most)) + 1) << _HASH)))
     short = F.transform("q", lambda x: F.shiftright(x, 7).bitwiseAND((1 << 31) - 1).cast("int"))
     made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", "c", under(RARE).alias("rare"), under(FAMILY).alias("few"), short.alias("p")), "lines")
+    tmp.drop(hashed)  # it is the largest table
     at = F.coalesce("doc_id", F.lit(_NULL))
     carried = ["n", "c", "rare", "few", "p"]
-    classes = made.groupBy("d1", "b").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in carried])
+    # in one value with the place, as each value of its own is kept and copied for every row
+    classes = made.groupBy("d1", "b").agg(F.min(F.struct("doc_id", "th", "ln", *carried)).alias("first"), F.count(F.lit(1)).alias("rows"))
     # a number for each class, kept by being written, so that keys and pairs are short
-    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows", *carried).withColumn("at", at), "classes")
+    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows").withColumn("at", at), "classes")
 
     leads = _leads(classes)
     earliest = leads.groupBy("key").agg(F.min_by("id", "at").alias("id"), F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -215,12 +236,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     leads = leads.filter(_in(_bitmap(earliest.select(F.col("key").alias("h"))), F.col("key")))
     n, m = F.col("x.n"), F.col("y.n")
     star = leads.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
-    gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))), "gone")
+    gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))), "gone")
 
     # written, so that both sides of the join are one scan and one exchange
     open_ = _marked(classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p"), gone)
     singles, others = _keys(tmp, tmp.save(open_, "open"))
-    more = _joined(singles, singles).unionByName(_joined(others.filter("cap > 0"), others))
+    more = _joined_alone(singles).unionByName(_joined(others.filter("cap > 0"), others))
     gone = tmp.save(gone.unionByName(_proven(tmp, docs, classes, more)).distinct(), "gone")
 
     touched = _marked(classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln"), gone).filter("gone OR rows > 1")

@@ -101,3 +101,38 @@ def test_words_are_between_any_blanks(spark):
     assert got == [list(dict.fromkeys(w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w)) for t in texts]
     plan = df.select(lines.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "x20" not in plan and "RLIKE" not in plan and "regexp" not in plan
+
+
+def test_work_a_line_does_not_grow_with_its_document(spark):
+    """A text's hash is made before the text is cut, not once for each of its lines."""
+    docs = spark.createDataFrame([(1, "a b\nc d")], "doc_id bigint, text string").withColumn("th", F.xxhash64("text"))
+    plan = lines._lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1 and plan.index("Generate") < plan.index("xxhash64")
+
+
+def test_a_key_is_compared_from_the_larger_set_only(spark, tmp_path):
+    """Half of the rows are enough on one side, both sides are one exchange, and no similar pair is lost."""
+    rng = random.Random(7)
+    bases = [rng.sample(range(60), 12) for _ in range(40)]
+    sets = {i: sorted({*rng.choice(bases)[: rng.choice([9, 10, 11, 12])], rng.randrange(60)}) for i in range(300)}
+    rows = []
+    for i, w in sets.items():
+        n, b = len(w), 0
+        for x in w:
+            b ^= 1 << x
+        rows += [(w[k], i, i, b, 0, n, (-1 if i % 5 == 0 else 1) * (n - k)) for k in range(n - -(-4 * n // 5) + 1)]
+    spark.createDataFrame(rows, "key bigint, id bigint, at bigint, b bigint, c bigint, n int, cap int").write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    made = lines._joined_alone(keys)
+    got = {(min(r.x, r.y), max(r.x, r.y)) for r in made.collect()}
+    similar = {(i, j) for j, w in sets.items() if j % 5 for i in range(j) if 10 * len(set(w) & set(sets[i])) >= 8 * len(set(w) | set(sets[i]))}
+    assert similar and similar <= got and all(j % 5 for _, j in got)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        plan = lines._joined_alone(keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
+    assert plan.count("ReusedExchange") == 1
