@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import decontam, langid, lines, media, minhash, mixing, pii, secrets, substring, toxicity
+from gridloom.llm import decontam, divergence, langid, lines, media, minhash, mixing, pii, secrets, substring, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_substring_dedup": substring.op10_substring_dedup,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_source_divergence": divergence.op12_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL, where SQL can express the operator."""
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op11_prefix_trie": trie.SQL, "op12_source_divergence": divergence.SQL}

@@ -50,14 +50,14 @@ class Scratch:
         self._n = 0
         self._paths: list[str] = []
 
-    def save(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Writes df and returns the written table.
+    def save(self, df: DataFrame, label: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes df, in folders by the columns of by, and returns the written table.
 
         The driver's garbage is collected, as Spark drops the shuffle files of finished jobs only when their plans are.
         """
         path = f"{self.base}/{self._n:03d}-{label}"
         self._n += 1
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
