@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import decontam, divergence, langid, lines, media, minhash, mixing, pii, secrets, substring, toxicity, trie
+from gridloom.llm import decontam, divergence, langid, lines, media, minhash, mixing, pii, quality, secrets, substring, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": substring.op10_substring_dedup,
         "op11_prefix_trie": trie.op11_prefix_trie,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_quality": quality.op13_quality,
         "pipeline": corpus_pipeline.run,
     }
 
