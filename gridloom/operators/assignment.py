@@ -12,6 +12,9 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return sorted((r, c) for c, r in assign(cost.T))
     n, m = cost.shape
+    near = cost.argmin(axis=1)
+    if len(set(near.tolist())) == n and ((cost == cost.min(axis=1, keepdims=True)).sum() == n):
+        return list(zip(range(n), near.tolist(), strict=True))  # each has a nearest of its own, and nothing costs as little
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         owner[0], j = i, 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,20 +56,34 @@ def inflated(leaves: DataFrame, degraded: DataFrame, cost: int = 180) -> DataFra
     return j.withColumn("cost", F.when(blind, F.greatest("cost", F.lit(cost))).otherwise(F.col("cost"))).drop("_f", "_q")
 
 
+def _gains(noise: float, drift: float, n: int = 64) -> tuple[list[float], list[float]]:
+    """The gain at a cell's k-th observation (1 at its first) and the variance after it, for k = 1 to n: both depend on k alone,
+    and are at rest long before the 64th."""
+    gains, left = [1.0], [2 * noise]
+    while len(gains) < n:
+        k = left[-1] / (left[-1] + noise)
+        gains.append(k)
+        left.append((1 - k) * left[-1] + drift)
+    return gains, left
+
+
 def terrain_blend(cells: DataFrame, noise: float = 0.0025, drift: float = 0.002) -> DataFrame:
     """A height filter for each 0.1 m cell over frames: (sensor_id, kx, ky, frame_id, z) to the height and variance after its last frame.
 
-    Each cell's observations are one short sequence, folded in generated order without a shuffle beyond the grouping.
+    The filter's gains do not depend on heights, so its result is a weighted sum: the k-th of n observations weighs its gain
+    times what all later gains leave of it. A cell's history is ranked and summed, and never held as one value.
     """
-    own = cells.groupBy("sensor_id", "kx", "ky").agg(F.array_sort(F.collect_list(F.struct("frame_id", "z"))).alias("obs"))
-    start = F.struct(F.element_at("obs", 1)["z"].cast("double").alias("z"), F.lit(2 * noise).alias("p"))
-
-    def step(s: Column, o: Column) -> Column:
-        k = s["p"] / (s["p"] + noise)
-        return F.struct((s["z"] + k * (o["z"] - s["z"])).alias("z"), ((1 - k) * s["p"] + drift).alias("p"))
-
-    folded = F.aggregate(F.slice("obs", F.lit(2), F.greatest(F.size("obs") - 1, F.lit(0))), start, step)
-    return own.withColumn("s", folded).select("sensor_id", "kx", "ky", F.size("obs").alias("n"), F.col("s.z").alias("z"), F.col("s.p").alias("p"))
+    gains, left = _gains(noise, drift)
+    kept = [0.0]  # logarithm of what the first k gains leave of what was before
+    for g in gains[1:]:
+        kept.append(kept[-1] + math.log1p(-g))
+    upto = lambda values, k: F.element_at(F.array(*map(F.lit, values)), F.least(k, F.lit(len(values))).cast("int"))
+    own = Window.partitionBy("sensor_id", "kx", "ky")
+    ranked = cells.withColumn("_k", F.row_number().over(own.orderBy("frame_id", "z"))).withColumn("_n", F.count(F.lit(1)).over(own))
+    log = lambda k: upto(kept, k) + F.greatest(k - len(kept), F.lit(0)) * math.log1p(-gains[-1])
+    weight = upto(gains, F.col("_k")) * F.exp(log(F.col("_n")) - log(F.col("_k")))
+    summed = ranked.groupBy("sensor_id", "kx", "ky").agg(F.max("_n").cast("int").alias("n"), F.sum(weight * F.col("z")).alias("z"))
+    return summed.withColumn("p", upto(left, F.col("n")))
 
 
 def bresenham(x1: int, y1: int, most: int = 60) -> list[tuple[int, int]]:

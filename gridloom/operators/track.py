@@ -1,12 +1,18 @@
-"""Multi-object tracking: constant-velocity filters, assignment, coasting. One function serves batch and stream."""
+"""Multi-object tracking: constant-velocity filters, assignment, coasting. One set of array steps serves batch and stream.
+
+A sensor's tracks are a matrix with a row for each. The batch form sorts detections by sensor and frame and passes over them
+once, a bounded Arrow batch at a time, with the tracks carried from batch to batch: what a task holds is a batch and the
+tracks of one sensor, however long that sensor's life is.
+"""
 
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +21,9 @@ from gridloom.operators.assignment import assign
 #: Fixed values of the filter: measurement noise, damping, standstill, gate of the innovation, gate of a match, coasting.
 R, DAMP, STILL, QUIET, GATE, COAST, MOST = 0.08, 0.8, 0.12, 0.08, 1.8, 5, 40
 SCHEMA = "sensor_id bigint, frame_id bigint, track_id bigint, x double, y double, vx double, vy double, px double, pv double, hits int, age int, misses int, length double, width double, height double, kind string"
+#: Columns of the matrices of a set of tracks.
+X, Y, VX, VY, PX, PY, PVX, PVY, DT, LENGTH, WIDTH, HEIGHT = range(12)
+ID, HITS, AGE, MISSES = range(4)
 
 
 @dataclass(frozen=True)
@@ -40,86 +49,196 @@ class Track:
     kind: str = "obstacle"
 
 
-def predicted(t: Track, dt: float) -> Track:
-    """Moved on by dt, less certain."""
-    return replace(t, x=t.x + t.vx * dt, y=t.y + t.vy * dt, px=t.px + t.pvx * dt * dt + 0.05, py=t.py + t.pvy * dt * dt + 0.05, pvx=t.pvx + 0.20, pvy=t.pvy + 0.20, age=t.age + 1, misses=t.misses + 1)
+@dataclass
+class Tracks:
+    """Tracks as rows: state (floats, X to HEIGHT), counts (ID to MISSES) and kinds."""
+
+    state: np.ndarray
+    counts: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def none(cls) -> Tracks:
+        return cls(np.zeros((0, 12)), np.zeros((0, 4), np.int64), np.zeros(0, object))
+
+    @classmethod
+    def of(cls, tracks: list[Track]) -> Tracks:
+        if not tracks:
+            return cls.none()
+        rows = [astuple(t) for t in tracks]
+        return cls(np.array([r[1:10] + r[13:16] for r in rows], float), np.array([(r[0], *r[10:13]) for r in rows], np.int64), np.array([r[16] for r in rows], object))
+
+    def single(self) -> list[Track]:
+        rows = zip(self.state.tolist(), self.counts.tolist(), self.kinds.tolist(), strict=True)
+        return [Track(c[ID], *s[:9], *c[1:], *s[9:], k) for s, c, k in rows]
+
+    def take(self, which: np.ndarray) -> Tracks:
+        return Tracks(self.state[which], self.counts[which], self.kinds[which])
+
 
+def predict(state: np.ndarray, dt: float) -> np.ndarray:
+    """States moved on by dt, less certain."""
+    out = state.copy()
+    out[:, X : Y + 1] += state[:, VX : VY + 1] * dt
+    out[:, PX : PY + 1] += state[:, PVX : PVY + 1] * dt * dt + 0.05
+    out[:, PVX : PVY + 1] += 0.20
+    return out
 
-def _known(v: float | None) -> bool:
-    return v is not None and math.isfinite(v)
+
+def correct(state: np.ndarray, z: np.ndarray, measured: np.ndarray) -> np.ndarray:
+    """States corrected by one position each; small innovations damp slow motion instead of feeding it. A measured velocity
+    counts by axis, unless it is not finite."""
+    out = state.copy()
+    off, p, pv, dt = z - state[:, X : Y + 1], state[:, PX : PY + 1], state[:, PVX : PVY + 1], state[:, DT : DT + 1]
+    gain, pull = p / (p + R), pv * dt / (p + R)
+    v = state[:, VX : VY + 1]
+    slow = np.where(np.hypot(v[:, :1], v[:, 1:]) < 0.25, v * DAMP, v)
+    v = np.where(np.hypot(off[:, :1], off[:, 1:]) < QUIET, slow, v + pull * off)
+    v = np.where(np.hypot(v[:, :1], v[:, 1:]) < STILL, 0.0, v)
+    out[:, VX : VY + 1] = np.where(np.isfinite(measured), 0.7 * v + 0.3 * np.nan_to_num(measured), v)
+    out[:, X : Y + 1] += gain * off
+    out[:, PX : PY + 1] = p * (1 - gain)
+    out[:, PVX : PVY + 1] = np.maximum(0.05, pv * np.maximum(0.1, 1 - pull * dt))
+    return out
+
+
+def advance(tracks: Tracks, next_id: int, seen: np.ndarray, kinds: np.ndarray, dt: float) -> tuple[Tracks, int]:
+    """One frame: predict all, assign without a gate, drop pairs beyond it, update, prune, spawn in order up to MOST.
+
+    seen: x, y, vx, vy, length, width, height of each detection, velocities not finite where they are unknown.
+    """
+    state, counts, names = predict(tracks.state, dt), tracks.counts.copy(), tracks.kinds
+    counts[:, AGE : MISSES + 1] += 1
+    free = np.ones(len(seen), bool)
+    if len(state) and len(seen):
+        cost = np.hypot(state[:, X : X + 1] - seen[:, 0], state[:, Y : Y + 1] - seen[:, 1])
+        pairs = np.array(assign(cost), int)
+        pairs = pairs[cost[pairs[:, 0], pairs[:, 1]] <= GATE]
+        if len(pairs):
+            i, j = pairs.T
+            new = correct(state[i], seen[j, :2], seen[j, 2:4])
+            new[:, LENGTH : HEIGHT + 1] = seen[j, 4:]
+            state[i] = new
+            counts[i, HITS] += 1
+            counts[i, MISSES] = 0
+            names = names.copy()
+            names[i] = kinds[j]
+            free[j] = False
+    alive = (counts[:, MISSES] <= COAST) & (state[:, PX] + state[:, PY] + state[:, PVX] + state[:, PVY] < 10)
+    if not alive.all():
+        state, counts, names = state[alive], counts[alive], names[alive]
+    born = np.flatnonzero(free)[: max(0, MOST - len(state))]
+    if len(born):
+        n = len(born)
+        v = seen[born, 2:4]
+        v = np.where(np.isfinite(v), v, 0.0)
+        fresh = np.empty((n, 12))
+        fresh[:, X : Y + 1], fresh[:, VX : VY + 1], fresh[:, PX : PY + 1], fresh[:, DT] = seen[born, :2], v, 0.5, dt
+        fresh[:, PVX : PVY + 1] = np.where(v.any(axis=1), 1.0, 2.0)[:, None]  # a velocity of 0 is as uncertain as none
+        fresh[:, LENGTH : HEIGHT + 1] = seen[born, 4:]
+        first = np.tile(np.array([0, 1, 1, 0]), (n, 1))
+        first[:, ID] = np.arange(next_id, next_id + n)
+        state, counts, names = np.concatenate([state, fresh]), np.concatenate([counts, first]), np.concatenate([names, kinds[born]])
+        next_id += n
+    return Tracks(state, counts, names), next_id
 
 
 def updated(t: Track, zx: float, zy: float, velocity: tuple[float | None, float | None] | None = None) -> Track:
-    """Corrected by a measurement; small innovations damp slow motion instead of feeding it. A measured velocity counts by axis."""
-    rx, ry = zx - t.x, zy - t.y
-    kx, ky = t.px / (t.px + R), t.py / (t.py + R)
-    gx, gy = t.pvx * t.dt / (t.px + R), t.pvy * t.dt / (t.py + R)
-    vx, vy = t.vx, t.vy
-    if math.hypot(rx, ry) < QUIET:
-        if math.hypot(vx, vy) < 0.25:
-            vx, vy = vx * DAMP, vy * DAMP
-    else:
-        vx, vy = vx + gx * rx, vy + gy * ry
-    if math.hypot(vx, vy) < STILL:
-        vx = vy = 0.0
-    mx, my = velocity if velocity is not None else (None, None)
-    vx = 0.7 * vx + 0.3 * mx if _known(mx) else vx
-    vy = 0.7 * vy + 0.3 * my if _known(my) else vy
-    less = lambda p, g: max(0.05, p * max(0.1, 1 - g * t.dt))
-    return replace(t, x=t.x + kx * rx, y=t.y + ky * ry, vx=vx, vy=vy, px=t.px * (1 - kx), py=t.py * (1 - ky), pvx=less(t.pvx, gx), pvy=less(t.pvy, gy))
+    """One track corrected by a measurement."""
+    own = Tracks.of([t])
+    v = [math.nan if c is None else c for c in velocity or (None, None)]
+    return Tracks(correct(own.state, np.array([[zx, zy]], float), np.array([v], float)), own.counts, own.kinds).single()[0]
 
 
 def step(tracks: list[Track], next_id: int, detections: list[dict], dt: float) -> tuple[list[Track], int]:
-    """One frame: predict all, assign without a gate, drop pairs beyond it, update, prune, spawn in order up to MOST."""
-    tracks = [predicted(t, dt) for t in tracks]
-    free = set(range(len(detections)))
-    if tracks and detections:
-        cost = np.array([[math.hypot(t.x - d["x"], t.y - d["y"]) for d in detections] for t in tracks])
-        for i, j in assign(cost):
-            if cost[i, j] <= GATE:
-                d = detections[j]
-                tracks[i] = replace(updated(tracks[i], d["x"], d["y"], (d.get("vx"), d.get("vy"))), hits=tracks[i].hits + 1, misses=0, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"])
-                free.discard(j)
-    tracks = [t for t in tracks if t.misses <= COAST and t.px + t.py + t.pvx + t.pvy < 10]
-    for j in sorted(free):
-        if len(tracks) >= MOST:
-            break
-        d = detections[j]
-        vx, vy = (v if _known(v) else 0.0 for v in (d.get("vx"), d.get("vy")))
-        pv = 1.0 if vx or vy else 2.0  # a velocity of 0 is as uncertain as none
-        tracks.append(Track(next_id, d["x"], d["y"], vx, vy, 0.5, 0.5, pv, pv, dt, length=d["length"], width=d["width"], height=d["height"], kind=d["kind"]))
-        next_id += 1
-    return tracks, next_id
-
-
-def rows(sensor: int, frame: int, tracks: list[Track]) -> list[dict]:
-    """What is reported of confirmed tracks (3 hits)."""
-    return [{"sensor_id": sensor, "frame_id": frame} | {k: v for k, v in asdict(t).items() if k not in ("py", "pvx", "pvy", "dt")} | {"pv": (t.pvx + t.pvy) / 2} for t in tracks if t.hits >= 3]
-
-
-def run(sensor: int, frames: pd.DataFrame, tracks: list[Track], next_id: int, dt: float, last: int | None = None) -> tuple[pd.DataFrame, list[Track], int, int | None]:
-    """Detections of one sensor (a row with a null x stands for an empty frame), frame by frame; frames not after last are late and dropped."""
-    out = []
-    for frame, own in frames.sort_values(["frame_id", "det_id"]).groupby("frame_id", sort=True):
-        if last is not None and frame <= last:
-            continue
-        tracks, next_id = step(tracks, next_id, own[own.x.notna()].to_dict("records"), dt)
-        out += rows(sensor, int(frame), tracks)
-        last = int(frame)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=names), tracks, next_id, last
+    """advance() of a list of tracks by a list of detections."""
+    value = lambda d, c: math.nan if (v := d.get(c)) is None else v
+    seen = np.array([[value(d, c) for c in ("x", "y", "vx", "vy", "length", "width", "height")] for d in detections], float).reshape(-1, 7)
+    out, next_id = advance(Tracks.of(tracks), next_id, seen, np.array([d["kind"] for d in detections], object), dt)
+    return out.single(), next_id
+
+
+class Follower:
+    """Frames of one sensor after another to reported tracks. Frames not after the last one are late and dropped."""
+
+    def __init__(self, dt: float, tracks: Tracks | None = None, next_id: int = 0, last: int | None = None):
+        self.dt, self.tracks, self.next_id, self.last = dt, tracks or Tracks.none(), next_id, last
+        self.out: list[tuple[int, int, Tracks]] = []
+
+    def restart(self) -> None:
+        self.tracks, self.next_id, self.last = Tracks.none(), 0, None
+
+    def frame(self, sensor: int, frame: int, seen: np.ndarray, kinds: np.ndarray) -> None:
+        if self.last is not None and frame <= self.last:
+            return
+        real = ~np.isnan(seen[:, 0])  # a row with a null x stands for an empty frame
+        self.tracks, self.next_id = advance(self.tracks, self.next_id, seen[real], kinds[real], self.dt)
+        self.last = frame
+        sure = self.tracks.counts[:, HITS] >= 3  # confirmed
+        if sure.any():
+            self.out.append((sensor, frame, self.tracks if sure.all() else self.tracks.take(sure)))
+
+    def reported(self) -> pa.RecordBatch:
+        """What is reported of confirmed tracks since the last call."""
+        out, self.out = self.out, []
+        sizes = [len(t.counts) for _, _, t in out]
+        of = lambda k: np.repeat(np.array([o[k] for o in out], np.int64), sizes)
+        every = Tracks(*(np.concatenate([getattr(t, a) for _, _, t in out]) if out else getattr(Tracks.none(), a) for a in ("state", "counts", "kinds")))
+        s, c = every.state, every.counts
+        columns = [of(0), of(1), c[:, ID], s[:, X], s[:, Y], s[:, VX], s[:, VY], s[:, PX], (s[:, PVX] + s[:, PVY]) / 2, *(c[:, k].astype(np.int32) for k in (HITS, AGE, MISSES)), s[:, LENGTH], s[:, WIDTH], s[:, HEIGHT]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(every.kinds.tolist(), pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+#: Columns that a follower reads, velocities being optional.
+SEEN = ("x", "y", "vx", "vy", "length", "width", "height")
+
+
+def narrowed(detections: DataFrame, *more: str) -> DataFrame:
+    """sensor_id, frame_id, det_id, kind, SEEN (unknown velocities null) and more columns."""
+    v = [(F.col(c) if c in detections.columns else F.lit(None)).cast("double").alias(c) for c in SEEN]
+    return detections.select(F.col("sensor_id").cast("bigint").alias("sensor_id"), F.col("frame_id").cast("bigint").alias("frame_id"), "det_id", "kind", *v, *more)
+
+
+def _follow(dt: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now, held = Follower(dt), None, []
+
+        def flush() -> None:
+            if held:
+                own.frame(*now, np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sensor, frame = (batch.column(k).to_numpy() for k in (0, 1))
+            kinds = batch.column(3).to_numpy(zero_copy_only=False)
+            seen = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(SEEN))], axis=1)
+            cuts = np.flatnonzero((sensor[1:] != sensor[:-1]) | (frame[1:] != frame[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sensor)], strict=True):
+                key = (int(sensor[a]), int(frame[a]))
+                if key != now:
+                    flush()
+                    if now is None or key[0] != now[0]:
+                        own.restart()
+                    now = key
+                held.append((seen[a:b], kinds[a:b]))  # the last frame goes on in the next batch, perhaps
+            yield own.reported()
+        flush()
+        yield own.reported()
+
+    return run
 
 
 def track(detections: DataFrame, dt: float = 0.1) -> DataFrame:
     """Tracks of each sensor's detections (sensor_id, frame_id, det_id, x, y, length, width, height, kind[, vx, vy]).
 
-    A sensor's frames are one sequence, so a sensor is one group; sensors run in parallel.
+    A row with a null x stands for an empty frame. A sensor's frames are one sequence, which one task passes over in order, a
+    batch at a time; sensors run in parallel.
     """
-
-    def own(group: pd.DataFrame) -> pd.DataFrame:
-        return run(int(group.sensor_id.iloc[0]), group, [], 0, dt)[0]
-
-    return detections.groupBy("sensor_id").applyInPandas(own, SCHEMA)
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("sensor_id", "frame_id", "det_id")
+    return narrowed(detections).repartition(parts, "sensor_id").sortWithinPartitions(*order).mapInArrow(_follow(dt), SCHEMA)
 
 
 def derived(tracks: DataFrame, confirm: int = 3, dynamic: float = 0.25) -> DataFrame:
