@@ -78,8 +78,9 @@ def terrain_blend(cells: DataFrame, noise: float = 0.0025, drift: float = 0.002)
     for g in gains[1:]:
         kept.append(kept[-1] + math.log1p(-g))
     upto = lambda values, k: F.element_at(F.array(*map(F.lit, values)), F.least(k, F.lit(len(values))).cast("int"))
-    own = Window.partitionBy("sensor_id", "kx", "ky")
-    ranked = cells.withColumn("_k", F.row_number().over(own.orderBy("frame_id", "z"))).withColumn("_n", F.count(F.lit(1)).over(own))
+    own = Window.partitionBy("sensor_id", "kx", "ky").orderBy("frame_id", "z")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = cells.select("*", F.row_number().over(own).alias("_k"), F.count(F.lit(1)).over(every).alias("_n"))
     log = lambda k: upto(kept, k) + F.greatest(k - len(kept), F.lit(0)) * math.log1p(-gains[-1])
     weight = upto(gains, F.col("_k")) * F.exp(log(F.col("_n")) - log(F.col("_k")))
     summed = ranked.groupBy("sensor_id", "kx", "ky").agg(F.max("_n").cast("int").alias("n"), F.sum(weight * F.col("z")).alias("z"))

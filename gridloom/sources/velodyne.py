@@ -6,15 +6,17 @@ ring. Files that are not whole numbers of floats, or of rows, have no points.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.window import Window
 
+from gridloom.sources.files import names_of, system_of
+
 SCHEMA = "path string, point_idx bigint, x float, y float, z float, intensity float, ring int"
 #: Intensity of files that have none.
 NO_INTENSITY = 15.0
@@ -78,8 +80,22 @@ def frame(points: DataFrame, number: int, frames: int, loop: bool = True) -> Dat
     return points.where(F.col("frame_id") == at)
 
 
+def sequence(spark: SparkSession, folder: str, start: int = 0, loop: bool = False, per_trigger: int = 1) -> DataFrame:
+    """A stream of a folder's sweeps in the order of their names: frame_id (how many were played before) and SCHEMA.
+
+    It begins with sweep start, held at the ends of the sequence, and plays per_trigger sweeps a batch, around and around if
+    loop. A query that is started again from its checkpoint goes on with the sweep that is next, whatever start says; to seek
+    or to take another folder, start it with another checkpoint. Sweeps whose names come after the last are played when they
+    arrive, unless loop.
+    """
+    register(spark)
+    own = spark.readStream.format("velodyne").option("start", start).option("loop", str(loop).lower()).option("perTrigger", per_trigger)
+    frames = own.load(folder)
+    return frames.select(F.col("path"), *[c.split()[0] for c in SCHEMA.split(", ")[1:]], F.col("frame_id"))
+
+
 def stream(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """A stream of the files of a folder, so many at a time."""
+    """A stream of the files of a folder, so many at a time, as they appear."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.bin").option("maxFilesPerTrigger", per_trigger).load(folder)
     return files.select("path", "content").mapInArrow(_decoded, SCHEMA)
 
@@ -116,60 +132,119 @@ def resolved(spark: SparkSession, base: str, mode: str = "static") -> str | None
     return folder_of(there, mode, base) or (base if holds(base, True) else None)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes format("velodyne") available to read a folder's files and to write frames as files."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+#: Files that one task of the data source reads.
+FILES = 16
+
+
+class Velodyne(DataSource):
+    """format("velodyne"): reads a folder's files, as a table or as a sequence, and writes frames as files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "velodyne"
+
+    def schema(self) -> str:
+        return SCHEMA if "start" not in self.options else f"{SCHEMA}, frame_id bigint"
+
+    def reader(self, schema):
+        return Reader(self.options["path"])
 
-    class Velodyne(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "velodyne"
+    def streamReader(self, schema):
+        return Sequence(self.options["path"], int(self.options.get("start", 0)), self.options.get("loop", "false") == "true", int(self.options.get("perTrigger", 1)))
 
-        def schema(self) -> str:
-            return SCHEMA
+    def writer(self, schema, overwrite):
+        return Writer(self.options["path"])
 
-        def reader(self, schema):
-            return Reader(self.options["path"])
 
-        def writer(self, schema, overwrite):
-            return Writer(self.options["path"])
+class Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
 
-    class Reader(DataSourceReader):
-        def __init__(self, path: str):
-            self.path = path
+    def partitions(self):
+        names = names_of(self.path, ".bin")
+        return [InputPartition(names[k : k + FILES]) for k in range(0, len(names), FILES)] or [InputPartition([])]
 
-        def partitions(self):
-            from pyarrow import fs
+    def read(self, partition):
+        system, _ = system_of(self.path)
+        for name in partition.value:
+            with system.open_input_stream(name) as f:
+                yield _batch(name, decode(f.read()))
 
-            system, root = fs.FileSystem.from_uri(self.path if re.match(r"\w+:", self.path) else f"file://{self.path}")
-            found = system.get_file_info(fs.FileSelector(root, recursive=True))
-            return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".bin")]
 
-        def read(self, partition):
-            from pyarrow import fs
+class Sequence(DataSourceStreamReader):
+    """Offsets count the sweeps played. The engine tells a reader that is started again where it was by asking for the partitions of
+    what it saw last; the limit of a batch goes on from there."""
 
-            system, _ = fs.FileSystem.from_uri(self.path if re.match(r"\w+:", self.path) else f"file://{self.path}")
-            with system.open_input_stream(partition.value) as f:
-                rows = decode(f.read())
-            yield _batch(partition.value, rows)
+    def __init__(self, path: str, start: int, loop: bool, per_trigger: int):
+        self.path, self.start, self.loop, self.per_trigger = path, start, loop, max(1, per_trigger)
+        self.at: int | None = None
+        self.names: list[str] = []
 
-    class Writer(DataSourceWriter):
-        def __init__(self, path: str):
-            self.path = path
+    def initialOffset(self):
+        return {"played": 0}
 
-        def write(self, rows):
-            from pyarrow import fs
+    def _first(self) -> int:
+        return max(0, min(self.start, len(self.names) - 1))
 
-            system, root = fs.FileSystem.from_uri(self.path if re.match(r"\w+:", self.path) else f"file://{self.path}")
-            own: dict[str, list] = {}
-            for r in rows:
-                own.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.point_idx, r.x, r.y, r.z, r.intensity))
-            for name, points in own.items():
-                v = np.array(sorted(points), float)
-                with system.open_output_stream(f"{root}/{name}") as f:
-                    f.write(encode(*v[:, 1:].T))
-            return WriterCommitMessage()
+    def latestOffset(self):
+        if not self.names or not self.loop:  # a sequence that goes around is the one it began with
+            self.names = names_of(self.path, ".bin")
+        self.at = self.at or 0
+        left = self.per_trigger if self.loop and self.names else max(0, len(self.names) - self._first() - self.at)
+        self.at += min(self.per_trigger, left)
+        return {"played": self.at}
 
+    def partitions(self, start, end):
+        if self.at is None or self.at < end["played"]:
+            self.at = end["played"]
+        self.names = self.names or names_of(self.path, ".bin")
+        frames = [(k, self.names[(self._first() + k) % len(self.names)]) for k in range(start["played"], end["played"])] if self.names else []
+        return [InputPartition(frames[k : k + FILES]) for k in range(0, len(frames), FILES)] or [InputPartition([])]
+
+    def read(self, partition):
+        system, _ = system_of(self.path)
+        for number, name in partition.value:
+            with system.open_input_stream(name) as f:
+                own = _batch(name, decode(f.read()))
+            yield own.append_column("frame_id", pa.array([number] * own.num_rows, pa.int64()))
+
+    def commit(self, end):
+        pass
+
+    def stop(self):
+        pass
+
+
+class Writer(DataSourceArrowWriter):
+    """Files by name: a task's rows come sorted by path and place, and a file is written as it goes."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator):
+        system, root = system_of(self.path)
+        now, out = None, None
+        try:
+            for batch in iterator:
+                paths = batch.column("path").to_pylist()
+                x, y, z, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "intensity"))
+                cuts = [0, *(k for k in range(1, len(paths)) if paths[k] != paths[k - 1]), len(paths)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if paths[a] != now:
+                        if out is not None:
+                            out.close()
+                        now, out = paths[a], system.open_output_stream(f"{root}/{paths[a].rsplit('/', 1)[-1]}")
+                    out.write(encode(x[a:b], y[a:b], z[a:b], i[a:b]))
+        finally:
+            if out is not None:
+                out.close()
+        return WriterCommitMessage()
+
+
+def register(spark: SparkSession) -> None:
+    """Makes format("velodyne") available."""
     spark.dataSource.register(Velodyne)
 
 
@@ -177,4 +252,4 @@ def write(points: DataFrame, folder: str) -> None:
     """One .bin file of width 4 for each path (its last part is the name); a file's rows are one task's."""
     register(points.sparkSession)
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    points.select(*[c if c in points.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))]).repartition("path").select(*columns).write.format("velodyne").mode("append").save(folder)
+    points.select(*[c if c in points.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))]).repartition("path").sortWithinPartitions("path", "point_idx").select(*columns).write.format("velodyne").mode("append").save(folder)
