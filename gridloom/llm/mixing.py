@@ -53,17 +53,19 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("cap"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def copies(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often systematic sampling emits each document.
+def copies(spark: SparkSession, docs: DataFrame, seed: str = "mix", carried: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (and a column carried along): how often systematic sampling emits each document.
 
     A null text has size 0; a null source is a source; rows that repeat are documents of their own; documents of size 0
     take part and may be emitted, which takes no words. An empty table gives no rows. Equal input gives equal rows: the
-    order within a cell is by MD5 of doc_id, then doc_id, then size, and rows equal in all of these are interchangeable.
+    order within a cell is by an MD5 of doc_id and text, then doc_id, then size, and rows equal in all of these are
+    interchangeable. Texts count in it so that rows without an id, or with one id for many, are spread over cells too.
     """
     tmp = Scratch(spark, "mix")
-    sized = tmp.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    more = [carried] if carried else []
+    dice = unit(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    sized = tmp.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), dice.alias("dice"), *more), "sizes")
     sized = sized.withColumn("class", F.expr("IF(length(bin(size)) <= 5, size, length(bin(size)) * 32 + shiftright(size, length(bin(size)) - 5))"))
-    sized = sized.withColumn("dice", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     classes = sized.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sources = targets(classes.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")))
     slices = classes.select("source", "class", F.ceil(F.col("n") / CELL).cast("int").alias("slices"))
@@ -76,7 +78,7 @@ def copies(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame
     cells = cells.join(sources, same(cells, sources)).select(cells["*"], sources["source_size"], sources["target"])
     inside = Window.partitionBy("source", "class", "slice").orderBy("dice", "doc_id", "size")
     ranked = cut.withColumn("rank", F.row_number().over(inside))
-    at = ranked.join(cells, same(ranked, cells, "class", "slice")).select(ranked["doc_id"], ranked["source"], ranked["size"], cells["source_size"], cells["target"], (ranked["rank"] + cells["before"]).alias("j"))
+    at = ranked.join(cells, same(ranked, cells, "class", "slice")).select(ranked["doc_id"], ranked["source"], ranked["size"], cells["source_size"], cells["target"], (ranked["rank"] + cells["before"]).alias("j"), *[ranked[c] for c in more])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
     up = F.floor(rate * F.col("j") + offset) - F.floor(rate * (F.col("j") - 1) + offset)
@@ -92,24 +94,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents that the mix emits, with copy_no from 1: a document that is emitted twice has two rows.
 
-    Rows that share doc_id, source and size share what is emitted for any of them, dealt out in order of the texts' hashes.
-    All columns stay; where docs has a copy_no, as when a mix is mixed, the new one is _copy_no.
+    Rows are numbered in a written table, and what is emitted is joined by number, so that nothing is ranked or joined by an id
+    that many rows may share. All columns stay; where docs has a copy_no, as when a mix is mixed, the new one is _copy_no.
     """
-    number, nth, copies_, size, doc, src, words, each = unused(docs, "copy_no", "nth", "copies", "size", "mixed_id", "mixed_source", "mixed_size", "mixed_each")
-    c = copies(spark, docs, seed).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias(each))
-    c = c.select(F.col("doc_id").alias(doc), F.col("source").alias(src), F.col("size").alias(words), each)
-    rank = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
-    sized = docs.withColumn(size, word_count(F.col("text"))).withColumn(nth, F.row_number().over(rank))
-    both = sized.join(c, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(size) == F.col(words)))
-    many = both.withColumn(copies_, F.element_at(F.col(each), F.col(nth))).filter(F.col(copies_) > 0)
-    return many.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int"))).alias(number))
+    tmp = Scratch(spark, "mixed")
+    number, row, copies_ = unused(docs, "copy_no", "row", "copies")
+    rows = tmp.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = copies(spark, rows.select("doc_id", "source", "text", F.col(row).alias("mixed_row")), seed, "mixed_row")
+    taken = taken.filter("copies > 0").select(F.col("mixed_row").alias(row), F.col("copies").cast("int").alias(copies_))
+    return rows.join(taken, row).select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_))).alias(number))
 
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS th FROM documents
 ), e AS (
-  SELECT *, length(bin(size)) AS bits, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS dice FROM d
+  SELECT *, length(bin(size)) AS bits, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || th), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS dice FROM d
 ), f AS (
   SELECT *, CASE WHEN bits <= 5 THEN size ELSE bits * 32 + (size >> (bits - 5)) END AS class FROM e
 ), s AS (

@@ -22,7 +22,8 @@ def test_stages_match_brute_force(spark, documents):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     assert all(labels.get(d) != 0 for d in set(source) - set(made[0])) and {d: source[d] for d in made[0]} == made[0]
     lost = lost_lines(list(made[0].items()))
-    assert made[1] == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost.get(d, ())) for d, t in made[0].items()}
+    left = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost.get(d, ())) for d, t in made[0].items()}
+    assert made[1] == {d: t for d, t in left.items() if t.split() or not made[0][d].split()} and len(made[1]) < len(left)  # what is emptied goes
     assert set(made[2]) == {d for d, _, _, kept in groups(list(made[1].items()), 5, 80) if kept}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     assert set(made[3]) == {r.doc_id for r in decontam.overlap(spark, spark.createDataFrame(list(made[2].items()), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect() if not r.contaminated}
@@ -89,3 +90,33 @@ def test_mixing_a_mix_and_equal_rows(spark):
     assert first[0] == first[1] == first[2] and first[0]
     again = mixing.mix(spark, mixing.mix(spark, docs).withColumns({"copies": F.lit(1), "nth": F.lit(2)}))
     assert again.columns == ["doc_id", "text", "source", "copy_no", "copies", "nth", "_copy_no"] and again.count() > 0
+
+
+def test_documents_that_line_dedup_empties_go(spark):
+    """Copies are emptied by line dedup and go with it; what had no words stays, and nothing that is emitted is empty."""
+    one = "\n".join(f"line {k} of this text has enough words of its own, as number {k * 7} says" for k in range(5))
+    rows = [(1, one, "en", "a"), (2, one, "en", "a"), (3, one + "\nand one more line that no other text here has in it", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (6, " \n ", "en", "a"), (2, one, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("had_words", F.lit(7))
+    got = pipe.drop_repeated_lines(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4, 5, 6] and {r.had_words for r in got} == {7}
+    assert {r.doc_id: r.text for r in got}[3] == "and one more line that no other text here has in it"
+
+
+def test_no_text_is_emitted_empty(spark):
+    where = "/root/testdata/sf0.001"
+    before = spark.read.parquet(f"{where}/documents.parquet").filter("text RLIKE '[^ \\n]'").count()
+    out = pipe.run(spark, where)
+    assert before > 0 and out.filter("text IS NOT NULL AND NOT text RLIKE '[^ \\n]'").count() == 0 < out.count()
+
+
+def test_rows_without_an_id_are_dealt_over_cells(spark):
+    """20,000 texts of one size and source without an id: no cell has more than about CELL of them."""
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text number ', id) AS text", "'a' AS source")
+    got = mixing.copies(spark, docs, carried="text")
+    assert got.count() == 20_000
+    dice = mixing.unit(F.concat_ws(":", F.lit("null"), F.md5(F.col("text").cast("binary"))))
+    cells = got.groupBy(F.floor(dice * 5).alias("slice")).count().collect()  # 20,000 / CELL, rounded up
+    assert len(cells) == 5 and max(r["count"] for r in cells) < 1.1 * mixing.CELL
+    assert 0.99 < got.agg(F.sum(F.col("copies") * F.col("size")) / F.max("target")).first()[0] < 1.01
+    many = mixing.mix(spark, docs)
+    assert many.count() == got.agg(F.sum("copies")).first()[0]
