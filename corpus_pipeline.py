@@ -1,6 +1,6 @@
 """A training-data pipeline of five stages, each over all that the one before kept.
 
-toxicity (documents that it rejects go), line dedup (lines go, documents stay), near-duplicate removal (one document of
+toxicity (documents that it rejects go), line dedup (lines go, and documents that lose all words), near-duplicate removal (one document of
 each group stays), benchmark decontamination (contaminated documents go) and mixing of the sources to target weights (the
 documents that the mix emits, with copy_no).
 """
@@ -48,9 +48,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents and columns, without lines that are like an earlier one; null and empty texts lose nothing, and rows that
-    repeat lose the same lines."""
-    return lines.dedup_lines(spark, docs)
+    """Documents without lines that are like an earlier one, with all columns; a document that loses every word goes.
+
+    Null, empty and wordless texts lose nothing and stay; rows that repeat lose the same lines, and stay or go together.
+    """
+    (had,) = unused(docs, "had_words")
+    words = lambda c: F.coalesce(F.col(c).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = lines.dedup_lines(spark, docs.withColumn(had, words("text")))
+    return left.filter(~F.col(had) | words("text")).drop(had)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

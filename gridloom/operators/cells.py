@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.config import BOUNDS, COSTS, GRID, Bounds
 from gridloom.operators.binning import cell
+from gridloom.operators.greedy import losers
 from gridloom.operators.points import within_bounds
 
 #: Zones: outer radius and cell size.
@@ -214,26 +216,25 @@ def cell_id(zone_: Column, size: Column, x: Column, y: Column) -> Column:
 
 
 def resolve_overlaps(cells: DataFrame, bin_mm: int = 50) -> DataFrame:
-    """Snapped cells without those that overlap one taken before; finer zones, then smaller cells, then cell_id come first.
+    """Snapped cells without those that overlap one kept before; finer zones, then smaller cells, then cell_id come first.
 
-    The choice is sequential, so a frame's cells are one group in Python; a frame's cells are bounded by its points.
+    Cells overlap if they cover a bin in common. Pairs come from tiles of 16 bins, each from the one that holds the first bin
+    that the two share, and choices are made in rounds over all frames.
     """
-    import pandas as pd
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = set(), []
-        order = group.sort_values(["zone", "size_mm", "cell_id"])
-        for row in order.itertuples():
-            half = row.size_mm / 2
-            xs = range(int((row.x * 1000 - half + 1) // bin_mm), int((row.x * 1000 + half - 1) // bin_mm) + 1)
-            ys = range(int((row.y * 1000 - half + 1) // bin_mm), int((row.y * 1000 + half - 1) // bin_mm) + 1)
-            own = {(a, b) for a in xs for b in ys}
-            if taken.isdisjoint(own):
-                taken |= own
-                keep.append(row.Index)
-        return group.loc[keep]
-
-    return cells.groupBy("frame_id").applyInPandas(pick, cells.schema)
+    half = F.col("size_mm") / 2
+    lo = lambda c: F.floor((F.col(c) * 1000 - half + 1) / bin_mm)
+    hi = lambda c: F.floor((F.col(c) * 1000 + half - 1) / bin_mm)
+    order = Window.partitionBy("frame_id").orderBy("zone", "size_mm", "cell_id", "x", "y")
+    own = cells.withColumn("_nth", F.row_number().over(order))
+    b = own.select("frame_id", F.col("_nth").alias("n"), lo("x").alias("x0"), hi("x").alias("x1"), lo("y").alias("y0"), hi("y").alias("y1"))
+    b = b.withColumn("kx", F.explode(F.sequence(F.floor(F.col("x0") / 16), F.floor(F.col("x1") / 16)))).withColumn("ky", F.explode(F.sequence(F.floor(F.col("y0") / 16), F.floor(F.col("y1") / 16))))
+    one, two = (b.select("frame_id", "kx", "ky", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "x0", "x1", "y0", "y1")]) for s in "ab")
+    meet = F.lit(True)
+    for a in "xy":
+        meet = meet & (F.col(f"{a}0_a") <= F.col(f"{a}1_b")) & (F.col(f"{a}0_b") <= F.col(f"{a}1_a")) & (F.col(f"k{a}") == F.floor(F.greatest(f"{a}0_a", f"{a}0_b") / 16))
+    pairs = one.join(two, ["frame_id", "kx", "ky"]).where((F.col("n_a") < F.col("n_b")) & meet)
+    gone = losers(pairs.select("frame_id", F.col("n_a").alias("better"), F.col("n_b").alias("worse")), ["frame_id"]).withColumnRenamed("worse", "_nth")
+    return own.join(gone, ["frame_id", "_nth"], "left_anti").select(*cells.columns)
 
 
 def split_levels(points: DataFrame, depth: int = 3, b: Bounds = BOUNDS) -> DataFrame:

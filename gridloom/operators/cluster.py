@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.binning import cell
+from gridloom.operators.greedy import losers
 from gridloom.operators.points import per_frame
 
 CELL = 350
@@ -267,7 +268,9 @@ def porosity(labelled: DataFrame) -> DataFrame:
 
 
 def rotated_iou(a: np.ndarray, b: np.ndarray) -> float:
-    """Overlap over union of two boxes x, y, length, width, yaw seen from above, by clipping one with the other."""
+    """Overlap over union of two boxes x, y, length, width, yaw seen from above, by clipping one with the other; 0 if one has no inside."""
+    if a[2] * a[3] <= 0 or b[2] * b[3] <= 0:
+        return 0.0
 
     def corners(v: np.ndarray) -> np.ndarray:
         c, s = math.cos(v[4]), math.sin(v[4])
@@ -293,19 +296,85 @@ def rotated_iou(a: np.ndarray, b: np.ndarray) -> float:
     return float(area / union) if union > 0 else 0.0
 
 
+#: What rounding may move a corner or an overlap by: lengths in metres, and shares.
+_CLOSE = 1e-9
+
+
+def corners(v: np.ndarray) -> np.ndarray:
+    """The corners, in turn, of boxes x, y, length, width, yaw seen from above: n x 5 to n x 4 x 2."""
+    c, s = np.cos(v[:, 4:]), np.sin(v[:, 4:])
+    a, b = v[:, 2:3] / 2 * [1, -1, -1, 1], v[:, 3:4] / 2 * [1, 1, -1, -1]
+    return np.stack([v[:, :1] + c * a - s * b, v[:, 1:2] + s * a + c * b], axis=2)
+
+
+def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The areas that pairs of boxes share: the corners of each that are in the other, and where sides cross, are the corners of what
+    they share, in order of their direction from the middle."""
+    p, q = corners(a), corners(b)
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    dp, dq = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    inside = lambda t, o, d: (cross(d[:, None], t[:, :, None] - o[:, None]) >= -_CLOSE).all(axis=2)
+    det = cross(dp[:, :, None], dq[:, None])
+    apart = q[:, None] - p[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, w = cross(apart, dq[:, None]) / det, cross(apart, dp[:, :, None]) / det
+        met = p[:, :, None] + u[..., None] * dp[:, :, None]
+    ok = (np.abs(det) > _CLOSE) & (u >= 0) & (u <= 1) & (w >= 0) & (w <= 1)
+    n = len(a)
+    points = np.concatenate([p, q, met.reshape(n, 16, 2)], axis=1)
+    there = np.concatenate([inside(p, q, dq), inside(q, p, dp), ok.reshape(n, 16)], axis=1)
+    points = np.where(there[..., None], points, 0.0)
+    size = there.sum(axis=1)
+    points = points - (points.sum(axis=1) / np.maximum(size, 1)[:, None])[:, None]
+    order = np.argsort(np.where(there, np.arctan2(points[..., 1], points[..., 0]), np.inf), axis=1, kind="stable")
+    points, there = np.take_along_axis(points, order[..., None], axis=1), np.take_along_axis(there, order, axis=1)
+    points = np.where(there[..., None], points, points[:, :1])  # what is not there is the first corner again
+    flat = (a[:, 2] * a[:, 3] <= 0) | (b[:, 2] * b[:, 3] <= 0)  # what has no inside shares nothing
+    return np.where((size >= 3) & ~flat, np.abs(cross(points, np.roll(points, -1, axis=1)).sum(axis=1)) / 2, 0.0)
+
+
+_BOX = ("x", "y", "length", "width", "yaw")
+
+
+def _above(threshold: float, keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.stack([batch.column(keys + k).to_numpy(zero_copy_only=False).astype(float) for k in range(10)], axis=1)
+            shared = shared_areas(v[:, :5], v[:, 5:])
+            union = v[:, 2] * v[:, 3] + v[:, 7] * v[:, 8] - shared
+            yield batch.select(range(keys)).filter(pa.array((union > 0) & (shared > (threshold + _CLOSE) * union)))
+
+    return run
+
+
+def overlapping(boxes: DataFrame, threshold: float, by: list[str], order: str, cell_m: float = 8.0) -> DataFrame:
+    """by, better, worse: pairs of a group's boxes (x, y, length, width, yaw, and a number, order) whose overlap over union is
+    above threshold by more than rounding. Pairs come from cells of cell_m that both boxes' circles touch, each from one of them."""
+    reach = F.hypot("length", "width") / 2
+    k = lambda c, sign: F.floor((F.col(c) + sign * reach) / cell_m)
+    b = boxes.select(*by, F.col(order).alias("nth"), *[F.col(c).cast("double").alias(c) for c in _BOX], reach.alias("reach"), k("x", -1).alias("x0"), k("x", 1).alias("x1"), k("y", -1).alias("y0"), k("y", 1).alias("y1"))
+    b = b.withColumn("kx", F.explode(F.sequence("x0", "x1"))).withColumn("ky", F.explode(F.sequence("y0", "y1")))
+    one, two = (b.select(*by, "kx", "ky", *[F.col(c).alias(f"{c}_{s}") for c in ("nth", *_BOX, "reach", "x0", "y0")]) for s in "ab")
+    first = (F.col("kx") == F.greatest("x0_a", "x0_b")) & (F.col("ky") == F.greatest("y0_a", "y0_b"))
+    near = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) < F.col("reach_a") + F.col("reach_b")
+    pairs = one.join(two, [*by, "kx", "ky"]).where((F.col("nth_a") < F.col("nth_b")) & first & near)
+    pairs = pairs.select(*by, F.col("nth_a").alias("better"), F.col("nth_b").alias("worse"), *[f"{c}_{s}" for s in "ab" for c in _BOX])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema[: len(by) + 2])
+    return pairs.mapInArrow(_above(threshold, len(by) + 2), schema)
+
+
 def suppress(boxes: DataFrame, threshold: float = 0.2, before: int = 1000, after: int = 83) -> DataFrame:
-    """Boxes (frame_id, box_id, x, y, length, width, yaw, score, class) that no better one of their class overlaps too much."""
-    best = boxes.withColumn("_r", F.row_number().over(Window.partitionBy("frame_id", "class").orderBy(F.desc("score"), "box_id"))).where(F.col("_r") <= before).drop("_r")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "box_id"], ascending=[False, True])
-        v, keep = group[["x", "y", "length", "width", "yaw"]].to_numpy(float), []
-        for i in range(len(group)):
-            if len(keep) < after and all(rotated_iou(v[k], v[i]) <= threshold for k in keep):
-                keep.append(i)
-        return group.iloc[keep]
-
-    return best.groupBy("frame_id", "class").applyInPandas(run, best.schema)
+    """Boxes (frame_id, box_id, x, y, length, width, yaw, score, class) that no better one of their class overlaps too much.
+
+    Better is a greater score, then a lesser box_id. Of a frame and class, the `before` best are looked at, and the `after`
+    best of those kept stay. Choices are made in rounds over all frames; rows equal in all of the order are interchangeable.
+    """
+    by = ["frame_id", "class"]
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "box_id", "x", "y", "length", "width", "yaw")
+    best = boxes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= before)
+    gone = losers(overlapping(best, threshold, by, "_r"), by).withColumnRenamed("worse", "_r")
+    kept = best.join(gone, [*by, "_r"], "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_r")))
+    return kept.where(F.col("_k") <= after).select(*boxes.columns)
 
 
 def decode_boxes(df: DataFrame) -> DataFrame:

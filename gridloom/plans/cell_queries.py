@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import Bounds
 from gridloom.operators import cells as op
-from gridloom.plans.common import IN_BOX, WIDE, P, points, wide
+from gridloom.plans.common import IN_BOX, WIDE, P, points, wide, greedy_sql
 
 NEAR = Bounds(-8000, 8000, -4000, 4000)
 
@@ -99,6 +99,13 @@ _LEVEL = lambda k, src: f"""k{k} AS (SELECT *, floor((x_mm + 40000) * 2 / {1000
 s{k} AS (SELECT frame_id, gx, gy, min(z_mm) AS z_min, max(z_mm) AS z_max, count(*) AS n, count(*) >= 3 AND max(z_mm) - min(z_mm) > 180 AS split, count(*) FILTER (z_mm > -1200) >= 3 AS high FROM k{k} GROUP BY 1, 2, 3),
 p{k + 1} AS (SELECT frame_id, x_mm, y_mm, z_mm FROM k{k} SEMI JOIN (SELECT * FROM s{k} WHERE split {'AND NOT high' if k == 0 else ''}) USING (frame_id, gx, gy))"""
 
+_SNAP = """a AS (SELECT frame_id, zone, ix, iy, size_mm / 2000.0::DOUBLE AS h, (ix + 0.5::DOUBLE) * size_mm / 1000.0::DOUBLE AS x, (iy + 0.5::DOUBLE) * size_mm / 1000.0::DOUBLE AS y, size_mm, n FROM fov),
+      b AS (SELECT *, sqrt(x * x + y * y) AS dist, sqrt(greatest(abs(x) - h, 0) ** 2 + greatest(abs(y) - h, 0) ** 2) AS rn, sqrt((abs(x) + h) ** 2 + (abs(y) + h) ** 2) AS rf FROM a),
+      c AS (SELECT *, CASE WHEN NOT ((rn < 10 AND rf > 10) OR (rn < 25 AND rf > 25) OR (rn < 50 AND rf > 50)) THEN 0
+            WHEN zone = 1 AND rf >= 10 THEN -(rf - 10 + 1e-4) WHEN zone = 2 AND rn < 10 THEN 10 - rn + 1e-4 WHEN zone = 2 AND rf >= 25 THEN -(rf - 25 + 1e-4)
+            WHEN zone = 3 AND rn < 25 THEN 25 - rn + 1e-4 WHEN zone = 3 AND rf >= 50 THEN -(rf - 50 + 1e-4) WHEN zone = 4 AND rn < 50 THEN 50 - rn + 1e-4 ELSE 0 END AS shift FROM b),
+      e AS (SELECT *, x * (1 + shift / dist) AS x2, y * (1 + shift / dist) AS y2 FROM c)"""
+
 ORACLE = {
     "band_counts_by_frame": f"WITH {P}, {leaves_sql()} {_COUNTS}",
     "uniform_cells": f"WITH {P} SELECT frame_id, floor(x_mm / 50.0::DOUBLE)::BIGINT AS gx, floor(y_mm / 50.0::DOUBLE)::BIGINT AS gy, min(z_mm) AS z_min, max(z_mm) AS z_max, count(*) AS n, sum(z_mm)::BIGINT AS sum_z FROM p GROUP BY 1, 2, 3",
@@ -114,13 +121,14 @@ ORACLE = {
       UNION ALL SELECT frame_id, 1, gx, gy, z_min, z_max, n, -1 FROM s1 WHERE NOT split UNION ALL SELECT frame_id, 2, gx, gy, z_min, z_max, n, -1 FROM s2 WHERE NOT split
       UNION ALL SELECT frame_id, 3, gx, gy, z_min, z_max, n, -1 FROM s3""",
     "foveated_cells": f"WITH {WIDE}, {_FOV} SELECT * REPLACE (round(variance * 1e6)::BIGINT AS variance), CASE WHEN dz > 250 OR z_max > -1150 THEN 255 WHEN dz > 150 THEN 100 ELSE 0 END AS cost FROM fov",
-    "foveated_snapped": f"""WITH {WIDE}, {_FOV}, a AS (SELECT frame_id, zone, ix, iy, size_mm / 2000.0::DOUBLE AS h, (ix + 0.5::DOUBLE) * size_mm / 1000.0::DOUBLE AS x, (iy + 0.5::DOUBLE) * size_mm / 1000.0::DOUBLE AS y, size_mm FROM fov),
-      b AS (SELECT *, sqrt(x * x + y * y) AS dist, sqrt(greatest(abs(x) - h, 0) ** 2 + greatest(abs(y) - h, 0) ** 2) AS rn, sqrt((abs(x) + h) ** 2 + (abs(y) + h) ** 2) AS rf FROM a),
-      c AS (SELECT *, CASE WHEN NOT ((rn < 10 AND rf > 10) OR (rn < 25 AND rf > 25) OR (rn < 50 AND rf > 50)) THEN 0
-            WHEN zone = 1 AND rf >= 10 THEN -(rf - 10 + 1e-4) WHEN zone = 2 AND rn < 10 THEN 10 - rn + 1e-4 WHEN zone = 2 AND rf >= 25 THEN -(rf - 25 + 1e-4)
-            WHEN zone = 3 AND rn < 25 THEN 25 - rn + 1e-4 WHEN zone = 3 AND rf >= 50 THEN -(rf - 50 + 1e-4) WHEN zone = 4 AND rn < 50 THEN 50 - rn + 1e-4 ELSE 0 END AS shift FROM b),
-      e AS (SELECT *, x * (1 + shift / dist) AS x2, y * (1 + shift / dist) AS y2 FROM c)
+    "foveated_snapped": f"""WITH {WIDE}, {_FOV}, {_SNAP}
       SELECT frame_id, zone, ix, iy, round(x2 * 1e4)::BIGINT AS x, round(y2 * 1e4)::BIGINT AS y, printf('z%d_%.2fm_%+09.4f_%+09.4f', zone, size_mm / 1000.0::DOUBLE, x2, y2) AS cell_id FROM e""",
+    "foveated_resolved": f"""WITH RECURSIVE {WIDE}, {_FOV}, {_SNAP},
+      o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY zone, size_mm, printf('z%d_%.2fm_%+09.4f_%+09.4f', zone, size_mm / 1000.0::DOUBLE, x2, y2), x2, y2) AS nth, floor((x2 * 1000 - size_mm / 2.0::DOUBLE + 1) / 50)::BIGINT AS x_lo,
+            floor((x2 * 1000 + size_mm / 2.0::DOUBLE - 1) / 50)::BIGINT AS x_hi, floor((y2 * 1000 - size_mm / 2.0::DOUBLE + 1) / 50)::BIGINT AS y_lo, floor((y2 * 1000 + size_mm / 2.0::DOUBLE - 1) / 50)::BIGINT AS y_hi FROM e),
+      ed AS (SELECT l.frame_id, l.nth AS better, r.nth AS worse FROM o l JOIN o r ON l.frame_id = r.frame_id AND l.nth < r.nth AND l.x_lo <= r.x_hi AND r.x_lo <= l.x_hi AND l.y_lo <= r.y_hi AND r.y_lo <= l.y_hi),
+      {greedy_sql('ed', 'frame_id')}
+      SELECT frame_id, zone, count(*) AS cells, sum(n)::BIGINT AS points FROM o ANTI JOIN gone ON gone.frame_id = o.frame_id AND gone.worse = o.nth GROUP BY 1, 2""",
     "zone_counts": f"WITH {WIDE}, {_FOV} SELECT frame_id, zone, count(*) AS cells, sum(n)::BIGINT AS points FROM fov GROUP BY 1, 2",
     "unobserved_cells": f"""WITH {P}, u AS (SELECT DISTINCT frame_id, floor(x_mm / 500.0::DOUBLE)::BIGINT + 16 AS gx, floor(y_mm / 500.0::DOUBLE)::BIGINT + 8 AS gy FROM p)
       SELECT frame_id, gx, gy, -1 AS cost FROM (SELECT DISTINCT frame_id FROM p), range(32) a(gx), range(16) b(gy) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.frame_id = p.frame_id AND u.gx = a.gx AND u.gy = b.gy)""",

@@ -57,3 +57,14 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACKS = """t0 AS (SELECT frame_id, k::INTEGER AS track_id, frame_id::DOUBLE * 0.5::DOUBLE - k * 3.0::DOUBLE + 1.25::DOUBLE AS x, k * 1.5::DOUBLE - 2.0::DOUBLE AS y, k * 2.0::DOUBLE - frame_id::DOUBLE * 0.125::DOUBLE AS vx,
   0.5::DOUBLE - k * 0.25::DOUBLE AS vy, k + 0.25::DOUBLE AS length, k * 0.5::DOUBLE + 0.25::DOUBLE AS width FROM (SELECT DISTINCT frame_id FROM p), (VALUES (0.0::DOUBLE), (1), (2)) v(k)),
 t AS (SELECT *, sqrt(vx * vx + vy * vy) >= 0.25 AS is_dynamic FROM t0)"""
+
+
+def greedy_sql(edges: str, by: str) -> str:
+    """CTEs that go through rows one by one in order, for edges (by, better, worse): gone (by, worse), what an earlier row that is
+    kept is in conflict with."""
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    return f"""ww AS (SELECT {by}, worse, list(better) AS betters, row_number() OVER (PARTITION BY {by} ORDER BY worse) AS i FROM {edges} GROUP BY {by}, worse),
+walk AS (SELECT DISTINCT {by}, 0::BIGINT AS i, []::BIGINT[] AS dead FROM ww UNION ALL
+  SELECT {", ".join(f"ww.{c}" for c in by.split(", "))}, ww.i, CASE WHEN len(list_filter(ww.betters, lambda b: NOT list_contains(walk.dead, b::BIGINT))) > 0 THEN list_append(walk.dead, ww.worse::BIGINT) ELSE walk.dead END
+  FROM walk JOIN ww ON {on("walk", "ww")} AND ww.i = walk.i + 1),
+gone AS (SELECT {by}, unnest(dead) AS worse FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY i DESC) AS last FROM walk) WHERE last = 1)"""

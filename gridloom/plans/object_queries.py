@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import cells, cluster, ground, health, telemetry as tm, track
 from gridloom.plans.cell_queries import leaves_sql
-from gridloom.plans.common import SMALL, TRACKS, P, points, small, tracks
+from gridloom.plans.common import SMALL, TRACKS, P, greedy_sql, points, small, tracks
 
 
 def _micro(c, scale=1e6):
@@ -141,9 +141,30 @@ QUERIES = {
     "timestamp_forms": lambda s, d: _events(s, d).select("event_id", F.round(tm.milliseconds(F.col("t"))).cast("bigint").alias("ms"), tm.stamp(F.col("t"))["sec"].alias("sec")),
 }
 
+_SIDE = lambda a, b, m: f"({b}x[{m % 4 + 1}] - {b}x[{m}]) * ({a}y[k] - {b}y[{m}]) - ({b}y[{m % 4 + 1}] - {b}y[{m}]) * ({a}x[k] - {b}x[{m}]) >= -1e-9"
+_INSIDE = lambda a, b: " AND ".join(_SIDE(a, b, m) for m in (1, 2, 3, 4))
+_CORNERS = lambda c: "[" + ", ".join(f"{c} + {'c' if c == 'x' else 's'} * ({i}) * length / 2 {'- s' if c == 'x' else '+ c'} * ({j}) * width / 2" for i, j in ((1, 1), (-1, 1), (-1, -1), (1, -1))) + "]"
+_NMS = f"""b0 AS (SELECT event_id // 2000 * 20 + event_id % 20 AS frame_id, event_id AS box_id, (event_id * 37 % 100) / 10.0::DOUBLE AS x, (event_id * 53 % 100) / 10.0::DOUBLE AS y, (3 + event_id % 3)::DOUBLE AS length,
+    1.5::DOUBLE + (event_id % 2) * 0.5::DOUBLE AS width, (event_id % 8) * 0.4::DOUBLE AS yaw, (event_id * 7919) % 10007 / 10007.0::DOUBLE AS score, (event_id % 3)::INTEGER AS class FROM events),
+  b1 AS (SELECT *, cos(yaw) AS c, sin(yaw) AS s, row_number() OVER (PARTITION BY frame_id, class ORDER BY score DESC, box_id) AS r FROM b0),
+  b2 AS (SELECT frame_id, class, box_id, r, x, y, length * width AS area, sqrt(length * length + width * width) / 2 AS reach, {_CORNERS('x')} AS px, {_CORNERS('y')} AS py FROM b1 WHERE r <= 1000),
+  pr AS (SELECT a.frame_id, a.class, a.r AS better, b.r AS worse, a.area + b.area AS areas, a.px AS ax, a.py AS ay, b.px AS gx, b.py AS gy FROM b2 a JOIN b2 b ON a.frame_id = b.frame_id AND a.class = b.class AND a.r < b.r
+    AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < a.reach + b.reach),
+  cr AS (SELECT *, ax[k] AS x1, ay[k] AS y1, ax[k % 4 + 1] - ax[k] AS dx, ay[k % 4 + 1] - ay[k] AS dy, gx[m] AS x2, gy[m] AS y2, gx[m % 4 + 1] - gx[m] AS ex, gy[m % 4 + 1] - gy[m] AS ey FROM pr, range(1, 5) t(k), range(1, 5) u(m)),
+  pt AS (SELECT frame_id, class, better, worse, areas, ax[k] AS qx, ay[k] AS qy FROM pr, range(1, 5) t(k) WHERE {_INSIDE('a', 'g')}
+    UNION ALL SELECT frame_id, class, better, worse, areas, gx[k], gy[k] FROM pr, range(1, 5) t(k) WHERE {_INSIDE('g', 'a')}
+    UNION ALL SELECT frame_id, class, better, worse, areas, x1 + ((x2 - x1) * ey - (y2 - y1) * ex) / (dx * ey - dy * ex) * dx, y1 + ((x2 - x1) * ey - (y2 - y1) * ex) / (dx * ey - dy * ex) * dy FROM cr
+      WHERE abs(dx * ey - dy * ex) > 1e-9 AND ((x2 - x1) * ey - (y2 - y1) * ex) / (dx * ey - dy * ex) BETWEEN 0 AND 1 AND ((x2 - x1) * dy - (y2 - y1) * dx) / (dx * ey - dy * ex) BETWEEN 0 AND 1),
+  md AS (SELECT *, qx - avg(qx) OVER w AS vx, qy - avg(qy) OVER w AS vy FROM pt WINDOW w AS (PARTITION BY frame_id, class, better, worse)),
+  tn AS (SELECT *, coalesce(lead(vx) OVER w, first_value(vx) OVER w) AS nx, coalesce(lead(vy) OVER w, first_value(vy) OVER w) AS ny FROM md WINDOW w AS (PARTITION BY frame_id, class, better, worse ORDER BY atan2(vy, vx), vx, vy)),
+  ar AS (SELECT frame_id, class, better, worse, any_value(areas) AS areas, CASE WHEN count(*) >= 3 THEN abs(sum(vx * ny - vy * nx)) / 2 ELSE 0 END AS shared FROM tn GROUP BY 1, 2, 3, 4),
+  ed AS (SELECT frame_id, class, better, worse FROM ar WHERE areas - shared > 0 AND shared > (0.2::DOUBLE + 1e-9::DOUBLE) * (areas - shared))"""
 _REGION = "x_mm BETWEEN -25000 AND 55000 AND y_mm BETWEEN -20000 AND 20000 AND z_mm BETWEEN -2200 AND 2500"
 _SUMMED = f"WITH {P}, {leaves_sql()}"
 ORACLE = {
+    "bev_nms": f"""WITH RECURSIVE {_NMS}, {greedy_sql('ed', 'frame_id, class')},
+      kp AS (SELECT b2.frame_id, b2.class, box_id, row_number() OVER (PARTITION BY b2.frame_id, b2.class ORDER BY r) AS k FROM b2 ANTI JOIN gone ON gone.frame_id = b2.frame_id AND gone.class = b2.class AND gone.worse = b2.r)
+      SELECT frame_id, class, box_id FROM kp WHERE k <= 83""",
     "bev_components": f"""WITH RECURSIVE {SMALL}, r AS (SELECT *, floor(x_mm / 350.0::DOUBLE)::BIGINT AS cx, floor(y_mm / 350.0::DOUBLE)::BIGINT AS cy FROM p WHERE {_REGION}), c AS (SELECT DISTINCT frame_id, cx, cy FROM r),
       reach AS (SELECT frame_id, cx, cy, cy AS ry, cx AS rx FROM c UNION SELECT c.frame_id, c.cx, c.cy, ry, rx FROM reach JOIN c ON c.frame_id = reach.frame_id AND abs(c.cx - reach.cx) <= 1 AND abs(c.cy - reach.cy) <= 1),
       top AS (SELECT frame_id, cx, cy, min((ry, rx)) AS root FROM reach GROUP BY 1, 2, 3), num AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY root) - 1 AS label FROM top)

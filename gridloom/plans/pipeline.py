@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells, cluster, ground, hazards, health, points as pt, raster, spatial, telemetry, track
+from gridloom.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -29,25 +29,6 @@ class Frame:
     documents: DataFrame
 
 
-class Tables:
-    """Writes what several branches read under the session's spark.checkpoint.dir; without one, it stays lazy.
-
-    Operators read a table several times over, so what goes through several of them is written in between: plans that hold
-    all of them grow by a factor with each, and the driver holds every plan as often as it is adapted.
-    """
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        where = self.spark.conf.get("spark.checkpoint.dir", None)
-        self.base = f"{where.rstrip('/')}/gridloom/frames-{uuid.uuid4().hex}" if where else None
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        if self.base is None:
-            return df
-        df.write.parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
-
-
 def _boxes(tracks: DataFrame) -> DataFrame:
     """Boxes of each frame's moving tracks for the next frame, in millimetres."""
     half = lambda c: (F.col(c) * 500).cast("bigint")
