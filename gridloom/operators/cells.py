@@ -238,26 +238,35 @@ def resolve_overlaps(cells: DataFrame, bin_mm: int = 50) -> DataFrame:
 
 
 def split_levels(points: DataFrame, depth: int = 3, b: Bounds = BOUNDS) -> DataFrame:
-    """Leaves of the recursive split, level by level: a cell with a step over 0.18 m and 3 points or more is quartered.
+    """Leaves of the recursive split as a linear quadtree: a cell with a step over 0.18 m and 3 points or more is quartered.
 
     A cell of the first level with 3 points above -1.2 m stays whole and is lethal. Sizes are 500, 250, 125 and 62.5 mm; gx
-    and gy count cells of the level's size.
+    and gy count cells of the level's size. Points are summed up once, into cells of the last level with their Morton key
+    within the first-level cell; a prefix of the key is the cell of a higher level, so a level is a window over what the first
+    level's cell holds, and points are exchanged once however deep the tree is.
     """
-    p = within_bounds(points, b).withColumn("_x", (F.col("x_mm") - b.x_min) * 2).withColumn("_y", (F.col("y_mm") - b.y_min) * 2)
-    out = None
-    for level in range(depth + 1):
-        size2 = GRID.coarse * 2 >> level  # the smallest size is not whole, so lengths are doubled
-        gx, gy = F.floor(F.col("_x") / size2), F.floor(F.col("_y") / size2)
-        cells = p.groupBy("frame_id", gx.alias("gx"), gy.alias("gy")).agg(F.min("z_mm").alias("z_min"), F.max("z_mm").alias("z_max"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("z_mm") > -1200).alias("n_high"))
-        split = (F.col("n") >= GRID.least_points) & (F.col("z_max") - F.col("z_min") > GRID.step)
-        block = split & (F.col("n_high") >= 3) if level == 0 else F.lit(False)
-        done = ~split | block if level < depth else F.lit(True)
-        here = cells.where(done).select("frame_id", F.lit(level).alias("depth"), "gx", "gy", "z_min", "z_max", "n", F.when(block, 255).otherwise(-1).alias("cost"))
-        out = here if out is None else out.unionByName(here)
-        if level < depth:
-            more = cells.where(~done).select("frame_id", F.col("gx").alias("_gx"), F.col("gy").alias("_gy"))
-            p = p.withColumn("_gx", gx).withColumn("_gy", gy).join(more, ["frame_id", "_gx", "_gy"], "left_semi").drop("_gx", "_gy")
-    return out
+    size2 = GRID.coarse * 2 >> depth  # the smallest size is not whole, so lengths are doubled
+    if size2 << depth != GRID.coarse * 2:
+        raise ValueError(f"cells of {GRID.coarse} mm cannot be quartered {depth} times in whole halves of a millimetre")
+    fine = lambda c, lo: F.floor((F.col(c) - lo) * 2 / size2).cast("bigint")
+    z = F.col("z_mm")
+    own = within_bounds(points, b).groupBy("frame_id", fine("x_mm", b.x_min).alias("fx"), fine("y_mm", b.y_min).alias("fy"))
+    c = own.agg(F.min(z).alias("z_lo"), F.max(z).alias("z_hi"), F.count(F.lit(1)).alias("m"), F.count_if(z > -1200).alias("high"))
+    bit = lambda f, k: F.shiftright(F.col(f), k).bitwiseAND(1)
+    key = sum((bit("fx", k) * (1 << 2 * k) + bit("fy", k) * (2 << 2 * k) for k in range(depth)), F.lit(0))
+    top = ["frame_id", "_x", "_y"]
+    c = c.withColumn("_x", F.shiftright("fx", depth)).withColumn("_y", F.shiftright("fy", depth)).withColumn("_key", key)
+    level, block = F.lit(None).cast("int"), F.lit(False)
+    for k in range(depth, -1, -1):
+        cell_ = Window.partitionBy(*top, F.shiftright("_key", 2 * (depth - k))) if k else Window.partitionBy(*top)
+        c = c.withColumns({f"_lo{k}": F.min("z_lo").over(cell_), f"_hi{k}": F.max("z_hi").over(cell_), f"_n{k}": F.sum("m").over(cell_)} | ({"_high": F.sum("high").over(cell_)} if k == 0 else {}))
+        split = (F.col(f"_n{k}") >= GRID.least_points) & (F.col(f"_hi{k}") - F.col(f"_lo{k}") > GRID.step)
+        block = split & (F.col("_high") >= 3) if k == 0 else F.lit(False)
+        level = F.when(~split | block if k < depth else F.lit(True), k).otherwise(level)
+    c = c.withColumn("depth", level).withColumn("cost", F.when((F.col("depth") == 0) & block, 255).otherwise(-1))
+    at = lambda f: F.expr(f"shiftright({f}, {depth} - depth)")
+    leaves = c.groupBy(*top, "depth", at("fx").alias("gx"), at("fy").alias("gy"), "cost").agg(F.min("z_lo").alias("z_min"), F.max("z_hi").alias("z_max"), F.sum("m").alias("n"))
+    return leaves.select("frame_id", "depth", "gx", "gy", "z_min", "z_max", "n", "cost")
 
 
 def uniform(points: DataFrame, size: int = 50) -> DataFrame:

@@ -154,9 +154,11 @@ def slot_threats(chosen: DataFrame, model, height: str) -> DataFrame:
 def thin_hazards(points: DataFrame, height: str, threshold: float = 0.75, size: int = 350, least: int = 5, most: int = 20) -> DataFrame:
     """Clusters of points 10 to 80 mm over the ground (column height, millimetres) that look like a threat.
 
-    At most `most` a frame, in the order of their first point. radius and bounds in millimetres.
+    A point's probability is its column p (null: none), as slot_threats() gives it, or comes from its height and intensity where there
+    is no such column. At most `most` a frame, in the order of their first point. radius and bounds in millimetres.
     """
-    p = points.where(F.col(height).between(10, 80)).withColumn("p", threat_probability(F.col(height), F.least(F.col("i_pct") / 100.0, F.lit(1.0)))).where(F.col("p") >= threshold)
+    given = F.col("p") if "p" in points.columns else threat_probability(F.col(height), F.least(F.col("i_pct") / 100.0, F.lit(1.0)))
+    p = points.where(F.col(height).between(10, 80)).withColumn("p", given).where(F.col("p") >= threshold)
     x, y = F.col("x_mm"), F.col("y_mm")
     h = p.groupBy("frame_id", cell("x_mm", size).alias("gx"), cell("y_mm", size).alias("gy")).agg(
         F.min("point_idx").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sum_x"), F.sum(y).alias("sum_y"), F.sum("z_mm").alias("sum_z"),

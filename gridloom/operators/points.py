@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gridloom.config import BOUNDS, Bounds
 from gridloom.operators.binning import cell, near_join
 from gridloom.schema import POINT
+from gridloom.tables import Tables
 
 
 def per_frame():
@@ -95,20 +96,54 @@ def dust_large(points: DataFrame, k: int = 15, reach: int = 55_000, least: int =
     return p.where(keep).select(*points.columns)
 
 
+def k_nearest(points: DataFrame, k: int) -> DataFrame:
+    """frame_id, point_idx, other, d2: each point's k nearest other ones of its frame, all of them in frames of k or fewer others.
+
+    Exact for frames of any size. Distances tie by the other's number. A point looks at the ring of cells around its own: if
+    k points are there within one cell's size, no point outside can be nearer, and the point is done. The others look again in
+    cells four times as large, until a cell holds the frame. The first size follows the frame's extent and number of points, so
+    that most are done at once, with about as many candidates as 27 cells of k points hold.
+    """
+    axes = ("x_mm", "y_mm", "z_mm")
+    tables = Tables(points, "nearest")
+    span = [(F.max(c) - F.min(c)).alias(f"_s{c[0]}") for c in axes]
+    frames = points.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n"), *span)
+    wide = F.greatest("_sx", "_sy", "_sz") + 1
+    start = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt((F.col("_sx") + 1.0) * (F.col("_sy") + 1.0) * k / F.col("_n"))))).cast("bigint")
+    own = points.select("frame_id", "point_idx", *axes).join(frames.select("frame_id", "_n", wide.alias("_wide"), F.greatest(start, F.lit(64)).alias("_size")), "frame_id")
+    all_points = tables.save(own.where(F.col("_n") > 1), "points")
+    left, done = all_points, []
+    while not left.isEmpty():
+        key = lambda c: F.floor(F.col(c) / F.col("_size"))
+        seek = left
+        for c in axes:
+            seek = seek.withColumn(f"_k{c[0]}", F.explode(F.sequence(key(c) - 1, key(c) + 1)))
+        seek = seek.select("frame_id", "point_idx", *[F.col(c).alias(f"_a{c[0]}") for c in axes], "_kx", "_ky", "_kz", "_n", "_wide", "_size")
+        sizes = left.select("frame_id", "_size").distinct()
+        held = all_points.drop("_size").join(sizes, "frame_id").select("frame_id", F.col("point_idx").alias("other"), *axes, *[key(c).alias(f"_k{c[0]}") for c in axes])
+        d2 = sum(((F.col(c) - F.col(f"_a{c[0]}")) * (F.col(c) - F.col(f"_a{c[0]}")) for c in axes), F.lit(0))
+        pairs = seek.join(held, ["frame_id", "_kx", "_ky", "_kz"]).where("other <> point_idx").withColumn("d2", d2)
+        order = Window.partitionBy("frame_id", "point_idx").orderBy("d2", "other")
+        near = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        found = near.groupBy("frame_id", "point_idx").agg(F.max("d2").alias("_far"), F.count(F.lit(1)).alias("_m"), F.collect_list(F.struct("other", "d2")).alias("_near"))  # k of them at most
+        both = left.join(found, ["frame_id", "point_idx"], "left")
+        sure = (F.col("_size") >= F.col("_wide")) | (F.coalesce("_m", F.lit(0)) == k) & (F.col("_far") <= F.col("_size") * F.col("_size"))
+        both = tables.save(both.withColumn("_sure", F.coalesce(sure, F.lit(False))), "round")
+        done.append(both.where("_sure").select("frame_id", "point_idx", F.explode("_near").alias("p")).select("frame_id", "point_idx", "p.*"))
+        left = both.where("NOT _sure").drop("_far", "_m", "_near", "_sure").withColumn("_size", F.col("_size") * 4)
+    out = all_points.select("frame_id", "point_idx", F.col("point_idx").alias("other"), F.col("x_mm").alias("d2")).limit(0) if not done else done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def dust_small(points: DataFrame, k: int = 15, ratio: float = 2.0, reach: int = 55_000) -> DataFrame:
     """Points of small frames whose mean distance to their k nearest is at most mean + ratio standard deviations.
 
-    Exact: distances come from an all-pairs join within a frame, which suits the frames of up to 1500 points that dust()
-    gives it; larger ones are for dust_large(). Frames with k
-    points or fewer, or without spread, stay whole; points beyond reach stay.
+    Exact, by k_nearest(). Frames with k points or fewer, or without spread, stay whole; points beyond reach stay.
     """
     near = F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm") <= reach * reach
-    inside = points.where(near)
-    a = inside.select("frame_id", "point_idx", *[F.col(c).alias(f"a_{c}") for c in ("x_mm", "y_mm", "z_mm")])
-    b = inside.select("frame_id", F.col("point_idx").alias("other"), "x_mm", "y_mm", "z_mm")
-    d2 = sum(((F.col(c) - F.col(f"a_{c}")) * (F.col(c) - F.col(f"a_{c}")) for c in ("x_mm", "y_mm", "z_mm")), F.lit(0))
-    pairs = a.join(b, "frame_id").where("other <> point_idx").select("frame_id", "point_idx", "other", d2.alias("d2"))
-    nearest = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("frame_id", "point_idx").orderBy("d2", "other"))).where(F.col("_r") <= k)
+    nearest = k_nearest(points.where(near), k)
     # sums of whole micrometres do not depend on the order of rows
     total = nearest.groupBy("frame_id", "point_idx").agg(F.sum(F.round(F.sqrt("d2") * 1000).cast("bigint")).alias("um"))
     stats = total.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum("um").alias("s"), F.sum(F.col("um").cast("double") * F.col("um")).alias("q"))

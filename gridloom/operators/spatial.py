@@ -91,14 +91,15 @@ def local_drops(cells: DataFrame, least: int = 3) -> DataFrame:
     return cells.join(base, ["frame_id", "gx", "gy"]).withColumn("drop", F.col("baseline") - F.col("z_um")).drop("_n")
 
 
-def costs_of_points(leaves: DataFrame, points: DataFrame, cost: int = 255) -> DataFrame:
-    """leaves that hold a point, borders included, cost at least `cost`."""
-    l = centres(leaves)
+def costs_of_points(leaves: DataFrame, points: DataFrame, cost: int = 255, size: int = 500) -> DataFrame:
+    """leaves that hold a point, borders included, cost at least `cost`.
+
+    A leaf is copied to the cells of size that it touches, four at most; a point is in one, and points are not copied.
+    """
     half = F.col("size_mm") / 2
-    p = points.select(F.col("frame_id").alias("_f"), F.col("x_mm").alias("_x"), F.col("y_mm").alias("_y"))
-    p = p.withColumn("_kx", F.explode(F.sequence(F.floor((F.col("_x") - 500) / 500), F.floor((F.col("_x") + 500) / 500)))).withColumn("_ky", F.explode(F.sequence(F.floor((F.col("_y") - 500) / 500), F.floor((F.col("_y") + 500) / 500))))
-    on = (F.col("frame_id") == F.col("_f")) & (F.floor(F.col("x_mm") / 500) == F.col("_kx")) & (F.floor(F.col("y_mm") / 500) == F.col("_ky"))
-    on = on & F.col("_x").between(F.col("x_mm") - half, F.col("x_mm") + half) & F.col("_y").between(F.col("y_mm") - half, F.col("y_mm") + half)
-    hit = l.join(p, on, "left_semi").select("frame_id", "gx", "gy", "size_mm", F.lit(cost).alias("_c"))
+    l = centres(leaves).select("frame_id", "gx", "gy", "size_mm", (F.col("x_mm") - half).alias("_x0"), (F.col("x_mm") + half).alias("_x1"), (F.col("y_mm") - half).alias("_y0"), (F.col("y_mm") + half).alias("_y1"))
+    l = l.withColumn("_kx", _covered(F.col("_x0"), F.col("_x1"), size)).withColumn("_ky", _covered(F.col("_y0"), F.col("_y1"), size))
+    p = points.select(F.col("frame_id").alias("_f"), F.col("x_mm").alias("_x"), F.col("y_mm").alias("_y"), F.floor(F.col("x_mm") / size).alias("_px"), F.floor(F.col("y_mm") / size).alias("_py"))
+    on = (F.col("frame_id") == F.col("_f")) & (F.col("_kx") == F.col("_px")) & (F.col("_ky") == F.col("_py")) & F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1"))
+    hit = l.join(p, on, "left_semi").select("frame_id", "gx", "gy", "size_mm", F.lit(cost).alias("_c")).distinct()
     return leaves.join(hit, ["frame_id", "gx", "gy", "size_mm"], "left").withColumn("cost", F.greatest("cost", F.coalesce("_c", F.lit(0)))).drop("_c")
-

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import cells, cluster, ground, hazards, health, points as pt, raster, spatial, telemetry, track
+from gridloom.functions.models import Model
+from gridloom.operators import cells, cluster, ground, hazards, health, points as pt, raster, segment, spatial, telemetry, track
 from gridloom.tables import Tables
 
 
@@ -38,7 +39,7 @@ def _boxes(tracks: DataFrame) -> DataFrame:
 
 def process(
     points: DataFrame, tracks: DataFrame | None = None, boxes: DataFrame | None = None, labels: DataFrame | None = None, memory: DataFrame | None = None,
-    sensor: Column | None = None, most_cells: int = 10_000, coarsen: bool = True,
+    sensor: Column | None = None, most_cells: int = 10_000, coarsen: bool = True, segmentation: Model | None = None, threats: Model | None = None,
 ) -> Frame:
     """Bounds, decimation, dust by frame size, ground split, thin hazards, clusters, tracking, exclusion of last frame's
     tracks, grid, inpainting, coarsening, drop-offs, cost, occupancy, vegetation, forecasts, ghosts, blind sectors, raster,
@@ -47,7 +48,8 @@ def process(
     terrain_cost keeps what the terrain alone gives and hazard_cost what hazards add; cost is the greater of both.
     tracks: frame_id, track_id, x, y, vx, vy, length, width, is_dynamic (metres); made from the frames' own rigid clusters and
     boxes (a detector's, metres) if not given, a sensor at a time (sensor: Column, 64 successive frames unless given).
-    labels: frame_id, point_idx, label; by height where there are none. memory: frame_id, kx, ky, z, remembered heights.
+    labels: frame_id, point_idx, label; where there are none, by the segmentation model if it is READY, and else by height.
+    threats: a model of slots for thin hazards, which come from height and intensity unless it is READY. memory: frame_id, kx, ky, z, remembered heights.
     """
     tables = Tables(points)
     sensor = F.expr("frame_id div 64") if sensor is None else sensor
@@ -55,6 +57,8 @@ def process(
     low, high = split.where("is_ground"), split.where("NOT is_ground")
     planes = ground.fit_planes(ground.plane_sums(low))
     rises = ground.residual_to_plane(low, planes).withColumn("h", F.rint(F.col("residual") * 1000).cast("bigint"))
+    if threats is not None and threats.predict is not None:
+        rises = rises.join(ground.slot_threats(ground.candidates(rises, "h"), threats, "h"), ["frame_id", "point_idx"], "left")
     thin = tables.save(ground.thin_hazards(rises, "h"), "thin")
 
     found = tables.save(cluster.clustered(pt.decimate(high.drop("is_ground"), 3000, 3)), "clustered")
@@ -73,7 +77,7 @@ def process(
     filled = painted.select("frame_id", F.lit(500).alias("size_mm"), "gx", "gy", F.floor(z).cast("bigint").alias("z_min"), F.ceil(z).cast("bigint").alias("z_max"), F.lit(0).cast("bigint").alias("dz"), F.lit(0).cast("bigint").alias("n"), z.alias("mean_z"), F.lit(0.0).alias("slope"), F.col("cost").cast("int").alias("cost"), F.lit(True).alias("inpainted"))
     leaves = cells.evaluate(leaves).withColumn("inpainted", F.lit(False)).unionByName(tables.save(filled, "filled"))
     leaves = spatial.occupancy(leaves, high)
-    own = split.withColumn("label", ground.height_label(F.col("z_mm")))
+    own = segment.segmented(split, segmentation).drop("label_source") if segmentation is not None else split.withColumn("label", ground.height_label(F.col("z_mm")))
     if labels is not None:
         given = labels.select("frame_id", "point_idx", F.col("label").alias("_label"))
         own = own.join(given, ["frame_id", "point_idx"], "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
