@@ -54,8 +54,8 @@ def served(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("cost", cost).withColumn("band", band(F.col("cost"))).withColumn("color", F.when(F.col("cost") <= 50, "green").when(F.col("cost") <= 180, "yellow").otherwise("red"))
 
 
-def serialised(leaves: DataFrame) -> DataFrame:
-    """frame_id and cell, a struct as it is sent: place, heights and size in metres of two digits, both costs, and whether observed.
+def serialised(leaves: DataFrame, *more: str) -> DataFrame:
+    """frame_id, more columns and cell, a struct as it is sent: place, heights and size in metres of two digits, both costs, and whether observed.
 
     leaves need x_mm, y_mm, size_mm, z_min, z_max, dz, mean_z, slope, n, cost; semantic_cost and variance may be absent. What
     was not observed (cost -1, no points, no height) has its place, costs of -1 and nulls. A cost of 100 in either stays, the
@@ -70,7 +70,7 @@ def serialised(leaves: DataFrame) -> DataFrame:
     only = lambda v: F.when(seen, v)
     parts = {"x": metres("x_mm"), "y": metres("y_mm"), "z": only(metres("mean_z")), "z_min": only(metres("z_min")), "z_max": only(metres("z_max")), "size": metres("size_mm"), "cost": cost, "semantic_cost": cost, "observed": seen}
     parts |= {"delta_z": only(metres("dz")), "variance": only(F.bround(have("variance").cast("double"), 2)), "slope": only(F.bround("slope", 1)), "pts": F.when(seen, F.col("n")).otherwise(0).cast("bigint")}
-    return leaves.select("frame_id", F.struct(*[v.alias(k) for k, v in parts.items()]).alias("cell"))
+    return leaves.select("frame_id", *more, F.struct(*[v.alias(k) for k, v in parts.items()]).alias("cell"))
 
 
 def completed(frames_: DataFrame) -> DataFrame:
@@ -96,6 +96,83 @@ def frames(leaves: DataFrame, tracks: DataFrame, most: int = 10_000) -> DataFram
     return cells.join(t, "frame_id", "left").select("frame_id", doc.alias("frame"))
 
 
+#: What is sent of a frame. Cells, objects and statistics are structs in the document, and raw_points one flat array.
+CELL = "struct<x:double,y:double,z:double,z_min:double,z_max:double,size:double,cost:int,semantic_cost:int,observed:boolean,delta_z:double,variance:double,slope:double,pts:bigint>"
+OBJECT = "struct<id:bigint,class:string,stationary:boolean,x:double,y:double,z:double,vx:double,vy:double,speed:double,heading:double,dimensions:array<double>,bbox:array<double>,hazard_cones:array<struct<t:int,cx:double,cy:double,polygon:array<array<double>>>>>"
+DOCUMENT = f"frame_id bigint, mode string, system_status string, cells array<{CELL}>, dynamic_objects array<{OBJECT}>, raw_points array<double>"
+#: Fixed value: MiB that a frame's leaves should stay below.
+MEMORY_TARGET_MIB = 15.0
+
+
+def sent_objects(tracks: DataFrame, cones: DataFrame, clusters: DataFrame) -> DataFrame:
+    """frame_id, object: moving tracks with the cones that they may reach, and parked cars as stationary objects with ids -1, -2, ...
+
+    tracks: track_id, kind, x, y, vx, vy, length, width, height, is_dynamic in metres (kind and height may be absent); those that are
+    neither dynamic nor faster than 0.15 m/s are not sent. clusters: merged_summaries() in millimetres.
+    """
+    two = lambda v: F.bround(v.cast("double"), 2)
+    have = lambda c, v: F.col(c) if c in tracks.columns else F.lit(v)
+    corner = lambda v: F.array(two(v["x"]), two(v["y"]))
+    ahead = cones.groupBy("frame_id", "track_id").agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), two(F.col("cx")).alias("cx"), two(F.col("cy")).alias("cy"), F.transform("polygon", corner).alias("polygon")))).alias("_cones"))
+    speed = F.hypot("vx", "vy")
+    t = tracks.where(F.col("is_dynamic") | (speed >= 0.15)).join(ahead, ["frame_id", "track_id"], "left")
+    parts = lambda *names: F.array(*[two(n) for n in names])
+    length, width, height = F.col("length"), F.col("width"), have("height", 0.0).cast("double")
+    none = F.array().cast("array<struct<t:int,cx:double,cy:double,polygon:array<array<double>>>>")
+    moving = F.struct(
+        F.col("track_id").cast("bigint").alias("id"), have("kind", "vehicle").alias("class"), F.lit(False).alias("stationary"), two(F.col("x")).alias("x"), two(F.col("y")).alias("y"), F.lit(0.0).alias("z"),
+        two(F.col("vx")).alias("vx"), two(F.col("vy")).alias("vy"), two(speed).alias("speed"), two(F.atan2("vy", "vx")).alias("heading"), parts(length, width, height).alias("dimensions"),
+        parts(F.col("x") - length / 2, F.col("y") - width / 2, F.lit(0.0), F.col("x") + length / 2, F.col("y") + width / 2, height).alias("bbox"), F.coalesce("_cones", none).alias("hazard_cones"),
+    )
+    m = lambda c: F.col(c) / 1000.0
+    mean = lambda a: F.col(f"{a}_sum") / F.col("n") / 1000.0
+    rank = F.row_number().over(Window.partitionBy("frame_id").orderBy("group"))
+    zero = F.lit(0.0)
+    parked = F.struct(
+        (-F.col("_r")).cast("bigint").alias("id"), F.lit("parked_car").alias("class"), F.lit(True).alias("stationary"), two(mean("x")).alias("x"), two(mean("y")).alias("y"), two(mean("z")).alias("z"),
+        zero.alias("vx"), zero.alias("vy"), zero.alias("speed"), zero.alias("heading"), parts(*[m(f"{a}_hi") - m(f"{a}_lo") for a in "xyz"]).alias("dimensions"),
+        parts(*[m(f"{a}_{e}") for e in ("lo", "hi") for a in "xyz"]).alias("bbox"), none.alias("hazard_cones"),
+    )
+    cars = clusters.where("kind = 'parked_car'").withColumn("_r", rank)
+    return t.select("frame_id", moving.alias("object")).unionByName(cars.select("frame_id", parked.alias("object")))
+
+
+def sent_statistics(statistics: DataFrame) -> DataFrame:
+    """frame_id, system_status, system_stats: frame_statistics() under all the names that viewers know, and what derives from them.
+
+    mapping_accuracy and surface_precision are the plain share of safe cells in percent. Timings are the caller's: columns that end
+    in _ms, and fps and latency_ms, are passed on if statistics has them. Memory is modelled; what cannot be known is absent.
+    """
+    mib = lambda c: F.round(F.col(c) / float(1 << 20), 2)
+    share = F.round(F.coalesce(F.try_divide(F.col("safe_cells") * 100.0, F.col("cell_count")), F.lit(0.0)), 1)
+    own = {c: F.col(c) for c in statistics.columns if c not in ("frame_id", "system_status", "leaf_bytes", "uniform_bytes", "saved_percent")}
+    own |= {"active_cells": F.col("cell_count"), "mapping_accuracy": share, "surface_precision": share, "sensor_health": F.col("system_status")}
+    own |= {c: mib("leaf_bytes") for c in ("mapping_memory_mib", "ram_mb", "adaptive_theoretical_mib")}
+    own |= {c: mib("uniform_bytes") for c in ("uniform_5cm_theoretical_mib", "uniform_5cm_full_domain_theoretical_memory_mib")}
+    own |= {"theoretical_reduction_percent": F.round("saved_percent", 1), "mapping_memory_target_mib": F.lit(MEMORY_TARGET_MIB), "mapping_memory_target_status": F.when(F.col("leaf_bytes") / float(1 << 20) < MEMORY_TARGET_MIB, "PASS").otherwise("FAIL")}
+    own |= {"target_fps": F.lit(33), "target_latency_ms": F.lit(30), "ground_truth_status": F.lit("NOT AVAILABLE")}
+    if "latency_ms" in statistics.columns:
+        own["total_latency_ms"] = F.col("latency_ms")
+    if "fps" in statistics.columns:
+        own["actual_fps"] = F.col("fps")
+    return statistics.select("frame_id", "system_status", F.struct(*[v.alias(k) for k, v in own.items()]).alias("system_stats"))
+
+
+def documents(leaves: DataFrame, objects: DataFrame, statistics: DataFrame, points: DataFrame, most: int = 10_000, most_points: int = 2000, mode: str = "2.5D ADAPTIVE") -> DataFrame:
+    """frame_id and the whole JSON document of each frame of statistics: cells as serialised() has them, objects as sent_objects(),
+    statistics as sent_statistics(), and the coordinates of every stride-th point in metres. A frame without cells, objects or
+    points has empty arrays. Cells and points are capped by frame, as the viewer asks; arrays are in order of size, gy, gx, of id, and of place."""
+    chosen = capped(leaves, most).withColumn("_at", F.struct("size_mm", "gy", "gx"))
+    extra = chosen.select("frame_id", "_at", *[c for c in leaves.columns if c not in ("frame_id", "_at")])
+    cells = serialised(extra, "_at").groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "cell"))), lambda v: v["cell"]).alias("cells"))
+    own = objects.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col("object.id").alias("i"), "object"))).alias("o")).select("frame_id", F.transform("o", lambda v: v["object"]).alias("dynamic_objects"))
+    raw = raw_points(points, most_points).select("frame_id", F.transform("xyz", lambda v: v / 1000.0).alias("raw_points"))
+    f = sent_statistics(statistics).join(cells, "frame_id", "left").join(own, "frame_id", "left").join(raw, "frame_id", "left")
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
+    doc = F.struct("frame_id", F.lit(mode).alias("mode"), "system_status", "system_stats", empty("cells", CELL), empty("dynamic_objects", OBJECT), empty("raw_points", "double"))
+    return f.select("frame_id", F.to_json(doc).alias("document"))
+
+
 FRAME_SCHEMA = "frame_id bigint, cells array<struct<size_mm:int,gy:bigint,gx:bigint,z:double,cost:int,color:string,observed:boolean>>, dynamic_objects array<struct<track_id:int,x:double,y:double,vx:double,vy:double>>, system_stats struct<cells:int,lethal:bigint>"
 
 

@@ -45,7 +45,7 @@ def _events(s, d):
 
 def _logged(s, d):
     i = F.col("event_id")
-    e = _events(s, d).where("event_type = 'click'").select((i * 0.5).alias("timestamp"), i.alias("track_id"), F.lit("vehicle").alias("object_class"), (i % 7).alias("pos_x"), (i % 5).alias("pos_y"), (i % 4 * 3).alias("vel_x"), (i % 4 * 4).alias("vel_y"), F.lit("unused").alias("extra"))
+    e = _events(s, d).select((i * 0.5).alias("timestamp"), i.alias("track_id"), F.col("event_type").alias("object_class"), (i % 7).alias("pos_x"), (i % 5).alias("pos_y"), (i % 4 * 3).alias("vel_x"), (i % 4 * 4).alias("vel_y"), F.lit("unused").alias("extra"))
     return tm.log_rows(e, "dynamic_tracks_history").select("timestamp", "track_id", "object_class", "pos_x", "pos_y", "vel_x", "vel_y", "speed", _micro("heading"))
 
 
@@ -168,8 +168,8 @@ ORACLE = {
       SELECT frame_id, row, track_id, printf('%.2f, %.2f', round(x, 2), round(y, 2)) AS position, printf('%.2f, %.2f', round(vx, 2), round(coalesce(wy, 0), 2)) AS velocity,
         CASE WHEN sp > 0 THEN printf('%.2f m/s', round(sp, 2)) ELSE '0.00 m/s (Stationary)' END AS speed, printf('%.1f', coalesce(degrees(atan2(wy, vx)), 0)) AS heading FROM b WHERE row <= 2""",
     "track_layers": f"WITH {P}, {TRACKS} SELECT frame_id, track_id, CASE WHEN is_dynamic THEN 'dynamic' ELSE 'static' END AS layer FROM t",
-    "log_tracks": f"""SELECT event_id * 0.5::DOUBLE AS timestamp, event_id AS track_id, 'vehicle' AS object_class, (event_id % 7)::DOUBLE AS pos_x, (event_id % 5)::DOUBLE AS pos_y, (event_id % 4 * 3)::DOUBLE AS vel_x, (event_id % 4 * 4)::DOUBLE AS vel_y,
-      (event_id % 4 * 5)::DOUBLE AS speed, {_M('atan2((event_id % 4 * 4)::DOUBLE, (event_id % 4 * 3)::DOUBLE)')} AS heading FROM events WHERE event_type = 'click'""",
+    "log_tracks": f"""SELECT event_id * 0.5::DOUBLE AS timestamp, event_id AS track_id, event_type AS object_class, (event_id % 7)::DOUBLE AS pos_x, (event_id % 5)::DOUBLE AS pos_y, (event_id % 4 * 3)::DOUBLE AS vel_x, (event_id % 4 * 4)::DOUBLE AS vel_y,
+      (event_id % 4 * 5)::DOUBLE AS speed, {_M('atan2((event_id % 4 * 4)::DOUBLE, (event_id % 4 * 3)::DOUBLE)')} AS heading FROM events""",
     "normalised_objects": f"""WITH a AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN {_THREE(9)} END AS p, CASE WHEN event_id % 2 = 0 THEN {_THREE(5)} END AS v, CASE WHEN event_id % 6 = 0 THEN {_THREE(4)} END AS dm FROM events),
       b AS (SELECT *, coalesce(p[1], event_id % 4)::DOUBLE AS x, coalesce(p[2], 0)::DOUBLE AS y, coalesce(p[3], 0)::DOUBLE AS z, coalesce(v[1], CASE WHEN event_id % 5 = 0 THEN 7 END, 0)::DOUBLE AS vx, coalesce(v[2], 0)::DOUBLE AS vy FROM a),
       c AS (SELECT *, sqrt(vx * vx + vy * vy) AS sp FROM b)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import cells, cluster, ground, health, telemetry as tm, track
 from gridloom.plans.cell_queries import leaves_sql
+from gridloom.plans import terrain_queries
 from gridloom.plans.common import SMALL, TRACKS, P, greedy_sql, points, small, tracks
 
 
@@ -266,3 +267,97 @@ ORACLE |= {
     "band_percent": f"""{_SUMMED} SELECT frame_id, round(100.0::DOUBLE * count(*) FILTER (cost <= 50) / count(*) * 1e6)::BIGINT AS safe_percent, round(100.0::DOUBLE * count(*) FILTER (cost > 50 AND cost <= 180) / count(*) * 1e6)::BIGINT AS caution_percent,
       round(100.0::DOUBLE * count(*) FILTER (cost > 180) / count(*) * 1e6)::BIGINT AS lethal_percent FROM ev GROUP BY 1""",
 }
+
+
+def _statistics_of(s, d):
+    """Statistics of points(), leaves and tracks(), with no other objects."""
+    leaves, split = _leaves(s, d), ground.split(points(s, d))
+    none = s.createDataFrame([], "frame_id bigint, kind string")
+    state = s.createDataFrame([], "frame_id bigint, is_degraded boolean, quadrants string")
+    return tm.frame_statistics(split, leaves, tracks(s, d), none, none, none, state)
+
+
+def _whole(s, d):
+    from gridloom.operators import hazards
+    from gridloom.operators.spatial import centres
+
+    objects = tm.sent_objects(tracks(s, d), hazards.cones(tracks(s, d)), cluster.merged_summaries(_summaries(s, d)))
+    return tm.documents(centres(_leaves(s, d)), objects, _statistics_of(s, d), points(s, d), 100_000, 300)
+
+
+def _document_cells(s, d):
+    """Cells of the parsed documents, by field, in hundredths."""
+    cell = _whole(s, d).select("frame_id", F.explode(F.from_json("document", tm.DOCUMENT)["cells"]).alias("c")).select("frame_id", "c.*")
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
+    return cell.select("frame_id", *[cents(c) for c in ("x", "y", "z_min", "z_max", "size", "delta_z")], "cost", "semantic_cost", "observed", "pts", F.round(F.col("slope") * 10).cast("bigint").alias("slope"))
+
+
+def _document_objects(s, d):
+    own = _whole(s, d).select("frame_id", F.explode(F.from_json("document", tm.DOCUMENT)["dynamic_objects"]).alias("o")).select("frame_id", "o.*")
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
+    return own.where("NOT stationary").select("frame_id", "id", "class", *[cents(c) for c in ("x", "y", "vx", "vy")], F.size("hazard_cones").alias("cones"), F.size("bbox").alias("bbox"), F.round(F.element_at("dimensions", 1) * 100).cast("bigint").alias("length"))
+
+
+def _document_statistics(s, d):
+    """Statistics of the parsed documents, and the length and sum of their points in millimetres."""
+    names = ("point_count", "cell_count", "active_cells", "safe_cells", "caution_cells", "hazard_cells", "coarse_cells", "fine_cells", "active_tracks", "dynamic_tracks", "parked_cars", "thin_hazards")
+    schema = f"system_status string, system_stats struct<{', '.join(f'{c}: bigint' for c in names)}, mapping_accuracy: double, mapping_memory_target_status: string>, raw_points array<double>"
+    f = _whole(s, d).select("frame_id", F.from_json("document", schema).alias("f")).select("frame_id", "f.*")
+    total = F.aggregate(F.transform("raw_points", lambda v: F.round(v * 1000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return f.select("frame_id", "system_status", *[f"system_stats.{c}" for c in names], F.round(F.col("system_stats.mapping_accuracy") * 10).cast("bigint").alias("accuracy10"), F.col("system_stats.mapping_memory_target_status").alias("memory"), F.size("raw_points").alias("raw"), total.alias("raw_total"))
+
+
+QUERIES |= {"document_cells": _document_cells, "document_objects": _document_objects, "document_statistics": _document_statistics}
+_CENTS = lambda c: f"round_even({c} / 10.0::DOUBLE, 0)::BIGINT"
+ORACLE |= {
+    "document_cells": f"""{_SUMMED}, a AS (SELECT *, -40000 + (gx + 0.5::DOUBLE) * size_mm AS x_mm, -35000 + (gy + 0.5::DOUBLE) * size_mm AS y_mm FROM ev),
+      b AS (SELECT *, CASE WHEN cost = 100 THEN 100 WHEN mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 THEN 0
+            ELSE greatest(CASE WHEN cost > 0 THEN cost WHEN dz > 250 OR z_max > -1150 THEN 255 ELSE 0 END, cost, 0) END AS sent FROM a)
+      SELECT frame_id, {_CENTS('x_mm')} AS x, {_CENTS('y_mm')} AS y, {_CENTS('z_min')} AS z_min, {_CENTS('z_max')} AS z_max, {_CENTS('size_mm')} AS size, {_CENTS('dz')} AS delta_z, sent::INTEGER AS cost, sent::INTEGER AS semantic_cost,
+        true AS observed, n AS pts, round(round_even(CASE WHEN dz > 10 THEN degrees(atan2(dz::DOUBLE, size_mm::DOUBLE)) ELSE 0 END, 1) * 10)::BIGINT AS slope FROM b""",
+    "document_objects": f"""WITH {P}, {TRACKS} SELECT frame_id, track_id::BIGINT AS id, 'vehicle' AS class, round(round_even(x, 2) * 100)::BIGINT AS x, round(round_even(y, 2) * 100)::BIGINT AS y, round(round_even(vx, 2) * 100)::BIGINT AS vx,
+      round(round_even(vy, 2) * 100)::BIGINT AS vy, CASE WHEN is_dynamic THEN 3 ELSE 0 END AS cones, 6 AS bbox, round(length * 100)::BIGINT AS length FROM t WHERE is_dynamic OR sqrt(vx * vx + vy * vy) >= 0.15""",
+}
+
+_SENT = f"""a AS (SELECT *, cost <> 100 AND mean_z BETWEEN -2200 AND -1250 AND dz <= 180 AND z_max <= -1150 AS road FROM ev), sv AS (SELECT * REPLACE (CASE WHEN road THEN 0 ELSE cost END AS cost) FROM a)"""
+_CAPPED = lambda most: f"""{_SENT}, ca AS (SELECT *, cost = 0 AS free, count(*) FILTER (cost = 0) OVER w AS nf, count(*) FILTER (cost <> 0) OVER w AS nh FROM sv WINDOW w AS (PARTITION BY frame_id)),
+      cb AS (SELECT *, least(nh, greatest(0, {most} - least(nf, {most // 2}))) AS high FROM ca), cd AS (SELECT *, CASE WHEN nf + nh <= {most} THEN {most} WHEN free THEN greatest(0, {most} - high) ELSE high END AS m, CASE WHEN free THEN nf ELSE nh END AS c,
+      row_number() OVER (PARTITION BY frame_id, free ORDER BY size_mm, gy, gx) - 1 AS r FROM cb),
+      cp AS (SELECT * FROM cd WHERE c <= m OR (m = 1 AND r = 0) OR (m > 1 AND EXISTS (SELECT 1 FROM range(0, {most}) t(i) WHERE i < m AND floor(i * (c - 1) / (m - 1)::DOUBLE) = r)))"""
+#: The components of obstacle cells, their summaries and objects.
+_CLUSTERS = f"""{terrain_queries._GROUND}, rg AS (SELECT *, floor(x_mm / 350.0::DOUBLE)::BIGINT AS cx, floor(y_mm / 350.0::DOUBLE)::BIGINT AS cy FROM gs WHERE NOT is_ground AND {_REGION}), cc AS (SELECT DISTINCT frame_id, cx, cy FROM rg),
+      reach AS (SELECT frame_id, cx, cy, cy AS ry, cx AS rx FROM cc UNION SELECT cc.frame_id, cc.cx, cc.cy, ry, rx FROM reach JOIN cc ON cc.frame_id = reach.frame_id AND abs(cc.cx - reach.cx) <= 1 AND abs(cc.cy - reach.cy) <= 1),
+      tp AS (SELECT frame_id, cx, cy, min((ry, rx)) AS root FROM reach GROUP BY 1, 2, 3), nu AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY root) - 1 AS label FROM tp),
+      s0 AS (SELECT frame_id, label, count(*) AS n, sum(i_pct)::BIGINT AS i_sum, min(x_mm) AS x_lo, max(x_mm) AS x_hi, sum(x_mm)::BIGINT AS x_sum, min(y_mm) AS y_lo, max(y_mm) AS y_hi, sum(y_mm)::BIGINT AS y_sum,
+        min(z_mm) AS z_lo, max(z_mm) AS z_hi, sum(z_mm)::BIGINT AS z_sum FROM rg JOIN nu USING (frame_id, cx, cy) GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 1500 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, label) <= 40),
+      s1 AS (SELECT *, x_hi - x_lo AS l, y_hi - y_lo AS w, z_hi - z_lo AS h FROM s0 WHERE x_hi - x_lo <= 12000 AND y_hi - y_lo <= 8000),
+      sm AS (SELECT *, CASE WHEN l BETWEEN 3000 AND 5500 AND w BETWEEN 1500 AND 2400 AND h BETWEEN 1200 AND 2200 THEN 'parked_car' WHEN h > 1200 AND l < 1200 AND w < 1200 THEN 'pedestrian' WHEN l > 1800 OR w > 1400 THEN 'vehicle' ELSE 'obstacle' END AS kind FROM s1)"""
+_GAP = lambda k: f"greatest(a.{k}_lo - b.{k}_hi, b.{k}_lo - a.{k}_hi, 0)"
+_SPAN = lambda k: f"greatest(a.{k}_hi, b.{k}_hi) - least(a.{k}_lo, b.{k}_lo)"
+ORACLE |= {
+    "cluster_summary": f"WITH RECURSIVE {P}, {_CLUSTERS} SELECT frame_id, n, i_sum, x_lo, x_hi, y_lo, y_hi, z_lo, z_hi, x_sum, y_sum, z_sum, kind FROM sm",
+    "cluster_merge": f"""WITH RECURSIVE {P}, {_CLUSTERS},
+      gp AS (SELECT a.frame_id, a.label AS lo, b.label AS hi, {_GAP('x')} * {_GAP('x')} + {_GAP('y')} * {_GAP('y')} AS d2, {_GAP('z')} AS gz, a.kind = 'vehicle' OR b.kind = 'vehicle' AS veh, {_SPAN('x')} > 1800 OR {_SPAN('y')} > 1400 AS long
+        FROM sm a JOIN sm b ON a.frame_id = b.frame_id AND a.label < b.label),
+      lk AS (SELECT frame_id, lo, hi FROM gp WHERE gz <= 1000 AND ((veh AND d2 <= 1000000) OR (d2 = 0 AND gz < 600) OR (d2 <= 360000 AND long))),
+      bw AS (SELECT frame_id, lo AS x, hi AS y FROM lk UNION ALL SELECT frame_id, hi, lo FROM lk),
+      rt AS (SELECT frame_id, label, label AS root FROM sm UNION SELECT rt.frame_id, bw.y, rt.root FROM rt JOIN bw ON bw.frame_id = rt.frame_id AND bw.x = rt.label),
+      og AS (SELECT frame_id, label, min(root) AS g FROM rt GROUP BY 1, 2),
+      mg AS (SELECT frame_id, g AS "group", count(*) AS parts, sum(n)::BIGINT AS n, sum(i_sum)::BIGINT AS i_sum, bool_or(kind = 'parked_car') AS car, bool_or(kind = 'vehicle') AS veh, min(kind) AS own, min(x_lo) AS x_lo, max(x_hi) AS x_hi, sum(x_sum)::BIGINT AS x_sum,
+        min(y_lo) AS y_lo, max(y_hi) AS y_hi, sum(y_sum)::BIGINT AS y_sum, min(z_lo) AS z_lo, max(z_hi) AS z_hi, sum(z_sum)::BIGINT AS z_sum FROM sm JOIN og USING (frame_id, label) GROUP BY 1, 2)
+      SELECT * EXCLUDE (car, veh, own), CASE WHEN parts = 1 THEN own WHEN car OR (x_hi - x_lo BETWEEN 3000 AND 5500 AND y_hi - y_lo BETWEEN 1500 AND 2400 AND z_hi - z_lo BETWEEN 1200 AND 2200) THEN 'parked_car'
+        WHEN veh OR x_hi - x_lo > 1800 OR y_hi - y_lo > 1400 THEN 'vehicle' WHEN z_hi - z_lo > 1200 AND x_hi - x_lo < 1200 AND y_hi - y_lo < 1200 THEN 'pedestrian' ELSE 'obstacle' END AS kind FROM mg""",
+    "telemetry_frame": f"""{_SUMMED}, {TRACKS}, {_CAPPED(50)},
+      ce AS (SELECT frame_id, count(*) AS n, count(*) FILTER (cost > 180) AS lethal, string_agg(printf('{{"size_mm":%d,"gy":%d,"gx":%d,"z":%s,"cost":%d,"color":"%s"}}', size_mm, gy, gx, (round_even(mean_z, 0) / 1000)::VARCHAR, cost,
+        CASE WHEN cost <= 50 THEN 'green' WHEN cost <= 180 THEN 'yellow' ELSE 'red' END), ',' ORDER BY size_mm, gy, gx) AS cells FROM cp GROUP BY 1),
+      ob AS (SELECT frame_id, string_agg(printf('{{"track_id":%d,"x":%s,"y":%s,"vx":%s,"vy":%s}}', track_id, round_even(x, 2)::VARCHAR, round_even(y, 2)::VARCHAR, round_even(vx, 2)::VARCHAR, round_even(vy, 2)::VARCHAR), ',' ORDER BY track_id) AS objects FROM t WHERE is_dynamic GROUP BY 1)
+      SELECT frame_id, '{{"frame_id":' || frame_id || ',"cells":[' || cells || '],"dynamic_objects":[' || coalesce(objects, '') || '],"system_stats":{{"cells":' || n || ',"lethal":' || lethal || '}}}}' AS frame FROM ce LEFT JOIN ob USING (frame_id)""",
+    "frame_validation": f"""{_SUMMED}, {_CAPPED(200)}, fv AS (SELECT frame_id, bool_or(cost = 0) AS broken FROM cp GROUP BY 1)
+      SELECT ok, count(*) AS frames FROM (SELECT true AS ok FROM fv UNION ALL SELECT NOT broken FROM fv) GROUP BY 1""",
+    "document_statistics": f"""{_SUMMED}, {TRACKS}, b AS (SELECT frame_id, count(*) AS c, count(*) FILTER (cost <= 50) AS safe, count(*) FILTER (cost > 50 AND cost <= 180) AS caution, count(*) FILTER (cost > 180) AS lethal, count(*) FILTER (size_mm = 500) AS coarse, count(*) FILTER (size_mm = 125) AS fine FROM ev GROUP BY 1),
+      k AS (SELECT frame_id, count(*) AS tracks, count(*) FILTER (is_dynamic) AS moving FROM t GROUP BY 1), rw AS (SELECT *, greatest(count(*) OVER (PARTITION BY frame_id) // 300, 1) AS st, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS r FROM p),
+      w AS (SELECT frame_id, count(*) AS n, (count(*) FILTER (r % st = 0) * 3)::INTEGER AS raw, sum(x_mm + y_mm + z_mm) FILTER (r % st = 0)::BIGINT AS raw_total FROM rw GROUP BY 1)
+      SELECT w.frame_id, 'NOMINAL' AS system_status, w.n AS point_count, b.c AS cell_count, b.c AS active_cells, safe AS safe_cells, caution AS caution_cells, lethal AS hazard_cells, coarse AS coarse_cells, fine AS fine_cells, tracks AS active_tracks, moving AS dynamic_tracks,
+        0::BIGINT AS parked_cars, 0::BIGINT AS thin_hazards, round(round(safe * 100.0::DOUBLE / b.c, 1) * 10)::BIGINT AS accuracy10, CASE WHEN (b.c * 256 + 262144) / 1048576.0::DOUBLE < 15 THEN 'PASS' ELSE 'FAIL' END AS memory, raw, raw_total
+      FROM w JOIN b USING (frame_id) JOIN k USING (frame_id)""",
+}

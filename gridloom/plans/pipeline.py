@@ -28,6 +28,7 @@ class Frame:
     statistics: DataFrame
     bands: DataFrame
     documents: DataFrame
+    whole_documents: DataFrame
 
 
 def _boxes(tracks: DataFrame) -> DataFrame:
@@ -102,4 +103,4 @@ def process(
     fixed = ahead.select("frame_id", (F.col("x") * 1000).alias("x"), (F.col("y") * 1000).alias("y"), (F.col("radius") * 1000).alias("radius"), "cost", "rank")
     statistics = telemetry.frame_statistics(split, leaves, tracks, thin, drops, objects, state)
     shown = raster.coarsened(leaves) if coarsen else leaves
-    return Frame(split, leaves, thin, drops, objects, porous, tracks, state, raster.occupancy_grid(leaves, fixed), statistics, cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells))
+    return Frame(split, leaves, thin, drops, objects, porous, tracks, state, raster.occupancy_grid(leaves, fixed), statistics, cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells), telemetry.documents(shown, telemetry.sent_objects(tracks, hazards.cones(tracks), objects), statistics, split, most_cells))
