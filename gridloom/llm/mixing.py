@@ -17,7 +17,7 @@ from gridloom.llm.scratch import Scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a cell, about.
-CELL = 4096
+CELL = 512
 #: No source gives more than this many times its size.
 MOST = 3
 
