@@ -1,11 +1,13 @@
 """Raster operators on sparse cells (frame_id, gx, gy): morphology, gap filling, coarsening and occupancy pixels.
 
-A dense grid is never built: dilation copies cells to their neighbours, erosion counts them, and both go one axis at a
-time. Outside the grid there is nothing.
+Dilation of sparse cells copies them to their neighbours and erosion counts them, one axis at a time. Where several closings
+of one frame are wanted at once, its grid, which the bounds limit, is an array in a task. Outside the grid there is nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,12 +54,36 @@ def cell_table(leaves: DataFrame) -> DataFrame:
     return rows.groupBy("frame_id", F.col("cx").alias("gx"), F.col("cy").alias("gy")).agg(F.max("g").alias("ground"), F.max("last").alias("last")).select(*KEY, "ground", F.col("last.z").alias("z_um"))
 
 
+def box_counts(grid: np.ndarray, rx: int, ry: int) -> np.ndarray:
+    """Of each cell of a grid (rows along y), how many are set in its box of (2 rx + 1) by (2 ry + 1), by four look-ups in sums over
+    all that is before; outside the grid there is nothing."""
+    ny, nx = grid.shape
+    total = np.zeros((ny + 1, nx + 1), np.int64)
+    total[1:, 1:] = grid.cumsum(axis=0).cumsum(axis=1)
+    y, x = np.arange(ny), np.arange(nx)
+    y0, y1, x0, x1 = np.maximum(y - ry, 0), np.minimum(y + ry + 1, ny), np.maximum(x - rx, 0), np.minimum(x + rx + 1, nx)
+    return total[np.ix_(y1, x1)] - total[np.ix_(y0, x1)] - total[np.ix_(y1, x0)] + total[np.ix_(y0, x0)]
+
+
+def closed_grid(grid: np.ndarray, rx: int, ry: int) -> np.ndarray:
+    """Dilation, then erosion, of a dense grid."""
+    return box_counts(box_counts(grid, rx, ry) > 0, rx, ry) == (2 * rx + 1) * (2 * ry + 1)
+
+
 def bridged(cells: DataFrame, nx: int = NX, ny: int = NY) -> DataFrame:
-    """Cells without leaves that one of four closings of the ground fills."""
-    ground = cells.where("ground").select(*KEY)
-    near = dilated(ground, 1, 1, nx, ny).join(closed(ground, 2, 2, nx, ny), KEY, "left_semi")
-    filled = closed(ground, 1, 1, nx, ny).unionByName(closed(ground, 6, 3, nx, ny)).unionByName(closed(ground, 3, 4, nx, ny)).unionByName(near).distinct()
-    return filled.join(cells.select(*KEY), KEY, "left_anti")
+    """Cells without leaves that one of four closings of the ground fills. A frame's grid of nx by ny is one array in a task."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        gx, gy, ground = (frame.column(c).to_numpy() for c in ("gx", "gy", "ground"))
+        there, grid = np.zeros((ny, nx), bool), np.zeros((ny, nx), bool)
+        inside = (gx >= 0) & (gx < nx) & (gy >= 0) & (gy < ny)
+        there[gy[inside], gx[inside]] = True
+        grid[gy[inside & ground], gx[inside & ground]] = True
+        filled = closed_grid(grid, 1, 1) | closed_grid(grid, 6, 3) | closed_grid(grid, 3, 4) | ((box_counts(grid, 1, 1) > 0) & closed_grid(grid, 2, 2))
+        y, x = np.nonzero(filled & ~there)
+        return pa.table({"frame_id": pa.array(np.full(len(x), frame.column("frame_id")[0].as_py()), pa.int64()), "gx": pa.array(x, pa.int64()), "gy": pa.array(y, pa.int64())})
+
+    return cells.select(*KEY, F.coalesce("ground", F.lit(False)).alias("ground")).groupBy("frame_id").applyInArrow(run, "frame_id bigint, gx bigint, gy bigint")
 
 
 def gaps(cells: DataFrame, holes: DataFrame) -> DataFrame:

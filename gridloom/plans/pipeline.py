@@ -54,7 +54,8 @@ def process(
     """
     tables = Tables(points)
     sensor = F.expr("frame_id div 64") if sensor is None else sensor
-    split = tables.save(ground.split(pt.dust(pt.decimate(pt.within_bounds(points), 65_000, 2))), "points")
+    near = tables.save(pt.decimate(pt.within_bounds(points), 65_000, 2), "near")
+    split = tables.save(ground.split(pt.dust(near)), "points")
     low, high = split.where("is_ground"), split.where("NOT is_ground")
     planes = ground.fit_planes(ground.plane_sums(low))
     rises = ground.residual_to_plane(low, planes).withColumn("h", F.rint(F.col("residual") * 1000).cast("bigint"))
@@ -103,4 +104,4 @@ def process(
     fixed = ahead.select("frame_id", (F.col("x") * 1000).alias("x"), (F.col("y") * 1000).alias("y"), (F.col("radius") * 1000).alias("radius"), "cost", "rank")
     statistics = telemetry.frame_statistics(split, leaves, tracks, thin, drops, objects, state)
     shown = raster.coarsened(leaves) if coarsen else leaves
-    return Frame(split, leaves, thin, drops, objects, porous, tracks, state, raster.occupancy_grid(leaves, fixed), statistics, cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells), telemetry.documents(shown, telemetry.sent_objects(tracks, hazards.cones(tracks), objects), statistics, split, most_cells))
+    return Frame(split, leaves, thin, drops, objects, porous, tracks, state, raster.occupancy_grid(leaves, fixed), statistics, cells.band_counts(leaves), telemetry.frames(shown, tracks, most_cells), telemetry.documents(leaves, telemetry.sent_objects(tracks, hazards.cones(tracks), objects), statistics, split, most_cells))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import models
-from gridloom.operators import cells, ground, points as pt, segment, spatial
+from gridloom.operators import cells, ground, points as pt, raster, segment, spatial
 from gridloom.plans import pipeline
 from gridloom.plans.common import points
 
@@ -136,3 +136,19 @@ def test_the_frame_path_takes_models(spark):
     seen = ground.spherical(made.points).where("u >= 0 OR z_mm >= 1000").selectExpr("frame_id", "(x_mm + 40000) div 500 AS kx", "(y_mm + 35000) div 500 AS ky").distinct()
     lethal = made.leaves.where("NOT inpainted").selectExpr("frame_id", "CAST((gx + 0.5) * size_mm AS BIGINT) div 500 AS kx", "CAST((gy + 0.5) * size_mm AS BIGINT) div 500 AS ky", "terrain_cost")
     assert lethal.join(seen, ["frame_id", "kx", "ky"]).where("terrain_cost < 255").isEmpty()
+
+
+def test_bridged_cells_are_those_of_sparse_closings(spark):
+    """The four closings on arrays against the same of sparse cells, borders included."""
+    rng = random.Random(9)
+    rows = [(f, x, y, rng.random() < (0.9, 0.5, 0.2)[f]) for f in range(3) for x in range(24) for y in range(18) if rng.random() < 0.55]
+    table = spark.createDataFrame(rows, "frame_id bigint, gx bigint, gy bigint, ground boolean")
+    nx, ny, key = 24, 18, raster.KEY
+    g = table.where("ground").select(*key)
+    near = raster.dilated(g, 1, 1, nx, ny).join(raster.closed(g, 2, 2, nx, ny), key, "left_semi")
+    filled = near
+    for r in ((1, 1), (6, 3), (3, 4)):
+        filled = filled.unionByName(raster.closed(g, *r, nx, ny))
+    want = {tuple(r) for r in filled.distinct().join(table.select(*key), key, "left_anti").select(*key).collect()}
+    got = [tuple(r) for r in raster.bridged(table, nx, ny).select(*key).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
