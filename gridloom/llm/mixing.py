@@ -102,7 +102,8 @@ def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame:
     rows = tmp.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     taken = copies(spark, rows.select("doc_id", "source", "text", F.col(row).alias("mixed_row")), seed, "mixed_row")
     taken = taken.filter("copies > 0").select(F.col("mixed_row").alias(row), F.col("copies").cast("int").alias(copies_))
-    return rows.join(taken, row).select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_))).alias(number))
+    # what is emitted grows with the documents, so it is never broadcast
+    return rows.join(taken.hint("merge"), row).select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies_))).alias(number))
 
 
 SQL = f"""
