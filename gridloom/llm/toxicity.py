@@ -21,7 +21,8 @@ from gridloom.llm.scratch import small_batches
 
 #: Feature slots.
 SLOTS = 1 << 18
-ROUNDS = 400
+#: Rounds of the fit: of 200, 400 and 800, this had the fewest errors in four-fold cross-validation on the training rows of a small table.
+ROUNDS = 200
 #: Bound of the training sample: labelled documents of each class. Whole texts of them are read, on the executors.
 PER_CLASS = 3000
 #: A feature counts if this many toxic training documents have it.
@@ -29,7 +30,7 @@ LEAST_DOCS = 4
 #: ... and if it is in more toxic than other ones by this many standard errors. Weights start from its log odds. Both numbers
 #: had the fewest errors of six settings in four-fold cross-validation on the training rows of a small table.
 SURPRISE = 5.0
-#: ... and this many times as often in them.
+#: ... and this many times as often in them: of 1.5, 3 and 6, none had fewer errors in the same cross-validation.
 LIFT = 3.0
 THRESHOLD = 0.3
 _STOPS = np.zeros(256, bool)
