@@ -32,8 +32,8 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _kept(docs: DataFrame, own: str, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose number is a doc_id of kept."""
-    ids = kept.select(F.col("doc_id").alias(f"{own}_kept"))
+    """Rows of docs whose number is a doc_id of kept. Kept ids grow with the documents, so they are never broadcast."""
+    ids = kept.select(F.col("doc_id").alias(f"{own}_kept")).hint("merge")
     return docs.join(ids, F.col(own) == F.col(f"{own}_kept"), "left_semi").drop(own)
 
 
