@@ -51,6 +51,12 @@ def _plain(line: Column) -> Column:
     return F.when(some, F.translate(line, RARER, " " * len(RARER))).otherwise(line)
 
 
+def _spaced(text: Column) -> Column:
+    """text with spaces for the rarer blanks but line feeds, looked for once a text and not for each of them in every line."""
+    blanks = RARER.replace("\n", "")
+    return F.when(F.regexp_like(text, F.lit("[\\t\\x0B\\f\\r]")), F.translate(text, blanks, " " * len(blanks))).otherwise(text)
+
+
 def tokens(line: Column) -> Column:
     """The distinct lower-cased words of a line."""
     return F.array_distinct(F.array_remove(F.split(F.lower(_plain(line)), " "), ""))
@@ -61,22 +67,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
-def _packed(parts: DataFrame, width: int) -> Column:
-    """Scalar array over all of range(width * 1024) from (slot, value); 0 where there is none."""
+def _packed(parts: DataFrame, width: int) -> DataFrame:
+    """One row with xs, the array over all of range(width * 1024) from (slot, value); 0 where there is none."""
     every = parts.sparkSession.range(width * 1024).withColumnRenamed("id", "slot")
     full = every.select("slot").join(parts, "slot", "left").select("slot", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
     some = full.groupBy(F.expr("shiftright(slot, 10)").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("slot", "value")))["value"].alias("xs"))
     one = some.agg(F.array_sort(F.collect_list(F.struct("hi", "xs")))["xs"].alias("xs"))
-    return one.select(F.flatten("xs").alias("xs")).scalar()
+    return one.select(F.flatten("xs").alias("xs"))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """Scalar bitmap of FILTER 64-bit words with the hashes of column h."""
+def _bits(hashes: DataFrame) -> DataFrame:
+    """One row with xs, a bitmap of FILTER 64-bit words with the hashes of column h."""
     slot = F.expr(f"h & {64 * FILTER - 1}")
     parts = hashes.select(slot.alias("s")).groupBy(F.expr("shiftright(s, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("value"))
     return _packed(parts, FILTER // 1024)
 
 
+def _bitmap(hashes: DataFrame) -> Column:
+    """_bits() as a scalar."""
+    return _bits(hashes).scalar()
+
+
 def _in(bitmap: Column, h: Column) -> Column:
     word = F.get(bitmap, F.shiftright(h.bitwiseAND(64 * FILTER - 1), 6).cast("int"))
     return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
@@ -87,11 +98,11 @@ def _some(classes: DataFrame, ids: DataFrame) -> DataFrame:
     return classes.filter(_in(_bitmap(ids.select(F.xxhash64("id").alias("h"))), F.xxhash64("id")))
 
 
-def _marked(classes: DataFrame, gone: DataFrame) -> DataFrame:
-    """classes with gone, true for ids of gone and else null; those that cannot be among them are not joined."""
-    bits = _bitmap(gone.select(F.xxhash64("id").alias("h")))
-    may = _in(bits, F.xxhash64("id"))
-    return classes.filter(may).join(gone.select("id", F.lit(True).alias("gone")), "id", "left").unionByName(classes.filter(~may).withColumn("gone", F.lit(None).cast("boolean")))
+def _marked(tmp: Scratch, classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """classes with gone, true for ids of gone and else null; those that cannot be among them are neither joined nor written again."""
+    may = _in(tmp.save(_bits(gone.select(F.xxhash64("id").alias("h"))), "bits").scalar(), F.xxhash64("id"))
+    some = tmp.save(classes.filter(may).join(gone.select("id", F.lit(True).alias("gone")), "id", "left"), "marked")
+    return some.unionByName(classes.filter(~may).withColumn("gone", F.lit(None).cast("boolean")))
 
 
 def _keys(tmp: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,12 +211,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "lines")
     docs = docs.select("doc_id", "text")
     # cut and hashed once, and written, as words are counted before they can be ranked
-    lined = _lines(docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("text")))
-    hashed = lined.select("doc_id", "th", "ln", F.array_distinct(F.transform(F.split(_plain(F.col("line")), " "), lambda w: F.xxhash64(w))).alias("h"))
-    hashed = tmp.save(hashed.select("doc_id", "th", "ln", F.array_remove("h", F.xxhash64(F.lit(""))).alias("h")), "hashes")
+    lined = _lines(docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower(_spaced(F.col("text"))).alias("text")))
+    hashed = lined.select("doc_id", "th", "ln", F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("h"))
+    hashed = tmp.save(hashed.select("doc_id", "th", "ln", F.array_remove("h", F.xxhash64(F.lit(""))).alias("h")), "hashes", plain=("h.list.element",))
     counted = hashed.select(F.explode("h").alias("h")).groupBy(F.expr(f"h & {SLOTS - 1}").alias("slot"))
     counted = counted.agg(F.shiftleft(F.floor(_STEPS * F.log2(F.count(F.lit(1)))), _HASH).alias("value"))
-    counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024)
+    counts = _packed(tmp.save(counted, "counts"), SLOTS // 1024).scalar()
     # one reference to the scalar, which the optimizer folds into the projection, so that no row holds the array
     worded = hashed.filter("size(h) > 0").withColumn("counts", counts)
     rank = lambda h: F.get(F.col("counts"), h.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(h.bitwiseAND((1 << _HASH) - 1))
@@ -219,16 +230,21 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.when(n > WIDE, half).otherwise(F.lit(0).cast("bigint")).alias("c"),
         F.slice("r", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 2).alias("q"),  # the prefix and one more
     )
-    under = lambda most: F.size(F.filter("q", lambda x: x < ((int(_STEPS * math.log2(most)) + 1) << _HASH)))
+
+    def under(most: int) -> Column:
+        """How many of q, which is sorted and not empty, were counted up to most times; mostly all, which the last one tells."""
+        end = (int(_STEPS * math.log2(most)) + 1) << _HASH
+        return F.when(F.element_at("q", -1) < end, F.size("q")).otherwise(F.size(F.filter("q", lambda x: x < end)))
+
     short = F.transform("q", lambda x: F.shiftright(x, 7).bitwiseAND((1 << 31) - 1).cast("int"))
-    made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", "c", under(RARE).alias("rare"), under(FAMILY).alias("few"), short.alias("p")), "lines")
+    made = tmp.save(made.select("doc_id", "th", "ln", "n", "d1", "b", "c", under(RARE).alias("rare"), under(FAMILY).alias("few"), short.alias("p")), "lines", plain=("d1", "b", "p.list.element"))
     tmp.drop(hashed)  # it is the largest table
     at = F.coalesce("doc_id", F.lit(_NULL))
     carried = ["n", "c", "rare", "few", "p"]
     # in one value with the place, as each value of its own is kept and copied for every row
     classes = made.groupBy("d1", "b").agg(F.min(F.struct("doc_id", "th", "ln", *carried)).alias("first"), F.count(F.lit(1)).alias("rows"))
     # a number for each class, kept by being written, so that keys and pairs are short
-    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows").withColumn("at", at), "classes")
+    classes = tmp.save(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "b", "first.*", "rows").withColumn("at", at), "classes", plain=("id", "d1", "b", "p.list.element"))
 
     leads = _leads(classes)
     earliest = leads.groupBy("key").agg(F.min_by("id", "at").alias("id"), F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -238,13 +254,11 @@ def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     star = leads.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
     gone = tmp.save(_proven(tmp, docs, classes, star.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))), "gone")
 
-    # written, so that both sides of the join are one scan and one exchange
-    open_ = _marked(classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p"), gone)
-    singles, others = _keys(tmp, tmp.save(open_, "open"))
+    singles, others = _keys(tmp, _marked(tmp, classes.filter("n >= 4").select("id", "at", "b", "c", "n", "rare", "p"), gone))
     more = _joined_alone(singles).unionByName(_joined(others.filter("cap > 0"), others))
     gone = tmp.save(gone.unionByName(_proven(tmp, docs, classes, more)).distinct(), "gone")
 
-    touched = _marked(classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln"), gone).filter("gone OR rows > 1")
+    touched = _marked(tmp, classes.select("id", "d1", "b", "rows", "doc_id", "th", "ln"), gone).filter("gone OR rows > 1")
     touched = tmp.save(touched.select("d1", "b", F.struct("doc_id", "th", "ln").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "touched")
     near = made.select("d1", "b", "doc_id", "th", "ln").filter(_in(_bitmap(touched.select(F.col("d1").alias("h"))), F.col("d1")))
     lost = near.join(touched, ["d1", "b"]).filter(F.col("gone") | ~F.struct("doc_id", "th", "ln").eqNullSafe(F.col("first")))
@@ -264,7 +278,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go from every document, by number from 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lost = removed_lines(spark, docs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "lines")
-    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
     out = own.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("lines", ","), F.lit("")).alias("removed"))

@@ -50,14 +50,17 @@ class Scratch:
         self._n = 0
         self._paths: list[str] = []
 
-    def save(self, df: DataFrame, label: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+    def save(self, df: DataFrame, label: str = "t", by: tuple[str, ...] = (), plain: tuple[str, ...] = ()) -> DataFrame:
         """Writes df, in folders by the columns of by, and returns the written table.
 
+        plain: columns whose values seldom repeat (a.list.element for those of a list), which are written without a dictionary.
+
         The driver's garbage is collected, as Spark drops the shuffle files of finished jobs only when their plans are.
         """
         path = f"{self.base}/{self._n:03d}-{label}"
         self._n += 1
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        writer = df.write.partitionBy(*by) if by else df.write
+        writer.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
         self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -127,3 +127,32 @@ def test_a_key_is_compared_from_the_larger_set_only(spark, tmp_path):
     got = {(min(r.x, r.y), max(r.x, r.y)) for r in made.collect()}
     similar = {(i, j) for j, w in sets.items() if j % 5 for i in range(j) if 10 * len(set(w) & set(sets[i])) >= 8 * len(set(w) | set(sets[i]))}
     assert similar and similar <= got and all(j % 5 for _, j in got)
+
+
+def test_words_of_sets_are_not_written_again_once_some_are_settled(spark, monkeypatch):
+    """Between the rounds only the settled sets are written, with their mark; the others are read from where they are."""
+    rng = random.Random(8)
+    base = [rng.sample(range(500), 12) for _ in range(30)]
+    docs = [(d, " ".join(f"w{x}" for x in [*rng.choice(base)[: rng.choice([10, 11, 12])], 500 + d])) for d in range(200)]
+    wrote = {}
+
+    def save(self, df, label="t", *args, old=lines.Scratch.save, **kwargs):
+        out = old(self, df, label, *args, **kwargs)
+        if "p" in df.columns:
+            wrote[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "save", save)
+    want = brute(docs)
+    assert lost(spark, docs) == want and len(want) > 50
+    assert "open" not in wrote and wrote["lines"] >= wrote["classes"] > wrote["marked"] > 0
+
+
+def test_rarer_blanks_of_whole_texts(spark):
+    """They are looked for once a text, and part words all the same."""
+    docs = [(1, "a b c d e\nx"), (2, "a\tb\x0bc\x0cd\re\n\t \r"), (3, "E\tD  c b\ra\n\x0by\x0c"), (4, "a b c d\x0be f\nY")]
+    assert lost(spark, docs) == brute_of(docs)
+
+
+def brute_of(docs):
+    return brute([(d, t.replace("\x0b", " ").replace("\x0c", " ")) for d, t in docs])
